@@ -194,8 +194,12 @@ def chunk_features(
         F.max("chunk_start").alias("chunk_start"),
         F.map_from_entries(F.collect_list(entry)).alias("_f"),
     )
-    wide = _wide_columns(lambda name: F.try_element_at("_f", F.lit(name)))
-    return rows.select(*CHUNK, "chunk_start", *wide)
+    # Most chunks hold no event at all; they take the constant row.
+    wide = F.struct(*_wide_columns(lambda name: F.try_element_at("_f", F.lit(name))))
+    empty = F.struct(*_wide_columns(lambda name: F.lit(None).cast("double")))
+    return rows.select(
+        *CHUNK, "chunk_start", F.when(F.size("_f") == 0, empty).otherwise(wide).alias("_w")
+    ).select(*CHUNK, "chunk_start", "_w.*")
 
 
 def chunk_features_long(

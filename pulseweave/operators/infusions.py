@@ -15,6 +15,7 @@ from pulseweave.functions.timing import HOUR, micros, minutes, plus_micros
 from pulseweave.operators import ordered
 from pulseweave.operators.ordered import BUCKET, MAX_ROWS
 from pulseweave.operators.overlap import overlap_join
+from pulseweave.session import materialize
 
 INTERVAL_COLUMNS = (
     "stay_id", "itemid", "label", "starttime", "endtime", "rate", "rateuom",
@@ -70,16 +71,15 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     drips = rows.where(F.col("originalroute") == vocab.DRIP_ROUTE).withColumn(
         "rate", not_nan(F.col("rate"))
     )
-    keys = [*GROUP, BUCKET]
     w = ordered.per_bucket(GROUP, _charting_order())
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     valid = F.coalesce(F.col("rate") > 0, F.lit(False))
     stopped = F.coalesce(F.col("stopped") == "Stopped", F.lit(False))
 
+    b, large = ordered.time_buckets(drips, GROUP, "charttime", max_rows)
     b = (
-        ordered.time_buckets(drips, GROUP, "charttime", max_rows)
-        .withColumns({"_valid": valid, "_stop": stopped, "_flip": valid & stopped})
+        b.withColumns({"_valid": valid, "_stop": stopped, "_flip": valid & stopped})
         .withColumn("_flips", F.sum(F.col("_flip").cast("long")).over(upto))
         .withColumn("_set", F.last(F.when(~F.col("_flip"), F.col("_valid")), True).over(upto))
         .withColumn("_base", F.last(F.when(~F.col("_flip"), F.col("_flips")), True).over(upto))
@@ -88,30 +88,12 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         .withColumn("_tail", F.lead(F.lit(1)).over(w).isNull())
     )
 
-    # State that enters a bucket, from the last row of each earlier bucket.
-    wb = ordered.across_buckets(GROUP)
-    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ordered.only_large(b).where(F.col("_tail"))
-    ends = ends.withColumn(
-        "_p",
-        F.sum(F.when(F.col("_set").isNull() & F.col("_odd"), 1).otherwise(0)).over(
-            wb.rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-    known = F.col("_set").isNotNull()
-    entry = ends.select(
-        *keys,
-        F.coalesce(F.last(F.when(known, F.col("_set") != F.col("_odd")), True).over(earlier),
-                   F.lit(False)).alias("_fixed"),
-        ((F.lag("_p", 1, 0).over(wb)
-          - F.coalesce(F.last(F.when(known, F.col("_p")), True).over(earlier), F.lit(0))) % 2 == 1
-         ).alias("_flipped"),
-        F.lag("rate").over(wb).alias("_in_rate"),
-        F.lead(F.lit(True)).over(wb).alias("_more"),
-    ).withColumn("_open_in", F.col("_fixed") != F.col("_flipped"))
-
+    earlier = ordered.across_buckets(GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    entry = _entry_state(b, earlier) if large else None
     entered = F.coalesce("_open_in", F.lit(False))
-    s = ordered.attach(b, entry.drop("_fixed", "_flipped"), GROUP)
+    s = ordered.attach(
+        b, GROUP, entry, {"_open_in": "boolean", "_in_rate": "double", "_more": "boolean"}
+    )
     s = s.withColumn("_after", F.coalesce(F.col("_set"), entered) != F.col("_odd"))
     s = s.withColumn("_before", F.coalesce(F.lag("_after").over(w), entered))
     last = F.col("_tail") & F.col("_more").isNull()
@@ -126,12 +108,17 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         ),
     )
     opened = F.last("_opening", True)
-    last_open = (
-        ordered.only_large(s.withColumn("_latest", opened.over(upto)))
-        .where(F.col("_tail"))
-        .select(*keys, F.last("_latest", True).over(earlier).alias("_in_open"))
+    last_open = None
+    if large:
+        last_open = (
+            ordered.only_large(s.withColumn("_latest", opened.over(upto)))
+            .where(F.col("_tail"))
+            .withColumn("_in_open", F.last("_latest", True).over(earlier))
+        )
+    kind = s.schema["_opening"].dataType
+    s = ordered.attach(
+        s.withColumn("_run", opened.over(before)), GROUP, last_open, {"_in_open": kind}
     )
-    s = ordered.attach(s.withColumn("_run", opened.over(before)), last_open, GROUP)
     return (
         s.where(F.col("_closes"))
         .withColumn("_run", F.coalesce("_run", "_in_open"))
@@ -148,6 +135,27 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     )
 
 
+def _entry_state(b: DataFrame, earlier: Window) -> DataFrame:
+    """What a bucket of a drip inherits, from the last row of each earlier bucket."""
+    wb = ordered.across_buckets(GROUP)
+    ends = ordered.only_large(b).where(F.col("_tail"))
+    alone = F.when(F.col("_set").isNull() & F.col("_odd"), 1).otherwise(0)
+    ends = ends.withColumn(
+        "_p", F.sum(alone).over(wb.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    known = F.col("_set").isNotNull()
+    fixed = F.last(F.when(known, F.col("_set") != F.col("_odd")), True).over(earlier)
+    base = F.last(F.when(known, F.col("_p")), True).over(earlier)
+    flips = F.lag("_p", 1, 0).over(wb) - F.coalesce(base, F.lit(0))
+    return ends.select(
+        *GROUP,
+        BUCKET,
+        (F.coalesce(fixed, F.lit(False)) != (flips % 2 == 1)).alias("_open_in"),
+        F.lag("rate").over(wb).alias("_in_rate"),
+        F.lead(F.lit(True)).over(wb).alias("_more"),
+    )
+
+
 def push_intervals(
     rows: DataFrame, labels=vocab.DRUG_LABELS, max_rows: int = MAX_ROWS
 ) -> DataFrame:
@@ -163,7 +171,7 @@ def push_intervals(
     )
     keys = [*GROUP, BUCKET]
     listed = pushes.where(F.col("label").isin(*labels))
-    b = ordered.time_buckets(listed, GROUP, "charttime", max_rows)
+    b, large = ordered.time_buckets(listed, GROUP, "charttime", max_rows)
     whole = Window.partitionBy(*keys)
     w = ordered.per_bucket(GROUP, _charting_order())
     kept = (
@@ -180,30 +188,12 @@ def push_intervals(
         )
     )
 
-    # What a bucket has to know of the others: group sizes, the time before it and
-    # the two times after it.  Buckets without a kept row only add to the count.
-    sizes = ordered.only_large(b).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_g_all"))
-    wb = ordered.across_buckets(GROUP)
-    every = Window.partitionBy(*GROUP)
-    ends = (
-        ordered.only_large(kept)
-        .groupBy(*keys)
-        .agg(
-            F.max("_kept").alias("_kept"),
-            F.min(F.when(F.col("_no") == 1, F.col("charttime"))).alias("_t1"),
-            F.min(F.when(F.col("_no") == 2, F.col("charttime"))).alias("_t2"),
-            F.max("charttime").alias("_tn"),
-        )
-    )
-    around = ends.select(
-        *keys,
-        F.sum("_kept").over(every).alias("_g_kept"),
-        F.lag("_tn").over(wb).alias("_g_prev"),
-        F.lead("_t1").over(wb).alias("_g_next"),
-        F.coalesce(F.lead("_t2").over(wb), F.lead("_t1", 2).over(wb)).alias("_g_next2"),
-    ).join(sizes, GROUP)
-
-    r = ordered.attach(kept, around, GROUP).where(
+    around = _push_surroundings(b, kept) if large else None
+    time = rows.schema["charttime"].dataType
+    r = ordered.attach(
+        kept, GROUP, around,
+        {"_g_all": "long", "_g_kept": "long", "_g_prev": time, "_g_next": time, "_g_next2": time},
+    ).where(
         (F.coalesce("_g_all", "_all") >= 3) & (F.coalesce("_g_kept", "_kept") >= 3)
     )
     r = r.withColumns(
@@ -252,9 +242,41 @@ def push_intervals(
     )
 
 
+def _push_surroundings(b: DataFrame, kept: DataFrame) -> DataFrame:
+    """What a bucket of pushes has to know of the others.
+
+    Group sizes, the kept time before it and the two kept times after it.  Buckets
+    without a kept row only add to the size.
+    """
+    sizes = ordered.only_large(b).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_g_all"))
+    wb = ordered.across_buckets(GROUP)
+    at = lambda n: F.min(F.when(F.col("_no") == n, F.col("charttime")))
+    ends = (
+        ordered.only_large(kept)
+        .groupBy(*GROUP, BUCKET)
+        .agg(
+            F.max("_kept").alias("_kept"),
+            at(1).alias("_t1"),
+            at(2).alias("_t2"),
+            F.max("charttime").alias("_tn"),
+        )
+    )
+    return ends.select(
+        *GROUP,
+        BUCKET,
+        F.sum("_kept").over(Window.partitionBy(*GROUP)).alias("_g_kept"),
+        F.lag("_tn").over(wb).alias("_g_prev"),
+        F.lead("_t1").over(wb).alias("_g_next"),
+        F.coalesce(F.lead("_t2").over(wb), F.lead("_t1", 2).over(wb)).alias("_g_next2"),
+    ).join(sizes, GROUP)
+
+
 def format_carevue(events: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Labelled point chartings to canonical intervals of both kinds."""
-    rows = dedupe_first(events)
+    """Labelled point chartings to canonical intervals of both kinds.
+
+    The deduplicated rows are read several times, so they are written once.
+    """
+    rows = materialize(dedupe_first(events))
     return drip_intervals(rows, max_rows).unionByName(push_intervals(rows, max_rows=max_rows))
 
 

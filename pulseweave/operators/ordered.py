@@ -1,10 +1,11 @@
 """Ordered computations per key that stay distributed when one key is huge.
 
-A window over (key ORDER BY time) puts a key into one task.  Here a key with more
-than ``max_rows`` rows is first cut into consecutive time buckets; windows run per
-(key, bucket), and the little state that has to cross a bucket border is computed
-from one summary row per bucket and joined back.  Ordinary keys keep one bucket
-(NULL), so for them this is the plain window.
+A window over (key ORDER BY time) puts a key into one task.  Here keys with more
+than ``max_rows`` rows are looked for first, by a count that merges before its
+shuffle.  Without any, the plain window is safe and nothing else is planned.  With
+some, those keys are cut into consecutive time buckets; windows run per (key,
+bucket), and the little state that has to cross a bucket border is computed from one
+summary row per bucket and joined back.
 
 The table of large keys has at most ``rows / max_rows`` entries, which is the bound
 that makes broadcasting it safe (10^12 rows give at most 10^6 entries of ~40 bytes).
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseweave.functions.timing import micros
+from pulseweave.session import materialize
 
 BUCKET = "_bucket"
 MAX_ROWS = 1_000_000
@@ -23,11 +25,12 @@ _SPREAD = 8  # buckets per max_rows, so an uneven density still gives small buck
 
 def time_buckets(
     df: DataFrame, keys: list[str], ts: str, max_rows: int = MAX_ROWS
-) -> DataFrame:
-    """Add :data:`BUCKET`: NULL for ordinary keys, a time slice number for large ones.
+) -> tuple[DataFrame, bool]:
+    """``df`` with :data:`BUCKET`, and whether there are large keys at all.
 
-    The borders follow from exact counts and extrema, so a recomputed partition
-    gets the same buckets.  Rows with equal times never part.
+    The bucket is NULL for ordinary keys and a time slice number for large ones.  The
+    borders follow from exact counts and extrema, so a recomputed partition gets the
+    same buckets.  Rows with equal times never part.  Runs one job: the count.
     """
     us = micros(ts)
     large = (
@@ -40,11 +43,14 @@ def time_buckets(
             F.expr(f"(_hi - _lo) div (_n div {max_rows} * {_SPREAD} + 1) + 1").alias("_width"),
         )
     )
-    return (
-        df.join(F.broadcast(large), keys, "left")
+    if large.isEmpty():
+        return df.withColumn(BUCKET, F.lit(None).cast("long")), False
+    bucketed = (
+        df.join(F.broadcast(materialize(large)), keys, "left")
         .withColumn(BUCKET, F.call_function("div", us - F.col("_lo"), F.col("_width")))
         .drop("_lo", "_width")
     )
+    return bucketed, True
 
 
 def per_bucket(keys: list[str], order: list[Column]) -> Window:
@@ -61,28 +67,30 @@ def only_large(df: DataFrame) -> DataFrame:
     return df.where(F.col(BUCKET).isNotNull())
 
 
-def attach(df: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+def attach(df: DataFrame, keys: list[str], state: DataFrame | None, names: dict) -> DataFrame:
     """Bring per-bucket state to the rows; NULL for ordinary keys.
 
     The rows are already partitioned and sorted by (key, bucket), so only the
-    summary is shuffled.
+    summary is shuffled.  ``names`` gives the state columns and their types; without
+    a state they are all NULL.
     """
-    return df.join(state, [*keys, BUCKET], "left")
+    if state is None:
+        return df.withColumns({n: F.lit(None).cast(kind) for n, kind in names.items()})
+    return df.join(state.select(*keys, BUCKET, *names), [*keys, BUCKET], "left")
 
 
 def previous_time(
     df: DataFrame, keys: list[str], ts: str, name: str, max_rows: int = MAX_ROWS
 ) -> DataFrame:
     """``lag(ts)`` per key over rows with distinct times."""
-    b = time_buckets(df, keys, ts, max_rows)
-    w = per_bucket(keys, [F.col(ts)])
-    last = only_large(b).groupBy(*keys, BUCKET).agg(F.max(ts).alias("_last"))
-    border = last.select(
-        *keys, BUCKET, F.lag("_last").over(across_buckets(keys)).alias("_border")
-    )
-    rows = b.withColumn(name, F.lag(ts).over(w))
+    b, large = time_buckets(df, keys, ts, max_rows)
+    rows = b.withColumn(name, F.lag(ts).over(per_bucket(keys, [F.col(ts)])))
+    border = None
+    if large:
+        last = only_large(b).groupBy(*keys, BUCKET).agg(F.max(ts).alias("_last"))
+        border = last.withColumn("_border", F.lag("_last").over(across_buckets(keys)))
     return (
-        attach(rows, border, keys)
+        attach(rows, keys, border, {"_border": df.schema[ts].dataType})
         .withColumn(name, F.coalesce(name, "_border"))
         .drop("_border", BUCKET)
     )
@@ -108,41 +116,40 @@ def nearest(
             *keys, ts, F.lit(None).cast(kind).alias(payload), F.lit(1).alias("_probe")
         )
     )
-    b = time_buckets(both, keys, ts, max_rows)
-    up = per_bucket(keys, [F.col(ts), F.col("_probe")]).rowsBetween(
-        Window.unboundedPreceding, 0
+    b, large = time_buckets(both, keys, ts, max_rows)
+    preceding = (Window.unboundedPreceding, 0)
+    up = per_bucket(keys, [F.col(ts), F.col("_probe")]).rowsBetween(*preceding)
+    down = per_bucket(keys, [F.col(ts).desc(), F.col("_probe").desc()]).rowsBetween(*preceding)
+    rows = b.withColumns(
+        {
+            "before": F.last(payload, ignorenulls=True).over(up),
+            "after": F.last(payload, ignorenulls=True).over(down),
+        }
     )
-    down = per_bucket(keys, [F.col(ts).desc(), F.col("_probe").desc()]).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows = b.withColumn("before", F.last(payload, ignorenulls=True).over(up)).withColumn(
-        "after", F.last(payload, ignorenulls=True).over(down)
-    )
-    ends = (
-        only_large(b)
-        .groupBy(*keys, BUCKET)
-        .agg(
-            F.max(F.when(F.col("_probe") == 0, F.struct(ts, payload))).alias("_latest"),
-            F.min(F.when(F.col("_probe") == 0, F.struct(ts, payload))).alias("_earliest"),
+    border = None
+    if large:
+        point = F.when(F.col("_probe") == 0, F.struct(ts, payload))
+        ends = (
+            only_large(b)
+            .groupBy(*keys, BUCKET)
+            .agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
         )
-    )
-    w = across_buckets(keys)
-    back = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
-    preceding = (Window.unboundedPreceding, -1)
-    border = ends.select(
-        *keys,
-        BUCKET,
-        F.last(f"_latest.{payload}", True).over(w.rowsBetween(*preceding)).alias("_b"),
-        F.last(f"_earliest.{payload}", True).over(back.rowsBetween(*preceding)).alias("_a"),
-    )
-    return (
-        attach(rows.where(F.col("_probe") == 1), border, keys)
-        .select(
-            *keys,
-            ts,
-            F.coalesce("before", "_b").alias("before"),
-            F.coalesce("after", "_a").alias("after"),
+        back = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
+        earlier = across_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
+        later = back.rowsBetween(Window.unboundedPreceding, -1)
+        border = ends.withColumns(
+            {
+                "_b": F.last(f"_latest.{payload}", True).over(earlier),
+                "_a": F.last(f"_earliest.{payload}", True).over(later),
+            }
         )
+    return attach(
+        rows.where(F.col("_probe") == 1), keys, border, {"_b": kind, "_a": kind}
+    ).select(
+        *keys,
+        ts,
+        F.coalesce("before", "_b").alias("before"),
+        F.coalesce("after", "_a").alias("after"),
     )
 
 

@@ -11,21 +11,28 @@ from pyspark.sql import DataFrame, functions as F
 from pulseweave import vocab
 from pulseweave.operators import chunks, codes, cohort as co, dataset, infusions, labs, signals
 from pulseweave.operators.ordered import MAX_ROWS
+from pulseweave.session import materialize
 
 Tables = dict[str, DataFrame]
 
 
 def build_cohort(tables: Tables, version: int = 4, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Recordings with their stays, demographics and weight."""
+    """Recordings with their stays, demographics and weight.
+
+    Written to the shared folder twice, without and with the weight: every later step
+    reads the cohort, and with a known size Spark broadcasts it where it is small.
+    """
     matched = co.match_stays(tables["wave_meta"], tables["icustays"], version)
-    people = co.add_demographics(matched, tables["patients"], tables["admissions"], version)
+    people = materialize(
+        co.add_demographics(matched, tables["patients"], tables["admissions"], version)
+    )
     if version == 4:
         weights = co.weights_from_inputs(people, tables["inputevents"], max_rows)
     else:
         weights = co.weights_from_charts(
             people, tables["weight_events"], tables["d_items"], max_rows
         )
-    return co.add_weight(people, weights)
+    return materialize(co.add_weight(people, weights))
 
 
 def cohort_labs(tables: Tables, cohort: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import posixpath
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime SQL settings.  UTC keeps TIMESTAMP_NTZ <-> epoch arithmetic an identity;
 #: the adaptive settings let Spark split the skewed side of any shuffle join, also
@@ -36,3 +40,32 @@ def local_session(cores: int = 8, app: str = "pulseweave") -> SparkSession:
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
     return configure(builder.getOrCreate())
+
+
+def shared_directory(spark: SparkSession) -> str:
+    """The folder every executor sees, as the cluster names it.
+
+    Only a session without one (a local test) gets a temporary folder of its own.
+    """
+    directory = spark.conf.get("spark.checkpoint.dir", None)
+    if directory is None:
+        checkpoint_dir = spark.sparkContext.getCheckpointDir()
+        if checkpoint_dir is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulseweave-"))
+            checkpoint_dir = spark.sparkContext.getCheckpointDir()
+        directory = checkpoint_dir
+    return directory
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Ends the lineage of what several later steps read, survives lost executors, and
+    tells the planner the true size: a join with a small result is then broadcast
+    from the start, and the large side is never shuffled.
+    """
+    path = posixpath.join(shared_directory(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
