@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # Patterns of the header format
 _DIRECTORY = r"^(.*)/[^/]*$"
 _FILE = r"([^/]+)\.hea$"
-_SUBJECT = r"/p(\d+)/[^/]+/[^/]+\.hea$|/p(\d+)/[^/]+\.hea$"
+_SUBJECT = r"^.*/p(\d+)/"  # the innermost directory of that form
 _HADM = r"(?m)^#.*hadm_id\D*(\d+)"
 
 
@@ -26,14 +26,10 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith("#"),
     )
-    subject = F.coalesce(
-        F.nullif(F.regexp_extract(where, _SUBJECT, 1), F.lit("")),
-        F.nullif(F.regexp_extract(where, _SUBJECT, 2), F.lit("")),
-    )
     return files.select(
         F.regexp_extract(where, _DIRECTORY, 1).alias("directory"),
         F.regexp_extract(where, _FILE, 1).alias("name"),
-        subject.try_cast("long").alias("subject_id"),
+        F.regexp_extract(where, _SUBJECT, 1).try_cast("long").alias("subject_id"),
         F.col("value").alias("text"),
         lines.alias("lines"),
     )
