@@ -67,7 +67,7 @@ def chunk_infusions(
     )
     rows = cohort.select(
         *ROW, "start_timestamp", "weight_kg", chunk_count(seconds).alias("_n")
-    ).distinct()
+    )
     met = overlap_join(
         events,
         rows,
@@ -110,7 +110,7 @@ def chunk_labs(
     )
     rows = cohort.select(
         *ROW, "subject_id", "hadm_id", "start_timestamp", chunk_count(seconds).alias("_n")
-    ).distinct()
+    )
     met = point_join(
         values,
         rows,
@@ -148,28 +148,30 @@ def _event_features(infusions: DataFrame, labs: DataFrame) -> DataFrame:
     return drugs.unionByName(labs)
 
 
-def _wide_columns(value_of) -> list[Column]:
-    """The 214 features from a per-chunk lookup of the event features.
+def _wide_struct(value) -> Column:
+    """The 214 features as one struct, from a per-chunk lookup of the event features.
 
-    Flags default to 0 and the dose sum to 0.0; other features stay NULL.
+    ``value`` maps a feature to the SQL text of its nullable double.  Flags default to
+    0 and the dose sum to 0.0; other features stay NULL.  Written as SQL text because
+    hundreds of Column calls take longer to build than the query to run.
     """
-    flag = lambda name: F.coalesce(value_of(name), F.lit(0.0)).cast("int")
-    members = {
-        c: [d for d in vocab.DRUGS if vocab.DRUG_CATEGORY[d] == c] for c in vocab.CATEGORIES
-    }
-    category = {
-        c: F.greatest(F.lit(0), *[flag(f"{d}_on") for d in members[c]]) for c in vocab.CATEGORIES
-    }
-    out = {f"{c}_on": category[c] for c in vocab.CATEGORIES}
-    for d in vocab.DRUGS:
-        out[f"{d}_ratenorm"] = value_of(f"{d}_ratenorm")
-        out[f"{d}_bolus"] = flag(f"{d}_bolus")
-        out[f"{d}_on"] = flag(f"{d}_on")
-    out["norepi_eq"] = clinical.norepi_equivalent(lambda d: value_of(f"{d}_ratenorm"))
-    out["vasoactive_on"] = F.greatest(category["vasopressor"], category["vasodilator"])
-    for name in vocab.LAB_FEATURES:
-        out[name] = value_of(name)
-    return [out[name].alias(name) for name in vocab.feature_names()]
+    flag = lambda name: f"CAST(coalesce({value(name)}, 0) AS INT)"
+    any_of = lambda names: f"greatest({', '.join(['0', *map(flag, names)])})"
+    on = {c: [f"{d}_on" for d in vocab.DRUGS if vocab.DRUG_CATEGORY[d] == c] for c in vocab.CATEGORIES}
+    derived = {f"{c}_on": any_of(on[c]) for c in vocab.CATEGORIES}
+    derived["vasoactive_on"] = any_of(on["vasopressor"] + on["vasodilator"])
+    derived["norepi_eq"] = " + ".join(
+        ["0.0D"]
+        + [f"coalesce({value(f'{d}_ratenorm')}, 0.0D) * {f}D" for d, f in vocab.NOREPI_FACTORS.items()]
+    )
+
+    def text(name):
+        if name in derived:
+            return derived[name]
+        return flag(name) if name in vocab.FLAG_FEATURES else value(name)
+
+    fields = ", ".join(f"'{name}', {text(name)}" for name in vocab.feature_names())
+    return F.expr(f"named_struct({fields})")
 
 
 def chunk_features(
@@ -187,16 +189,15 @@ def chunk_features(
     events = _event_features(
         chunk_infusions(cohort, inputs, seconds), chunk_labs(cohort, labs, seconds)
     ).withColumn("chunk_start", F.lit(None).cast("timestamp_ntz"))
-    grid = chunk_grid(cohort, seconds).distinct()
-    stacked = grid.unionByName(events, allowMissingColumns=True)
+    stacked = chunk_grid(cohort, seconds).unionByName(events, allowMissingColumns=True)
     entry = F.when(F.col("feature").isNotNull(), F.struct("feature", "value"))
     rows = stacked.groupBy(*CHUNK).agg(
         F.max("chunk_start").alias("chunk_start"),
         F.map_from_entries(F.collect_list(entry)).alias("_f"),
     )
     # Most chunks hold no event at all; they take the constant row.
-    wide = F.struct(*_wide_columns(lambda name: F.try_element_at("_f", F.lit(name))))
-    empty = F.struct(*_wide_columns(lambda name: F.lit(None).cast("double")))
+    wide = _wide_struct(lambda name: f"try_element_at(_f, '{name}')")
+    empty = _wide_struct(lambda name: "CAST(NULL AS DOUBLE)")
     return rows.select(
         *CHUNK, "chunk_start", F.when(F.size("_f") == 0, empty).otherwise(wide).alias("_w")
     ).select(*CHUNK, "chunk_start", "_w.*")

@@ -16,13 +16,16 @@ _PART = 65_536
 
 
 def match_codes(diagnoses: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Distinct diagnosis rows of cohort admissions; ``n_rows`` counts the matches."""
+    """Distinct diagnosis rows of cohort admissions; ``n_rows`` counts the matches.
+
+    The cohort is counted per admission first, so the join only filters: each
+    diagnosis meets one row, and what is left merges before the shuffle.
+    """
     visits = cohort.groupBy(*ADMISSION).agg(F.count(F.lit(1)).alias("_visits"))
     return (
-        diagnoses.groupBy(*diagnoses.columns)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .join(visits, ADMISSION)
-        .select(*diagnoses.columns, (F.col("_copies") * F.col("_visits")).alias(N))
+        diagnoses.join(visits, ADMISSION)
+        .groupBy(*diagnoses.columns)
+        .agg(F.sum("_visits").alias(N))
     )
 
 

@@ -32,11 +32,11 @@ def _feature_struct(defaults: bool) -> Column:
     """The 214 features as one struct: as computed, or as never written."""
 
     def field(name):
-        is_flag = name in vocab.FLAG_FEATURES
-        value = (F.lit(0) if is_flag else F.lit(None)) if defaults else F.col(name)
-        return value.cast("int" if is_flag else "float").alias(name)
+        flag = name in vocab.FLAG_FEATURES
+        value = ("0" if flag else "NULL") if defaults else name
+        return f"'{name}', CAST({value} AS {'INT' if flag else 'FLOAT'})"
 
-    return F.struct(*[field(n) for n in vocab.feature_names()])
+    return F.expr(f"named_struct({', '.join(map(field, vocab.feature_names()))})")
 
 
 def chunk_dataset(features: DataFrame, signals: DataFrame) -> DataFrame:

@@ -159,19 +159,19 @@ _BLOCK = 65_536
 def running_total(df: DataFrame, key: str, index: str, amount: str, name: str) -> DataFrame:
     """Sum of ``amount`` over strictly smaller ``index`` values of a key.
 
-    ``index`` counts rows of the key, so blocks of it have bounded size and a
-    two-level sum needs no look at the data: inside a block, plus the blocks before.
+    ``index`` numbers the rows of a key, so blocks of it have bounded size.  Where an
+    index exceeds one block (looked up first), the sum has two levels: inside the
+    block, plus the blocks before.
     """
+    preceding = (Window.unboundedPreceding, -1)
     block = F.call_function("div", F.col(index), F.lit(_BLOCK))
     b = df.withColumn("_block", block)
-    inside = (
-        Window.partitionBy(key, "_block")
-        .orderBy(index)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    earlier = (
-        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy(key, "_block").orderBy(index).rowsBetween(*preceding)
+    total = F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    if df.where(F.col(index) >= _BLOCK).isEmpty():
+        plain = Window.partitionBy(key).orderBy(index).rowsBetween(*preceding)
+        return df.withColumn(name, F.coalesce(F.sum(amount).over(plain), F.lit(0)))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(*preceding)
     carried = (
         b.groupBy(key, "_block")
         .agg(F.sum(amount).alias("_sum"))
@@ -179,8 +179,8 @@ def running_total(df: DataFrame, key: str, index: str, amount: str, name: str) -
         .where(F.col("_block") > 0)
     )
     return (
-        b.withColumn(name, F.sum(amount).over(inside))
+        b.withColumn(name, total)
         .join(carried, [key, "_block"], "left")
-        .withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce("_carried", F.lit(0)))
+        .withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0)))
         .drop("_block", "_carried")
     )

@@ -17,11 +17,14 @@ ID_COLUMNS = ("source_version", "subject_id", "hadm_id", "record_id")
 def format_meta(raw: DataFrame, signals=vocab.SIGNALS) -> DataFrame:
     """Sample counts to hours (one decimal, half-even), typed ids, end of recording.
 
-    Signals the catalogue has no ``{signal}_samples`` column for count as 0 hours.
+    Signals the catalogue has no ``{signal}_samples`` column for count as 0 hours; other
+    ``_samples`` columns it has are converted too.
     """
+    counted = [c.removesuffix("_samples") for c in raw.columns if c.endswith("_samples")]
+    more = [s for s in counted if s not in signals and s != "total"]
 
     def hours(samples):
-        return F.bround(samples / F.col("fs") / 3600, 1)
+        return F.bround(samples / F.col("fs").cast("double") / 3600, 1)
 
     def signal_hours(s):
         name = f"{s}_samples"
@@ -29,7 +32,8 @@ def format_meta(raw: DataFrame, signals=vocab.SIGNALS) -> DataFrame:
         return value.alias(f"{s}_hrs")
 
     ids = [F.col(c).try_cast("long").alias(c) for c in ID_COLUMNS if c in raw.columns]
-    length = F.round(F.col("record_len") / F.col("fs") * SECOND).cast("long")
+    seconds = F.col("record_len").cast("double") / F.col("fs").cast("double")
+    length = F.round(seconds * SECOND).cast("long")
     return raw.select(
         *ids,
         F.col("fs").cast("double").alias("fs"),
@@ -39,7 +43,7 @@ def format_meta(raw: DataFrame, signals=vocab.SIGNALS) -> DataFrame:
         ),
         hours(F.col("record_len").cast("double")).alias("record_hrs"),
         hours(F.col("total_samples").cast("double")).alias("total_hrs"),
-        *[signal_hours(s) for s in signals],
+        *[signal_hours(s) for s in (*signals, *more)],
     )
 
 

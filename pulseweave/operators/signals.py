@@ -86,20 +86,22 @@ def resample(segments: DataFrame, target_fs: float = vocab.TARGET_FS) -> DataFra
     return segments.withColumn("samples", moved).withColumn("fs", F.lit(float(target_fs)))
 
 
-def segment_offsets(
-    headers: DataFrame, target_fs: float | None = None
-) -> DataFrame:
-    """record_id, seg_idx, n_samples, sample_offset of each stretch in its recording.
-
-    ``headers``: record_id, seg_idx, seg_len, fs; gaps count like any stretch.  With
-    ``target_fs`` lengths are those after resampling.
-    """
+def _stretch_lengths(headers: DataFrame, target_fs: float | None) -> DataFrame:
     n = F.col("seg_len").cast("long")
     if target_fs is not None:
         n = arrays.resampled_size(n, F.col("fs"), target_fs)
-    lengths = headers.where(F.col("seg_idx") > 0).select(
+    return headers.where(F.col("seg_idx") > 0).select(
         "record_id", "seg_idx", n.alias("n_samples")
     )
+
+
+def segment_offsets(headers: DataFrame, target_fs: float | None = None) -> DataFrame:
+    """record_id, seg_idx, n_samples, sample_offset of each stretch in its recording.
+
+    ``headers``: record_id, seg_idx, seg_len, fs; gaps count like any stretch.  With
+    ``target_fs`` lengths are those after resampling.
+    """
+    lengths = _stretch_lengths(headers, target_fs)
     return running_total(lengths, "record_id", "seg_idx", "n_samples", "sample_offset")
 
 
@@ -177,14 +179,13 @@ def chunk_signals(
     from ``headers`` (record_id, seg_idx, seg_len, fs) and joined to them first.
     """
     size = int(seconds * target_fs)
-    offsets = segment_offsets(headers, target_fs)
     placed = segments
     if "sample_offset" not in segments.columns:
-        placed = segments.join(
-            offsets.select("record_id", "seg_idx", "sample_offset"), ["record_id", "seg_idx"]
-        )
-    chunks = F.expr(f"(max(sample_offset + n_samples) + {size - 1}) div {size}")
-    extent = offsets.groupBy("record_id").agg(chunks.alias("_n")).where(F.col("_n") > 0)
+        offsets = segment_offsets(headers, target_fs).drop("n_samples")
+        placed = segments.join(offsets, ["record_id", "seg_idx"])
+    chunks = F.expr(f"(sum(n_samples) + {size - 1}) div {size}")
+    lengths = _stretch_lengths(headers, target_fs)
+    extent = lengths.groupBy("record_id").agg(chunks.alias("_n")).where(F.col("_n") > 0)
     axis = (
         extent.join(signal_map(segments), "record_id")
         .select(

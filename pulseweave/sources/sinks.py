@@ -54,12 +54,11 @@ def write_records(records: DataFrame, path: str) -> None:
     )
 
 
-def save_indexed(df: DataFrame, table: str, keys: list[str], buckets: int = 256) -> None:
+def save_indexed(
+    df: DataFrame, table: str, keys: list[str], buckets: int = 256, path: str | None = None
+) -> None:
     """A table bucketed and sorted by ``keys``: repeated joins on them need no shuffle."""
-    (
-        df.write.mode("overwrite")
-        .format("parquet")
-        .bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .saveAsTable(table)
-    )
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)

@@ -13,6 +13,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseweave.functions.clinical import not_nan
+from pulseweave.operators.recordings import format_meta
 
 # Canonical columns and types of each table
 SCHEMAS = {
@@ -110,6 +111,15 @@ def load_table(spark: SparkSession, root: str, name: str, version: int = 4) -> D
     return canonical(read_raw(spark, table_path(spark, root, name, version)), name, version)
 
 
+def load_catalogue_csv(spark: SparkSession, path: str, version: int = 4) -> DataFrame:
+    """A saved recording catalogue (sample counts per signal) as formatted metadata.
+
+    Column names keep their case: signal names have upper-case letters.
+    """
+    raw = spark.read.csv(path, header=True, escape='"')
+    return format_meta(raw.withColumn("source_version", F.lit(version)))
+
+
 def load_tables(spark: SparkSession, root: str, version: int = 4) -> dict[str, DataFrame]:
     """Every table the pipelines of a version read."""
     names = ["icustays", "patients", "admissions", "d_items", "d_labitems", "labevents",

@@ -88,6 +88,24 @@ def test_code_files(spark, tmp_path, rows):
         ("a.txt", "0010"), ("a.txt", "0011"), ("b.txt", "0010")]
 
 
+def test_catalogue_csv(spark, tmp_path):
+    put(tmp_path / "c.csv", "v,subject_id,hadm_id,record_id,fs,record_len,start_timestamp,total_samples,II_samples,AVF_samples\n"
+        "4,5,6,7,62.5,225000,2148-08-16 09:00:17.566,112500,225000,112500\n")
+    r = tables.load_catalogue_csv(spark, str(tmp_path / "c.csv"), 4).first()
+    assert (r.source_version, r.record_id, r.record_hrs, r.total_hrs, r.II_hrs, r.AVF_hrs, r.ICP_hrs) == (
+        4, 7, 1.0, 0.5, 1.0, 0.5, 0.0)
+    assert r.end_timestamp == datetime(2148, 8, 16, 10, 0, 17, 566000)
+
+
+def test_indexed_tables_join_without_shuffle(spark, tmp_path):
+    for name in ("left_events", "right_events"):
+        df = spark.range(100).select((F.col("id") % 7).alias("stay_id"), F.col("id").alias(name))
+        sinks.save_indexed(df, name, ["stay_id"], 4, str(tmp_path / name))
+    joined = spark.table("left_events").hint("merge").join(spark.table("right_events"), "stay_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and joined.count() == sum(len(range(k, 100, 7)) ** 2 for k in range(7))
+
+
 def test_derived_tables_by_version(spark, tmp_path):
     for version, n in ((4, 3), (3, 2), (4, 5)):
         df = spark.range(n).withColumn("source_version", F.lit(version))
