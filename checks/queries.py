@@ -800,7 +800,7 @@ VIEWS["axis250"] = chunk_axis_sql(SIZE)
 register(
     "rechunk",
     lambda i: long_samples(
-        signals.chunk_signals(i["segments"], i["segment_headers"], 125.0, 2.0),
+        signals.by_signal(signals.chunk_signals(i["segments"], i["segment_headers"], 125.0, 2.0)),
         ["record_id", "signal", "chunk_id"],
     ),
     ["axis250", "samples125", "placed"],

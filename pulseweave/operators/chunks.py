@@ -18,6 +18,15 @@ ROW = ["record_id", "stay_id"]
 CHUNK = [*ROW, "chunk_id"]
 
 
+def by_chunk(df: DataFrame) -> DataFrame:
+    """Place rows by (recording, chunk).
+
+    Grouping by chunk and joining the chunk's samples then need no other shuffle.  Only
+    for rows without copies, which nothing could merge ahead of the shuffle.
+    """
+    return df.repartition("record_id", "chunk_id")
+
+
 def chunk_count(seconds: float) -> Column:
     span = micros("end_timestamp") - micros("start_timestamp")
     return ceil_div(span, micros_of(seconds))
@@ -28,9 +37,12 @@ def _grid_end(width: int, chunks: Column) -> Column:
 
 
 def chunk_grid(cohort: DataFrame, seconds: float = vocab.CHUNK_SECONDS) -> DataFrame:
-    """record_id, stay_id, chunk_id, chunk_start for every chunk of every cohort row."""
+    """record_id, stay_id, chunk_id, chunk_start for every chunk of every cohort row.
+
+    Copies of a cohort row are dropped ahead of the grid, not within it.
+    """
     width = micros_of(seconds)
-    rows = cohort.select(*ROW, "start_timestamp", chunk_count(seconds).alias("_n"))
+    rows = cohort.select(*ROW, "start_timestamp", chunk_count(seconds).alias("_n")).distinct()
     ids = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
     return (
         rows.where(F.col("_n") > 0)
@@ -67,7 +79,7 @@ def chunk_infusions(
     )
     rows = cohort.select(
         *ROW, "start_timestamp", "weight_kg", chunk_count(seconds).alias("_n")
-    )
+    ).distinct()
     met = overlap_join(
         events,
         rows,
@@ -110,7 +122,7 @@ def chunk_labs(
     )
     rows = cohort.select(
         *ROW, "subject_id", "hadm_id", "start_timestamp", chunk_count(seconds).alias("_n")
-    )
+    ).distinct()
     met = point_join(
         values,
         rows,
@@ -191,7 +203,7 @@ def chunk_features(
     ).withColumn("chunk_start", F.lit(None).cast("timestamp_ntz"))
     stacked = chunk_grid(cohort, seconds).unionByName(events, allowMissingColumns=True)
     entry = F.when(F.col("feature").isNotNull(), F.struct("feature", "value"))
-    rows = stacked.groupBy(*CHUNK).agg(
+    rows = by_chunk(stacked).groupBy(*CHUNK).agg(
         F.max("chunk_start").alias("chunk_start"),
         F.map_from_entries(F.collect_list(entry)).alias("_f"),
     )

@@ -11,7 +11,7 @@ from pulseweave.functions.timing import SECOND, plus_micros
 
 GAP = "~"
 
-ID_COLUMNS = ("source_version", "subject_id", "hadm_id", "record_id")
+ID_COLUMNS = ("subject_id", "hadm_id", "record_id")
 
 
 def format_meta(raw: DataFrame, signals=vocab.SIGNALS) -> DataFrame:
@@ -35,6 +35,7 @@ def format_meta(raw: DataFrame, signals=vocab.SIGNALS) -> DataFrame:
     seconds = F.col("record_len").cast("double") / F.col("fs").cast("double")
     length = F.round(seconds * SECOND).cast("long")
     return raw.select(
+        F.col("source_version").try_cast("int").alias("source_version"),
         *ids,
         F.col("fs").cast("double").alias("fs"),
         F.col("start_timestamp").try_cast("timestamp_ntz").alias("start_timestamp"),

@@ -106,7 +106,10 @@ def segment_offsets(headers: DataFrame, target_fs: float | None = None) -> DataF
 
 
 def _pieces(segments: DataFrame, size: int) -> DataFrame:
-    """Each array cut at the chunk borders; only the slices leave the row."""
+    """record_id, chunk_id, part — each array cut at the chunk borders.
+
+    Only the slices leave the row.
+    """
     off, n, width = F.col("sample_offset"), F.size("samples"), F.lit(size).cast("long")
     first = F.call_function("div", off, width)
     last = F.call_function("div", off + n - 1, width)
@@ -118,8 +121,9 @@ def _pieces(segments: DataFrame, size: int) -> DataFrame:
         return F.struct(
             c.alias("chunk_id"),
             F.struct(
+                F.col("signal").alias("signal"),
                 (start - c * width).cast("int").alias("start"),
-                (~F.exists(piece, lambda x: x.isNotNull())).alias("blank"),
+                F.col("_blank").alias("blank"),
                 F.col("variant_rank").alias("rank"),
                 piece.alias("piece"),
             ).alias("part"),
@@ -128,40 +132,58 @@ def _pieces(segments: DataFrame, size: int) -> DataFrame:
     cuts = F.transform(F.sequence(first, last), cut)
     return (
         segments.where(n > 0)
-        .select("record_id", "signal", F.explode(cuts).alias("_c"))
-        .select("record_id", "signal", "_c.chunk_id", "_c.part")
+        .withColumn("_blank", _blank())
+        .select("record_id", F.explode(cuts).alias("_c"))
+        .select("record_id", "_c.chunk_id", "_c.part")
     )
 
 
 def rechunk(segments: DataFrame, size: int, axis: DataFrame | None = None) -> DataFrame:
-    """record_id, signal, chunk_id, samples — arrays of exactly ``size`` samples.
+    """record_id, chunk_id, signals — a map of arrays of exactly ``size`` samples.
 
     ``segments``: record_id, signal, variant_rank, sample_offset, samples, at the
     final sampling rate.  Stretches are cut at chunk borders and only the pieces
-    travel, grouped by (record, signal, chunk): a chunk holds ``size`` samples, so
-    no group grows with its recording, and copies of a piece merge.  What no piece
-    covers, between pieces and at the end, is missing samples.  ``axis`` (record_id,
-    signal, chunk_id) names chunks to fill although nothing may cover them.
+    travel, once, by (record, chunk): a chunk holds at most 13 signals of ``size``
+    samples, so no group grows with its recording, and copies of a piece merge ahead of
+    the shuffle.  What no piece covers, between pieces and at the end, is missing
+    samples.  ``axis`` (record_id, chunk_id, axis) names chunks, and the signals they
+    have, although nothing may cover them.
     """
     parts = _pieces(segments, size)
-    if axis is not None:
+    if axis is None:
+        parts = parts.withColumn("axis", F.lit(None).cast("array<string>"))
+    else:
         parts = parts.unionByName(axis, allowMissingColumns=True)
-    ordered = F.sort_array(F.collect_set("part"))
-    fresh = lambda p, i: (i == 0) | (p["start"] > F.get("_p", i - 1)["start"])
-    end = lambda p: p["start"] + F.size(p["piece"])
-    gap = lambda p, i: p["start"] - F.when(i > 0, end(F.get("_p", i - 1))).otherwise(0)
+    # Sorted by signal, then start: a part's neighbour is the one before it in its signal.
+    before = lambda i: F.get("_p", i - 1)
+    follows = lambda p, i: (i > 0) & (before(i)["signal"] == p["signal"])
+    fresh = lambda p, i: ~(follows(p, i) & (p["start"] == before(i)["start"]))
+
+    def padded(p, i):
+        end = F.when(follows(p, i), before(i)["start"] + F.size(before(i)["piece"]))
+        gap = p["start"] - F.coalesce(end, F.lit(0))
+        return F.struct(
+            p["signal"].alias("signal"), F.concat(arrays.nulls(gap), p["piece"]).alias("run")
+        )
+
+    def whole(s):
+        runs = F.filter("_q", lambda q: q["signal"] == s)
+        joined = F.flatten(F.transform(runs, lambda q: q["run"]))
+        return F.struct(s.alias("signal"), arrays.pad(joined, size).alias("samples"))
+
+    names = F.array_union(
+        F.coalesce("axis", F.expr("CAST(array() AS array<string>)")),
+        F.transform("_p", lambda p: p["signal"]),
+    )
     return (
-        parts.groupBy("record_id", "signal", "chunk_id")
-        .agg(ordered.alias("_p"))
+        parts.groupBy("record_id", "chunk_id")
+        .agg(F.sort_array(F.collect_set("part")).alias("_p"), F.max("axis").alias("axis"))
         .withColumn("_p", F.filter("_p", fresh))
-        .withColumn(
-            "samples",
-            F.flatten(
-                F.transform("_p", lambda p, i: F.concat(arrays.nulls(gap(p, i)), p["piece"]))
-            ),
-        )
+        .withColumn("_q", F.transform("_p", padded))
         .select(
-            "record_id", "signal", "chunk_id", arrays.pad(F.col("samples"), size).alias("samples")
+            "record_id",
+            "chunk_id",
+            F.map_from_entries(F.transform(names, whole)).alias("signals"),
         )
     )
 
@@ -172,11 +194,12 @@ def chunk_signals(
     target_fs: float = vocab.TARGET_FS,
     seconds: float = vocab.CHUNK_SECONDS,
 ) -> DataFrame:
-    """record_id, signal, chunk_id, samples for every chunk and signal of a recording.
+    """record_id, chunk_id, signals for every chunk of a recording.
 
-    Segments that carry ``sample_offset`` (in samples at ``target_fs``) are taken as
-    placed and their arrays are shuffled once; otherwise the offsets are computed
-    from ``headers`` (record_id, seg_idx, seg_len, fs) and joined to them first.
+    The map has every signal of the recording.  Segments that carry ``sample_offset``
+    (in samples at ``target_fs``) are taken as placed and their arrays are shuffled
+    once; otherwise the offsets are computed from ``headers`` (record_id, seg_idx,
+    seg_len, fs) and joined to them first.
     """
     size = int(seconds * target_fs)
     placed = segments
@@ -186,19 +209,20 @@ def chunk_signals(
     chunks = F.expr(f"(sum(n_samples) + {size - 1}) div {size}")
     lengths = _stretch_lengths(headers, target_fs)
     extent = lengths.groupBy("record_id").agg(chunks.alias("_n")).where(F.col("_n") > 0)
-    axis = (
-        extent.join(signal_map(segments), "record_id")
-        .select(
-            "record_id",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk_id"),
-            "signals",
-        )
-        .select("record_id", "chunk_id", F.explode("signals").alias("signal"))
+    axis = extent.join(signal_map(segments), "record_id").select(
+        "record_id",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk_id"),
+        F.col("signals").alias("axis"),
     )
     named = name_signals(resample(placed, target_fs))
     return rechunk(named, size, axis)
 
 
+def by_signal(chunks: DataFrame) -> DataFrame:
+    """record_id, chunk_id, signal, samples — one row per signal of a chunk."""
+    return chunks.select("record_id", "chunk_id", F.explode("signals").alias("signal", "samples"))
+
+
 def nan_max(segments: DataFrame) -> DataFrame:
     """Replace each array by its largest real value (NULL when there is none)."""
     return segments.withColumn("value", arrays.nan_max(F.col("samples"))).drop("samples")

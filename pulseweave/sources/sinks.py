@@ -6,7 +6,9 @@ import posixpath
 
 from pyspark.sql import DataFrame, functions as F
 
-_CHUNKS_PER_FILE = 4_096
+#: Consecutive chunks of a recording in one task: about 60 MB of samples at 60 s,
+#: 125 Hz and four signals.
+_BLOCK = 512
 
 
 def save_derived(derived: dict[str, DataFrame], root: str, version: int) -> None:
@@ -30,9 +32,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
     Re-running for some recordings replaces just these.  Chunks are spread over tasks
     by (recording, block of chunks), so a very long recording is written by many
-    tasks, each with a sorted file of at most 4,096 chunks per stay and recording.
+    tasks, in sorted files.
     """
-    block = F.call_function("div", F.col("chunk_id"), F.lit(_CHUNKS_PER_FILE))
+    block = F.call_function("div", F.col("chunk_id"), F.lit(_BLOCK))
     (
         chunks.repartition("record_id", block)
         .sortWithinPartitions("record_id", "stay_id", "chunk_id")

@@ -61,7 +61,7 @@ def test_rechunk_equals_slicing(spark, seed):
                 want[(rec, signal, c)] = part + [None] * (size - len(part))
     df = spark.createDataFrame(segs + segs[:5], SEG)  # some copies, which must merge
     got = signals.chunk_signals(df, spark.createDataFrame(heads, HEAD), 125.0, size / 125.0)
-    got = {(r.record_id, r.signal, r.chunk_id): r.samples for r in got.collect()}
+    got = {(r.record_id, r.signal, r.chunk_id): r.samples for r in signals.by_signal(got).collect()}
     assert got == want
 
 
@@ -69,7 +69,16 @@ def test_placed_segments_need_no_offsets(spark):
     segs = spark.createDataFrame([(1, 2, "II", 125.0, [5.0, 6.0], 3)], SEG + ", sample_offset long")
     heads = spark.createDataFrame([(1, 1, "~", 3, 125.0, None), (1, 2, "s", 2, 125.0, ["II"])], HEAD)
     got = signals.chunk_signals(segs, heads, 125.0, 4 / 125.0).orderBy("chunk_id").collect()
-    assert [r.samples for r in got] == [[None, None, None, 5.0], [6.0, None, None, None]]
+    assert [r.signals for r in got] == [{"II": [None, None, None, 5.0]}, {"II": [6.0, None, None, None]}]
+
+
+def test_two_names_of_one_signal(spark):
+    segs = spark.createDataFrame(
+        [(1, 1, "ART", 125.0, [1.0, 2.0, 3.0]), (1, 1, "ABP", 125.0, [None, None, 9.0]), (1, 2, "II", 125.0, [4.0])], SEG)
+    heads = spark.createDataFrame([(1, 1, "s", 3, 125.0, None), (1, 2, "s", 1, 125.0, None)], HEAD)
+    got = signals.chunk_signals(segs, heads, 125.0, 2 / 125.0).orderBy("chunk_id").collect()
+    # per stretch: the first listed name with a real sample
+    assert [r.signals for r in got] == [{"ABP": [None, None], "II": [None, None]}, {"ABP": [9.0, None], "II": [None, 4.0]}]
 
 
 def test_small_array_functions(spark):
