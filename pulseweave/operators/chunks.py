@@ -22,9 +22,14 @@ def by_chunk(df: DataFrame) -> DataFrame:
     """Place rows by (recording, chunk).
 
     Grouping by chunk and joining the chunk's samples then need no other shuffle.  Only
-    for rows without copies, which nothing could merge ahead of the shuffle.
+    for rows without copies, which nothing could merge ahead of the shuffle.  The number
+    of partitions is given, so that it is not reduced by the size of these narrow rows:
+    what is made of them is a hundred times wider.
     """
-    return df.repartition("record_id", "chunk_id")
+    conf = df.sparkSession.conf
+    default = conf.get("spark.sql.shuffle.partitions")
+    count = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", default)
+    return df.repartition(int(count or default), "record_id", "chunk_id")
 
 
 def chunk_count(seconds: float) -> Column:

@@ -168,7 +168,7 @@ def test_whole_dataset(spark, tmp_path):
     join = [n for n, line in enumerate(plan.splitlines()) if "Join" in line][0]
     top = [line for line in plan.splitlines()[join:] if "Exchange hashpartitioning" in line][:1]
     # the join finds its inputs where the grouping has put them
-    assert "REPARTITION_BY_COL" in top[0]
+    assert "REPARTITION_BY_NUM" in top[0]
     sinks.write_chunks(built["chunks"], str(tmp_path / "c"))
     sinks.write_records(built["records"], str(tmp_path / "r"))
     chunks = spark.read.parquet(str(tmp_path / "c")).orderBy("chunk_id").collect()
