@@ -8,11 +8,15 @@ instead of arrays.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from checks.registry import CHECK_SECONDS, register
 from checks.views import VIEWS, Inputs
 from pulseweave import plans, vocab
+from pulseweave.sources import codes as code_files, headers, sinks, tables as table_files
+from pulseweave.session import shared_directory
 from pulseweave.functions import clinical
 from pulseweave.operators import chunks, codes, cohort as co, crosswalk, dataset
 from pulseweave.operators import infusions, labs, recordings, signals
@@ -607,6 +611,11 @@ def feature_inputs(i: Inputs):
     return c, plans.cohort_inputs(t, c), plans.cohort_labs(t, c)
 
 
+def latest_labs(i: Inputs) -> DataFrame:
+    c = cohort(i)
+    return chunks.chunk_labs(c, plans.cohort_labs(tables(i), c), CHECK_SECONDS)
+
+
 register(
     "chunk_grid", lambda i: chunks.chunk_grid(cohort(i), CHECK_SECONDS), ["grid"],
     "SELECT record_id, stay_id, chunk_id, chunk_start FROM grid",
@@ -620,7 +629,7 @@ register(
 )
 register(
     "chunk_labs",
-    lambda i: chunks.chunk_labs(cohort(i), plans.cohort_labs(tables(i), cohort(i)), CHECK_SECONDS),
+    lambda i: latest_labs(i),
     ["chunk_lab_values"], "SELECT * FROM chunk_lab_values",
 )
 register(
@@ -797,18 +806,20 @@ register(
 )
 SIZE = 250  # two seconds at 125 Hz
 VIEWS["axis250"] = chunk_axis_sql(SIZE)
+RECHUNK_SQL = (
+    "SELECT a.record_id, a.signal, a.chunk_id, p.pos, round(v.value, 6) AS value FROM axis250 AS a "
+    f"JOIN (SELECT unnest(generate_series(CAST(0 AS BIGINT), CAST({SIZE - 1} AS BIGINT))) AS pos) AS p ON true "
+    "LEFT JOIN (SELECT s.record_id, s.signal, s.value, o.sample_offset + s.j AS at FROM samples125 AS s "
+    "JOIN placed AS o ON o.record_id = s.record_id AND o.seg_idx = s.seg_idx) AS v "
+    f"ON v.record_id = a.record_id AND v.signal = a.signal AND v.at = a.chunk_id * {SIZE} + p.pos"
+)
 register(
     "rechunk",
     lambda i: long_samples(
         signals.by_signal(signals.chunk_signals(i["segments"], i["segment_headers"], 125.0, 2.0)),
         ["record_id", "signal", "chunk_id"],
     ),
-    ["axis250", "samples125", "placed"],
-    f"SELECT a.record_id, a.signal, a.chunk_id, p.pos, round(v.value, 6) AS value FROM axis250 AS a "
-    f"JOIN (SELECT unnest(generate_series(CAST(0 AS BIGINT), CAST({SIZE - 1} AS BIGINT))) AS pos) AS p ON true "
-    "LEFT JOIN (SELECT s.record_id, s.signal, s.value, o.sample_offset + s.j AS at FROM samples125 AS s "
-    "JOIN placed AS o ON o.record_id = s.record_id AND o.seg_idx = s.seg_idx) AS v "
-    f"ON v.record_id = a.record_id AND v.signal = a.signal AND v.at = a.chunk_id * {SIZE} + p.pos",
+    ["axis250", "samples125", "placed"], RECHUNK_SQL,
 )
 register(
     "pad",
@@ -909,3 +920,131 @@ register(
     "UNION ALL SELECT 'records_with_inputs', count(DISTINCT record_id) FROM matched4 "
     "UNION ALL SELECT 'subjects_with_codes', count(DISTINCT subject_id) FROM code_rows",
 )
+
+
+# --------------------------------------------------------------------------
+# Sources and sinks: written to the shared folder and read back
+# --------------------------------------------------------------------------
+
+
+def fresh_path(i: Inputs) -> str:
+    return f"{shared_directory(i.spark)}/check-{uuid.uuid4().hex}"
+
+
+def csv_labs(i: Inputs) -> DataFrame:
+    root = fresh_path(i)
+    lab = i["labevents"]
+    upper = lab.toDF(*[c.upper() for c in lab.columns])
+    upper.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(
+        f"{root}/hosp/LABEVENTS.csv.gz", header=True, compression="gzip"
+    )
+    return table_files.load_table(i.spark, root, "labevents", 4)
+
+
+register("load_table", csv_labs, ["labevents"], "SELECT * FROM labevents")
+
+
+def header_texts(i: Inputs) -> DataFrame:
+    """Header files of the recordings as path and text: master, layout, segments."""
+    name = F.when(F.col("seg_name") == "~", "~").otherwise(
+        F.format_string("%d_%04d", "record_id", "seg_idx")
+    )
+    heads = i["segment_headers"].withColumn("seg_name", name)
+    where = F.concat(
+        F.lit("file:///waves/"), dataset.path_key("subject_id", "record_id"), F.lit("/")
+    )
+    line = F.concat_ws(" ", "seg_name", F.col("seg_len").cast("string"))
+    listed = heads.groupBy("record_id").agg(
+        F.sort_array(F.collect_list(F.struct("seg_idx", line.alias("line")))).alias("l")
+    )
+    master = i["recordings"].join(listed, "record_id").select(
+        F.concat(where, F.col("record_id").cast("string"), F.lit(".hea")).alias("path"),
+        F.concat_ws(
+            "\n",
+            F.format_string("%d/%d 4 %s/999.5 %d %s", "record_id", F.size("l"),
+                            F.col("fs").cast("string"), "record_len",
+                            F.date_format("start_timestamp", "HH:mm:ss.SSS dd/MM/yyyy")),
+            F.col("l.line"),
+            F.format_string("# hadm_id %d", "hadm_id"),
+        ).alias("value"),
+    )
+    channel = F.transform("signals", lambda s: F.concat(F.lit("a.dat 516 200(0)/mV 14 0 1 2 0 "), s))
+    parts = heads.where(F.col("signals").isNotNull()).join(
+        i["recordings"].select("record_id", "subject_id"), "record_id"
+    ).select(
+        F.concat(where, F.col("seg_name"), F.lit(".hea")).alias("path"),
+        F.concat_ws(
+            "\n",
+            F.format_string("%s %d %s %d", "seg_name", F.size("signals"),
+                            F.col("fs").cast("string"), "seg_len"),
+            channel,
+        ).alias("value"),
+    )
+    return master.unionByName(parts)
+
+
+def coverage_from_text(i: Inputs) -> DataFrame:
+    return recordings.signal_coverage(*headers.parse_catalogue(header_texts(i), 4))
+
+
+register("header_coverage", coverage_from_text,
+         ["recordings", "segment_headers", "signal_names"], _coverage_sql())
+
+
+def crosswalk_file(i: Inputs) -> DataFrame:
+    path = fresh_path(i)
+    i["gem9"].select(F.concat_ws("   ", "i9", "i10", "flag")).write.text(path)
+    return code_files.read_crosswalk(i.spark, path)
+
+
+register("read_crosswalk", crosswalk_file, ["gem9"], "SELECT * FROM gem9")
+
+
+def code_list_file(i: Inputs) -> DataFrame:
+    path = fresh_path(i)
+    i["code_list"].coalesce(1).select(F.concat(F.lit("  "), "code", F.lit(" \t"))).write.text(path)
+    return code_files.read_code_lists(i.spark, path).select("code")
+
+
+register("read_code_lists", code_list_file, ["code_list"], "SELECT DISTINCT code FROM code_list")
+
+
+def saved_inputs(i: Inputs) -> DataFrame:
+    path = fresh_path(i)
+    for version in (4, 3, 4):
+        sinks.save_derived({"stays": overlap(i, version)}, path, version)
+    return round_hours(i.spark.read.parquet(f"{path}/stays")).select(
+        "source_version", "record_id", "stay_id", "dbsource", *OVERLAP_HOURS
+    )
+
+
+register(
+    "save_derived", saved_inputs, ["overlap4", "overlap3"],
+    " UNION ALL ".join(
+        f"SELECT {v} AS source_version, record_id, stay_id, dbsource, round(hrs_overlap, 6) AS hrs_overlap, "
+        f"round(hrs_overlap_true, 6) AS hrs_overlap_true FROM overlap{v}"
+        for v in (4, 3)
+    ),
+)
+
+
+def written_chunks(i: Inputs) -> DataFrame:
+    path = fresh_path(i)
+    sampled = signals.chunk_signals(i["segments"], i["segment_headers"], 125.0, 2.0)
+    sinks.write_chunks(sampled.withColumn("stay_id", F.lit(0)), path)
+    return long_samples(
+        signals.by_signal(i.spark.read.parquet(path)), ["record_id", "signal", "chunk_id"]
+    ).withColumn("record_id", F.col("record_id").cast("long"))
+
+
+register("write_chunks", written_chunks, ["axis250", "samples125", "placed"],
+         RECHUNK_SQL)
+
+
+def indexed_inputs(i: Inputs) -> DataFrame:
+    name = f"events_{uuid.uuid4().hex}"
+    sinks.save_indexed(i["inputevents"], name, ["stay_id"], 8, fresh_path(i))
+    return i.spark.table(name)
+
+
+register("save_indexed", indexed_inputs, ["inputevents"], "SELECT * FROM inputevents")

@@ -18,10 +18,15 @@ _HADM = r"(?m)^#.*hadm_id\D*(\d+)"
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """directory, name, subject_id, text, lines — one row per header file."""
+    """path, value — one row per header file below ``path``."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True,
                             pathGlobFilter="*.hea")
-    where = F.col("_metadata.file_path")
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def split_headers(files: DataFrame) -> DataFrame:
+    """directory, name, subject_id, text, lines of each header file."""
+    where = F.col("path")
     lines = F.filter(
         F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith("#"),
@@ -107,7 +112,12 @@ def segment_headers(headers: DataFrame, masters: DataFrame) -> DataFrame:
 
 def load_catalogue(spark: SparkSession, path: str, version: int = 4) -> tuple[DataFrame, DataFrame]:
     """(records, segment headers) of all recordings below ``path``."""
-    headers = read_headers(spark, path)
+    return parse_catalogue(read_headers(spark, path), version)
+
+
+def parse_catalogue(files: DataFrame, version: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(records, segment headers) from the texts of header files (path, value)."""
+    headers = split_headers(files)
     masters = master_headers(headers, version)
     records = masters.select(
         F.lit(version).alias("source_version"),
