@@ -20,7 +20,25 @@ from pulseweave.session import materialize
 
 BUCKET = "_bucket"
 MAX_ROWS = 1_000_000
-_SPREAD = 8  # buckets per max_rows, so an uneven density still gives small buckets
+_SPREAD = 8  # buckets per max_rows, so a moderately uneven density needs no refinement
+_FANOUT = 1 << 20  # most buckets one cut makes of a range
+_REFINEMENTS = 2  # cuts of what is still crowded; three levels fit a long
+
+
+def _crowded(df: DataFrame, keys: list[str], us: Column, max_rows: int) -> DataFrame:
+    """keys, _lo, _width of the groups above ``max_rows`` whose times can be told apart."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
+        .where((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo")))
+        .select(
+            *keys,
+            "_lo",
+            F.expr(
+                f"(_hi - _lo) div least(_n div {max_rows} * {_SPREAD} + 1, {_FANOUT - 1}) + 1"
+            ).alias("_width"),
+        )
+    )
 
 
 def time_buckets(
@@ -28,29 +46,32 @@ def time_buckets(
 ) -> tuple[DataFrame, bool]:
     """``df`` with :data:`BUCKET`, and whether there are large keys at all.
 
-    The bucket is NULL for ordinary keys and a time slice number for large ones.  The
+    The bucket is NULL for ordinary keys; for large ones it grows with time.  Their
+    range is cut evenly, and buckets that a burst still overfills are cut again.  The
     borders follow from exact counts and extrema, so a recomputed partition gets the
-    same buckets.  Rows with equal times never part.  Runs one job: the count.
+    same buckets.  Rows with equal times never part.  Runs one job, the count; more
+    only where there are large keys.
     """
     us = micros(ts)
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-        .where(F.col("_n") > max_rows)
-        .select(
-            *keys,
-            "_lo",
-            F.expr(f"(_hi - _lo) div (_n div {max_rows} * {_SPREAD} + 1) + 1").alias("_width"),
-        )
-    )
+    large = _crowded(df, keys, us, max_rows)
     if large.isEmpty():
         return df.withColumn(BUCKET, F.lit(None).cast("long")), False
-    bucketed = (
+    slot = F.call_function("div", us - F.col("_lo"), F.col("_width"))
+    b = (
         df.join(F.broadcast(materialize(large)), keys, "left")
-        .withColumn(BUCKET, F.call_function("div", us - F.col("_lo"), F.col("_width")))
+        .withColumn(BUCKET, slot)
         .drop("_lo", "_width")
     )
-    return bucketed, True
+    for _ in range(_REFINEMENTS):
+        full = _crowded(only_large(b), [*keys, BUCKET], us, max_rows)
+        if full.isEmpty():
+            break
+        b = (
+            b.join(F.broadcast(materialize(full)), [*keys, BUCKET], "left")
+            .withColumn(BUCKET, F.col(BUCKET) * _FANOUT + F.coalesce(slot, F.lit(0)))
+            .drop("_lo", "_width")
+        )
+    return b, True
 
 
 def per_bucket(keys: list[str], order: list[Column]) -> Window:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from pulseweave.operators import infusions
+from pulseweave.operators import infusions, ordered
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = (
@@ -133,6 +133,20 @@ def test_pushes_same_with_split_groups(spark, seed, max_rows):
     assert got == pushes_by_hand(charted)
 
 
+def test_bursts_are_cut_again(spark):
+    rnd = random.Random(6)
+    # one early row stretches the range; the rest happens within minutes, a year later
+    charted = [chart(0, 0, 1.0)] + [
+        chart(k, 500_000 + rnd.randint(0, 300), rnd.choice([None, 1.0, 2.0]), rnd.choice([None, "Stopped"]))
+        for k in range(1, 400)
+    ]
+    df = spark.createDataFrame(charted, SCHEMA)
+    b, large = ordered.time_buckets(df, ["stay_id", "itemid"], "charttime", 20)
+    sizes = [r["count"] for r in b.groupBy(ordered.BUCKET).count().collect()]
+    assert large and sum(sizes) == 400 and max(sizes) <= 20
+    assert interval_tuples(infusions.drip_intervals(df, 20)) == drips_by_hand(charted)
+
+
 def push(row_id, minute, amount=2.0, item=1, stay=1, label="Levophed"):
     return chart(row_id, minute, None, None, stay, item, "Intravenous Push", amount, label)
 
