@@ -31,11 +31,6 @@ def plus_micros(ts, us) -> Column:
     return from_micros(micros(ts) + us)
 
 
-def parse_timestamp(text) -> Column:
-    """Text to timestamp; anything unreadable becomes NULL."""
-    return _col(text).try_cast("timestamp_ntz")
-
-
 def hours_between(start, end) -> Column:
     return (micros(end) - micros(start)) / F.lit(float(HOUR))
 

@@ -71,10 +71,13 @@ def add_demographics(
     )
 
 
-def scan_weight_events(chart_events: DataFrame) -> DataFrame:
-    """The six columns and 17 items of the charted events that can carry a weight."""
+def scan_weight_events(chart_events: DataFrame, *more: str) -> DataFrame:
+    """The six columns and 17 items of the charted events that can carry a weight.
+
+    ``more`` names further columns to keep, such as the ``row_id`` that breaks ties.
+    """
     return chart_events.where(F.col("itemid").isin(*vocab.WEIGHT_ITEMIDS)).select(
-        "itemid", "stay_id", "charttime", "value", "valuenum", "valueuom"
+        "itemid", "stay_id", "charttime", "value", "valuenum", "valueuom", *more
     )
 
 

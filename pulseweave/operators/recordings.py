@@ -56,14 +56,6 @@ def filter_signal(
     return cohort.where(reduce(lambda a, b: a & b, enough, F.lit(True)))
 
 
-def mapped_signals(headers: DataFrame) -> DataFrame:
-    """record_id, seg_idx, seg_len, raw_signal, signal — one row per known channel."""
-    names = headers.select(
-        "record_id", "seg_idx", "seg_len", F.explode("signals").alias("raw_signal")
-    )
-    return names.join(F.broadcast(vocab.signal_frame(headers.sparkSession)), "raw_signal")
-
-
 def signal_coverage(records: DataFrame, headers: DataFrame) -> DataFrame:
     """Raw catalogue row per recording from its segment headers.
 

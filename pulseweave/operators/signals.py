@@ -13,6 +13,11 @@ from pulseweave.functions import arrays
 from pulseweave.operators.ordered import running_total
 
 
+def clean(segments: DataFrame) -> DataFrame:
+    """NaN samples, as decoders give them, to missing samples; once, at ingest."""
+    return segments.withColumn("samples", arrays.nan_to_null(F.col("samples")))
+
+
 def name_signals(segments: DataFrame) -> DataFrame:
     """Add the canonical signal and the rank of the channel name; others drop out."""
     return segments.join(F.broadcast(vocab.signal_frame(segments.sparkSession)), "raw_signal")

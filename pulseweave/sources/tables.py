@@ -13,6 +13,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseweave.functions.clinical import not_nan
+from pulseweave.operators.cohort import scan_weight_events
 from pulseweave.operators.recordings import format_meta
 
 # Canonical columns and types of each table
@@ -121,11 +122,18 @@ def load_catalogue_csv(spark: SparkSession, path: str, version: int = 4) -> Data
 
 
 def load_tables(spark: SparkSession, root: str, version: int = 4) -> dict[str, DataFrame]:
-    """Every table the pipelines of a version read."""
+    """Every clinical table the pipelines of a version read.
+
+    The recording catalogue and the crosswalk come from elsewhere, and so do the titles
+    for version 3: they are those of a version-4 ``d_icd_diagnoses``.
+    """
     names = ["icustays", "patients", "admissions", "d_items", "d_labitems", "labevents",
              "inputevents", "diagnoses_icd"]
     if version == 3:
         names += ["inputevents_cv", "chartevents"]
     else:
         names += ["d_icd_diagnoses"]
-    return {n: load_table(spark, root, n, version) for n in names}
+    tables = {n: load_table(spark, root, n, version) for n in names}
+    if version == 3:
+        tables["weight_events"] = scan_weight_events(tables.pop("chartevents"), "row_id")
+    return tables

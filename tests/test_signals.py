@@ -85,7 +85,7 @@ def test_small_array_functions(spark):
     df = spark.createDataFrame([([1.0, float("nan"), None, 3.0],), ([float("nan")],), ([],)], "s array<float>")
     assert [r[0] for r in df.select(arrays.nan_max(F.col("s"))).collect()] == [3.0, None, None]
     assert [r[0] for r in df.select(F.size(arrays.pad(F.col("s"), 2))).collect()] == [4, 2, 2]
-    assert df.select(arrays.nan_to_null(F.col("s"))).first()[0] == [1.0, None, None, 3.0]
+    assert signals.clean(df.withColumnRenamed("s", "samples")).first()[0] == [1.0, None, None, 3.0]
 
 
 def test_coverage(spark):

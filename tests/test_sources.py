@@ -184,6 +184,43 @@ def test_whole_dataset(spark, tmp_path):
         ["A1", "B1"], 70.0, 64, "56-65", 1, 0, 4)
 
 
+def test_version_3_from_files_to_derived_tables(spark, tmp_path):
+    def csv(name, header, *lines):
+        put(tmp_path / f"{name}.csv", "\n".join([header, *lines]) + "\n")
+
+    csv("ICUSTAYS", "ROW_ID,SUBJECT_ID,HADM_ID,ICUSTAY_ID,DBSOURCE,FIRST_CAREUNIT,LAST_CAREUNIT,INTIME,OUTTIME,LOS",
+        "1,1,2,3,carevue,M,M,2024-01-01 00:00:00,2024-01-03 00:00:00,2")
+    csv("PATIENTS", "ROW_ID,SUBJECT_ID,GENDER,DOB", "1,1,F,1964-05-05 00:00:00")
+    csv("ADMISSIONS", "ROW_ID,SUBJECT_ID,HADM_ID,ADMITTIME,DISCHTIME,ETHNICITY",
+        "1,1,2,2024-01-01 00:00:00,2024-01-09 00:00:00,WHITE")
+    csv("D_ITEMS", "ROW_ID,ITEMID,LABEL", "1,30047,Levophed", "2,221906,Norepinephrine", "3,763,Daily Weight")
+    csv("D_LABITEMS", "ROW_ID,ITEMID,LABEL", "1,50983,Sodium")
+    csv("LABEVENTS", "ROW_ID,SUBJECT_ID,HADM_ID,ITEMID,CHARTTIME,VALUENUM,VALUEUOM,FLAG",
+        "1,1,2,50983,2024-01-01 11:00:00,140,u,", "2,1,,50983,2024-01-01 11:00:00,150,u,")
+    csv("INPUTEVENTS_MV", "ROW_ID,SUBJECT_ID,HADM_ID,ICUSTAY_ID,ITEMID,STARTTIME,ENDTIME,RATE,RATEUOM,AMOUNT,AMOUNTUOM,"
+        "ORDERCATEGORYDESCRIPTION,PATIENTWEIGHT",
+        "1,1,2,3,221906,2024-01-01 10:30:00,2024-01-01 11:30:00,0.2,mcg/kg/min,1,mg,Continuous Med,70")
+    csv("INPUTEVENTS_CV", "ROW_ID,SUBJECT_ID,HADM_ID,ICUSTAY_ID,CHARTTIME,ITEMID,AMOUNT,AMOUNTUOM,RATE,RATEUOM,STORETIME,"
+        "CGID,ORIGINALROUTE,STOPPED",
+        "1,1,2,3,2024-01-01 10:00:00,30047,,,0.1,mcgkgmin,2024-01-01 10:00:00,7,IV Drip,",
+        "2,1,2,3,2024-01-01 12:00:00,30047,,,0.1,mcgkgmin,2024-01-01 12:00:00,7,IV Drip,Stopped")
+    csv("CHARTEVENTS", "ROW_ID,SUBJECT_ID,ICUSTAY_ID,ITEMID,CHARTTIME,VALUE,VALUENUM,VALUEUOM",
+        "1,1,3,763,2024-01-01 09:00:00,81,81,kg", "2,1,3,220045,2024-01-01 10:00:00,99,99,bpm")
+    csv("DIAGNOSES_ICD", "ROW_ID,SUBJECT_ID,HADM_ID,SEQ_NUM,ICD9_CODE", "1,1,2,1,001", "2,1,2,2,009")
+    t3 = tables.load_tables(spark, str(tmp_path), 3)
+    tiny = tiny_tables(spark)
+    t3.update({n: tiny[n] for n in ("gem9", "d_icd_diagnoses")})
+    t3["wave_meta"] = tiny["wave_meta"].withColumn("source_version", F.lit(3)).drop("hadm_id")
+    got = plans.preprocess(t3, 3)
+    c = got["cohort"].first()
+    assert (c.stay_id, c.hadm_id, c.weight_kg, c.age, c.age_group, c.dbsource) == (3, 2, 81.0, 60, "56-65", "carevue")
+    assert [r.valuenum for r in got["labs"].collect()] == []  # charted after the recording's end
+    inputs = sorted((r.dbsource, r.label, r.rate, r.starttime, r.endtime) for r in got["inputs"].collect())
+    # the metavision row starts after the recording's end
+    assert inputs == [("carevue", "Levophed", 0.1, t(10), t(12))]
+    assert [(r.vers_code, r.icd10_code, r.n_rows) for r in got["codes"].collect()] == [("001", "A1", 1)]
+
+
 def test_registered_queries_have_sql():
     import __spark_entry__ as entry
 
