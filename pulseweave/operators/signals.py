@@ -134,10 +134,10 @@ def _pieces(segments: DataFrame, size: int) -> DataFrame:
             ).alias("part"),
         )
 
-    cuts = F.transform(F.sequence(first, last), cut)
+    # Guarded in place: a filter on the size would compute the samples twice.
+    cuts = F.when(n > 0, F.transform(F.sequence(first, last), cut))
     return (
-        segments.where(n > 0)
-        .withColumn("_blank", _blank())
+        segments.withColumn("_blank", _blank())
         .select("record_id", F.explode(cuts).alias("_c"))
         .select("record_id", "_c.chunk_id", "_c.part")
     )

@@ -65,6 +65,14 @@ def test_rechunk_equals_slicing(spark, seed):
     assert got == want
 
 
+def test_samples_are_computed_once(spark):
+    segs = spark.createDataFrame([(1, 1, "II", 62.5, [5.0, 6.0])], SEG)
+    heads = spark.createDataFrame([(1, 1, "s", 2, 62.5, ["II"])], HEAD)
+    got = signals.chunk_signals(segs, heads, 125.0, 4 / 125.0)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert got.first().signals == {"II": [5.0, 5.5, 6.0, 6.0]}
+
+
 def test_placed_segments_need_no_offsets(spark):
     segs = spark.createDataFrame([(1, 2, "II", 125.0, [5.0, 6.0], 3)], SEG + ", sample_offset long")
     heads = spark.createDataFrame([(1, 1, "~", 3, 125.0, None), (1, 2, "s", 2, 125.0, ["II"])], HEAD)
@@ -85,7 +93,8 @@ def test_small_array_functions(spark):
     df = spark.createDataFrame([([1.0, float("nan"), None, 3.0],), ([float("nan")],), ([],)], "s array<float>")
     assert [r[0] for r in df.select(arrays.nan_max(F.col("s"))).collect()] == [3.0, None, None]
     assert [r[0] for r in df.select(F.size(arrays.pad(F.col("s"), 2))).collect()] == [4, 2, 2]
-    assert signals.clean(df.withColumnRenamed("s", "samples")).first()[0] == [1.0, None, None, 3.0]
+    more = df.unionByName(spark.createDataFrame([(None,)], df.schema)).withColumnRenamed("s", "samples")
+    assert [r[0] for r in signals.clean(more).collect()] == [[1.0, None, None, 3.0], [None], [], None]
 
 
 def test_coverage(spark):
