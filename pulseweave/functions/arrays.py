@@ -8,18 +8,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
-def _mask_nan(samples: pa.Array) -> pa.Array:
-    flat = samples.flatten()
-    sizes = pc.fill_null(pc.list_value_length(samples), 0).to_numpy()
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    missing = np.isnan(flat.to_numpy(zero_copy_only=False))
-    values = pc.if_else(pa.array(missing), pa.scalar(None, flat.type), flat)
-    return pa.ListArray.from_arrays(offsets, values, mask=samples.is_null())
+# The kernels are closures, so that workers get them by value and need not have this
+# package installed.
+
+
+def _nan_mask():
+    """An Arrow kernel: NaN elements of float arrays to NULL."""
+
+    def kernel(samples: pa.Array) -> pa.Array:
+        flat = samples.flatten()
+        sizes = pc.fill_null(pc.list_value_length(samples), 0).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        missing = np.isnan(flat.to_numpy(zero_copy_only=False))
+        values = pc.if_else(pa.array(missing), pa.scalar(None, flat.type), flat)
+        return pa.ListArray.from_arrays(offsets, values, mask=samples.is_null())
+
+    return F.arrow_udf(kernel, "array<float>")
 
 
 def nan_to_null(samples: Column) -> Column:
     """NaN samples to missing ones; a NULL array stays NULL."""
-    return F.arrow_udf(_mask_nan, "array<float>")(samples.cast("array<float>"))
+    return _nan_mask()(samples.cast("array<float>"))
 
 
 def nulls(count: Column, kind: str = "float") -> Column:
@@ -44,29 +53,27 @@ def resampled_size(n: Column, fs: Column, target_fs: float) -> Column:
     return F.when(fs == F.lit(float(target_fs)), n).otherwise(scaled).cast("long")
 
 
-def _interpolated(x: np.ndarray, fs: float, target_fs: float) -> np.ndarray:
-    """Linear interpolation of ``x`` on the target time grid; NaN is missing."""
-    if len(x) == 0:
-        return x
-    m = int(np.floor(len(x) * target_fs / fs))
-    at = np.arange(m) * fs / target_fs
-    low = np.floor(at).astype(np.int64)
-    part = at - low
-    a = x[low]
-    b = x[np.minimum(low + 1, len(x) - 1)]
-    return np.where(part == 0, a, a + (b - a) * part)
-
-
-def _resample_batch(target_fs: float):
+def _resampler(target_fs: float):
     """An Arrow kernel (sample arrays, rates) -> sample arrays at ``target_fs``."""
 
+    def interpolated(x: np.ndarray, fs: float) -> np.ndarray:
+        if len(x) == 0:
+            return x
+        m = int(np.floor(len(x) * target_fs / fs))
+        at = np.arange(m) * fs / target_fs
+        low = np.floor(at).astype(np.int64)
+        part = at - low
+        a = x[low]
+        b = x[np.minimum(low + 1, len(x) - 1)]
+        return np.where(part == 0, a, a + (b - a) * part)
+
     def kernel(samples: pa.Array, fs: pa.Array) -> pa.Array:
         flat = samples.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         sizes = pc.fill_null(pc.list_value_length(samples), 0).to_numpy()
         starts = np.concatenate([[0], np.cumsum(sizes)])
         rates = fs.to_numpy(zero_copy_only=False)
         out = [
-            _interpolated(flat[i:j], rate, target_fs)
+            interpolated(flat[i:j], rate)
             for i, j, rate in zip(starts[:-1], starts[1:], rates)
         ]
         lengths = np.fromiter((len(o) for o in out), np.int32, len(out))
@@ -88,5 +95,5 @@ def resample(samples: Column, fs: Column, target_fs: float) -> Column:
     per sample.  Arrays already at ``target_fs`` do not leave the JVM.
     """
     same = fs == F.lit(float(target_fs))
-    moved = _resample_batch(float(target_fs))(F.when(~same, samples), fs)
+    moved = _resampler(float(target_fs))(F.when(~same, samples), fs)
     return F.when(same, samples.cast("array<float>")).otherwise(moved)
