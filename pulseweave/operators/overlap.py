@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulseweave.functions.timing import DAY, floor_div, micros
 
 CELL = "_cell"
+LEVEL = "_level"
+_LONG = 64  # cells; a longer interval on the left is spread over cells this much wider
 
 
 def _cells(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
@@ -29,6 +31,37 @@ def _cells(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> Dat
     ).where(a.isNotNull() & b.isNotNull())
 
 
+def _levelled(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
+    """Like :func:`_cells`, with wide cells for long intervals, as :data:`LEVEL` tells."""
+    early, late = F.least(micros(lo), micros(hi)), F.greatest(micros(lo), micros(hi))
+    long = floor_div(late, width) - floor_div(early, width) >= _LONG
+    unit = F.when(long, F.lit(width * _LONG)).otherwise(F.lit(width))
+    return (
+        df.where(lo.isNotNull() & hi.isNotNull())
+        .withColumns({LEVEL: long.cast("int"), first: floor_div(early, unit)})
+        .withColumn(CELL, F.explode(F.sequence(F.col(first), floor_div(late, unit))))
+    )
+
+
+def _on_both_levels(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
+    """One row per narrow and per wide cell an interval touches."""
+    early, late = F.least(micros(lo), micros(hi)), F.greatest(micros(lo), micros(hi))
+
+    def cells(level, unit):
+        start = floor_div(early, unit)
+        return F.transform(
+            F.sequence(start, floor_div(late, unit)),
+            lambda c: F.struct(F.lit(level).alias(LEVEL), c.alias(CELL), start.alias(first)),
+        )
+
+    every = F.concat(cells(0, width), cells(1, width * _LONG))
+    return (
+        df.where(lo.isNotNull() & hi.isNotNull())
+        .withColumn("_c", F.explode(every))
+        .select(*df.columns, "_c.*")
+    )
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -40,21 +73,23 @@ def overlap_join(
     """Inner join on ``keys`` where ``left.start < right.end AND left.end > right.start``.
 
     Overlapping rows share every cell from the later of their first cells on; the
-    pair is kept in that one cell only, so it comes out once.
+    pair is kept in that one cell only, so it comes out once.  ``left`` is the larger
+    side: each of its rows uses one cell width, the wide one if it is long (such as with
+    a wrong end date), while ``right`` offers both.
     """
     a = left.withColumns({"_ls": left_bounds[0], "_le": left_bounds[1]})
     b = right.withColumns({"_rs": right_bounds[0], "_re": right_bounds[1]})
-    a = _cells(a, F.col("_ls"), F.col("_le"), cell, "_lfirst")
-    b = _cells(b, F.col("_rs"), F.col("_re"), cell, "_rfirst")
+    a = _levelled(a, F.col("_ls"), F.col("_le"), cell, "_lfirst")
+    b = _on_both_levels(b, F.col("_rs"), F.col("_re"), cell, "_rfirst")
     hit = (
         (F.col("_ls") < F.col("_re"))
         & (F.col("_le") > F.col("_rs"))
         & (F.col(CELL) == F.greatest("_lfirst", "_rfirst"))
     )
     return (
-        a.join(b, [*keys, CELL])
+        a.join(b, [*keys, LEVEL, CELL])
         .where(hit)
-        .drop("_ls", "_le", "_rs", "_re", "_lfirst", "_rfirst", CELL)
+        .drop("_ls", "_le", "_rs", "_re", "_lfirst", "_rfirst", LEVEL, CELL)
     )
 
 

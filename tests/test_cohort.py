@@ -76,12 +76,12 @@ def test_overlap_join_equals_all_pairs(spark, rows):
     def side(n, name):
         data = []
         for k in range(n):
-            a = rnd.uniform(0, 300)
-            data.append((1 if rnd.random() < 0.7 else 2, k, t(a), t(a + rnd.choice([0, 1, 30, 200, -5]))))
+            a = rnd.choice([rnd.uniform(0, 300), rnd.uniform(0, 9000)])
+            data.append((1 if rnd.random() < 0.7 else 2, k, t(a), t(a + rnd.choice([0, 1, 30, 200, -5, 1600, 9000, -4000]))))
         return spark.createDataFrame(data, f"key int, {name} int, {name}s timestamp_ntz, {name}e timestamp_ntz")
 
     a, b = side(80, "a"), side(60, "b")
-    got = overlap_join(a, b, ["key"], (F.col("as"), F.col("ae")), (F.col("bs"), F.col("be")))
+    got = overlap_join(a.unionByName(a.limit(1).withColumn("ae", F.lit(None).cast("timestamp_ntz"))), b, ["key"], (F.col("as"), F.col("ae")), (F.col("bs"), F.col("be")))
     want = a.join(b, "key").where("as < be AND ae > bs")
     assert rows(got, "key", "a", "b") == rows(want, "key", "a", "b")
     got = point_join(a, b, ["key"], F.col("as"), (F.col("bs"), F.col("be")))
