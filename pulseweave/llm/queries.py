@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from pulseweave.llm import (  # noqa: F401
-    sharding,
+    minhash, sharding,
 )
 from pulseweave.llm.common import ORACLES, QUERIES  # noqa: F401
