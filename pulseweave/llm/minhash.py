@@ -19,7 +19,6 @@ DOMAIN_BITS = 21
 #: At a similarity of 0.8 all bands miss a pair once in 4 million ((1 - 0.8**6)**50).
 BANDS, ROWS = 50, 6
 _SEED = 20240229
-_ascii_words = lru_cache(ascii_words)
 
 
 @lru_cache(2)
@@ -46,7 +45,7 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str], words_per_shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a run."""
-    words = Words(texts, _ascii_words())
+    words = Words(texts, ascii_words())
     h = words.hashes()
     n, w = len(h), words_per_shingle
     rolled = np.zeros(max(n, 1), np.uint64)

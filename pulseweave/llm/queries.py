@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from pulseweave.llm import (  # noqa: F401
-    minhash, sharding,
+    langid, minhash, sharding, toxicity,
 )
 from pulseweave.llm.common import ORACLES, QUERIES  # noqa: F401

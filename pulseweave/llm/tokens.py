@@ -9,6 +9,7 @@ longer than ``CHUNK`` makes a chunk of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+@lru_cache
 def ascii_words() -> tuple[np.ndarray, np.ndarray]:
     """Tables for words between ASCII white space, with A-Z in lower case."""
     word = np.ones(0x110000, bool)
@@ -48,6 +50,7 @@ def ascii_words() -> tuple[np.ndarray, np.ndarray]:
     return word, lower
 
 
+@lru_cache
 def letter_words() -> tuple[np.ndarray, np.ndarray]:
     """Tables for runs of letters, each letter in lower case where that is one letter."""
     chars = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
