@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from pulseweave.llm import (  # noqa: F401
-    langid, minhash, sharding, toxicity, vectors,
+    ann, langid, minhash, sharding, toxicity, vectors,
 )
 from pulseweave.llm.common import ORACLES, QUERIES  # noqa: F401
