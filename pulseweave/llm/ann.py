@@ -17,7 +17,7 @@ from pulseweave.session import materialize
 
 TABLES = 2
 #: Rows a bucket should hold; the number of hash functions follows from it and the table's size.
-BUCKET = 1024
+BUCKET = 2048
 #: Bound of the rows that the slot borders and the success estimate are fitted on.
 SAMPLE = 4096
 #: Estimated chance, over all tables, that a near neighbour's bucket is visited.
@@ -45,6 +45,15 @@ class Index:
     largest: float
     closeness: float  # of a query to its near neighbours: their cosine, after scaling
     slots: np.ndarray  # slot numbers that occur, outer ones stand for all beyond
+    sample: dict[int, tuple[np.ndarray, np.ndarray]]  # by width: classes, vectors
+
+    def floors(self, x: np.ndarray, keep: int) -> np.ndarray:
+        """A score that each query's ``keep``-th nearest reaches at least: the one among the sample."""
+        known = self.sample.get(x.shape[1], ((), None))
+        if len(known[0]) < keep:
+            return np.full(len(x), -np.inf)
+        s = x @ known[1].T
+        return np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
 
     def project(self, x: np.ndarray, queries: bool) -> np.ndarray:
         if queries:
@@ -109,17 +118,20 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
     if not n:
         return None
     draw = F.pmod(F.xxhash64(F.lit("sample"), "cls"), F.lit(1 << 24)) < int(min(1.0, SAMPLE / n) * (1 << 24))
-    sample = [np.asarray(r[0], float) for r in classes.where(draw).select("vector").collect()]
+    drawn = [(r[0], np.asarray(r[1], float)) for r in classes.where(draw).select("cls", "vector").collect()]
+    sample = {}
+    for size in {len(x) for _, x in drawn}:
+        some = [(c, x) for c, x in drawn if len(x) == size]
+        sample[size] = np.array([c for c, _ in some]), np.stack([x for _, x in some])
     functions = max(1, min(16, round(log2(max(n / BUCKET, 2)) / 2)))
     rng = np.random.default_rng(_SEED)
     index = Index(rng.standard_normal((width + 1, TABLES, functions)), rng.random((TABLES, functions)), 1.0, largest, 0.5,
-                  np.arange(-3, 4))
+                  np.arange(-3, 4), sample)
     cosines = []
-    for size in {len(x) for x in sample}:
-        x = np.stack([v for v in sample if len(v) == size])
+    for _, x in sample.values():
         if len(x) > 1:
             q = x[:256] / np.linalg.norm(x[:256], axis=1, keepdims=True)
-            near = np.sort(np.delete(q @ x.T, [], axis=1), axis=1)[:, ::-1]
+            near = np.sort(q @ x.T, axis=1)[:, ::-1]
             rank = min(max(1, ceil(neighbours * len(x) / n)), len(x) - 1)  # after the query itself
             cosines.extend(near[:, rank] / largest)
     if cosines:
@@ -127,7 +139,7 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
     return index
 
 
-def _keyed(held, queries: bool):
+def _keyed(held, queries: bool, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in batches:
@@ -142,22 +154,29 @@ def _keyed(held, queries: bool):
                     part = slice(first, first + 64)
                     if queries:
                         owner, key = index.probes(x[part])
+                        floor = index.floors(x[part], keep)
+                        common = np.arange(len(floor))
                     else:
                         key = index.index(x[part])
                         owner, key = np.repeat(np.arange(len(key)), key.shape[1]), key.ravel()
+                        floor = np.zeros(len(x[part]))
+                        common = np.flatnonzero(np.isin(cls[rows[part]], index.sample.get(width, ((), None))[0]))
+                    # One more bucket, which every query visits, holds the sample.
+                    owner, key = np.concatenate([owner, common]), np.concatenate([key, np.full(len(common), -width)])
                     flat_part = x[part][owner].astype(np.float32 if flat.dtype == np.float32 else np.float64)
                     kind = pa.float32() if flat.dtype == np.float32 else pa.float64()
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(key), pa.array(cls[rows[part]][owner]),
+                        pa.array(key), pa.array(cls[rows[part]][owner]), pa.array(floor[owner]),
                         lists(flat_part.ravel(), np.full(len(owner), width), kind),
-                    ], names=["bucket", "cls", "vector"])
+                    ], names=["bucket", "cls", "floor", "vector"])
 
     return run
 
 
 def _cell(keep: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Exact inner products of the queries and vectors of a cell: the best ``keep`` per query."""
+        """Exact inner products of the queries and vectors of a cell: per query those of the
+        best ``keep`` that reach its floor."""
         rows = rows.combine_chunks()
         probe, cls = rows["probe"].to_numpy(), rows["cls"].to_numpy()
         flat = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -165,12 +184,13 @@ def _cell(keep: int):
         q, c = np.flatnonzero(probe), np.flatnonzero(~probe)
         c = c[np.argsort(cls[c])]
         k = min(keep, len(c))
+        least = rows["floor"].to_numpy()
         who, what, score = [], [], []
         for first in range(0, len(q) if k else 0, 256):
             part = q[first:first + 256]
             s = x[part] @ x[c].T
             # Of equal scores at the border all stay here, and the smallest ids win below.
-            floor = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
+            floor = np.maximum(np.partition(s, len(c) - k, axis=1)[:, len(c) - k], least[part] - 1e-9)
             i, j = np.nonzero(s >= floor[:, None])
             order = np.lexsort((j, -s[i, j], i))
             i, j = i[order], j[order]
@@ -180,8 +200,26 @@ def _cell(keep: int):
             what.append(cls[c[j]])
             score.append(s[i, j])
         none = np.empty(0, np.int64)
-        return pa.table({"query": np.concatenate([none, *who]), "cls": np.concatenate([none, *what]),
-                         "score": np.concatenate([np.empty(0), *score])})
+        who, what, score = np.concatenate([none, *who]), np.concatenate([none, *what]), np.concatenate([np.empty(0), *score])
+        asked, n = np.unique(who, return_counts=True)
+        order = np.argsort(who, kind="stable")
+        return pa.table({"query": pa.array(asked), "cls": lists(what[order], n, pa.int64()),
+                         "score": lists(score[order], n, pa.float64())})
+
+    return run
+
+
+def _merged(keep: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """The best ``keep`` different candidates of a query, from all cells it visited."""
+        cls = rows["cls"].combine_chunks().flatten().to_numpy()
+        score = rows["score"].combine_chunks().flatten().to_numpy()
+        order = np.lexsort((cls, -score))
+        cls, score = cls[order], score[order]
+        first = np.sort(np.unique(cls, return_index=True)[1])[:keep]
+        first = first[np.lexsort((cls[first], -score[first]))]
+        return pa.table({"query": pa.array(np.repeat(rows["query"][0].as_py(), len(first))),
+                         "cls": cls[first], "score": score[first]})
 
     return run
 
@@ -197,7 +235,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
 
     Equal vectors are hashed and compared once, as a class with its ``neighbours + 1``
     smallest ids.  A bucket is cut into chunks of vectors and of queries, so that a task is
-    bounded however full a bucket is; it returns the best of each query only.
+    bounded however full a bucket is; it returns the best of each query only, and of these
+    what reaches the score that so many rows of the sample reach already.
 
     Rows that are not :func:`usable`, or without id, take no part.  Vectors of different
     lengths are never neighbours.  Rows with one id and different vectors count as several
@@ -218,9 +257,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
     asked = materialize(asked.join(classes.select("vector", "cls"), "vector"))
     held = spark.sparkContext.broadcast(index)
     kind = dict(classes.dtypes)["vector"]
-    schema = f"bucket long, cls long, vector {kind}"
-    indexed = materialize(classes.select("cls", "vector").mapInArrow(_keyed(held, False), schema))
-    probes = materialize(asked.select("cls", "vector").dropDuplicates(["cls"]).mapInArrow(_keyed(held, True), schema))
+    schema = f"bucket long, cls long, floor double, vector {kind}"
+    keep = neighbours + 1
+    indexed = materialize(classes.select("cls", "vector").mapInArrow(_keyed(held, False, keep), schema))
+    probes = materialize(asked.select("cls", "vector").dropDuplicates(["cls"]).mapInArrow(_keyed(held, True, keep), schema))
 
     def chunks(df, name):
         return df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
@@ -229,14 +269,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
     draw = lambda n: F.pmod(F.xxhash64(F.lit("chunk"), "cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = indexed.join(sizes, "bucket").withColumn("part", draw("parts")).withColumn("asker", every("askers")) \
-        .select("bucket", "part", "asker", F.lit(False).alias("probe"), "cls", "vector")
+        .select("bucket", "part", "asker", F.lit(False).alias("probe"), "cls", "floor", "vector")
     met = met.unionByName(
         probes.join(sizes, "bucket").withColumn("asker", draw("askers")).withColumn("part", every("parts"))
-        .select("bucket", "part", "asker", F.lit(True).alias("probe"), "cls", "vector"))
-    best = met.groupBy("bucket", "part", "asker").applyInArrow(_cell(neighbours + 1), "query long, cls long, score double")
-    merged = best.groupBy("query", "cls").agg(F.max("score").alias("score"))
-    first = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
-    merged = merged.withColumn("n", F.row_number().over(first)).where(F.col("n") <= neighbours + 1)
+        .select("bucket", "part", "asker", F.lit(True).alias("probe"), "cls", "floor", "vector"))
+    best = met.groupBy("bucket", "part", "asker").applyInArrow(_cell(keep), "query long, cls array<long>, score array<double>")
+    merged = best.groupBy("query").applyInArrow(_merged(keep), "query long, cls long, score double")
     wide = merged.join(classes.select("cls", "ids"), "cls").select("query", F.explode("ids").alias("id"), "score")
     first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     wide = wide.withColumn("n", F.row_number().over(first)).where(F.col("n") <= neighbours + 1)
