@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from pulseweave.llm import (  # noqa: F401
-    ann, langid, minhash, sharding, toxicity, vectors,
+    ann, chat, langid, minhash, sharding, toxicity, vectors, warc,
 )
 from pulseweave.llm.common import ORACLES, QUERIES  # noqa: F401
