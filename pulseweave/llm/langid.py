@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +16,8 @@ from pulseweave.llm.tokens import Words, letter_words, mix, runs
 DOCS_PER_LANGUAGE = 1500
 #: Bound of the model: so many words, and n-grams of each order, of each language.
 FEATURES = 50_000
+#: Bound of the languages.
+MAX_LANGUAGES = 512
 #: A word is known from so many occurrences on.
 MIN_COUNT = 2
 ORDERS = (4, 3, 2, 1)
@@ -131,10 +134,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str
     a Spark aggregation; what reaches the driver is bounded by the sample.
     """
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = docs.groupBy(lang).agg(F.count(F.lit(1)).alias("rows"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 20)) * F.col("rows")
-    sample = docs.select(id_column, lang, text).join(sizes, lang) \
-        .where(draw < docs_per_language * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = docs.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return Model(pd.DataFrame({"lang": [], "n": [], "feature": [], "count": []}), [])
+    # Drawn by a filter, so that only the sample is ever shuffled.
+    limits = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, int(min(1.0, docs_per_language / n) * (1 << 20)))])
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 20))
+    sample = docs.where(draw < limits[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = sample.mapInArrow(_counted, "lang string, n int, feature long, count long") \
         .groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT)
     counts = counts.toPandas()

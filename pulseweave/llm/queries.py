@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from pulseweave.llm import (  # noqa: F401
-    ann, chat, langid, minhash, mixing, sharding, toxicity, vectors, warc,
+    ann, chat, langid, minhash, mixing, pieces, sharding, toxicity, vectors, warc,
 )
 from pulseweave.llm.common import ORACLES, QUERIES  # noqa: F401

@@ -89,12 +89,12 @@ class Words:
         return self.spans(self.starts, self.ends)
 
 
-def runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Cut a list of texts into runs of about CHUNK characters: (first index, texts)."""
+def runs(texts: list[str | None], chunk: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """Cut a list of texts into runs of about ``chunk`` characters: (first index, texts)."""
     first, size, run = 0, 0, []
     for k, t in enumerate(texts):
         t = t or ""
-        if run and size + len(t) > CHUNK:
+        if run and size + len(t) > chunk:
             yield first, run
             first, size, run = k, 0, []
         run.append(t)
