@@ -27,9 +27,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def table(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings that the operators count on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def table(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:
+    prepare(spark)
     df = spark.read.parquet(f"{directory}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -149,20 +149,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str
     return Model(counts, sorted(counts["lang"].unique()))
 
 
+def decide(m: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its score."""
+    if not m.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    mean, n = m.scores(texts)
+    share = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, 20)[:, None])
+    best = mean.argmax(axis=1)
+    return [m.languages[b] if k else UNKNOWN for b, k in zip(best, n)], np.where(n > 0, 1.0 / share.sum(axis=1), 0.0)
+
+
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for first, run in runs(texts):
-                pred, conf = [UNKNOWN] * len(run), np.zeros(len(run))
-                if m.languages:
-                    mean, n = m.scores(run)
-                    z = (mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, 20)[:, None]
-                    share = np.exp(z)
-                    conf = np.where(n > 0, 1.0 / share.sum(axis=1), 0.0)
-                    best = mean.argmax(axis=1)
-                    pred = [m.languages[b] if k else UNKNOWN for b, k in zip(best, n)]
+                pred, conf = decide(model.value, run)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(run)), pa.array(pred, pa.string()), pa.array(conf)],
                     names=["doc_id", "lang_pred", "score"])
@@ -184,6 +186,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id_column: str =
         .withColumnRenamed("doc_id", id_column)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in runs(batch.column(at).to_pylist()):
+                pred, conf = decide(held.value, run)
+                keep = np.array([p != UNKNOWN for p in pred]) & (conf >= least)
+                yield batch.slice(first, len(run)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op5_language")
 def op5_language(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents", "doc_id", "text", "lang")

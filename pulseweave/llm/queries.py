@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pulseweave.llm import (  # noqa: F401
     ann, chat, langid, minhash, mixing, pieces, sharding, toxicity, vectors, warc,
 )
-from pulseweave.llm.common import ORACLES, QUERIES  # noqa: F401
+from pulseweave.llm.common import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -138,21 +138,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
     return words, weights, float(trained["bias"].mean())
 
 
+def chances(model: tuple, texts: list[str]) -> np.ndarray:
+    """Each text's chance of being toxic, from which words and stems it holds."""
+    chosen, weights, bias = model
+    f = np.full(len(texts), bias)
+    if len(chosen):
+        doc, h = features(texts)
+        at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
+        hit = np.flatnonzero(chosen[at] == h)
+        present = np.unique(doc[hit] * len(chosen) + at[hit])
+        f += np.bincount(present // len(chosen), weights[present % len(chosen)], len(texts))
+    return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
+
+
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, weights, bias = model.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, run in runs(texts):
-                f = np.full(len(run), bias)
-                if len(chosen):
-                    doc, h = features(run)
-                    at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-                    hit = np.flatnonzero(chosen[at] == h)
-                    present = np.unique(doc[hit] * len(chosen) + at[hit])
-                    f += np.bincount(present // len(chosen), weights[present % len(chosen)], len(run))
-                score = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array(score)], names=["doc_id", "score"])
+            ids = batch.column(0)
+            for first, run in runs(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array(chances(model.value, run))],
+                                                 names=["doc_id", "score"])
 
     return run
 
@@ -169,6 +174,19 @@ def score(docs: DataFrame, model: tuple, text: str = "text", id_column: str = "d
     return scored.select(F.col("doc_id").alias(id_column), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def harmless(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score below 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in runs(batch.column(at).to_pylist()):
+                yield batch.slice(first, len(run)).filter(pa.array(chances(held.value, run) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents", "doc_id", "text")
