@@ -42,7 +42,7 @@ def fold(events: DataFrame) -> DataFrame:
     """
     at = F.struct(F.col("seq"), F.col("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role"))
     resets = F.filter("log", lambda e: e["kind"].isin(EDIT, REGENERATE, START))
-    last = F.element_at(F.col("resets"), -1)
+    last = F.try_element_at(F.col("resets"), F.lit(-1))
     base = F.when(last["kind"] == EDIT, last["text"]).otherwise(F.lit(""))
     since = F.filter("log", lambda e: (e["kind"] == DELTA) & (F.col("reset_seq").isNull() | (e["seq"] >= F.col("reset_seq"))))
     regenerated = F.array_max(F.transform(F.filter("log", lambda e: e["kind"] == REGENERATE), lambda e: e["seq"]))
@@ -53,9 +53,9 @@ def fold(events: DataFrame) -> DataFrame:
         .withColumn("reset_seq", last["seq"])
         .select(
             "conv_id", "message",
-            F.coalesce(F.element_at(roles, 1)["role"], F.lit("")).alias("role"),
+            F.coalesce(F.get(roles, 0)["role"], F.lit("")).alias("role"),
             F.concat(F.coalesce(base, F.lit("")), F.array_join(F.transform(since, lambda e: e["text"]), "")).alias("text"),
-            F.element_at("log", 1)["seq"].alias("started"), regenerated.alias("regenerated"),
+            F.get("log", 0)["seq"].alias("started"), regenerated.alias("regenerated"),
         )
     )
     before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)

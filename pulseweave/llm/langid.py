@@ -102,7 +102,8 @@ class Model:
         if weights is not None:
             value *= weights[hit][row]
         size = len(self.languages)
-        return np.bincount(owner[row] * size + lang[at], value, owners * size).reshape(owners, size)
+        summed = np.bincount(owner[row] * size + lang[at], value, owners * size)
+        return summed.astype(np.float64).reshape(owners, size)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood of a word in each language, and the number of words, per text."""

@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             rest = materialize(_apart(rest.drop("component"), found))
     classes = classes.join(found, classes.doc_id == found.node, "left").select(
         *same_set, F.coalesce("component", "doc_id").alias("component_id"))
-    own = F.coalesce("component_id", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return signed.select("doc_id", *same_set).join(classes, same_set, "left").select(
         F.col("doc_id").alias(id_column), "n_shingles", own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

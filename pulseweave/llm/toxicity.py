@@ -147,7 +147,7 @@ def chances(model: tuple, texts: list[str]) -> np.ndarray:
         at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
         hit = np.flatnonzero(chosen[at] == h)
         present = np.unique(doc[hit] * len(chosen) + at[hit])
-        f += np.bincount(present // len(chosen), weights[present % len(chosen)], len(texts))
+        f = f + np.bincount(present // len(chosen), weights[present % len(chosen)], len(texts))
     return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
 
 
