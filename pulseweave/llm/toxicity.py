@@ -106,9 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
     marked = labels.where(F.col(label).isNotNull()).groupBy(id_column).agg(F.max(label).alias("__mark"))
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
     ones = marked.where(F.col("__mark") == 1).select(F.col(id_column).alias("__id"))
-    positives = rows.join(ones, "__id", "left_semi")
     share = marked.agg(F.avg((F.col("__mark") == 1).cast("double"))).first()[0]
-    n_p, n_u = positives.count(), rows.count()
+    n_p, n_u = ones.count(), rows.count()
     if not n_p or not share:
         return np.empty(0, np.int64), np.empty(0), -4.0
     prior = min(max(share, 1e-3), 0.9)
@@ -116,11 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
 
     def sample(df, positive, size, n):
         draw = F.pmod(F.xxhash64(F.lit(f"draw {positive}"), "__id"), F.lit(1 << 24))
+        return df.where(draw < int(min(1.0, bags * size / n) * (1 << 24)))
+
+    def dealt(df, positive):
         bag = F.pmod(F.xxhash64(F.lit("bag"), "__id"), F.lit(bags)).cast("int")
-        return df.where(draw < int(min(1.0, bags * size / n) * (1 << 24))).select(
-            bag.alias("bag"), F.lit(positive).alias("positive"), "__text")
+        return df.select(bag.alias("bag"), F.lit(positive).alias("positive"), "__text")
 
-    drawn = sample(positives, True, POSITIVES, n_p).unionByName(sample(rows, False, UNLABELLED, n_u))
+    # Both sides are drawn before they meet, so no more texts than the sample's are shuffled.
+    positives = sample(rows, True, POSITIVES, n_p).join(sample(ones, True, POSITIVES, n_p), "__id", "left_semi")
+    drawn = dealt(positives, True).unionByName(dealt(sample(rows, False, UNLABELLED, n_u), False))
     drawn = drawn.mapInArrow(_words, "bag int, positive boolean, words array<long>")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -96,9 +96,9 @@ def vector_rows(seed=0, n=160, width=8):
     x = centres[rng.integers(0, 6, n)] + 0.25 * rng.standard_normal((n, width))
     rows = [(k, [float(np.float32(v)) for v in x[k]], int(rng.integers(0, 2)), "x") for k in range(n)]
     rows += [(n + k, rows[3][1], rows[3][2], "x") for k in range(9)]
-    rows += [(500, None, 0, "x"), (501, [0.0] * width, 0, "x"), (502, [1.0, None] + [0.0] * (width - 2), 0, "x"),
-             (503, [float("nan")] * width, 0, "x"), (504, [1.0, 2.0], 0, "x"), (505, rows[3][1], None, "x"), (506, [], 0, "x"),
-             (507, [float("inf")] + [1.0] * (width - 1), 0, "x"), (508, [2 * v for v in rows[3][1]], rows[3][2], "x")]
+    rows += [(5000, None, 0, "x"), (5001, [0.0] * width, 0, "x"), (5002, [1.0, None] + [0.0] * (width - 2), 0, "x"),
+             (5003, [float("nan")] * width, 0, "x"), (5004, [1.0, 2.0], 0, "x"), (5005, rows[3][1], None, "x"), (5006, [], 0, "x"),
+             (5007, [float("inf")] + [1.0] * (width - 1), 0, "x"), (5008, [2 * v for v in rows[3][1]], rows[3][2], "x")]
     return rows
 
 
