@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseweave.llm.common import query, table
 from pulseweave.llm.graph import components
@@ -70,8 +70,8 @@ def shingle_sets(texts: list[str], words_per_shingle: int) -> list[np.ndarray]:
 #: average; more than SKETCH_LIMIT do once in 10 million pairs (1 at half that similarity).
 SKETCH = ("k0", "k1", "k2", "k3")
 SKETCH_LIMIT = 56
-#: Leaders of a bucket in a round, and rounds, before the rest of a bucket is compared in full.
-LEADERS, LEADER_ROUNDS = 16, 2
+#: Shingles of a tile; a task that compares a group in full holds two tiles.
+TILE_SHINGLES = 300_000
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, k0 long, k1 long, k2 long, k3 long, bands array<long>"
 
@@ -110,12 +110,7 @@ def _confirmed(words_per_shingle: int, percent: int):
                 for k, s in enumerate(shingle_sets(run, words_per_shingle), first):
                     if left[k] != kept[0]:
                         kept = left[k], shingle_sets([left[k] or ""], words_per_shingle)[0]
-                    big, small = (kept[1], s) if len(kept[1]) >= len(s) else (s, kept[1])
-                    if 100 * len(small) < percent * len(big) or not len(small):
-                        continue
-                    at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                    both = int((big[at] == small).sum())
-                    hit[k] = 100 * both >= percent * (len(big) + len(small) - both)
+                    hit[k] = _similar(kept[1], s, percent)
             rows = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))],
                                              names=["a", "b"])
@@ -137,12 +132,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
        their smallest id.
     2. In each bucket (band, key), every class is compared with the smallest id of the
        bucket: as many candidates as rows, however large a bucket is.
-    3. Where that leaves a bucket with several components, its rows are compared with a few
-       others as leaders, across components only, and the components are found again.
-    4. What is still apart in one bucket is compared across components, all of it.
+    3. Where that leaves a bucket with several components, its rows stay open.  Open rows
+       that share buckets, directly or through others, form a group, which is dealt into
+       tiles of bounded size; every pair of tiles is a task that compares its rows across
+       components, all of them, and returns no more than one link per pair of components.
     So in a bucket only pairs that links already connect stay untested.  A candidate is
     dropped untested only where sizes or sketches exclude the similarity, see SKETCH_LIMIT;
-    the others are confirmed on the full sets (as 64-bit hashes of shingles).
+    the others are confirmed on the full sets (as 64-bit hashes of shingles).  The work
+    grows with the square of an open group, which are texts that nearly reach the
+    similarity; no pair of it is ever a row.
 
     NULL, empty and blank texts have an empty set and link with nothing.  Rows without id
     keep a NULL component and are kept.  Rows that share an id count as one node: each gets
@@ -167,25 +165,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                          .select("a", "b").distinct())
     links = materialize(_confirm(tested, texts, words_per_shingle, percent))
     found = components(links, "a", "b")
-    rest = materialize(_apart(members, found).join(sketches, "doc_id"))
-    for step in range(LEADER_ROUNDS + 1):
-        x, y = rest, rest
-        if step < LEADER_ROUNDS:
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(step), "doc_id"), "doc_id")
-            x = rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
-        x, y = x.alias("x"), y.alias("y")
-        across = F.col("x.component") != F.col("y.component")
-        if step == LEADER_ROUNDS:
-            across = F.col("x.component") < F.col("y.component")
-        more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & across & _plausible("x", "y", percent)) \
-            .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")) \
-            .distinct().join(tested, ["a", "b"], "left_anti")
-        more = materialize(more)
-        tested = tested.unionByName(more)
-        links = materialize(links.unionByName(_confirm(more, texts, words_per_shingle, percent)))
-        found = components(links, "a", "b")
-        if step < LEADER_ROUNDS:
-            rest = materialize(_apart(rest.drop("component"), found))
+    rest = materialize(_apart(members, found))
+    near = components(rest.join(rest.groupBy("bucket").agg(F.min("doc_id").alias("low")), "bucket")
+                      .select("doc_id", "low").distinct(), "doc_id", "low") \
+        .select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    open_rows = materialize(rest.select("doc_id", "component").distinct().join(near, "doc_id").join(sketches, "doc_id"))
+    tiles = open_rows.groupBy("group").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("tiles"))
+    paired = (
+        open_rows.join(texts, "doc_id").join(tiles, "group")
+        .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "doc_id"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("group", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"),
+                "tile", "doc_id", "component", "n_shingles", *SKETCH, "text")
+    )
+    more = paired.groupBy("group", "first", "second").applyInArrow(_tile_links(words_per_shingle, percent), "a long, b long")
+    found = components(links.unionByName(more), "a", "b")
     classes = classes.join(found, classes.doc_id == found.node, "left").select(
         *same_set, F.coalesce("component", "doc_id").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -194,6 +188,54 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    big, small = (a, b) if len(a) >= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(big):
+        return False
+    at = np.minimum(np.searchsorted(big, small), len(big) - 1)
+    both = int((big[at] == small).sum())
+    return 100 * both >= percent * (len(big) + len(small) - both)
+
+
+def _tile_links(words_per_shingle: int, percent: int):
+    limit = SKETCH_LIMIT if percent >= 80 else 256
+
+    def run(rows: pa.Table) -> pa.Table:
+        """Links between rows of two tiles that join components, a forest of them."""
+        rows = rows.combine_chunks()
+        ids, sizes = rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy()
+        component = rows["component"].to_numpy().tolist()
+        sketch = np.stack([rows[k].to_numpy() for k in SKETCH], axis=1).view(np.uint64)
+        sets = [s for _, run in runs(rows["text"].to_pylist()) for s in shingle_sets(run, words_per_shingle)]
+        tile = rows["tile"].to_numpy()
+        left = np.flatnonzero(tile == rows["first"][0].as_py())
+        right = np.flatnonzero(tile == rows["second"][0].as_py())
+        parent = {c: c for c in component}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        for first in range(0, len(left), 128):
+            part = left[first:first + 128]
+            differ = np.bitwise_count(sketch[part, None] ^ sketch[right]).sum(axis=2)
+            low, high = np.minimum(sizes[part, None], sizes[right]), np.maximum(sizes[part, None], sizes[right])
+            for i, j in np.argwhere((differ <= limit) & (100 * low >= percent * high)).tolist():
+                i, j = int(part[i]), int(right[j])
+                x, y = root(component[i]), root(component[j])
+                if x != y and _similar(sets[i], sets[j], percent):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _plausible(x: str, y: str, percent: int):
     """Whether sizes and sketches leave room for the similarity."""
     n = [F.col(f"{side}.n_shingles") for side in (x, y)]
