@@ -152,7 +152,8 @@ def write_archive(pages: DataFrame, directory: str, id_column: str = "page_id",
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the
     smallest id is a response and the others are revisits of it; shorter ones are all
     responses.  Equality is that of SHA-1 and length, found by one aggregation over
-    digests.  A bundle is a row of independent Zstandard frames of about ``frame_bytes``
+    digests; payloads move to no other task than the join with that small table asks for.
+    A bundle is a row of independent Zstandard frames of about ``frame_bytes``
     and a seek table; the index gives each record's bundle, frame and place in the frame.
 
     Each task writes its own bundles through a file system that its URI names, under a
@@ -167,10 +168,12 @@ def write_archive(pages: DataFrame, directory: str, id_column: str = "page_id",
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     digests = materialize(rows.select("page_id", "sha1", "bytes"))
     first = digests.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Per page, as a rule of one entry: the response each repeated payload refers to.
+    key = lambda: F.concat("sha1", F.lit(":"), F.col("bytes").cast("string"))
     again = digests.where(F.col("bytes") >= least_bytes).join(first, ["sha1", "bytes"]).where("page_id > first") \
-        .select("page_id", "sha1", "bytes", F.col("first").alias("refers_to")).distinct()
-    marked = rows.join(again, ["page_id", "sha1", "bytes"], "left").select("page_id", "url", "sha1", "refers_to", "payload")
-    dealt = marked.repartition("page_id").sortWithinPartitions("page_id", "refers_to")
+        .groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct(key(), "first"))).alias("responses"))
+    marked = rows.join(again, "page_id", "left").withColumn("refers_to", F.try_element_at("responses", key()))
+    dealt = marked.sortWithinPartitions("page_id", "sha1")
     encoded = dealt.select("page_id", "url", "payload", _base32(F.col("sha1")).alias("digest"), "refers_to")
     _folder(pages.sparkSession, directory)
     written = encoded.mapInArrow(_written(directory, frame_bytes, bundle_bytes), INDEX)
