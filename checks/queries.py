@@ -19,7 +19,7 @@ from pulseweave.sources import codes as code_files, headers, sinks, tables as ta
 from pulseweave.session import shared_directory
 from pulseweave.functions import clinical
 from pulseweave.operators import chunks, codes, cohort as co, crosswalk, dataset
-from pulseweave.operators import infusions, labs, recordings, signals
+from pulseweave.operators import infusions, labs, ordered, recordings, signals
 
 
 def quoted(items) -> str:
@@ -117,7 +117,8 @@ SELECT stay_id, weight_kg FROM (
                     ELSE e.valuenum END AS weight_kg
         FROM {{overlap3}} AS c JOIN {{chartevents}} AS e ON e.stay_id = c.stay_id
         JOIN {{d_items}} AS d ON d.itemid = e.itemid
-        WHERE e.valuenum IS NOT NULL AND d.label IN ({quoted(vocab.WEIGHT_LABELS)})) AS t
+        WHERE e.valuenum IS NOT NULL AND d.label IN ({quoted(vocab.WEIGHT_LABELS)})
+          AND e.charttime IS NOT NULL) AS t
   WHERE weight_kg BETWEEN 20 AND 500) AS t WHERE n = 1
 """
 SQL["cohort4"] = "SELECT p.*, w.weight_kg FROM {people4} AS p LEFT JOIN {weights4} AS w ON p.stay_id = w.stay_id"
@@ -148,7 +149,8 @@ SQL["cv"] = """
 SELECT e.*, d.label FROM (
   SELECT *, row_number() OVER (PARTITION BY stay_id, itemid, charttime, storetime, cgid, amount, rate
                                ORDER BY row_id) AS copy
-  FROM {inputevents_cv_copies}) AS e JOIN {d_items} AS d ON d.itemid = e.itemid WHERE copy = 1
+  FROM {inputevents_cv_copies}
+  WHERE stay_id IS NOT NULL AND itemid IS NOT NULL AND charttime IS NOT NULL) AS e JOIN {d_items} AS d ON d.itemid = e.itemid WHERE copy = 1
 """
 
 # The drip state machine, one charting after the other
@@ -409,7 +411,7 @@ def tables(i: Inputs, version: int = 4) -> dict[str, DataFrame]:
 
 
 def weight_events(i: Inputs) -> DataFrame:
-    return i["chartevents"].where(F.col("itemid").isin(*vocab.WEIGHT_ITEMIDS))
+    return co.scan_weight_events(i["chartevents"], "row_id")
 
 
 def cohort(i: Inputs, version: int = 4) -> DataFrame:
@@ -422,9 +424,8 @@ def overlap(i: Inputs, version: int = 4) -> DataFrame:
 
 
 def cv_rows(i: Inputs) -> DataFrame:
-    return infusions.dedupe_first(
-        infusions.label_items(i["inputevents_cv_copies"], i["d_items"])
-    )
+    rows = infusions.label_items(i["inputevents_cv_copies"], i["d_items"])
+    return infusions.dedupe_first(ordered.placed(rows, infusions.GROUP, "charttime"))
 
 
 def round_hours(df: DataFrame) -> DataFrame:

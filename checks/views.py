@@ -149,16 +149,30 @@ SELECT event_id AS row_id, 20 * user_id AS stay_id,
 FROM {events}
 """
 
-# Whole duplicates and partial ones (another row id) of the same chartings
+# Whole duplicates and partial ones (another row id) of the same chartings, and rows
+# that lack stay, item or time and so belong nowhere
 VIEWS["inputevents_cv_copies"] = """
 SELECT * FROM {inputevents_cv}
 UNION ALL
 SELECT row_id + 1000000000 AS row_id, stay_id, itemid, cgid, charttime, storetime, amount,
        amountuom, rate, rateuom, originalroute, 'Copied' AS stopped
 FROM {inputevents_cv} WHERE row_id % 4 = 1
+UNION ALL
+SELECT row_id + 2000000000 AS row_id, CASE WHEN row_id % 3 <> 0 THEN stay_id END AS stay_id, itemid, cgid,
+       CASE WHEN row_id % 3 <> 1 THEN charttime END AS charttime, storetime, amount,
+       amountuom, rate, rateuom, originalroute, stopped
+FROM {inputevents_cv} WHERE row_id % 5 = 2 AND row_id % 3 < 2
 """
 
 VIEWS["chartevents"] = """
+SELECT row_id, itemid, stay_id, charttime, value, valuenum, valueuom FROM {chartevents_placed}
+UNION ALL
+SELECT row_id + 1000000000 AS row_id, itemid, CASE WHEN row_id % 2 = 0 THEN stay_id END AS stay_id,
+       CASE WHEN row_id % 2 = 1 THEN charttime END AS charttime, value, valuenum, valueuom
+FROM {chartevents_placed} WHERE row_id % 6 < 2
+"""
+
+VIEWS["chartevents_placed"] = """
 SELECT e.event_id AS row_id,
        CASE e.event_id % 8 WHEN 0 THEN CAST(580 AS BIGINT) WHEN 1 THEN CAST(763 AS BIGINT)
             WHEN 2 THEN CAST(226512 AS BIGINT) WHEN 3 THEN CAST(226531 AS BIGINT)

@@ -13,7 +13,7 @@ from pulseweave import vocab
 from pulseweave.functions.clinical import not_nan
 from pulseweave.functions.timing import HOUR, micros, minutes, plus_micros
 from pulseweave.operators import ordered
-from pulseweave.operators.ordered import BUCKET, MAX_ROWS
+from pulseweave.operators.ordered import BUCKET, CELL
 from pulseweave.operators.overlap import overlap_join
 from pulseweave.session import materialize
 
@@ -58,15 +58,15 @@ def _charting_order() -> list[Column]:
     return [F.col(c) for c in ("charttime", "storetime", "cgid", "row_id")]
 
 
-def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def drip_intervals(rows: DataFrame, cell: int = CELL) -> DataFrame:
     """Constant-rate intervals from point-charted drips, per (stay, item).
 
     A positive rate opens an interval; a changed rate closes it and opens the next;
     no rate, a stop, or the last row closes it.  A stop charted with a positive rate
     while nothing runs opens instead, so such rows flip the state and every other
     row sets it.  The state after a row therefore is the last setting row's, flipped
-    once per flip since then.  Per time bucket that is a constant or a flip, which
-    is what crosses bucket borders, along with the last rate and the last opening.
+    once per flip since then.  Rows without stay, item or time take no part.  Per cell that is a constant or a flip, which
+    is what crosses cell borders, along with the last rate and the last opening.
     """
     drips = rows.where(F.col("originalroute") == vocab.DRIP_ROUTE).withColumn(
         "rate", not_nan(F.col("rate"))
@@ -77,7 +77,7 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     valid = F.coalesce(F.col("rate") > 0, F.lit(False))
     stopped = F.coalesce(F.col("stopped") == "Stopped", F.lit(False))
 
-    b, large = ordered.time_buckets(drips, GROUP, "charttime", max_rows)
+    b = ordered.time_buckets(drips, GROUP, "charttime", cell)
     b = (
         b.withColumns({"_valid": valid, "_stop": stopped, "_flip": valid & stopped})
         .withColumn("_flips", F.sum(F.col("_flip").cast("long")).over(upto))
@@ -89,11 +89,9 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     )
 
     earlier = ordered.across_buckets(GROUP).rowsBetween(Window.unboundedPreceding, -1)
-    entry = _entry_state(b, earlier) if large else None
+    entry = _entry_state(b, earlier)
     entered = F.coalesce("_open_in", F.lit(False))
-    s = ordered.attach(
-        b, GROUP, entry, {"_open_in": "boolean", "_in_rate": "double", "_more": "boolean"}
-    )
+    s = ordered.attach(b, GROUP, entry, ["_open_in", "_in_rate", "_more"])
     s = s.withColumn("_after", F.coalesce(F.col("_set"), entered) != F.col("_odd"))
     s = s.withColumn("_before", F.coalesce(F.lag("_after").over(w), entered))
     last = F.col("_tail") & F.col("_more").isNull()
@@ -108,17 +106,12 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         ),
     )
     opened = F.last("_opening", True)
-    last_open = None
-    if large:
-        last_open = (
-            ordered.only_large(s.withColumn("_latest", opened.over(upto)))
-            .where(F.col("_tail"))
-            .withColumn("_in_open", F.last("_latest", True).over(earlier))
-        )
-    kind = s.schema["_opening"].dataType
-    s = ordered.attach(
-        s.withColumn("_run", opened.over(before)), GROUP, last_open, {"_in_open": kind}
+    last_open = (
+        s.withColumn("_latest", opened.over(upto))
+        .where(F.col("_tail"))
+        .withColumn("_in_open", F.last("_latest", True).over(earlier))
     )
+    s = ordered.attach(s.withColumn("_run", opened.over(before)), GROUP, last_open, ["_in_open"])
     return (
         s.where(F.col("_closes"))
         .withColumn("_run", F.coalesce("_run", "_in_open"))
@@ -138,7 +131,7 @@ def drip_intervals(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 def _entry_state(b: DataFrame, earlier: Window) -> DataFrame:
     """What a bucket of a drip inherits, from the last row of each earlier bucket."""
     wb = ordered.across_buckets(GROUP)
-    ends = ordered.only_large(b).where(F.col("_tail"))
+    ends = b.where(F.col("_tail"))
     alone = F.when(F.col("_set").isNull() & F.col("_odd"), 1).otherwise(0)
     ends = ends.withColumn(
         "_p", F.sum(alone).over(wb.rowsBetween(Window.unboundedPreceding, 0))
@@ -157,7 +150,7 @@ def _entry_state(b: DataFrame, earlier: Window) -> DataFrame:
 
 
 def push_intervals(
-    rows: DataFrame, labels=vocab.DRUG_LABELS, max_rows: int = MAX_ROWS
+    rows: DataFrame, labels=vocab.DRUG_LABELS, cell: int = CELL
 ) -> DataFrame:
     """Intervals from repeated pushes, per (stay, item).
 
@@ -166,12 +159,12 @@ def push_intervals(
     elapsed time if the third's is the same; else the time since the stay's latest
     push of any item; else an hour.
     """
-    pushes = rows.where(F.col("originalroute") == vocab.PUSH_ROUTE).withColumn(
-        "amount", not_nan(F.col("amount"))
-    )
+    pushes = ordered.placed(
+        rows.where(F.col("originalroute") == vocab.PUSH_ROUTE), GROUP, "charttime"
+    ).withColumn("amount", not_nan(F.col("amount")))
     keys = [*GROUP, BUCKET]
     listed = pushes.where(F.col("label").isin(*labels))
-    b, large = ordered.time_buckets(listed, GROUP, "charttime", max_rows)
+    b = ordered.time_buckets(listed, GROUP, "charttime", cell)
     whole = Window.partitionBy(*keys)
     w = ordered.per_bucket(GROUP, _charting_order())
     kept = (
@@ -188,11 +181,9 @@ def push_intervals(
         )
     )
 
-    around = _push_surroundings(b, kept) if large else None
-    time = rows.schema["charttime"].dataType
+    around = _push_surroundings(b, kept)
     r = ordered.attach(
-        kept, GROUP, around,
-        {"_g_all": "long", "_g_kept": "long", "_g_prev": time, "_g_next": time, "_g_next2": time},
+        kept, GROUP, around, ["_g_all", "_g_kept", "_g_prev", "_g_next", "_g_next2"]
     ).where(
         (F.coalesce("_g_all", "_all") >= 3) & (F.coalesce("_g_kept", "_kept") >= 3)
     )
@@ -218,7 +209,7 @@ def push_intervals(
         *columns, F.when(second == third, second).alias("_us")
     )
     times = pushes.select("stay_id", "charttime").distinct()
-    prior = ordered.previous_time(times, ["stay_id"], "charttime", "_prior", max_rows)
+    prior = ordered.previous_time(times, ["stay_id"], "charttime", "_prior", cell)
     first = (
         first.join(prior, ["stay_id", "charttime"], "left")
         .withColumn(
@@ -248,11 +239,11 @@ def _push_surroundings(b: DataFrame, kept: DataFrame) -> DataFrame:
     Group sizes, the kept time before it and the two kept times after it.  Buckets
     without a kept row only add to the size.
     """
-    sizes = ordered.only_large(b).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_g_all"))
+    sizes = b.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_g_all"))
     wb = ordered.across_buckets(GROUP)
     at = lambda n: F.min(F.when(F.col("_no") == n, F.col("charttime")))
     ends = (
-        ordered.only_large(kept)
+        kept
         .groupBy(*GROUP, BUCKET)
         .agg(
             F.max("_kept").alias("_kept"),
@@ -271,13 +262,13 @@ def _push_surroundings(b: DataFrame, kept: DataFrame) -> DataFrame:
     ).join(sizes, GROUP)
 
 
-def format_carevue(events: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def format_carevue(events: DataFrame, cell: int = CELL) -> DataFrame:
     """Labelled point chartings to canonical intervals of both kinds.
 
     The deduplicated rows are read several times, so they are written once.
     """
-    rows = materialize(dedupe_first(events))
-    return drip_intervals(rows, max_rows).unionByName(push_intervals(rows, max_rows=max_rows))
+    rows = materialize(dedupe_first(ordered.placed(events, GROUP, "charttime")))
+    return drip_intervals(rows, cell).unionByName(push_intervals(rows, cell=cell))
 
 
 def match_inputs(inputs: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -1,77 +1,35 @@
 """Ordered computations per key that stay distributed when one key is huge.
 
-A window over (key ORDER BY time) puts a key into one task.  Here keys with more
-than ``max_rows`` rows are looked for first, by a count that merges before its
-shuffle.  Without any, the plain window is safe and nothing else is planned.  With
-some, those keys are cut into consecutive time buckets; windows run per (key,
-bucket), and the little state that has to cross a bucket border is computed from one
-summary row per bucket and joined back.
-
-The table of large keys has at most ``rows / max_rows`` entries, which is the bound
-that makes broadcasting it safe (10^12 rows give at most 10^6 entries of ~40 bytes).
+A window over (key ORDER BY time) puts a key into one task.  Here time is cut into cells
+of fixed calendar width, whatever the number of rows; windows run per (key, cell), and the
+little state that has to cross a cell's border is computed from one summary row per cell
+and joined back.  So a key is spread over as many tasks as it has cells, and no count is
+needed to plan that.
+
+Rows without a key or a time take no part: they belong to no group, or have no place in it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseweave.functions.timing import micros
-from pulseweave.session import materialize
 
 BUCKET = "_bucket"
-MAX_ROWS = 1_000_000
-_SPREAD = 8  # buckets per max_rows, so a moderately uneven density needs no refinement
-_FANOUT = 1 << 20  # most buckets one cut makes of a range
-_REFINEMENTS = 2  # cuts of what is still crowded; three levels fit a long
-
+#: Width of a cell in microseconds: a day.
+CELL = 86_400_000_000
 
-def _crowded(df: DataFrame, keys: list[str], us: Column, max_rows: int) -> DataFrame:
-    """keys, _lo, _width of the groups above ``max_rows`` whose times can be told apart."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-        .where((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo")))
-        .select(
-            *keys,
-            "_lo",
-            F.expr(
-                f"(_hi - _lo) div least(_n div {max_rows} * {_SPREAD} + 1, {_FANOUT - 1}) + 1"
-            ).alias("_width"),
-        )
-    )
 
+def placed(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """The rows that have all keys and a time."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, ts]]))
 
-def time_buckets(
-    df: DataFrame, keys: list[str], ts: str, max_rows: int = MAX_ROWS
-) -> tuple[DataFrame, bool]:
-    """``df`` with :data:`BUCKET`, and whether there are large keys at all.
 
-    The bucket is NULL for ordinary keys; for large ones it grows with time.  Their
-    range is cut evenly, and buckets that a burst still overfills are cut again.  The
-    borders follow from exact counts and extrema, so a recomputed partition gets the
-    same buckets.  Rows with equal times never part.  Runs one job, the count; more
-    only where there are large keys.
-    """
-    us = micros(ts)
-    large = _crowded(df, keys, us, max_rows)
-    if large.isEmpty():
-        return df.withColumn(BUCKET, F.lit(None).cast("long")), False
-    slot = F.call_function("div", us - F.col("_lo"), F.col("_width"))
-    b = (
-        df.join(F.broadcast(materialize(large)), keys, "left")
-        .withColumn(BUCKET, slot)
-        .drop("_lo", "_width")
-    )
-    for _ in range(_REFINEMENTS):
-        full = _crowded(only_large(b), [*keys, BUCKET], us, max_rows)
-        if full.isEmpty():
-            break
-        b = (
-            b.join(F.broadcast(materialize(full)), [*keys, BUCKET], "left")
-            .withColumn(BUCKET, F.col(BUCKET) * _FANOUT + F.coalesce(slot, F.lit(0)))
-            .drop("_lo", "_width")
-        )
-    return b, True
+def time_buckets(df: DataFrame, keys: list[str], ts: str, cell: int = CELL) -> DataFrame:
+    """:func:`placed` rows with :data:`BUCKET`, the number of the cell, which grows with time."""
+    return placed(df, keys, ts).withColumn(BUCKET, F.floor(micros(ts) / F.lit(cell)).cast("long"))
 
 
 def per_bucket(keys: list[str], order: list[Column]) -> Window:
@@ -83,38 +41,22 @@ def across_buckets(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(BUCKET)
 
 
-def only_large(df: DataFrame) -> DataFrame:
-    """Rows of large keys; the filter reaches below the windows, down to the scan."""
-    return df.where(F.col(BUCKET).isNotNull())
-
+def attach(df: DataFrame, keys: list[str], state: DataFrame, names: list[str]) -> DataFrame:
+    """Bring per-cell state to the rows.
 
-def attach(df: DataFrame, keys: list[str], state: DataFrame | None, names: dict) -> DataFrame:
-    """Bring per-bucket state to the rows; NULL for ordinary keys.
-
-    The rows are already partitioned and sorted by (key, bucket), so only the
-    summary is shuffled.  ``names`` gives the state columns and their types; without
-    a state they are all NULL.
+    The rows are already partitioned and sorted by (key, cell), so only the summary is
+    shuffled.
     """
-    if state is None:
-        return df.withColumns({n: F.lit(None).cast(kind) for n, kind in names.items()})
     return df.join(state.select(*keys, BUCKET, *names), [*keys, BUCKET], "left")
 
 
-def previous_time(
-    df: DataFrame, keys: list[str], ts: str, name: str, max_rows: int = MAX_ROWS
-) -> DataFrame:
+def previous_time(df: DataFrame, keys: list[str], ts: str, name: str, cell: int = CELL) -> DataFrame:
     """``lag(ts)`` per key over rows with distinct times."""
-    b, large = time_buckets(df, keys, ts, max_rows)
+    b = time_buckets(df, keys, ts, cell)
     rows = b.withColumn(name, F.lag(ts).over(per_bucket(keys, [F.col(ts)])))
-    border = None
-    if large:
-        last = only_large(b).groupBy(*keys, BUCKET).agg(F.max(ts).alias("_last"))
-        border = last.withColumn("_border", F.lag("_last").over(across_buckets(keys)))
-    return (
-        attach(rows, keys, border, {"_border": df.schema[ts].dataType})
-        .withColumn(name, F.coalesce(name, "_border"))
-        .drop("_border", BUCKET)
-    )
+    last = b.groupBy(*keys, BUCKET).agg(F.max(ts).alias("_last"))
+    border = last.withColumn("_border", F.lag("_last").over(across_buckets(keys)))
+    return attach(rows, keys, border, ["_border"]).withColumn(name, F.coalesce(name, "_border")).drop("_border", BUCKET)
 
 
 def nearest(
@@ -123,7 +65,7 @@ def nearest(
     keys: list[str],
     ts: str,
     payload: str,
-    max_rows: int = MAX_ROWS,
+    cell: int = CELL,
 ) -> DataFrame:
     """For each probe the payloads of the points next before-or-at and next after it.
 
@@ -137,7 +79,7 @@ def nearest(
             *keys, ts, F.lit(None).cast(kind).alias(payload), F.lit(1).alias("_probe")
         )
     )
-    b, large = time_buckets(both, keys, ts, max_rows)
+    b = time_buckets(both, keys, ts, cell)
     preceding = (Window.unboundedPreceding, 0)
     up = per_bucket(keys, [F.col(ts), F.col("_probe")]).rowsBetween(*preceding)
     down = per_bucket(keys, [F.col(ts).desc(), F.col("_probe").desc()]).rowsBetween(*preceding)
@@ -147,26 +89,18 @@ def nearest(
             "after": F.last(payload, ignorenulls=True).over(down),
         }
     )
-    border = None
-    if large:
-        point = F.when(F.col("_probe") == 0, F.struct(ts, payload))
-        ends = (
-            only_large(b)
-            .groupBy(*keys, BUCKET)
-            .agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
-        )
-        back = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
-        earlier = across_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
-        later = back.rowsBetween(Window.unboundedPreceding, -1)
-        border = ends.withColumns(
-            {
-                "_b": F.last(f"_latest.{payload}", True).over(earlier),
-                "_a": F.last(f"_earliest.{payload}", True).over(later),
-            }
-        )
-    return attach(
-        rows.where(F.col("_probe") == 1), keys, border, {"_b": kind, "_a": kind}
-    ).select(
+    point = F.when(F.col("_probe") == 0, F.struct(ts, payload))
+    ends = b.groupBy(*keys, BUCKET).agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
+    back = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
+    earlier = across_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    border = ends.withColumns(
+        {
+            "_b": F.last(f"_latest.{payload}", True).over(earlier),
+            "_a": F.last(f"_earliest.{payload}", True).over(later),
+        }
+    )
+    return attach(rows.where(F.col("_probe") == 1), keys, border, ["_b", "_a"]).select(
         *keys,
         ts,
         F.coalesce("before", "_b").alias("before"),
@@ -180,18 +114,14 @@ _BLOCK = 65_536
 def running_total(df: DataFrame, key: str, index: str, amount: str, name: str) -> DataFrame:
     """Sum of ``amount`` over strictly smaller ``index`` values of a key.
 
-    ``index`` numbers the rows of a key, so blocks of it have bounded size.  Where an
-    index exceeds one block (looked up first), the sum has two levels: inside the
-    block, plus the blocks before.
+    ``index`` numbers the rows of a key, so blocks of it have bounded size.  The sum has
+    two levels: inside the block, plus the blocks before.
     """
     preceding = (Window.unboundedPreceding, -1)
     block = F.call_function("div", F.col(index), F.lit(_BLOCK))
     b = df.withColumn("_block", block)
     inside = Window.partitionBy(key, "_block").orderBy(index).rowsBetween(*preceding)
     total = F.coalesce(F.sum(amount).over(inside), F.lit(0))
-    if df.where(F.col(index) >= _BLOCK).isEmpty():
-        plain = Window.partitionBy(key).orderBy(index).rowsBetween(*preceding)
-        return df.withColumn(name, F.coalesce(F.sum(amount).over(plain), F.lit(0)))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(*preceding)
     carried = (
         b.groupBy(key, "_block")

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseweave import vocab
 from pulseweave.operators import chunks, codes, cohort as co, dataset, infusions, labs, signals
-from pulseweave.operators.ordered import MAX_ROWS
+from pulseweave.operators.ordered import CELL
 from pulseweave.session import materialize
 
 Tables = dict[str, DataFrame]
 
 
-def build_cohort(tables: Tables, version: int = 4, max_rows: int = MAX_ROWS) -> DataFrame:
+def build_cohort(tables: Tables, version: int = 4, cell: int = CELL) -> DataFrame:
     """Recordings with their stays, demographics and weight.
 
     Written to the shared folder twice, without and with the weight: every later step
@@ -27,10 +27,10 @@ def build_cohort(tables: Tables, version: int = 4, max_rows: int = MAX_ROWS) ->
         co.add_demographics(matched, tables["patients"], tables["admissions"], version)
     )
     if version == 4:
-        weights = co.weights_from_inputs(people, tables["inputevents"], max_rows)
+        weights = co.weights_from_inputs(people, tables["inputevents"], cell)
     else:
         weights = co.weights_from_charts(
-            people, tables["weight_events"], tables["d_items"], max_rows
+            people, tables["weight_events"], tables["d_items"], cell
         )
     return materialize(co.add_weight(people, weights))
 
@@ -45,7 +45,7 @@ def cohort_labs(tables: Tables, cohort: DataFrame) -> DataFrame:
     return labs.match_labs(listed, cohort)
 
 
-def load_inputs(tables: Tables, version: int = 4, max_rows: int = MAX_ROWS) -> DataFrame:
+def load_inputs(tables: Tables, version: int = 4, cell: int = CELL) -> DataFrame:
     """All infusions as canonical intervals, with the system they come from."""
     metavision = infusions.format_metavision(
         infusions.label_items(tables["inputevents"], tables["d_items"])
@@ -53,17 +53,17 @@ def load_inputs(tables: Tables, version: int = 4, max_rows: int = MAX_ROWS) -> D
     if version == 4:
         return metavision
     points = infusions.label_items(tables["inputevents_cv"], tables["d_items"])
-    carevue = infusions.format_carevue(points, max_rows).withColumn(
+    carevue = infusions.format_carevue(points, cell).withColumn(
         "dbsource", F.lit("carevue")
     )
     return carevue.unionByName(metavision)
 
 
 def cohort_inputs(
-    tables: Tables, cohort: DataFrame, version: int = 4, max_rows: int = MAX_ROWS
+    tables: Tables, cohort: DataFrame, version: int = 4, cell: int = CELL
 ) -> DataFrame:
     """Listed infusions around the cohort's recordings."""
-    listed = infusions.filter_inputs(load_inputs(tables, version, max_rows))
+    listed = infusions.filter_inputs(load_inputs(tables, version, cell))
     return infusions.match_inputs(listed, cohort)
 
 
@@ -75,13 +75,13 @@ def cohort_codes(tables: Tables, cohort: DataFrame) -> DataFrame:
     return codes.add_titles(codes.drop_external_causes(mapped), tables["d_icd_diagnoses"])
 
 
-def preprocess(tables: Tables, version: int = 4, max_rows: int = MAX_ROWS) -> Tables:
+def preprocess(tables: Tables, version: int = 4, cell: int = CELL) -> Tables:
     """The four derived tables: cohort, labs, inputs, codes."""
-    cohort = build_cohort(tables, version, max_rows)
+    cohort = build_cohort(tables, version, cell)
     return {
         "cohort": cohort,
         "labs": cohort_labs(tables, cohort),
-        "inputs": cohort_inputs(tables, cohort, version, max_rows),
+        "inputs": cohort_inputs(tables, cohort, version, cell),
         "codes": cohort_codes(tables, cohort),
     }
 

@@ -116,35 +116,46 @@ def random_charts(seed, n=600):
     return [(*r[:3], "Levophed" if r[2] == 1 else "D5W", *r[4:]) for r in out]
 
 
-@pytest.mark.parametrize("max_rows", [10**6, 40, 3])
+def without_place(charted):
+    """Copies of some rows that lack stay, item or time; they must change nothing."""
+    lost = []
+    for r in charted[::7]:
+        for column in (1, 2, 4):
+            row = list(r)
+            row[0], row[column] = row[0] + 100_000 * column, None
+            lost.append(tuple(row))
+    return charted + lost
+
+
+CELLS = [10**15, ordered.CELL, 3_600_000_000, 60_000_000]
+
+
+@pytest.mark.parametrize("cell", CELLS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_drips_same_with_split_groups(spark, seed, max_rows):
+def test_drips_same_in_any_cells(spark, seed, cell):
     charted = random_charts(seed)
-    df = spark.createDataFrame(charted, SCHEMA)
-    assert interval_tuples(infusions.drip_intervals(df, max_rows)) == drips_by_hand(charted)
+    df = spark.createDataFrame(without_place(charted), SCHEMA)
+    assert interval_tuples(infusions.drip_intervals(df, cell)) == drips_by_hand(charted)
 
 
-@pytest.mark.parametrize("max_rows", [10**6, 40, 3])
+@pytest.mark.parametrize("cell", CELLS)
 @pytest.mark.parametrize("seed", [3, 4])
-def test_pushes_same_with_split_groups(spark, seed, max_rows):
+def test_pushes_same_in_any_cells(spark, seed, cell):
     charted = random_charts(seed)
-    df = spark.createDataFrame(charted, SCHEMA)
-    got = [(*r[:4], round(r[4], 9)) for r in interval_tuples(infusions.push_intervals(df, max_rows=max_rows))]
+    df = spark.createDataFrame(without_place(charted), SCHEMA)
+    got = [(*r[:4], round(r[4], 9)) for r in interval_tuples(infusions.push_intervals(df, cell=cell))]
     assert got == pushes_by_hand(charted)
 
 
-def test_bursts_are_cut_again(spark):
+def test_burst_at_one_time(spark):
     rnd = random.Random(6)
-    # one early row stretches the range; the rest happens within minutes, a year later
     charted = [chart(0, 0, 1.0)] + [
-        chart(k, 500_000 + rnd.randint(0, 300), rnd.choice([None, 1.0, 2.0]), rnd.choice([None, "Stopped"]))
+        chart(k, 500_000 + k // 300, rnd.choice([None, 1.0, 2.0]), rnd.choice([None, "Stopped"]))
         for k in range(1, 400)
     ]
     df = spark.createDataFrame(charted, SCHEMA)
-    b, large = ordered.time_buckets(df, ["stay_id", "itemid"], "charttime", 20)
-    sizes = [r["count"] for r in b.groupBy(ordered.BUCKET).count().collect()]
-    assert large and sum(sizes) == 400 and max(sizes) <= 20
-    assert interval_tuples(infusions.drip_intervals(df, 20)) == drips_by_hand(charted)
+    for cell in (ordered.CELL, 60_000_000):
+        assert interval_tuples(infusions.drip_intervals(df, cell)) == drips_by_hand(charted)
 
 
 def push(row_id, minute, amount=2.0, item=1, stay=1, label="Levophed"):
