@@ -673,9 +673,9 @@ VIEWS["both_maps"] = (
     "SELECT i9 AS code, i10 AS target, flag FROM {gem9} "
     "UNION SELECT i10 AS code, i9 AS target, flag FROM {gem10}"
 )
-VIEWS["first_map"] = "SELECT m.* FROM {both_maps} AS m WHERE m.code IN (SELECT code FROM {code_list})"
+VIEWS["first_map"] = "SELECT m.* FROM {both_maps} AS m WHERE m.code IN (SELECT code FROM {start_codes})"
 VIEWS["all_codes"] = """
-SELECT code FROM {code_list}
+SELECT code FROM {start_codes}
 UNION SELECT i9 FROM {gem9} WHERE i10 IN (SELECT target FROM {first_map})
 UNION SELECT i9 FROM {gem10} WHERE i10 IN (SELECT target FROM {first_map})
 """
@@ -690,10 +690,17 @@ register(
     "LEFT JOIN both_maps AS m ON m.code = c.code",
 )
 register(
-    "icd_secondary", lambda i: crosswalk.secondary(i["code_list"], i["gem9"], i["gem10"]),
+    "icd_secondary", lambda i: crosswalk.secondary(i["start_codes"], i["gem9"], i["gem10"]),
     ["all_codes", "both_maps"],
     "SELECT c.code, m.target, m.flag FROM all_codes AS c LEFT JOIN both_maps AS m ON m.code = c.code",
 )
+register(
+    "icd_secondary_codes",  # only what the closure adds, so that an empty closure is an empty result
+    lambda i: crosswalk.secondary_codes(i["start_codes"], i["gem9"], i["gem10"])
+    .join(i["start_codes"], "code", "left_anti"),
+    ["all_codes", "start_codes"],
+    "SELECT code FROM all_codes WHERE code NOT IN (SELECT code FROM start_codes)",
+)
 register(
     "icd_batch",
     lambda i: crosswalk.convert_batch(i["code_list"], "cm", {"cm": i["gem9"]}, by="file"),

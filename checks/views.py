@@ -228,6 +228,12 @@ SELECT icd_code AS code, CASE WHEN icd_version = 9 THEN 'old.txt' ELSE 'new.txt'
 FROM {diagnoses_icd}
 """
 
+# A start from which the crosswalk reaches codes that it does not hold: all of version 10,
+# one decade of version 9
+VIEWS["start_codes"] = """
+SELECT DISTINCT code FROM {code_list} WHERE file = 'new.txt' OR substring(code, 1, 3) = '001'
+"""
+
 # Four channels per stretch of 64 samples; a gap follows every five stretches, and some
 # channels carry a name that is no known signal
 _FS = """CASE CAST(floor(vec_id / 100) AS BIGINT) % 3 WHEN 0 THEN CAST(62.5 AS DOUBLE)

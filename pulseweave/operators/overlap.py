@@ -17,6 +17,13 @@ from pulseweave.functions.timing import DAY, floor_div, micros
 CELL = "_cell"
 LEVEL = "_level"
 _LONG = 64  # cells; a longer interval on the left is spread over cells this much wider
+_FAR = _LONG * _LONG  # cells; a longer interval, such as with a wrong end date, gets none
+
+
+def _far(lo: Column, hi: Column, width: int) -> Column:
+    """Whether an interval is too long to be cut into cells."""
+    early, late = F.least(micros(lo), micros(hi)), F.greatest(micros(lo), micros(hi))
+    return F.coalesce(floor_div(late, width) - floor_div(early, width) >= _FAR, F.lit(False))
 
 
 def _cells(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
@@ -75,22 +82,22 @@ def overlap_join(
     Overlapping rows share every cell from the later of their first cells on; the
     pair is kept in that one cell only, so it comes out once.  ``left`` is the larger
     side: each of its rows uses one cell width, the wide one if it is long (such as with
-    a wrong end date), while ``right`` offers both.
+    a wrong end date), while ``right`` offers both.  Intervals of more than 4,096 cells on
+    either side meet nearly everything of their key, so they are joined by key alone, in
+    plans of their own that adaptive execution drops where there are none.
     """
     a = left.withColumns({"_ls": left_bounds[0], "_le": left_bounds[1]})
     b = right.withColumns({"_rs": right_bounds[0], "_re": right_bounds[1]})
-    a = _levelled(a, F.col("_ls"), F.col("_le"), cell, "_lfirst")
-    b = _on_both_levels(b, F.col("_rs"), F.col("_re"), cell, "_rfirst")
-    hit = (
-        (F.col("_ls") < F.col("_re"))
-        & (F.col("_le") > F.col("_rs"))
-        & (F.col(CELL) == F.greatest("_lfirst", "_rfirst"))
-    )
-    return (
-        a.join(b, [*keys, LEVEL, CELL])
-        .where(hit)
-        .drop("_ls", "_le", "_rs", "_re", "_lfirst", "_rfirst", LEVEL, CELL)
+    overlap = (F.col("_ls") < F.col("_re")) & (F.col("_le") > F.col("_rs"))
+    far_a, far_b = _far(F.col("_ls"), F.col("_le"), cell), _far(F.col("_rs"), F.col("_re"), cell)
+    near = _levelled(a.where(~far_a), F.col("_ls"), F.col("_le"), cell, "_lfirst").join(
+        _on_both_levels(b.where(~far_b), F.col("_rs"), F.col("_re"), cell, "_rfirst"), [*keys, LEVEL, CELL]
+    ).where(overlap & (F.col(CELL) == F.greatest("_lfirst", "_rfirst")))
+    far = a.where(~far_a).join(b.where(far_b), keys).where(overlap).unionByName(
+        a.where(far_a).join(b, keys).where(overlap)
     )
+    helpers = ["_ls", "_le", "_rs", "_re"]
+    return near.drop("_lfirst", "_rfirst", LEVEL, CELL, *helpers).unionByName(far.drop(*helpers))
 
 
 def point_join(
@@ -103,14 +110,15 @@ def point_join(
 ) -> DataFrame:
     """Inner join on ``keys`` where ``span.start <= at < span.end``.
 
-    Only the spans are multiplied over cells; a point has exactly one.
+    Only the spans are multiplied over cells; a point has exactly one.  Spans of more than
+    4,096 cells are joined by key alone, as in :func:`overlap_join`.
     """
     p = points.withColumn("_at", at)
     p = p.withColumn(CELL, floor_div(micros("_at"), cell))
     s = spans.withColumns({"_rs": bounds[0], "_re": bounds[1]})
-    s = _cells(s, F.col("_rs"), F.col("_re"), cell, "_rfirst")
-    return (
-        p.join(s, [*keys, CELL])
-        .where((F.col("_at") >= F.col("_rs")) & (F.col("_at") < F.col("_re")))
-        .drop("_at", "_rs", "_re", "_rfirst", CELL)
-    )
+    far = _far(F.col("_rs"), F.col("_re"), cell)
+    inside = (F.col("_at") >= F.col("_rs")) & (F.col("_at") < F.col("_re"))
+    cells = _cells(s.where(~far), F.col("_rs"), F.col("_re"), cell, "_rfirst")
+    near = p.join(cells, [*keys, CELL]).where(inside).drop("_at", "_rs", "_re", "_rfirst", CELL)
+    long = p.join(s.where(far), keys).where(inside).drop("_at", "_rs", "_re", CELL)
+    return near.unionByName(long)

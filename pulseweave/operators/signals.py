@@ -151,7 +151,7 @@ def rechunk(segments: DataFrame, size: int, axis: DataFrame | None = None) -> Da
     travel, once, by (record, chunk): a chunk holds at most 13 signals of ``size``
     samples, so no group grows with its recording, and copies of a piece merge ahead of
     the shuffle.  What no piece covers, between pieces and at the end, is missing
-    samples.  ``axis`` (record_id, chunk_id, axis) names chunks, and the signals they
+    samples; what several cover is taken from the one that starts first.  ``axis`` (record_id, chunk_id, axis) names chunks, and the signals they
     have, although nothing may cover them.
     """
     parts = _pieces(segments, size)
@@ -159,16 +159,16 @@ def rechunk(segments: DataFrame, size: int, axis: DataFrame | None = None) -> Da
         parts = parts.withColumn("axis", F.lit(None).cast("array<string>"))
     else:
         parts = parts.unionByName(axis, allowMissingColumns=True)
-    # Sorted by signal, then start: a part's neighbour is the one before it in its signal.
-    before = lambda i: F.get("_p", i - 1)
-    follows = lambda p, i: (i > 0) & (before(i)["signal"] == p["signal"])
-    fresh = lambda p, i: ~(follows(p, i) & (p["start"] == before(i)["start"]))
-
+    # Sorted by signal, start, blankness, rank: of copies the better one comes first.
     def padded(p, i):
-        end = F.when(follows(p, i), before(i)["start"] + F.size(before(i)["piece"]))
-        gap = p["start"] - F.coalesce(end, F.lit(0))
+        # Where the earlier parts of the signal end: only what lies beyond is new.
+        earlier = F.filter("_p", lambda q, j: (j < i) & (q["signal"] == p["signal"]))
+        end = F.coalesce(F.array_max(F.transform(earlier, lambda q: q["start"] + F.size(q["piece"]))), F.lit(0))
+        seen = F.greatest(end - p["start"], F.lit(0))
+        new = F.slice(p["piece"], seen + 1, F.greatest(F.size(p["piece"]) - seen, F.lit(0)))
         return F.struct(
-            p["signal"].alias("signal"), F.concat(arrays.nulls(gap), p["piece"]).alias("run")
+            p["signal"].alias("signal"),
+            F.concat(arrays.nulls(F.greatest(p["start"] - end, F.lit(0))), new).alias("run"),
         )
 
     def whole(s):
@@ -183,7 +183,6 @@ def rechunk(segments: DataFrame, size: int, axis: DataFrame | None = None) -> Da
     return (
         parts.groupBy("record_id", "chunk_id")
         .agg(F.sort_array(F.collect_set("part")).alias("_p"), F.max("axis").alias("axis"))
-        .withColumn("_p", F.filter("_p", fresh))
         .withColumn("_q", F.transform("_p", padded))
         .select(
             "record_id",

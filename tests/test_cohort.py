@@ -182,3 +182,16 @@ def test_complete_records(spark):
     )
     got = labs.complete_records(df, ("A", "B")).collect()
     assert sorted((r.record_id, r.label) for r in got) == [(1, "A"), (1, "B")]
+
+
+def test_wrong_end_dates_make_no_rows_of_cells(spark):
+    far = datetime(9999, 1, 1)
+    rnd = random.Random(2)
+    left = [(k, 1, t(10 * k), far if k % 9 == 0 else t(10 * k + rnd.randint(0, 400))) for k in range(40)]
+    right = [(k, 1, t(15 * k), far if k % 7 == 0 else t(15 * k + rnd.randint(0, 2000))) for k in range(30)]
+    a = spark.createDataFrame(left, "l int, k int, s timestamp_ntz, e timestamp_ntz")
+    b = spark.createDataFrame(right, "r int, k int, f timestamp_ntz, u timestamp_ntz")
+    got = sorted((x.l, x.r) for x in overlap_join(a, b, ["k"], (F.col("s"), F.col("e")), (F.col("f"), F.col("u"))).collect())
+    assert got == sorted((i, j) for i, _, s, e in left for j, _, f, u in right if s < u and e > f)
+    got = sorted((x.l, x.r) for x in point_join(a.drop("e"), b, ["k"], F.col("s"), (F.col("f"), F.col("u"))).collect())
+    assert got == sorted((i, j) for i, _, s, _ in left for j, _, f, u in right if f <= s < u)

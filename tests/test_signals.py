@@ -116,3 +116,31 @@ def test_flags_and_paths(spark):
     assert len(row) == 1 + len(vocab.SIGNALS)
     df = spark.createDataFrame([(10014354, 81739927)], "s long, r long")
     assert df.select(dataset.path_key("s", "r", "root/")).first()[0] == "root/p100/p10014354/81739927"
+
+
+def test_overlapping_pieces_keep_their_places(spark):
+    rnd = random.Random(4)
+    for trial in range(6):
+        rows = []
+        for k in range(rnd.randint(1, 6)):
+            start, n = rnd.randint(0, 40), rnd.randint(1, 25)
+            rows.append((1, "II", k, start, [float(100 * k + j) for j in range(n)]))
+        df = spark.createDataFrame(rows, "record_id long, signal string, variant_rank int, sample_offset long, samples array<float>")
+        got = {r.chunk_id: r.signals["II"] for r in signals.rechunk(df, 10).collect()}
+        assert all(len(x) == 10 for x in got.values())
+        for chunk, samples in got.items():
+            # At each place a sample of some piece that covers it, or nothing where none does.
+            for at, value in enumerate(samples, 10 * chunk):
+                covering = {r[4][at - r[3]] for r in rows if r[3] <= at < r[3] + len(r[4])}
+                assert (value in covering) if covering else value is None
+
+
+def test_rates_without_a_place_in_time(spark):
+    rates = [None, 0.0, -1.0, float("nan"), float("inf"), 50.0, 125.0]
+    df = spark.createDataFrame([(k, r, [1.0, 2.0, 3.0, 4.0]) for k, r in enumerate(rates)] + [(9, 50.0, None)],
+                               "k int, fs double, samples array<float>")
+    got = {r.k: (r.x, r.n) for r in df.select(
+        "k", arrays.resample(F.col("samples"), F.col("fs"), 125.0).alias("x"),
+        arrays.resampled_size(F.size("samples"), F.col("fs"), 125.0).alias("n")).collect()}
+    assert [got[k] for k in range(5)] == [(None, None)] * 5
+    assert len(got[5][0]) == 10 == got[5][1] and got[6] == ([1.0, 2.0, 3.0, 4.0], 4) and got[9][0] is None

@@ -223,5 +223,25 @@ def test_version_3_from_files_to_derived_tables(spark, tmp_path):
 
 def test_registered_queries_have_sql():
     import __spark_entry__ as entry
+    from checks.registry import ORACLES, QUERIES
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_derived_tables_can_become_empty(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "stay_id long, x double")
+    for version in (3, 4):
+        sinks.save_derived({"labs": df}, str(tmp_path), version)
+    sinks.save_derived({"labs": df.where("false")}, str(tmp_path), 4)
+    left = spark.read.parquet(str(tmp_path / "labs"))
+    assert {r.source_version for r in left.collect()} == {3} and left.count() == 2
+
+
+def test_records_are_replaced_one_by_one(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "record_id long, stay_id long, x string, source_version int")
+    path = str(tmp_path / "records")
+    sinks.write_records(rows((1, 1, "a", 4), (2, 1, "a", 4), (2, 2, "a", 3)), path)
+    sinks.write_records(rows((2, 1, "b", 4)), path)
+    got = sorted((r.record_id, r.stay_id, r.x, r.source_version) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 1, "a", 4), (2, 1, "b", 4), (2, 2, "a", 3)]
