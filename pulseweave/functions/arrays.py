@@ -47,8 +47,14 @@ def nan_max(samples: Column) -> Column:
     return F.array_max(F.filter(samples, lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
+def usable_rate(fs: Column) -> Column:
+    """Whether a sampling rate is a positive number."""
+    return F.coalesce((fs > 0) & ~F.isnan(fs) & (fs < F.lit(float("inf"))), F.lit(False))
+
+
 def resampled_size(n: Column, fs: Column, target_fs: float) -> Column:
-    """Samples that ``n`` samples at ``fs`` become at ``target_fs``."""
+    """Samples that ``n`` samples at ``fs`` become at ``target_fs``; NULL without a usable rate."""
+    fs = F.when(usable_rate(fs), fs)
     scaled = F.floor(n * F.lit(float(target_fs)) / fs)
     return F.when(fs == F.lit(float(target_fs)), n).otherwise(scaled).cast("long")
 
@@ -92,8 +98,11 @@ def resample(samples: Column, fs: Column, target_fs: float) -> Column:
     Output sample j sits at source position ``j * fs / target_fs``.  Missing samples
     are never bridged: a value needs both of its neighbours.  The loop over samples is
     a NumPy kernel on Arrow batches: as a lambda over the array it takes microseconds
-    per sample.  Arrays already at ``target_fs`` do not leave the JVM.
+    per sample.  Arrays already at ``target_fs`` do not leave the JVM.  Samples whose rate
+    is NULL, NaN, infinite or not positive have no place in time: they become a NULL
+    array, never an empty one.
     """
-    same = fs == F.lit(float(target_fs))
-    moved = _resampler(float(target_fs))(F.when(~same, samples), fs)
-    return F.when(same, samples.cast("array<float>")).otherwise(moved)
+    same = F.coalesce(fs == F.lit(float(target_fs)), F.lit(False))
+    other = ~same & usable_rate(fs) & samples.isNotNull()
+    moved = _resampler(float(target_fs))(F.when(other, samples), F.when(other, fs))
+    return F.when(same, samples.cast("array<float>")).when(other, moved)

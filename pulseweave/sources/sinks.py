@@ -14,16 +14,11 @@ _BLOCK = 512
 def save_derived(derived: dict[str, DataFrame], root: str, version: int) -> None:
     """One Parquet table per derived table, a partition per source version.
 
-    Dynamic overwrite replaces the given version only.
+    Replaces the given version and no other; an empty table leaves that version empty.
     """
     for name, df in derived.items():
-        (
-            df.drop("source_version")
-            .withColumn("source_version", F.lit(version))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source_version")
-            .parquet(posixpath.join(root, name))
+        df.drop("source_version").write.mode("overwrite").parquet(
+            posixpath.join(root, name, f"source_version={version}")
         )
 
 
@@ -47,11 +42,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """Static rows, a partition per source version."""
+    """Static rows, partitioned by source version and recording.
+
+    Re-running for some recordings replaces just these, as :func:`write_chunks` does.
+    """
     (
         records.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source_version")
+        .partitionBy("source_version", "record_id")
         .parquet(path)
     )
 
