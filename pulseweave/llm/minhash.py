@@ -70,6 +70,12 @@ def shingle_sets(texts: list[str], words_per_shingle: int) -> list[np.ndarray]:
 #: average; more than SKETCH_LIMIT do once in 10 million pairs (1 at half that similarity).
 SKETCH = ("k0", "k1", "k2", "k3")
 SKETCH_LIMIT = 56
+#: Rows up to which an open bucket is small: chance brings few texts together, so from these
+#: only plausible pairs, at most this many per row, hold a group together.
+SMALL_BUCKET = 32
+#: Documents up to which ids are broadcast (about 100 MB in a task) to pick their texts;
+#: more are joined by a shuffle of all texts.
+BROADCAST_IDS = 4_000_000
 #: Shingles of a tile; a task that compares a group in full holds two tiles.
 TILE_SHINGLES = 300_000
 
@@ -130,10 +136,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     1. One pass computes every document's set size, two checksums of its set, a sketch of
        256 bits and its band keys.  Documents with equal sets form a class and go on as
        their smallest id.
-    2. In each bucket (band, key), every class is compared with the smallest id of the
-       bucket: as many candidates as rows, however large a bucket is.
+    2. In each bucket (band, key), every class has the smallest id of the bucket as a
+       candidate, and is compared with the smallest of its candidates: one pair per class,
+       however large its buckets are.
     3. Where that leaves a bucket with several components, its rows stay open.  Open rows
-       that share buckets, directly or through others, form a group, which is dealt into
+       that share large buckets or are plausible pairs of small ones, directly or through
+       others, form a group, which is dealt into
        tiles of bounded size; every pair of tiles is a task that compares its rows across
        components, all of them, and returns no more than one link per pair of components.
     So in a bucket only pairs that links already connect stay untested.  A candidate is
@@ -160,19 +168,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     pairs = members.join(shared.select("bucket", "a"), "bucket").where("doc_id > a") \
         .select("a", F.col("doc_id").alias("b")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
-    tested = materialize(pairs.join(x, F.col("a") == F.col("x.doc_id"))
-                         .join(y, (F.col("b") == F.col("y.doc_id")) & _plausible("x", "y", percent))
-                         .select("a", "b").distinct())
+    tested = materialize(
+        pairs.join(x, F.col("a") == F.col("x.doc_id"))
+        .join(y, (F.col("b") == F.col("y.doc_id")) & _plausible("x", "y", percent))
+        .groupBy("b").agg(F.min("a").alias("a"))
+    )
     links = materialize(_confirm(tested, texts, words_per_shingle, percent))
     found = components(links, "a", "b")
-    rest = materialize(_apart(members, found))
-    near = components(rest.join(rest.groupBy("bucket").agg(F.min("doc_id").alias("low")), "bucket")
-                      .select("doc_id", "low").distinct(), "doc_id", "low") \
-        .select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    open_rows = materialize(rest.select("doc_id", "component").distinct().join(near, "doc_id").join(sketches, "doc_id"))
+    rest = materialize(_apart(members, found).join(sketches, "doc_id"))
+    buckets = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("low"))
+    small = rest.join(buckets.where(F.col("rows") <= SMALL_BUCKET).select("bucket"), "bucket", "left_semi")
+    x, y = small.alias("x"), small.alias("y")
+    ties = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
+                  & _plausible("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    large = buckets.where(F.col("rows") > SMALL_BUCKET)
+    ties = ties.unionByName(rest.join(large, "bucket").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    near = components(ties, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    open_rows = materialize(rest.select("doc_id", "component", "n_shingles", *SKETCH).distinct().join(near, "doc_id"))
     tiles = open_rows.groupBy("group").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("tiles"))
     paired = (
-        open_rows.join(texts, "doc_id").join(tiles, "group")
+        open_rows.join(_texts_of(texts, open_rows.select("doc_id")), "doc_id").join(tiles, "group")
         .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "doc_id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("group", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"),
@@ -253,14 +268,20 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(apart, "bucket", "left_semi")
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents: without a shuffle of the others while the ids are few."""
+    ids = materialize(ids.distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) whose sets are similar enough.
 
     Only texts that occur in a candidate are shuffled.  Pairs are sorted by ``a`` within
     a partition, so the text that a bucket shares is read once for all its partners.
     """
-    taking = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = texts.join(taking, "doc_id", "left_semi")
+    some = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = (
         pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
         .join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
