@@ -12,21 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 # --------------------------------------------------------------------------
 # Canonical signal = raw channel names
 # --------------------------------------------------------------------------
-_SIGNALS = """
-ABP = ABP | ART
-PLETH = PLETH | PLETH L | PLETH R | PLETHl | PLETHr | PLTHPR | Pleth
-AVR = AVR | aVR
-AVL = AVL | aVL
-I = I
-II = II
-III = III
-V = V
-MCL1 = MCL1 | MCL
-RESP = RESP | Resp
-PAP = PAP
-CVP = CVP
-ICP = ICP
-"""
+_SIGNALS = {
+    "ABP": ("ABP", "ART",),
+    "PLETH": ("PLETH", "PLETH L", "PLETH R", "PLETHl", "PLETHr", "PLTHPR", "Pleth",),
+    "AVR": ("AVR", "aVR",),
+    "AVL": ("AVL", "aVL",),
+    "I": ("I",),
+    "II": ("II",),
+    "III": ("III",),
+    "V": ("V",),
+    "MCL1": ("MCL1", "MCL",),
+    "RESP": ("RESP", "Resp",),
+    "PAP": ("PAP",),
+    "CVP": ("CVP",),
+    "ICP": ("ICP",),
+}
 
 # Signals a recording must hold to be usable, and for how long
 FINAL_SIGNALS = ("II", "PLETH", "ABP")
@@ -56,122 +56,155 @@ WEIGHT_MAX_KG = 500
 # --------------------------------------------------------------------------
 # Laboratory label = feature name
 # --------------------------------------------------------------------------
-_LABS = """
-Hematocrit = hematocrit
-Platelet Count = platelets
-Creatinine = creatinine
-Potassium = potassium
-Hemoglobin = hemoglobin
-White Blood Cells = wbc
-MCHC = mchc
-Red Blood Cells = rbc
-MCV = mcv
-MCH = mch
-RDW = rdw
-Urea Nitrogen = bun
-Sodium = sodium
-Chloride = chloride
-Bicarbonate = bicarbonate
-Anion Gap = anion_gap
-Glucose = glucose
-Magnesium = magnesium
-Calcium, Total = calcium
-Phosphate = phosphate
-INR(PT) = inr
-PT = pt
-PTT = ptt
-Basophils = basophils
-Neutrophils = neutrophils
-Monocytes = monocytes
-Eosinophils = eosinophils
-Lymphocytes = lymphocytes
-RDW-SD = rdw_sd
-H = h
-L = l
-I = i
-Alanine Aminotransferase (ALT) = alt
-Asparate Aminotransferase (AST) = ast
-Lactate = lactate
-Alkaline Phosphatase = alp
-Bilirubin, Total = bilirubin
-pH = ph
-Albumin = albumin
-Base Excess = base_excess
-pO2 = po2
-Calculated Total CO2 = tco2
-pCO2 = pco2
-Absolute Neutrophil Count = anc
-Absolute Eosinophil Count = aec
-Absolute Monocyte Count = amc
-Absolute Basophil Count = abc
-Absolute Lymphocyte Count = alc
-Creatine Kinase (CK) = ck
-Immature Granulocytes = ig
-"""
+LAB_ROWS = [
+    ("Hematocrit", "hematocrit"),
+    ("Platelet Count", "platelets"),
+    ("Creatinine", "creatinine"),
+    ("Potassium", "potassium"),
+    ("Hemoglobin", "hemoglobin"),
+    ("White Blood Cells", "wbc"),
+    ("MCHC", "mchc"),
+    ("Red Blood Cells", "rbc"),
+    ("MCV", "mcv"),
+    ("MCH", "mch"),
+    ("RDW", "rdw"),
+    ("Urea Nitrogen", "bun"),
+    ("Sodium", "sodium"),
+    ("Chloride", "chloride"),
+    ("Bicarbonate", "bicarbonate"),
+    ("Anion Gap", "anion_gap"),
+    ("Glucose", "glucose"),
+    ("Magnesium", "magnesium"),
+    ("Calcium, Total", "calcium"),
+    ("Phosphate", "phosphate"),
+    ("INR(PT)", "inr"),
+    ("PT", "pt"),
+    ("PTT", "ptt"),
+    ("Basophils", "basophils"),
+    ("Neutrophils", "neutrophils"),
+    ("Monocytes", "monocytes"),
+    ("Eosinophils", "eosinophils"),
+    ("Lymphocytes", "lymphocytes"),
+    ("RDW-SD", "rdw_sd"),
+    ("H", "h"),
+    ("L", "l"),
+    ("I", "i"),
+    ("Alanine Aminotransferase (ALT)", "alt"),
+    ("Asparate Aminotransferase (AST)", "ast"),
+    ("Lactate", "lactate"),
+    ("Alkaline Phosphatase", "alp"),
+    ("Bilirubin, Total", "bilirubin"),
+    ("pH", "ph"),
+    ("Albumin", "albumin"),
+    ("Base Excess", "base_excess"),
+    ("pO2", "po2"),
+    ("Calculated Total CO2", "tco2"),
+    ("pCO2", "pco2"),
+    ("Absolute Neutrophil Count", "anc"),
+    ("Absolute Eosinophil Count", "aec"),
+    ("Absolute Monocyte Count", "amc"),
+    ("Absolute Basophil Count", "abc"),
+    ("Absolute Lymphocyte Count", "alc"),
+    ("Creatine Kinase (CK)", "ck"),
+    ("Immature Granulocytes", "ig"),
+]
 
 # --------------------------------------------------------------------------
 # Drug category, then drug = charted item labels
 # --------------------------------------------------------------------------
-_DRUGS = """
-[vasopressor]
-norepinephrine = Levophed-k | Levophed | Norepinephrine
-epinephrine = Epinephrine-k | Epinephrine
-dopamine = Dopamine | Dopamine Drip
-phenylephrine = Neosynephrine-k | Neosynephrine | Phenylephrine | Phenylephrine (50/250) | Phenylephrine (200/250)
-vasopressin = Vasopressin
-octreotide = Sandostatin | OCTREOTIDE | Octreotide | octreotide
-isoproterenol = Isuprel
-[inotrope]
-milrinone = Milrinone
-dobutamine = Dobutamine
-amrinone = Amrinone
-aminophylline = Aminophylline
-atropine = Atropine
-[vasodilator]
-nitroprusside = Nitroprusside
-nitroglycerin = Nitroglycerine-k | Nitroglycerine | Nitroglycerin
-nicardipine = Nicardipine | nicardipine gtt | Nicardipine 40mg/200
-labetalol = Labetolol | Labetalol
-diltiazem = Diltiazem
-esmolol = Esmolol
-nesiritide = Natrecor | Nesiritide
-epoprostenol = FLOLAN
-prostaglandin = Prostaglandin
-metoprolol = Metoprolol
-hydralazine = Hydralazine
-verapamil = Verapamil
-angiotensin_ii = Angiotensin II (Giapreza)
-furosemide = Furosemide (Lasix) | Lasix
-fenoldopam = FENOLDOPAM 10MG/250C | Fendolapam
-[antiarrhythmic]
-amiodarone = Amiodarone | Amiodarone 600/500 | Amiodarone 450/250
-lidocaine = Lidocaine
-procainamide = Procainamide
-adenosine = Adenosine
-[sedative_analgesic]
-propofol = Propofol
-fentanyl = Fentanyl | Fentanyl (Conc) | Fentanyl Base | Fentanyl (Concentrate) | Fentanyl Drip
-midazolam = Midazolam | Midazolam (Versed)
-lorazepam = Ativan | Lorazepam (Ativan)
-morphine = Morphine Sulfate
-hydromorphone = Dilaudid | Hydromorphone (Dilaudid)
-dexmedetomidine = Precedex | Dexmedetomidine (Precedex) | Precedex (mcg/kg/hr) | PRECEDEX CC/HR
-pentobarbital = Pentobarbitol
-meperidine = demerol | Meperidine (Demerol)
-ketamine = Ketamine
-methadone = Methadone Hydrochloride
-diazepam = Diazepam (Valium)
-haloperidol = Haloperidol (Haldol)
-bupivacaine = bupivacaine
-epidural = Epidural | epidural
-acetaminophen_iv = Acetaminophen-IV
-[nm_blocker]
-cisatracurium = Cisatracurium | CISATRICURIUM | cisatricurium | Cisat mcg/kg/hr | Cisat mcg/kg/min | NIMBEX | nimbex
-vecuronium = Vecuronium
-pancuronium = Pancuronium
-atracurium = Atracurium
-doxacurium = Doxacurium
-"""
+DRUG_ROWS = [
+    ("Levophed-k", "norepinephrine", "vasopressor"),
+    ("Levophed", "norepinephrine", "vasopressor"),
+    ("Norepinephrine", "norepinephrine", "vasopressor"),
+    ("Epinephrine-k", "epinephrine", "vasopressor"),
+    ("Epinephrine", "epinephrine", "vasopressor"),
+    ("Dopamine", "dopamine", "vasopressor"),
+    ("Dopamine Drip", "dopamine", "vasopressor"),
+    ("Neosynephrine-k", "phenylephrine", "vasopressor"),
+    ("Neosynephrine", "phenylephrine", "vasopressor"),
+    ("Phenylephrine", "phenylephrine", "vasopressor"),
+    ("Phenylephrine (50/250)", "phenylephrine", "vasopressor"),
+    ("Phenylephrine (200/250)", "phenylephrine", "vasopressor"),
+    ("Vasopressin", "vasopressin", "vasopressor"),
+    ("Sandostatin", "octreotide", "vasopressor"),
+    ("OCTREOTIDE", "octreotide", "vasopressor"),
+    ("Octreotide", "octreotide", "vasopressor"),
+    ("octreotide", "octreotide", "vasopressor"),
+    ("Isuprel", "isoproterenol", "vasopressor"),
+    ("Milrinone", "milrinone", "inotrope"),
+    ("Dobutamine", "dobutamine", "inotrope"),
+    ("Amrinone", "amrinone", "inotrope"),
+    ("Aminophylline", "aminophylline", "inotrope"),
+    ("Atropine", "atropine", "inotrope"),
+    ("Nitroprusside", "nitroprusside", "vasodilator"),
+    ("Nitroglycerine-k", "nitroglycerin", "vasodilator"),
+    ("Nitroglycerine", "nitroglycerin", "vasodilator"),
+    ("Nitroglycerin", "nitroglycerin", "vasodilator"),
+    ("Nicardipine", "nicardipine", "vasodilator"),
+    ("nicardipine gtt", "nicardipine", "vasodilator"),
+    ("Nicardipine 40mg/200", "nicardipine", "vasodilator"),
+    ("Labetolol", "labetalol", "vasodilator"),
+    ("Labetalol", "labetalol", "vasodilator"),
+    ("Diltiazem", "diltiazem", "vasodilator"),
+    ("Esmolol", "esmolol", "vasodilator"),
+    ("Natrecor", "nesiritide", "vasodilator"),
+    ("Nesiritide", "nesiritide", "vasodilator"),
+    ("FLOLAN", "epoprostenol", "vasodilator"),
+    ("Prostaglandin", "prostaglandin", "vasodilator"),
+    ("Metoprolol", "metoprolol", "vasodilator"),
+    ("Hydralazine", "hydralazine", "vasodilator"),
+    ("Verapamil", "verapamil", "vasodilator"),
+    ("Angiotensin II (Giapreza)", "angiotensin_ii", "vasodilator"),
+    ("Furosemide (Lasix)", "furosemide", "vasodilator"),
+    ("Lasix", "furosemide", "vasodilator"),
+    ("FENOLDOPAM 10MG/250C", "fenoldopam", "vasodilator"),
+    ("Fendolapam", "fenoldopam", "vasodilator"),
+    ("Amiodarone", "amiodarone", "antiarrhythmic"),
+    ("Amiodarone 600/500", "amiodarone", "antiarrhythmic"),
+    ("Amiodarone 450/250", "amiodarone", "antiarrhythmic"),
+    ("Lidocaine", "lidocaine", "antiarrhythmic"),
+    ("Procainamide", "procainamide", "antiarrhythmic"),
+    ("Adenosine", "adenosine", "antiarrhythmic"),
+    ("Propofol", "propofol", "sedative_analgesic"),
+    ("Fentanyl", "fentanyl", "sedative_analgesic"),
+    ("Fentanyl (Conc)", "fentanyl", "sedative_analgesic"),
+    ("Fentanyl Base", "fentanyl", "sedative_analgesic"),
+    ("Fentanyl (Concentrate)", "fentanyl", "sedative_analgesic"),
+    ("Fentanyl Drip", "fentanyl", "sedative_analgesic"),
+    ("Midazolam", "midazolam", "sedative_analgesic"),
+    ("Midazolam (Versed)", "midazolam", "sedative_analgesic"),
+    ("Ativan", "lorazepam", "sedative_analgesic"),
+    ("Lorazepam (Ativan)", "lorazepam", "sedative_analgesic"),
+    ("Morphine Sulfate", "morphine", "sedative_analgesic"),
+    ("Dilaudid", "hydromorphone", "sedative_analgesic"),
+    ("Hydromorphone (Dilaudid)", "hydromorphone", "sedative_analgesic"),
+    ("Precedex", "dexmedetomidine", "sedative_analgesic"),
+    ("Dexmedetomidine (Precedex)", "dexmedetomidine", "sedative_analgesic"),
+    ("Precedex (mcg/kg/hr)", "dexmedetomidine", "sedative_analgesic"),
+    ("PRECEDEX CC/HR", "dexmedetomidine", "sedative_analgesic"),
+    ("Pentobarbitol", "pentobarbital", "sedative_analgesic"),
+    ("demerol", "meperidine", "sedative_analgesic"),
+    ("Meperidine (Demerol)", "meperidine", "sedative_analgesic"),
+    ("Ketamine", "ketamine", "sedative_analgesic"),
+    ("Methadone Hydrochloride", "methadone", "sedative_analgesic"),
+    ("Diazepam (Valium)", "diazepam", "sedative_analgesic"),
+    ("Haloperidol (Haldol)", "haloperidol", "sedative_analgesic"),
+    ("bupivacaine", "bupivacaine", "sedative_analgesic"),
+    ("Epidural", "epidural", "sedative_analgesic"),
+    ("epidural", "epidural", "sedative_analgesic"),
+    ("Acetaminophen-IV", "acetaminophen_iv", "sedative_analgesic"),
+    ("Cisatracurium", "cisatracurium", "nm_blocker"),
+    ("CISATRICURIUM", "cisatracurium", "nm_blocker"),
+    ("cisatricurium", "cisatracurium", "nm_blocker"),
+    ("Cisat mcg/kg/hr", "cisatracurium", "nm_blocker"),
+    ("Cisat mcg/kg/min", "cisatracurium", "nm_blocker"),
+    ("NIMBEX", "cisatracurium", "nm_blocker"),
+    ("nimbex", "cisatracurium", "nm_blocker"),
+    ("Vecuronium", "vecuronium", "nm_blocker"),
+    ("Pancuronium", "pancuronium", "nm_blocker"),
+    ("Atracurium", "atracurium", "nm_blocker"),
+    ("Doxacurium", "doxacurium", "nm_blocker"),
+]
 
 # Norepinephrine-equivalent weight of each vasoactive drug
 NOREPI_FACTORS = {
@@ -194,33 +227,15 @@ REBUILT_ROUTE = "Continuous Med"
 LOOKBACK_HOURS = 2
 
 
-def _pairs(text: str) -> list[tuple[str, str]]:
-    """``name = a | b`` lines as (name, a), (name, b), in written order."""
-    out = []
-    for line in text.strip().splitlines():
-        name, _, variants = line.partition(" = ")
-        out += [(name, v) for v in variants.split(" | ")]
-    return out
-
-
-def _drug_rows() -> list[tuple[str, str, str]]:
-    rows, category = [], ""
-    for line in _DRUGS.strip().splitlines():
-        if line.startswith("["):
-            category = line.strip("[]")
-        else:
-            rows += [(label, drug, category) for drug, label in _pairs(line)]
-    return rows
-
-
-SIGNAL_ROWS = [(raw, canon, i) for i, (canon, raw) in enumerate(_pairs(_SIGNALS))]
+SIGNAL_ROWS = [
+    (raw, canon, i)
+    for i, (canon, raw) in enumerate((c, r) for c, names in _SIGNALS.items() for r in names)
+]
 SIGNALS = tuple(dict.fromkeys(canon for _, canon, _ in SIGNAL_ROWS))
 
-LAB_ROWS = _pairs(_LABS)
 LAB_LABELS = tuple(label for label, _ in LAB_ROWS)
 LAB_FEATURES = tuple(feature for _, feature in LAB_ROWS)
 
-DRUG_ROWS = _drug_rows()
 DRUG_LABELS = tuple(label for label, _, _ in DRUG_ROWS)
 DRUG_CATEGORY = {drug: category for _, drug, category in DRUG_ROWS}
 DRUGS = tuple(DRUG_CATEGORY)
