@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --------------------------------------------------------------------------
-# Canonical signal = raw channel names
+# Canonical signal, raw channel names
 # --------------------------------------------------------------------------
 _SIGNALS = {
-    "ABP": ("ABP", "ART",),
-    "PLETH": ("PLETH", "PLETH L", "PLETH R", "PLETHl", "PLETHr", "PLTHPR", "Pleth",),
-    "AVR": ("AVR", "aVR",),
-    "AVL": ("AVL", "aVL",),
+    "ABP": ("ABP", "ART"),
+    "PLETH": ("PLETH", "PLETH L", "PLETH R", "PLETHl", "PLETHr", "PLTHPR", "Pleth"),
+    "AVR": ("AVR", "aVR"),
+    "AVL": ("AVL", "aVL"),
     "I": ("I",),
     "II": ("II",),
     "III": ("III",),
     "V": ("V",),
-    "MCL1": ("MCL1", "MCL",),
-    "RESP": ("RESP", "Resp",),
+    "MCL1": ("MCL1", "MCL"),
+    "RESP": ("RESP", "Resp"),
     "PAP": ("PAP",),
     "CVP": ("CVP",),
     "ICP": ("ICP",),
@@ -54,7 +54,7 @@ WEIGHT_MIN_KG = 20
 WEIGHT_MAX_KG = 500
 
 # --------------------------------------------------------------------------
-# Laboratory label = feature name
+# Laboratory label, feature name
 # --------------------------------------------------------------------------
 LAB_ROWS = [
     ("Hematocrit", "hematocrit"),
@@ -110,7 +110,7 @@ LAB_ROWS = [
 ]
 
 # --------------------------------------------------------------------------
-# Drug category, then drug = charted item labels
+# Charted item label, drug, drug category
 # --------------------------------------------------------------------------
 DRUG_ROWS = [
     ("Levophed-k", "norepinephrine", "vasopressor"),
