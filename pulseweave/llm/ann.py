@@ -22,10 +22,15 @@ BUCKET = 2048
 SAMPLE = 4096
 #: Estimated chance, over all tables, that a near neighbour's bucket is visited.
 TARGET = 0.96
-#: Bound of the buckets a query visits in a table.
+#: Buckets a query should reach TARGET with in a table.  Hash functions are given up until sampled
+#: queries do; a query that still needs more visits goes on.
 PROBES = 4096
+#: The same chance in one table.
+SHARE = 1 - (1 - TARGET) ** (1 / TABLES)
 #: Bounds of a task: indexed vectors, and queries, that meet in it.
 CHUNK = 2048
+#: Rows of a batch that hashing returns.
+OUT = 1 << 16
 _SEED = 7
 _erf = np.vectorize(erf, otypes=[float])
 
@@ -82,33 +87,56 @@ class Index:
 
         A near neighbour's projection is normal around ``closeness`` times the query's, so
         each slot of each function has a chance, and a bucket the product of them.  Buckets
-        are taken in falling order of it until the chances add up to the target.
+        are taken in falling order of it until the chances add up to the target, however
+        many that takes: those of all buckets add up to 1.
         """
         tables, functions = self.shifts.shape
+        chance = self.chances(x)
+        every = len(self.slots) ** functions
+        owners, keys = [], []
+        for t in range(tables):
+            todo, limit = np.arange(len(x)), min(PROBES, every)
+            while len(todo):
+                short = []
+                step = max(1, len(x) * PROBES // limit)
+                for first in range(0, len(todo), step):
+                    part = todo[first:first + step]
+                    found, picked = self.best(chance[part, t], limit)
+                    before = np.cumsum(found, axis=1) - found
+                    done = (before[:, -1] + found[:, -1] >= SHARE) | (limit == every)
+                    short.append(part[~done])
+                    owner, place = np.nonzero((before < SHARE) & done[:, None])
+                    numbers = np.zeros((len(owner), tables, functions), np.int64)
+                    numbers[:, t] = picked[owner, place]
+                    owners.append(part[owner])
+                    keys.append(self.buckets(numbers, x.shape[1])[:, t])
+                todo, limit = np.concatenate(short), min(4 * limit, every)
+        return np.concatenate(owners), np.concatenate(keys)
+
+    def reaches(self, x: np.ndarray) -> bool:
+        """Whether PROBES visits in each table bring all of these queries to the target."""
+        chance = self.chances(x)
+        return all((self.best(chance[:, t], PROBES)[0].sum(axis=1) >= SHARE).all() for t in range(chance.shape[1]))
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Logarithms (query, table, function, slot) of a near neighbour's chance of the slot."""
         at = self.closeness * (self.project(x, True) - self.shifts) + self.shifts
         spread = np.sqrt(2 * max(1e-6, 1 - self.closeness ** 2))
         borders = np.concatenate([[-np.inf], self.slots[1:] * self.slot, [np.inf]])
         below = 0.5 * (1 + _erf((borders - at[..., None]) / spread))
-        chance = np.log(np.maximum(np.diff(below, axis=-1), 1e-300))
-        share = 1 - (1 - TARGET) ** (1 / tables)
-        owners, keys = [], []
-        for t in range(tables):
-            score, picked = np.zeros((len(x), 1)), np.zeros((len(x), 1, 0), np.int64)
-            for k in range(functions):
-                # The best prefixes hold the prefix of each best sequence, so this order is exact.
-                grown = (score[:, :, None] + chance[:, t, k][:, None, :]).reshape(len(x), -1)
-                best = np.argsort(-grown, axis=1, kind="stable")[:, :PROBES]
-                score = np.take_along_axis(grown, best, 1)
-                old, new = np.divmod(best, len(self.slots))
-                picked = np.concatenate([np.take_along_axis(picked, old[:, :, None], 1), self.slots[new][:, :, None]], axis=2)
-            found = np.exp(score)
-            visit = np.cumsum(found, axis=1) - found < share
-            owner, place = np.nonzero(visit)
-            numbers = np.zeros((len(owner), tables, functions), np.int64)
-            numbers[:, t] = picked[owner, place]
-            owners.append(owner)
-            keys.append(self.buckets(numbers, x.shape[1])[:, t])
-        return np.concatenate(owners), np.concatenate(keys)
+        return np.log(np.maximum(np.diff(below, axis=-1), 1e-300))
+
+    def best(self, chance: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``limit`` likeliest buckets of each query in one table: chances, slot numbers."""
+        score, picked = np.zeros((len(chance), 1)), np.zeros((len(chance), 1, 0), np.int64)
+        for k in range(chance.shape[1]):
+            # The best prefixes hold the prefix of each best sequence, so this order is exact.
+            grown = (score[:, :, None] + chance[:, k][:, None, :]).reshape(len(chance), -1)
+            best = np.argsort(-grown, axis=1, kind="stable")[:, :limit]
+            score = np.take_along_axis(grown, best, 1)
+            old, new = np.divmod(best, len(self.slots))
+            picked = np.concatenate([np.take_along_axis(picked, old[:, :, None], 1), self.slots[new][:, :, None]], axis=2)
+        return np.exp(score), picked
 
 
 def fit(classes: DataFrame, neighbours: int) -> Index | None:
@@ -125,8 +153,8 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
         sample[size] = np.array([c for c, _ in some]), np.stack([x for _, x in some])
     functions = max(1, min(16, round(log2(max(n / BUCKET, 2)) / 2)))
     rng = np.random.default_rng(_SEED)
-    index = Index(rng.standard_normal((width + 1, TABLES, functions)), rng.random((TABLES, functions)), 1.0, largest, 0.5,
-                  np.arange(-3, 4), sample)
+    directions, shifts = rng.standard_normal((width + 1, TABLES, functions)), rng.random((TABLES, functions))
+    index = Index(directions, shifts, 1.0, largest, 0.5, np.arange(-3, 4), sample)
     cosines = []
     for _, x in sample.values():
         if len(x) > 1:
@@ -136,6 +164,9 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
             cosines.extend(near[:, rank] / largest)
     if cosines:
         index.closeness = float(np.clip(np.median(cosines), 0.05, 0.999))
+    while functions > 1 and not all(index.reaches(x[:64]) for _, x in sample.values()):
+        functions -= 1
+        index.directions, index.shifts = directions[:, :, :functions], shifts[:, :functions]
     return index
 
 
@@ -163,12 +194,14 @@ def _keyed(held, queries: bool, keep: int):
                         common = np.flatnonzero(np.isin(cls[rows[part]], index.sample.get(width, ((), None))[0]))
                     # One more bucket, which every query visits, holds the sample.
                     owner, key = np.concatenate([owner, common]), np.concatenate([key, np.full(len(common), -width)])
-                    flat_part = x[part][owner].astype(np.float32 if flat.dtype == np.float32 else np.float64)
                     kind = pa.float32() if flat.dtype == np.float32 else pa.float64()
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(key), pa.array(cls[rows[part]][owner]), pa.array(floor[owner]),
-                        lists(flat_part.ravel(), np.full(len(owner), width), kind),
-                    ], names=["bucket", "cls", "floor", "vector"])
+                    for at in range(0, len(owner), OUT):
+                        own = owner[at:at + OUT]
+                        flat_part = x[part][own].astype(np.float32 if flat.dtype == np.float32 else np.float64)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(key[at:at + OUT]), pa.array(cls[rows[part]][own]), pa.array(floor[own]),
+                            lists(flat_part.ravel(), np.full(len(own), width), kind),
+                        ], names=["bucket", "cls", "floor", "vector"])
 
     return run
 

@@ -160,6 +160,45 @@ def test_nearest_recall_and_awkward_vectors(spark):
     assert ann.nearest(df.where("false"), df.where("false"), 20).count() == 0
 
 
+def sphere(n, width=32, seed=4):
+    x = np.random.default_rng(seed).standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fitted(functions, closeness, width=32):
+    rng = np.random.default_rng(5)
+    return ann.Index(rng.standard_normal((width + 1, ann.TABLES, functions)), rng.random((ann.TABLES, functions)), 1.0, 1.0,
+                     closeness, np.arange(-3, 4), {})
+
+
+@pytest.mark.parametrize("functions", [4, 7])
+def test_probes_go_on_until_the_target(functions):
+    index = fitted(functions, 0.4)
+    q = np.repeat(sphere(8), 100, axis=0)
+    u = np.random.default_rng(6).standard_normal(q.shape)
+    u -= (u * q).sum(axis=1, keepdims=True) * q
+    near = 0.4 * q + (1 - 0.4 ** 2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+    owner, key = index.probes(q[::100])
+    visited = [set(key[owner == k].tolist()) for k in range(8)]
+    found = [not visited[k // 100].isdisjoint(own) for k, own in enumerate(index.index(near).tolist())]
+    assert np.mean(found) > ann.TARGET - 0.03
+    assert (np.bincount(owner) > ann.PROBES).all() == (functions == 7)
+
+
+def test_functions_are_as_many_as_the_visits_can_serve(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET", 2000 / 4 ** 8)  # a table this full would get 8 functions
+    x = sphere(2000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "cls long, vector array<double>")
+    index = ann.fit(df, 20)
+    assert index.shifts.shape[1] < 8 and index.reaches(x[:64])
+    keys, hits = index.index(x), 0
+    owner, key = index.probes(x[:64])
+    for k in range(64):
+        found = np.isin(keys, key[owner == k]).any(axis=1)
+        hits += found[np.argsort(-(x @ x[k]))[1:21]].sum()
+    assert hits >= 0.9 * 64 * 20
+
+
 def chat_events(rows):
     return [(c, s, m, k, r, t, "x") for c, s, m, k, r, t in rows]
 
