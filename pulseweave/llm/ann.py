@@ -50,14 +50,21 @@ class Index:
     largest: float
     closeness: float  # of a query to its near neighbours: their cosine, after scaling
     slots: np.ndarray  # slot numbers that occur, outer ones stand for all beyond
-    sample: dict[int, tuple[np.ndarray, np.ndarray]]  # by width: classes, vectors
+    sample: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by width: classes, vectors, their buckets
 
-    def floors(self, x: np.ndarray, keep: int) -> np.ndarray:
-        """A score that each query's ``keep``-th nearest reaches at least: the one among the sample."""
-        known = self.sample.get(x.shape[1], ((), None))
-        if len(known[0]) < keep:
+    def floors(self, x: np.ndarray, keep: int, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """A score that ``keep`` of those that each query finds reach: rows of the sample in
+        buckets that it visits (``owner``, ``key``)."""
+        _, known, held = self.sample.get(x.shape[1], ((), np.empty((0, x.shape[1])), np.empty((0, 1), np.int64)))
+        if len(known) < keep:
             return np.full(len(x), -np.inf)
-        s = x @ known[1].T
+        names, place = np.unique(held, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+        real = names[at] == key
+        visited = np.zeros((len(x), len(names)), bool)
+        visited[owner[real], at[real]] = True
+        found = np.logical_or.reduce([visited[:, p] for p in place.reshape(held.shape).T])
+        s = np.where(found, x @ known.T, -np.inf)
         return np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
 
     def project(self, x: np.ndarray, queries: bool) -> np.ndarray:
@@ -150,13 +157,13 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
     sample = {}
     for size in {len(x) for _, x in drawn}:
         some = [(c, x) for c, x in drawn if len(x) == size]
-        sample[size] = np.array([c for c, _ in some]), np.stack([x for _, x in some])
+        sample[size] = np.array([c for c, _ in some]), np.stack([x for _, x in some]), np.empty((0, 0), np.int64)
     functions = max(1, min(16, round(log2(max(n / BUCKET, 2)) / 2)))
     rng = np.random.default_rng(_SEED)
     directions, shifts = rng.standard_normal((width + 1, TABLES, functions)), rng.random((TABLES, functions))
     index = Index(directions, shifts, 1.0, largest, 0.5, np.arange(-3, 4), sample)
     cosines = []
-    for _, x in sample.values():
+    for _, x, _ in sample.values():
         if len(x) > 1:
             q = x[:256] / np.linalg.norm(x[:256], axis=1, keepdims=True)
             near = np.sort(q @ x.T, axis=1)[:, ::-1]
@@ -164,9 +171,10 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
             cosines.extend(near[:, rank] / largest)
     if cosines:
         index.closeness = float(np.clip(np.median(cosines), 0.05, 0.999))
-    while functions > 1 and not all(index.reaches(x[:64]) for _, x in sample.values()):
+    while functions > 1 and not all(index.reaches(x[:64]) for _, x, _ in sample.values()):
         functions -= 1
         index.directions, index.shifts = directions[:, :, :functions], shifts[:, :functions]
+    index.sample = {size: (c, x, index.index(x)) for size, (c, x, _) in sample.items()}
     return index
 
 
@@ -185,15 +193,11 @@ def _keyed(held, queries: bool, keep: int):
                     part = slice(first, first + 64)
                     if queries:
                         owner, key = index.probes(x[part])
-                        floor = index.floors(x[part], keep)
-                        common = np.arange(len(floor))
+                        floor = index.floors(x[part], keep, owner, key)
                     else:
                         key = index.index(x[part])
                         owner, key = np.repeat(np.arange(len(key)), key.shape[1]), key.ravel()
                         floor = np.zeros(len(x[part]))
-                        common = np.flatnonzero(np.isin(cls[rows[part]], index.sample.get(width, ((), None))[0]))
-                    # One more bucket, which every query visits, holds the sample.
-                    owner, key = np.concatenate([owner, common]), np.concatenate([key, np.full(len(common), -width)])
                     kind = pa.float32() if flat.dtype == np.float32 else pa.float64()
                     for at in range(0, len(owner), OUT):
                         own = owner[at:at + OUT]
@@ -269,7 +273,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
     Equal vectors are hashed and compared once, as a class with its ``neighbours + 1``
     smallest ids.  A bucket is cut into chunks of vectors and of queries, so that a task is
     bounded however full a bucket is; it returns the best of each query only, and of these
-    what reaches the score that so many rows of the sample reach already.
+    what reaches the score that so many rows of the sample reach in the buckets visited.
 
     Rows that are not :func:`usable`, or without id, take no part.  Vectors of different
     lengths are never neighbours.  Rows with one id and different vectors count as several

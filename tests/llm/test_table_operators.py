@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,33 @@ def test_functions_are_as_many_as_the_visits_can_serve(spark, monkeypatch):
     assert hits >= 0.9 * 64 * 20
 
 
+def test_nearest_are_found_by_hashing_alone(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 100)
+    monkeypatch.setattr(ann, "BUCKET", 40)
+    x, n = sphere(2500), 2500
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.fit(df.select(F.col("vec_id").alias("cls"), F.col("embedding").alias("vector")), 20)
+    assert index.shifts.shape[1] == 3 and len(index.sample[32][0]) < 200
+    held = type("Held", (), {"value": index})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(x.tolist())], names=["cls", "vector"])
+    rows = pa.Table.from_batches(ann._keyed(held, False, 21)([batch]))
+    keys = index.index(x)
+    assert rows.num_rows == n * ann.TABLES and set(rows["bucket"].to_pylist()) == set(keys.ravel().tolist())
+    asked = pa.Table.from_batches(ann._keyed(held, True, 21)([batch.slice(0, 300)]))
+    own, bucket, floor = (asked[c].to_numpy() for c in ("cls", "bucket", "floor"))
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id < 300"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for k in range(300):
+        score, found = x @ x[k], np.isin(keys, bucket[own == k]).any(axis=1)
+        assert (score[found] >= floor[own == k].max() - 1e-9).sum() >= min(21, found.sum())
+        reached = [j for j in np.argsort(-score).tolist() if found[j] and j != k]
+        assert got[k] == set(reached[:20])
+        hits += len(got[k] & set(np.argsort(-score)[1:21].tolist()))
+    assert hits >= 0.9 * 300 * 20
+
+
 def chat_events(rows):
     return [(c, s, m, k, r, t, "x") for c, s, m, k, r, t in rows]
 
