@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseweave.llm.common import query, table
@@ -15,10 +17,12 @@ from pulseweave.session import materialize
 
 #: Rows of a block.
 BLOCK = 16
-#: Slots after which the pattern of a phase repeats; weights are rounded to whole shares of it.
+#: Slots of a pattern of whole shares.
 PERIOD = 2520
-#: Bound of the sources, whose counts and weights the driver holds.
+#: Bound of the sources, whose counts and weights one task holds.
 MAX_SOURCES = 256
+#: Blocks of a batch of the schedule.
+BATCH = 1 << 16
 
 
 def shares(weights: list[float], period: int) -> list[int]:
@@ -37,55 +41,62 @@ def shares(weights: list[float], period: int) -> list[int]:
 
 
 def pattern(whole: list[int], period: int) -> list[list[int]]:
-    """The slots of each source in one period.
-
-    Block k of a source with weight w is released at floor(k / w) and due at
-    ceil((k + 1) / w) (Baruah et al., "Proportionate Progress").  In each slot the
-    released block with the earliest deadline goes, ties to the first source.  With
-    weights that add up to 1 every deadline is met, so at any time a source is less than
-    one block away from its share; at the end of the period all are exactly at it.
-    """
+    """The slots of each source in one period; at its end all are exactly at their share."""
     slots: list[list[int]] = [[] for _ in whole]
-    waiting = [(0, s) for s in range(len(whole))]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // whole[s]), s))
-        s = heapq.heappop(ready)[1]
-        slots[s].append(t)
-        k = len(slots[s])
-        if k < whole[s]:
-            heapq.heappush(waiting, (k * period // whole[s], s))
+    for _, at, s, *_ in islice(schedule([period + 1] * len(whole), whole), period):
+        slots[s].append(at)
     return slots
 
 
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """Phases until all blocks are placed: a source that has run out leaves the others to share.
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(phase, slot, source, release, deadline) of all blocks, in slot order.
 
-    Each phase has its first slot and, per active source, its first block, how many of its
-    blocks it takes, its whole share and its slots in the period.  There are at most as
-    many phases as sources.
+    Block k of a source with weight w is released at floor(k / w) and due at
+    ceil((k + 1) / w) (Baruah et al., "Proportionate Progress"), counted from the start of
+    the phase, in exact arithmetic.  In each slot the released block with the earliest
+    deadline goes, ties to the larger weight, then to the first source.  As the weights of
+    a phase add up to 1 every deadline is met, so at any time a source is less than one
+    block away from its share.  A source that has run out ends the phase and leaves the
+    others to share.
+
+    Time is in proportion to the blocks, memory to the sources: a source that a phase has
+    not served yet stays where it is in ``fresh``, whose order holds in every phase.
     """
-    left, done, start, phases = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        active = [s for s, n in enumerate(left) if n]
-        size = max(period, len(active))
-        whole = shares([weights[s] for s in active], size)
-        slots = pattern(whole, size)
-        # The time at which each source would run out; the first one ends the phase.
-        ends = [(left[s] - 1) // w * size + own[(left[s] - 1) % w] + 1 for s, w, own in zip(active, whole, slots)]
-        end = min(ends)
-        taken = [end // size * w + int(np.searchsorted(own, end % size)) for w, own in zip(whole, slots)]
-        phases.append({"start": start, "period": size, "sources": [
-            {"source": s, "first": done[s], "blocks": n, "share": w, "slots": own}
-            for s, n, w, own in zip(active, taken, whole, slots)]})
-        for s, n in zip(active, taken):
-            left[s] -= n
-            done[s] += n
-        start += end
-    return phases
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*[w.denominator for w in exact])
+    part = [int(w * unit) for w in exact]
+    left = list(blocks)
+    fresh = [(-part[s], s) for s, n in enumerate(left) if n]
+    heapq.heapify(fresh)
+    total = -sum(w for w, _ in fresh)
+    phase, start, t = 0, 0, 0
+    waiting: list[tuple[int, int]] = []
+    ready: list[tuple[int, int, int]] = []
+    served: dict[int, int] = {}
+    while total:
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(served[s] + 1) * total // part[s]), -part[s], s))
+        first = (-(-total // -fresh[0][0]), *fresh[0]) if fresh else None
+        if first and (not ready or first < ready[0]):
+            heapq.heappop(fresh)
+            due, _, s = first
+        else:
+            due, _, s = heapq.heappop(ready)
+        k = served.get(s, 0)
+        yield phase, start + t, s, start + k * total // part[s], start + due
+        served[s] = k + 1
+        left[s] -= 1
+        t += 1
+        if left[s]:
+            heapq.heappush(waiting, ((k + 1) * total // part[s], s))
+            continue
+        total -= part[s]
+        for other in served:
+            if other != s:
+                heapq.heappush(fresh, (-part[other], other))
+        phase, start, t = phase + 1, start + t, 0
+        waiting, ready, served = [], [], {}
 
 
 def mix(docs: DataFrame, weights: dict | None = None, exponent: float = 0.5, source: str = "source",
@@ -100,76 +111,61 @@ def mix(docs: DataFrame, weights: dict | None = None, exponent: float = 0.5, sou
     share what is left, in a new phase.  No row is dropped or repeated.
 
     Row numbers within a source come from per-partition totals, so a source with most of
-    the rows is spread over all tasks.  Only counts per source reach the driver, and a
-    pattern of at most ``period`` rows per phase is broadcast; more than MAX_SOURCES
-    sources are an error.  NULL is a source of its own, as is every other value; NULL ids
-    and repeated rows are rows like others.
+    the rows is spread over all tasks.  One task draws up the schedule from the counts of
+    the sources, a row per block, and rows join it by block; more than MAX_SOURCES sources
+    are an error.  Weights are taken exactly, so ``period`` has no effect any more.  NULL is
+    a source of its own, as is every other value; NULL ids and repeated rows are rows like
+    others.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"),
                        F.xxhash64(F.lit(seed), F.col(id_column)).alias("draw"), F.lit(1).cast("long").alias("one"))
     order = ["source", "draw", "id"]
     placed = materialize(running_totals(ordered_table(rows, order), order, {"row": "one"}, key="source"))
-    sizes = [(r[0], r[1]) for r in placed.groupBy("source").count().limit(MAX_SOURCES + 1).collect()]
-    if len(sizes) > MAX_SOURCES:
+    sizes = placed.groupBy("source").count()
+    if sizes.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    sizes.sort(key=lambda s: (s[0] is not None, s[0]))
-    if weights is None:
-        wanted = [n ** exponent for _, n in sizes]
-    else:
-        least = min((w for w in weights.values() if w > 0), default=1.0)
-        wanted = [weights.get(s, 0) if weights.get(s, 0) > 0 else least for s, _ in sizes]
-    phases = schedule([-(-n // block) for _, n in sizes], wanted, period)
-    spark = docs.sparkSession
-    starts, slots = [], []
-    for k, phase in enumerate(phases):
-        for s in phase["sources"]:
-            starts.append((sizes[s["source"]][0], k, s["first"], s["first"] + s["blocks"], s["share"], phase["start"], phase["period"]))
-            slots.extend((k, sizes[s["source"]][0], j, at) for j, at in enumerate(s["slots"]))
     kind = dict(rows.dtypes)["source"]
-    starts = spark.createDataFrame(starts, f"source {kind}, phase int, first long, stop long, share int, start long, period int")
-    slots = _frame(spark, slots, f"phase int, source {kind}, nth int, at int")
-    b = placed.withColumn("block", F.expr(f"row div {block}")).alias("b")
-    s, p = F.broadcast(starts).alias("s"), slots.alias("p")
-    in_phase = F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.block") >= F.col("s.first")) \
-        & (F.col("b.block") < F.col("s.stop"))
-    joined = b.join(s, in_phase).select(
-        "b.id", "b.source", "b.row", "b.block", "s.phase", "s.start", "s.period", "s.share",
-        (F.col("b.block") - F.col("s.first")).alias("k"))
-    joined = joined.alias("b").join(p, (F.col("b.phase") == F.col("p.phase")) & F.col("b.source").eqNullSafe(F.col("p.source"))
-                                    & (F.expr("b.k % b.share") == F.col("p.nth")))
-    scheduled = joined.select(
-        "b.id", "b.source", "b.row", "b.block", "b.phase",
-        (F.col("b.start") + F.expr("b.k * b.period div b.share")).alias("release"),
-        (F.col("b.start") + F.expr("((b.k + 1) * b.period + b.share - 1) div b.share")).alias("deadline"),
-        (F.col("b.start") + F.expr("b.k div b.share * b.period") + F.col("p.at")).alias("slot"),
-    )
-    # All blocks are full but the last one of each source, so a position is the slot times
-    # the block size less what the short blocks before it lack: one row per source.
-    short = [(s, (-n) % block, -(-n // block) - 1) for s, n in sizes if n % block]
-    lacking = []
-    for name, lack, last in short:
-        n = next(k for k, x in enumerate(sizes) if x[0] == name)
-        for phase in phases:
-            for entry in phase["sources"]:
-                if entry["source"] == n and entry["first"] <= last < entry["first"] + entry["blocks"]:
-                    k = last - entry["first"]
-                    at = phase["start"] + k // entry["share"] * phase["period"] + entry["slots"][k % entry["share"]]
-                    lacking.append((at, lack))
-    return scheduled.withColumn("position", F.col("slot") * block + F.col("row") % block - _lack(lacking)).select(
-        F.col("id").alias(id_column), F.col("source").alias(source), "block", "phase", "release", "deadline", "slot", "position")
-
-
-def _lack(lacking: list[tuple[int, int]]):
-    if not lacking:
-        return F.lit(0)
-    pairs = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(n).alias("n")) for a, n in lacking])
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + F.when(F.col("slot") > x["at"], x["n"]).otherwise(0))
-
-
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None), schema) \
-        if rows else spark.createDataFrame([], schema)
+    slots = materialize(sizes.repartition(1).mapInArrow(
+        _blocks(weights, exponent, block),
+        f"source {kind}, block long, phase int, release long, deadline long, slot long, before long"))
+    b, s = placed.withColumn("block", F.expr(f"row div {block}")).alias("b"), slots.alias("s")
+    same = F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.block") == F.col("s.block"))
+    return b.join(s, same).select(
+        F.col("b.id").alias(id_column), F.col("b.source").alias(source), "b.block", "s.phase", "s.release", "s.deadline", "s.slot",
+        (F.col("s.before") + F.col("b.row") % block).alias("position"))
+
+
+def _blocks(weights: dict | None, exponent: float, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The schedule of sources (value, rows), with the number of rows before each block."""
+        got = list(batches)
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        sizes = list(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+        order = sorted(range(len(sizes)), key=lambda k: (sizes[k][0] is not None, sizes[k][0] if sizes[k][0] is not None else 0))
+        values, sizes = table.column(0).combine_chunks().take(pa.array(order, pa.int64())), [sizes[k] for k in order]
+        if weights is None:
+            wanted = [n ** exponent for _, n in sizes]
+        else:
+            least = min((w for w in weights.values() if w > 0), default=1.0)
+            wanted = [weights.get(s, 0) if weights.get(s, 0) > 0 else least for s, _ in sizes]
+        most = (1 << 63) - 1  # of deadlines, which a tiny weight puts later
+        done, before = [0] * len(sizes), 0
+        entries = schedule([-(-n // block) for _, n in sizes], wanted)
+        while some := list(islice(entries, BATCH)):
+            out = []
+            for phase, slot, s, release, deadline in some:
+                out.append((s, done[s], phase, release, min(deadline, most), slot, before))
+                before += min(block, sizes[s][1] - done[s] * block)
+                done[s] += 1
+            source, number, phase, *times = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [values.take(pa.array(source, pa.int64())), pa.array(number, pa.int64()), pa.array(phase, pa.int32()),
+                 *(pa.array(x, pa.int64()) for x in times)],
+                names=["source", "block", "phase", "release", "deadline", "slot", "before"])
+
+    return run
 
 
 @query("op1_mixing")

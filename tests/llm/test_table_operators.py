@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import zlib
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +90,38 @@ def test_mixing_places_every_row_once(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_schedule_stays_within_a_block_of_the_exact_weights():
+    for blocks, weights in (([3330, 2000, 2000, 1500, 1170], [n ** 0.5 for n in (3330, 2000, 2000, 1500, 1170)]),
+                            ([40, 9000, 3, 500], [1.0, 1e5, 3e-4, 77.7]), ([2] * 300, [1 + k / 7 for k in range(300)]), ([0, 5], [2, 1])):
+        exact = [Fraction(w) for w in weights]
+        taken, phase, local, at = [0] * len(blocks), 0, {}, 0
+        total, active = None, None
+        for n, (p, slot, s, release, deadline) in enumerate(mixing.schedule(blocks, weights)):
+            assert slot == n
+            if p != phase or active is None:
+                phase, local, at = p, {}, n
+                active = [k for k in range(len(blocks)) if taken[k] < blocks[k]]
+                total = sum(exact[k] for k in active)
+            k, w = local.get(s, 0), exact[s] / total
+            assert release == at + floor(k / w) <= slot < at + ceil((k + 1) / w) == deadline
+            local[s], taken[s] = k + 1, taken[s] + 1
+            for k in active if n % 97 == 0 else [s]:
+                assert abs(local.get(k, 0) - exact[k] / total * (n + 1 - at)) < 1
+        assert taken == blocks
+
+
+def test_mixing_keeps_to_the_exact_weights(spark):
+    sizes = {"a": 4000, "b": 1200, "c": 700, None: 9}
+    rows = [(n * 10_000 + k, s) for n, (s, m) in enumerate(sizes.items()) for k in range(m)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, period=60).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(rows)))
+    total = sum(m ** 0.5 for m in sizes.values())
+    served = dict.fromkeys(sizes, 0)
+    for n, r in enumerate(r for r in got if r.phase == 0):
+        served[r.source] += 1
+        assert all(abs(served[s] - (n + 1) * m ** 0.5 / total) < 1 for s, m in sizes.items())
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, n_links string"
 
 
