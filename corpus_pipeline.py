@@ -36,19 +36,29 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All documents and their ``position``, sorted by it; it depends on ids and sources alone."""
+    placed = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("position"))
+    joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartitionByRange(n, "position").sortWithinPartitions("position")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order in which sources mix to the square roots of their sizes."""
     prepare(spark)
-    placed = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
-    joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "__position").sortWithinPartitions("__position").select(*docs.columns)
+    return scheduled(spark, docs).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two different segmentations of each document, with their inclusion scores."""
+    """Two different segmentations of each document, with their inclusion scores and the
+    document's ``position`` in the mixing schedule, sorted by it.
+
+    Files don't keep an order when they are read, so the position is found again: it is
+    the same for the same documents.
+    """
     prepare(spark)
-    return pieces.encode(docs)
+    return pieces.encode(scheduled(spark, docs), carry=("position",)).sortWithinPartitions("position", "sample")
 
 
 STAGES = [("language", language), ("toxicity", clean), ("minhash", unique), ("mixing", mixed), ("pieces", encoded)]
