@@ -16,8 +16,8 @@ from pulseweave.llm.tokens import Words, letter_words, mix, runs
 DOCS_PER_LANGUAGE = 1500
 #: Bound of the model: so many words, and n-grams of each order, of each language.
 FEATURES = 50_000
-#: Bound of the languages.
-MAX_LANGUAGES = 512
+#: Bound of the scores, texts times languages, held at once.
+CELLS = 1 << 20
 #: A word is known from so many occurrences on.
 MIN_COUNT = 2
 ORDERS = (4, 3, 2, 1)
@@ -132,18 +132,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str
     """Fit on rows with text and language: a sample of about ``docs_per_language`` of each.
 
     The sample is taken by a hash of the id, so it is the same in every run.  Counting is
-    a Spark aggregation; what reaches the driver is bounded by the sample.
+    a Spark aggregation; what reaches the driver is bounded by the sample, and grows with
+    the number of languages, which has no bound.
     """
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = docs.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return Model(pd.DataFrame({"lang": [], "n": [], "feature": [], "count": []}), [])
-    # Drawn by a filter, so that only the sample is ever shuffled.
-    limits = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, int(min(1.0, docs_per_language / n) * (1 << 20)))])
+    # Drawn by a broadcast row per language, so that only the sample is ever shuffled.
+    share = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.count(F.lit(1)))
+    limits = docs.groupBy(F.col(lang).alias("__lang")).agg(F.floor(share * (1 << 20)).alias("__limit"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 20))
-    sample = docs.where(draw < limits[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    drawn = docs.join(F.broadcast(limits), (F.col(lang) == F.col("__lang")) & (draw < F.col("__limit")))
+    sample = drawn.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = sample.mapInArrow(_counted, "lang string, n int, feature long, count long") \
         .groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT)
     counts = counts.toPandas()
@@ -154,6 +152,10 @@ def decide(m: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """The language of each text and its score."""
     if not m.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    step = max(1, CELLS // len(m.languages))
+    if len(texts) > step:
+        parts = [decide(m, texts[at:at + step]) for at in range(0, len(texts), step)]
+        return [x for pred, _ in parts for x in pred], np.concatenate([conf for _, conf in parts])
     mean, n = m.scores(texts)
     share = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, 20)[:, None])
     best = mean.argmax(axis=1)

@@ -19,8 +19,6 @@ from pulseweave.session import materialize
 BLOCK = 16
 #: Slots of a pattern of whole shares.
 PERIOD = 2520
-#: Bound of the sources, whose counts and weights one task holds.
-MAX_SOURCES = 256
 #: Blocks of a batch of the schedule.
 BATCH = 1 << 16
 
@@ -112,8 +110,7 @@ def mix(docs: DataFrame, weights: dict | None = None, exponent: float = 0.5, sou
 
     Row numbers within a source come from per-partition totals, so a source with most of
     the rows is spread over all tasks.  One task draws up the schedule from the counts of
-    the sources, a row per block, and rows join it by block; more than MAX_SOURCES sources
-    are an error.  Weights are taken exactly, so ``period`` has no effect any more.  NULL is
+    the sources, however many, a row per block, and rows join it by block.  Weights are taken exactly, so ``period`` has no effect any more.  NULL is
     a source of its own, as is every other value; NULL ids and repeated rows are rows like
     others.
     """
@@ -122,8 +119,6 @@ def mix(docs: DataFrame, weights: dict | None = None, exponent: float = 0.5, sou
     order = ["source", "draw", "id"]
     placed = materialize(running_totals(ordered_table(rows, order), order, {"row": "one"}, key="source"))
     sizes = placed.groupBy("source").count()
-    if sizes.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     kind = dict(rows.dtypes)["source"]
     slots = materialize(sizes.repartition(1).mapInArrow(
         _blocks(weights, exponent, block),

@@ -122,6 +122,13 @@ def test_mixing_keeps_to_the_exact_weights(spark):
         assert all(abs(served[s] - (n + 1) * m ** 0.5 / total) < 1 for s, m in sizes.items())
 
 
+def test_mixing_takes_any_number_of_sources(spark):
+    rows = [(k, f"host{k % 700}") for k in range(3000)] + [(5000 + k, "big") for k in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=2).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(3900)) and sorted((r.doc_id, r.source) for r in got) == sorted(rows)
+    assert all(r.release <= r.slot < r.deadline for r in got)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, n_links string"
 
 

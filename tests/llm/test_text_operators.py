@@ -132,6 +132,19 @@ def test_language_and_awkward_texts(spark):
     assert langid.predict(docs_of(spark, []), model).count() == 0
 
 
+def test_any_number_of_languages(spark):
+    texts, langs = language_texts()
+    n = len(texts)
+    word = lambda k: "zq" + chr(97 + k // 26) + chr(97 + k % 26)
+    texts += [" ".join([word(k)] * 3) for k in range(600)]
+    langs |= {n + k: f"dirty{k}" for k in range(600)}
+    model = langid.fit(docs_of(spark, texts, langs))
+    assert len(model.languages) == 602
+    asked = ["the cat and the dog", "der hund und die katze", f"{word(7)} {word(7)}", None] * 600
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(spark, asked), model).collect()}
+    assert [got[k] for k in range(2400)] == ["en", "de", "dirty7", "und"] * 600
+
+
 def test_language_backs_off_to_the_longest_known_ngram(spark):
     texts, langs = language_texts()
     model = langid.fit(docs_of(spark, texts, langs))
