@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pulseweave.llm import (  # noqa: F401
-    ann, chat, idfiles, langid, minhash, mixing, pieces, sharding, toxicity, trie, vectors, warc,
+    ann, chat, idfiles, langid, lexical, minhash, mixing, pieces, sharding, toxicity, trie, vectors, warc,
 )
 from pulseweave.llm.common import ORACLES, QUERIES, query
 
