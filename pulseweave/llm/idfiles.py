@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import struct
@@ -9,6 +10,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,14 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulseweave.llm.common import query, table
+from pulseweave.llm.tokens import mix, powers, runs
 from pulseweave.session import shared_directory
 
 #: Ids of a block, and ids after which a file is closed.
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 24
 #: What follows every document.
 END_ID = 0
-#: Different pieces of text whose ids a worker keeps, and the longest that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 1 << 18, 64
+#: Different pieces of text, and their code points, of which a worker keeps the ids before it starts anew.
+KEPT_PIECES, KEPT_CODES = 1 << 20, 1 << 24
 
 _MAGIC = b"IDPLANE1"
 _FOOTER = struct.Struct("<QQQQIB8s")
@@ -181,24 +184,49 @@ class Reader:
 # Encoding
 
 
+#: Kinds of code points; apostrophes, which may begin a contraction, are of no kind.
+_LETTER, _POINT, _BLANK = 1, 2, 3
+
+
+@lru_cache
+def _kinds() -> np.ndarray:
+    """Letters and digits, punctuation and blanks on which all tokenizers of the byte-level family agree."""
+    kinds = np.zeros(0x110000, np.uint8)
+    kinds[0x21:0x7F] = _POINT
+    kinds[ord("'")] = 0
+    kinds[[0x20, 0x0A]] = _BLANK
+    for low, high in (("0", "9"), ("A", "Z"), ("a", "z"), ("À", "Ö"), ("Ø", "ö"), ("ø", "ɏ")):
+        kinds[ord(low):ord(high) + 1] = _LETTER
+    return kinds
+
+
+def cuts(codes: np.ndarray) -> np.ndarray:
+    """Places before which a text may be cut: a token ends there, whatever stands on the other side."""
+    kind = _kinds()[codes]
+    before, here = kind[:-1], kind[1:]
+    solid = (before == _LETTER) | (before == _POINT)
+    inner = (here + before == _LETTER + _POINT) & solid & (here != _BLANK) & (here != 0)
+    return np.flatnonzero(inner | solid & (here == _BLANK)) + 1
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> "_Encoder":
     return _Encoder(path)
 
 
-class _Encoder(dict):
-    """Ids of texts as bytes; ids of short pieces are kept, so a word is encoded once per worker.
+class _Encoder:
+    """Ids of many texts at once; the ids of pieces met before are looked up.
 
-    A byte-level tokenizer without normalizer never lets a token reach across a blank
-    that follows a visible character, and what it finds before such a blank doesn't
-    depend on what follows.  So a text may be cut there and each piece be encoded by itself.
+    The pattern of a byte-level tokenizer takes tokens from left to right and looks ahead
+    only past white space.  So a text without added tokens may be cut before a blank that
+    follows a visible character, and between a word and punctuation, and each different
+    piece be encoded by itself.  Pieces are found by 64-bit hashes and then compared; a
+    text with a piece that differs from what its hash stands for is encoded as a whole,
+    as all texts are for tokenizers of another kind.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -208,34 +236,91 @@ class _Encoder(dict):
         self.separable = (
             spec.get("normalizer") is None and spec.get("post_processor") is None and spec.get("truncation") is None
             and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
         )
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not self.separable:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, pieces(text)))
-
-
-def pieces(text: str) -> list[str]:
-    """Cut a text before each blank that follows a letter, a digit or ASCII punctuation."""
-    first, *rest = text.split(" ")
-    out = [first]
-    for word in rest:
-        last = out[-1][-1:]
-        if last.isalnum() or "!" <= last <= "~":
-            out.append(" " + word)
-        else:
-            out[-1] += " " + word
-    return out
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self._forget()
+
+    def _forget(self):
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, entry of each
+        self.code_at, self.id_at = np.zeros(1, np.int64), np.zeros(1, np.int64)  # borders of the entries
+        self.codes, self.ids = np.zeros(0, np.uint32), np.zeros(0, "<u4")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [k for k, t in enumerate(texts) if self.separable and not any(x in t for x in self.added)]
+        out = [b""] * len(texts)
+        for first, run in runs([texts[k] for k in cut]):
+            for k, ids in zip(cut[first:], self._run(run)):
+                out[k] = ids
+        for k in set(range(len(texts))).difference(cut):
+            out[k] = self._whole(texts[k])
+        return out
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        joined = "\0".join(texts) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # a text's end and its separator
+        borders = np.zeros(len(codes) + 1, bool)
+        borders[cuts(codes)] = True
+        borders[ends] = borders[ends - 1] = borders[0] = True
+        at = np.flatnonzero(borders)
+        starts, stops = at[:-1], at[1:]
+        real = np.ones(len(codes), bool)
+        real[ends - 1] = False
+        starts, stops = starts[real[starts]], stops[real[starts]]
+        up, down = powers(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        hashes, one, which = np.unique(mix((sums[stops] - sums[starts]) * down[starts]), return_index=True, return_inverse=True)
+        entry = self._entries(hashes, starts[one], stops[one], joined, codes)[which]
+
+        length = stops - starts
+        same = np.ones(len(entry), bool)
+        stored = self.code_at[entry + 1] - self.code_at[entry] == length
+        spread = np.repeat(self.code_at[entry] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        spread = np.minimum(spread, len(self.codes) - 1)
+        agree = self.codes[spread] == codes[real]
+        if not (stored.all() and agree.all()):
+            whole = np.repeat(np.arange(len(entry)), length)
+            same[whole[~agree]] = False
+            same &= stored
+
+        size = self.id_at[entry + 1] - self.id_at[entry]
+        begin = np.cumsum(size) - size
+        flat = self.ids[np.repeat(self.id_at[entry] - begin, size) + np.arange(size.sum())].tobytes()
+        of_text = np.searchsorted(starts, np.concatenate([[0], ends]))
+        marks = np.append(begin, size.sum())[of_text].tolist()
+        out = [flat[4 * a:4 * b] for a, b in zip(marks, marks[1:])]
+        for k in np.unique(np.searchsorted(of_text, np.flatnonzero(~same), side="right") - 1).tolist():
+            out[k] = self._whole(texts[k])
+        return out
+
+    def _entries(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, joined: str, codes: np.ndarray) -> np.ndarray:
+        """The entry of each of the sorted hashes; those not kept yet are encoded and kept."""
+        if len(self.keys) + len(hashes) > KEPT_PIECES or len(self.codes) > KEPT_CODES:
+            self._forget()
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != hashes[inside]
+        if new.any():
+            first, length = starts[new], stops[new] - starts[new]
+            missing = [joined[a:b] for a, b in zip(first.tolist(), stops[new].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
+            n, code_ends = len(self.code_at) - 1, np.cumsum(length)
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4")])
+            spread = np.repeat(first - code_ends + length, length) + np.arange(code_ends[-1])
+            self.codes = np.concatenate([self.codes, codes[spread]])
+            self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(np.fromiter(map(len, found), np.int64))])
+            self.code_at = np.concatenate([self.code_at, self.code_at[-1] + code_ends])
+            keys = np.concatenate([self.keys, hashes[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.place = keys[order], np.concatenate([self.place, n + np.arange(len(found))])[order]
+            at = np.searchsorted(self.keys, hashes)
+        return self.place[at]
 
 
 # Jobs
@@ -269,8 +354,9 @@ def write_ids(docs: DataFrame, directory: str, tokenizer: str, id_column: str =
         out = Writer(directory, task.partitionId(), task.taskAttemptId(), planes, block_ids, file_ids)
         written = 0
         for batch in batches:
-            for doc_id, value in zip(batch.column(0), batch.column(1)):
-                out.add(doc_id.as_py(), encoder.encode(value.as_py() or "") + end)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                out.add(doc_id, ids + end)
             written += batch.num_rows
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
