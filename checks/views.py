@@ -49,12 +49,14 @@ VIEWS["admissions_v3"] = """
 SELECT subject_id, hadm_id, admittime, dischtime, race AS ethnicity FROM {admissions}
 """
 
+# Some stays and infusions never ended, as far as their tables know
 VIEWS["icustays"] = """
 SELECT a.subject_id, a.hadm_id, 10 * a.hadm_id + j.j AS stay_id,
        CASE WHEN a.hadm_id % 3 = 0 THEN 'MICU' ELSE 'SICU' END AS first_careunit,
        CASE WHEN a.hadm_id % 5 = 0 THEN 'MICU' ELSE 'CCU' END AS last_careunit,
        a.admittime + INTERVAL '1' DAY * CAST(6 * j.j AS INT) AS intime,
-       a.admittime + INTERVAL '1' DAY * CAST(6 * j.j + 2 + a.subject_id % 4 AS INT) AS outtime,
+       CASE WHEN a.hadm_id % 41 = 7 AND j.j = 1 THEN TIMESTAMP '9999-12-31 00:00:00'
+            ELSE a.admittime + INTERVAL '1' DAY * CAST(6 * j.j + 2 + a.subject_id % 4 AS INT) END AS outtime,
        CAST(2 + a.subject_id % 4 AS DOUBLE) AS los,
        CASE WHEN a.subject_id % 2 = 0 THEN 'carevue' ELSE 'metavision' END AS dbsource
 FROM {admissions} AS a
@@ -116,7 +118,8 @@ VIEWS["inputevents"] = """
 SELECT e.event_id AS inputevent_id, s.subject_id, s.hadm_id, s.stay_id,
        221000 + e.event_id % 16 AS itemid,
        e.ts AS starttime,
-       e.ts + INTERVAL '1' MINUTE * CAST(e.event_id % 240 AS INT) AS endtime,
+       CASE WHEN e.event_id % 199 = 5 THEN TIMESTAMP '9999-12-31 00:00:00'
+            ELSE e.ts + INTERVAL '1' MINUTE * CAST(e.event_id % 240 AS INT) END AS endtime,
        CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE e.value / 10 END AS rate,
        CASE e.event_id % 8 WHEN 0 THEN 'mcg/kg/min' WHEN 1 THEN 'ng/kg/min'
             WHEN 2 THEN 'mg/kg/hour' WHEN 3 THEN 'mcg/hour' WHEN 4 THEN 'mg/hour'

@@ -2,10 +2,14 @@
 
 A plain key join with the time condition as a residual compares every pair of a
 key, which is quadratic for a key that holds much of the data.  Both joins below
-cut the time axis into fixed cells and join on (key, cell): candidates are limited
-to rows that are close in time, and one key spreads over as many shuffle keys as
-it has cells.  Neither side is broadcast by hint; Spark does so by measured size,
-and adaptive execution splits what is still skewed inside one cell.
+place intervals on two levels and join once on (key, cell).  An interval of ordinary
+length takes the cells of fixed width that it touches: candidates are limited to rows
+that are close in time, and one key spreads over as many shuffle keys as it has cells.
+A longer one, such as with a wrong end date, takes no cells of time at all; it meets
+the rows of its key in cells of the upper level, over which those rows spread evenly.
+So each side is read once, joined once, and no row makes more than a fixed number of
+rows.  Neither side is broadcast by hint; Spark does so by measured size, and adaptive
+execution splits what is still skewed inside one cell.
 """
 
 from __future__ import annotations
@@ -15,58 +19,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulseweave.functions.timing import DAY, floor_div, micros
 
 CELL = "_cell"
-LEVEL = "_level"
-_LONG = 64  # cells; a longer interval on the left is spread over cells this much wider
-_FAR = _LONG * _LONG  # cells; a longer interval, such as with a wrong end date, gets none
+#: Cells of time that an interval may touch; a longer one goes to the upper level.
+LONGEST = 64
+#: Cells of the upper level that the rows of a key spread over.
+SPREAD = 16
+# Numbers of the cells of the upper level lie far above those of time: where rows of
+# the left meet long intervals of the right, and where long ones of the left meet the right.
+_LONG_RIGHT, _LONG_LEFT = 1 << 40, 1 << 41
 
 
-def _far(lo: Column, hi: Column, width: int) -> Column:
-    """Whether an interval is too long to be cut into cells."""
-    early, late = F.least(micros(lo), micros(hi)), F.greatest(micros(lo), micros(hi))
-    return F.coalesce(floor_div(late, width) - floor_div(early, width) >= _FAR, F.lit(False))
-
-
-def _cells(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
-    """One row per cell an interval touches; ``first`` names its first cell.
+def _cells(lo: Column, hi: Column, width: int) -> tuple[Column, Column, Column]:
+    """(first cell, last cell, whether the interval is of ordinary length).
 
     An interval whose end precedes its start covers the stretch between the two,
-    so it can still meet what contains it.  NULL bounds give no rows.
+    so it can still meet what contains it.
     """
-    a, b = floor_div(micros(lo), width), floor_div(micros(hi), width)
-    return df.withColumn(first, F.least(a, b)).withColumn(
-        CELL, F.explode(F.sequence(F.least(a, b), F.greatest(a, b)))
-    ).where(a.isNotNull() & b.isNotNull())
-
-
-def _levelled(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
-    """Like :func:`_cells`, with wide cells for long intervals, as :data:`LEVEL` tells."""
-    early, late = F.least(micros(lo), micros(hi)), F.greatest(micros(lo), micros(hi))
-    long = floor_div(late, width) - floor_div(early, width) >= _LONG
-    unit = F.when(long, F.lit(width * _LONG)).otherwise(F.lit(width))
-    return (
-        df.where(lo.isNotNull() & hi.isNotNull())
-        .withColumns({LEVEL: long.cast("int"), first: floor_div(early, unit)})
-        .withColumn(CELL, F.explode(F.sequence(F.col(first), floor_div(late, unit))))
-    )
+    first = floor_div(F.least(micros(lo), micros(hi)), width)
+    last = floor_div(F.greatest(micros(lo), micros(hi)), width)
+    return first, last, last - first < LONGEST
 
 
-def _on_both_levels(df: DataFrame, lo: Column, hi: Column, width: int, first: str) -> DataFrame:
-    """One row per narrow and per wide cell an interval touches."""
-    early, late = F.least(micros(lo), micros(hi)), F.greatest(micros(lo), micros(hi))
+def _one(level: int, cell: Column) -> Column:
+    """The cell of the upper level that a row takes, by its time."""
+    return F.array(F.lit(level) + F.pmod(cell, F.lit(SPREAD)))
 
-    def cells(level, unit):
-        start = floor_div(early, unit)
-        return F.transform(
-            F.sequence(start, floor_div(late, unit)),
-            lambda c: F.struct(F.lit(level).alias(LEVEL), c.alias(CELL), start.alias(first)),
-        )
 
-    every = F.concat(cells(0, width), cells(1, width * _LONG))
-    return (
-        df.where(lo.isNotNull() & hi.isNotNull())
-        .withColumn("_c", F.explode(every))
-        .select(*df.columns, "_c.*")
-    )
+def _all(level: int) -> Column:
+    """All cells of the upper level, for the rare rows that have to meet a whole key."""
+    return F.sequence(F.lit(level), F.lit(level + SPREAD - 1))
+
+
+def _on_cells(df: DataFrame, first: Column, cells: Column, name: str) -> DataFrame:
+    """One row per cell; ``name`` keeps the first one.  Rows without a bound have none."""
+    return df.where(first.isNotNull()).withColumns({name: first, CELL: F.explode(cells)})
 
 
 def overlap_join(
@@ -79,25 +64,24 @@ def overlap_join(
 ) -> DataFrame:
     """Inner join on ``keys`` where ``left.start < right.end AND left.end > right.start``.
 
-    Overlapping rows share every cell from the later of their first cells on; the
-    pair is kept in that one cell only, so it comes out once.  ``left`` is the larger
-    side: each of its rows uses one cell width, the wide one if it is long (such as with
-    a wrong end date), while ``right`` offers both.  Intervals of more than 4,096 cells on
-    either side meet nearly everything of their key, so they are joined by key alone, in
-    plans of their own that adaptive execution drops where there are none.
+    Two ordinary intervals that overlap share every cell from the later of their first
+    cells on; the pair is kept in that one cell only.  A long interval of the right takes
+    all cells of the upper level and meets each ordinary row of the left in one of them;
+    a long one of the left likewise meets each row of the right.  So a pair comes out once.
     """
     a = left.withColumns({"_ls": left_bounds[0], "_le": left_bounds[1]})
     b = right.withColumns({"_rs": right_bounds[0], "_re": right_bounds[1]})
-    overlap = (F.col("_ls") < F.col("_re")) & (F.col("_le") > F.col("_rs"))
-    far_a, far_b = _far(F.col("_ls"), F.col("_le"), cell), _far(F.col("_rs"), F.col("_re"), cell)
-    near = _levelled(a.where(~far_a), F.col("_ls"), F.col("_le"), cell, "_lfirst").join(
-        _on_both_levels(b.where(~far_b), F.col("_rs"), F.col("_re"), cell, "_rfirst"), [*keys, LEVEL, CELL]
-    ).where(overlap & (F.col(CELL) == F.greatest("_lfirst", "_rfirst")))
-    far = a.where(~far_a).join(b.where(far_b), keys).where(overlap).unionByName(
-        a.where(far_a).join(b, keys).where(overlap)
+    first_a, last_a, short_a = _cells(F.col("_ls"), F.col("_le"), cell)
+    first_b, last_b, short_b = _cells(F.col("_rs"), F.col("_re"), cell)
+    of_a = F.when(short_a, F.concat(F.sequence(first_a, last_a), _one(_LONG_RIGHT, first_a))).otherwise(_all(_LONG_LEFT))
+    of_b = F.concat(
+        F.when(short_b, F.sequence(first_b, last_b)).otherwise(_all(_LONG_RIGHT)), _one(_LONG_LEFT, first_b)
     )
-    helpers = ["_ls", "_le", "_rs", "_re"]
-    return near.drop("_lfirst", "_rfirst", LEVEL, CELL, *helpers).unionByName(far.drop(*helpers))
+    a = _on_cells(a.where("_ls is not null and _le is not null"), first_a, of_a, "_lfirst")
+    b = _on_cells(b.where("_rs is not null and _re is not null"), first_b, of_b, "_rfirst")
+    overlap = (F.col("_ls") < F.col("_re")) & (F.col("_le") > F.col("_rs"))
+    once = (F.col(CELL) == F.greatest("_lfirst", "_rfirst")) | (F.col(CELL) >= _LONG_RIGHT)
+    return a.join(b, [*keys, CELL]).where(overlap & once).drop("_ls", "_le", "_rs", "_re", "_lfirst", "_rfirst", CELL)
 
 
 def point_join(
@@ -110,15 +94,13 @@ def point_join(
 ) -> DataFrame:
     """Inner join on ``keys`` where ``span.start <= at < span.end``.
 
-    Only the spans are multiplied over cells; a point has exactly one.  Spans of more than
-    4,096 cells are joined by key alone, as in :func:`overlap_join`.
+    Only the spans are multiplied over cells of time; a point has one of each level.
     """
-    p = points.withColumn("_at", at)
-    p = p.withColumn(CELL, floor_div(micros("_at"), cell))
-    s = spans.withColumns({"_rs": bounds[0], "_re": bounds[1]})
-    far = _far(F.col("_rs"), F.col("_re"), cell)
+    place = floor_div(micros("_at"), cell)
+    p = points.withColumn("_at", at).where("_at is not null")
+    p = p.withColumn(CELL, F.explode(F.concat(F.array(place), _one(_LONG_RIGHT, place))))
+    s = spans.withColumns({"_rs": bounds[0], "_re": bounds[1]}).where("_rs < _re")
+    first, last, short = _cells(F.col("_rs"), F.col("_re"), cell)
+    s = _on_cells(s, first, F.when(short, F.sequence(first, last)).otherwise(_all(_LONG_RIGHT)), "_rfirst")
     inside = (F.col("_at") >= F.col("_rs")) & (F.col("_at") < F.col("_re"))
-    cells = _cells(s.where(~far), F.col("_rs"), F.col("_re"), cell, "_rfirst")
-    near = p.join(cells, [*keys, CELL]).where(inside).drop("_at", "_rs", "_re", "_rfirst", CELL)
-    long = p.join(s.where(far), keys).where(inside).drop("_at", "_rs", "_re", CELL)
-    return near.unionByName(long)
+    return p.join(s, [*keys, CELL]).where(inside).drop("_at", "_rs", "_re", "_rfirst", CELL)

@@ -195,3 +195,21 @@ def test_wrong_end_dates_make_no_rows_of_cells(spark):
     assert got == sorted((i, j) for i, _, s, e in left for j, _, f, u in right if s < u and e > f)
     got = sorted((x.l, x.r) for x in point_join(a.drop("e"), b, ["k"], F.col("s"), (F.col("f"), F.col("u"))).collect())
     assert got == sorted((i, j) for i, _, s, _ in left for j, _, f, u in right if f <= s < u)
+
+
+def test_temporal_joins_read_and_join_each_side_once(spark, tmp_path):
+    """One join and one scan per input, and no row of a long interval per cell of time."""
+    a = spark.createDataFrame([(1, 1, t(0), datetime(9999, 1, 1))], "a int, k int, s timestamp_ntz, e timestamp_ntz")
+    b = spark.createDataFrame([(1, 1, t(0), t(9)), (2, 1, t(5), datetime(9999, 1, 1))], "b int, k int, f timestamp_ntz, u timestamp_ntz")
+    a.write.parquet(f"{tmp_path}/a")
+    b.write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    joins = [
+        overlap_join(a, b, ["k"], (F.col("s"), F.col("e")), (F.col("f"), F.col("u"))),
+        point_join(a, b, ["k"], F.col("s"), (F.col("f"), F.col("u"))),
+    ]
+    for df in joins:
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Join ") == 1 and plan.count("FileScan") == 2
+    everything = a.crossJoin(b).select(F.expr("1"))
+    assert everything.count() == 2 and joins[0].count() == 2
