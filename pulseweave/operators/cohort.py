@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pulseweave import vocab
 from pulseweave.functions import clinical
 from pulseweave.functions.timing import hours_between, micros
-from pulseweave.operators.ordered import CELL, nearest
+from pulseweave.operators.ordered import nearest
 from pulseweave.operators.overlap import overlap_join
 
 STAY_COLUMNS = (
@@ -82,7 +82,7 @@ def scan_weight_events(chart_events: DataFrame, *more: str) -> DataFrame:
 
 
 def _nearest_weight(
-    cohort: DataFrame, weights: DataFrame, keys: list[str], cell: int
+    cohort: DataFrame, weights: DataFrame, keys: list[str], ranges: int | None
 ) -> DataFrame:
     """One weight per stay: closest in time to the start of any of its recordings.
 
@@ -97,7 +97,7 @@ def _nearest_weight(
         .select(*keys, "at", F.struct("at", "_m.event_key", "_m.weight_kg").alias("_m"))
     )
     probes = cohort.select(*keys, F.col("start_timestamp").alias("at")).distinct()
-    placed = nearest(probes, points, keys, "at", "_m", cell)
+    placed = nearest(probes, points, keys, "at", "_m", ranges)
 
     def candidate(side):
         gap = F.abs(micros("at") - micros(F.col(side)["at"]))
@@ -121,7 +121,7 @@ def _nearest_weight(
 
 
 def weights_from_charts(
-    cohort: DataFrame, weight_events: DataFrame, items: DataFrame, cell: int = CELL
+    cohort: DataFrame, weight_events: DataFrame, items: DataFrame, ranges: int | None = None
 ) -> DataFrame:
     """stay_id, weight_kg from charted weights (version 3); pounds are converted first.
 
@@ -139,11 +139,11 @@ def weights_from_charts(
         kg.alias("weight_kg"),
         F.col(tie).alias("event_key"),
     ).where(clinical.plausible_weight(F.col("weight_kg")) & F.col("at").isNotNull())
-    return _nearest_weight(cohort, valid, ["stay_id"], cell)
+    return _nearest_weight(cohort, valid, ["stay_id"], ranges)
 
 
 def weights_from_inputs(
-    cohort: DataFrame, inputs: DataFrame, cell: int = CELL
+    cohort: DataFrame, inputs: DataFrame, ranges: int | None = None
 ) -> DataFrame:
     """stay_id, weight_kg from the weight noted with an infusion (version 4)."""
     tie = "inputevent_id" if "inputevent_id" in inputs.columns else "itemid"
@@ -154,7 +154,7 @@ def weights_from_inputs(
         clinical.not_nan(F.col("patientweight").cast("double")).alias("weight_kg"),
         F.col(tie).alias("event_key"),
     ).where(clinical.plausible_weight(F.col("weight_kg")) & F.col("at").isNotNull())
-    return _nearest_weight(cohort, valid, keys, cell)
+    return _nearest_weight(cohort, valid, keys, ranges)
 
 
 def max_weight(cohort: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -13,9 +13,8 @@ from pulseweave import vocab
 from pulseweave.functions.clinical import not_nan
 from pulseweave.functions.timing import HOUR, micros, minutes, plus_micros
 from pulseweave.operators import ordered
-from pulseweave.operators.ordered import BUCKET, CELL
+from pulseweave.operators.ordered import RANGE
 from pulseweave.operators.overlap import overlap_join
-from pulseweave.session import materialize
 
 INTERVAL_COLUMNS = (
     "stay_id", "itemid", "label", "starttime", "endtime", "rate", "rateuom",
@@ -54,30 +53,34 @@ def dedupe_first(events: DataFrame, keys=_DUPLICATE_KEY, order: str = "row_id")
     return events.groupBy(*keys).agg(first).select(*keys, "_first.*")
 
 
+CHARTING_ORDER = ["charttime", "storetime", "cgid", "row_id"]
+
+
 def _charting_order() -> list[Column]:
-    return [F.col(c) for c in ("charttime", "storetime", "cgid", "row_id")]
+    return [F.col(c) for c in CHARTING_ORDER]
 
 
-def drip_intervals(rows: DataFrame, cell: int = CELL) -> DataFrame:
+def drip_intervals(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """Constant-rate intervals from point-charted drips, per (stay, item).
 
     A positive rate opens an interval; a changed rate closes it and opens the next;
     no rate, a stop, or the last row closes it.  A stop charted with a positive rate
     while nothing runs opens instead, so such rows flip the state and every other
     row sets it.  The state after a row therefore is the last setting row's, flipped
-    once per flip since then.  Rows without stay, item or time take no part.  Per cell that is a constant or a flip, which
-    is what crosses cell borders, along with the last rate and the last opening.
+    once per flip since then.  Rows without stay, item or time take no part.  Per range of
+    the charting order that is a constant or a flip, which is what crosses the borders of
+    ranges, along with the last rate and the last opening.
     """
     drips = rows.where(F.col("originalroute") == vocab.DRIP_ROUTE).withColumn(
         "rate", not_nan(F.col("rate"))
     )
-    w = ordered.per_bucket(GROUP, _charting_order())
+    w = ordered.per_range(GROUP, _charting_order())
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     valid = F.coalesce(F.col("rate") > 0, F.lit(False))
     stopped = F.coalesce(F.col("stopped") == "Stopped", F.lit(False))
 
-    b = ordered.time_buckets(drips, GROUP, "charttime", cell)
+    b = ordered.ranged(drips, GROUP, CHARTING_ORDER, ranges)
     b = (
         b.withColumns({"_valid": valid, "_stop": stopped, "_flip": valid & stopped})
         .withColumn("_flips", F.sum(F.col("_flip").cast("long")).over(upto))
@@ -88,7 +91,7 @@ def drip_intervals(rows: DataFrame, cell: int = CELL) -> DataFrame:
         .withColumn("_tail", F.lead(F.lit(1)).over(w).isNull())
     )
 
-    earlier = ordered.across_buckets(GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ordered.across_ranges(GROUP).rowsBetween(Window.unboundedPreceding, -1)
     entry = _entry_state(b, earlier)
     entered = F.coalesce("_open_in", F.lit(False))
     s = ordered.attach(b, GROUP, entry, ["_open_in", "_in_rate", "_more"])
@@ -129,8 +132,8 @@ def drip_intervals(rows: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def _entry_state(b: DataFrame, earlier: Window) -> DataFrame:
-    """What a bucket of a drip inherits, from the last row of each earlier bucket."""
-    wb = ordered.across_buckets(GROUP)
+    """What a range of a drip inherits, from the last row of each earlier range."""
+    wb = ordered.across_ranges(GROUP)
     ends = b.where(F.col("_tail"))
     alone = F.when(F.col("_set").isNull() & F.col("_odd"), 1).otherwise(0)
     ends = ends.withColumn(
@@ -142,15 +145,15 @@ def _entry_state(b: DataFrame, earlier: Window) -> DataFrame:
     flips = F.lag("_p", 1, 0).over(wb) - F.coalesce(base, F.lit(0))
     return ends.select(
         *GROUP,
-        BUCKET,
-        (F.coalesce(fixed, F.lit(False)) != (flips % 2 == 1)).alias("_open_in"),
+        RANGE,
+        F.nullif(F.coalesce(fixed, F.lit(False)) != (flips % 2 == 1), F.lit(False)).alias("_open_in"),
         F.lag("rate").over(wb).alias("_in_rate"),
         F.lead(F.lit(True)).over(wb).alias("_more"),
     )
 
 
 def push_intervals(
-    rows: DataFrame, labels=vocab.DRUG_LABELS, cell: int = CELL
+    rows: DataFrame, labels=vocab.DRUG_LABELS, ranges: int | None = None
 ) -> DataFrame:
     """Intervals from repeated pushes, per (stay, item).
 
@@ -162,26 +165,25 @@ def push_intervals(
     pushes = ordered.placed(
         rows.where(F.col("originalroute") == vocab.PUSH_ROUTE), GROUP, "charttime"
     ).withColumn("amount", not_nan(F.col("amount")))
-    keys = [*GROUP, BUCKET]
-    listed = pushes.where(F.col("label").isin(*labels))
-    b = ordered.time_buckets(listed, GROUP, "charttime", cell)
+    keys = [*GROUP, RANGE]
+    b = ordered.ranged(pushes.where(F.col("label").isin(*labels)), GROUP, CHARTING_ORDER, ranges)
     whole = Window.partitionBy(*keys)
-    w = ordered.per_bucket(GROUP, _charting_order())
-    kept = (
-        b.withColumn("_all", F.count(F.lit(1)).over(whole))
-        .where(F.col("amount") > 0)
-        .withColumns(
-            {
-                "_kept": F.count(F.lit(1)).over(whole),
-                "_no": F.row_number().over(w),
-                "_prev": F.lag("charttime").over(w),
-                "_next": F.lead("charttime").over(w),
-                "_next2": F.lead("charttime", 2).over(w),
-            }
-        )
+    w = ordered.per_range(GROUP, _charting_order())
+    counted = b.withColumn("_is", F.coalesce(F.col("amount") > 0, F.lit(False))).withColumns(
+        {
+            "_all": F.count(F.lit(1)).over(whole),
+            "_kept": F.count_if("_is").over(whole),
+            "_no": F.count_if("_is").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        }
     )
-
-    around = _push_surroundings(b, kept)
+    kept = counted.where("_is").withColumns(
+        {
+            "_prev": F.lag("charttime").over(w),
+            "_next": F.lead("charttime").over(w),
+            "_next2": F.lead("charttime", 2).over(w),
+        }
+    )
+    around = _push_surroundings(counted)
     r = ordered.attach(
         kept, GROUP, around, ["_g_all", "_g_kept", "_g_prev", "_g_next", "_g_next2"]
     ).where(
@@ -202,24 +204,19 @@ def push_intervals(
     second = micros("_n1") - micros("charttime")
     third = micros("_n2") - micros("_n1")
     columns = [*GROUP, "label", "charttime", "amount", "amountuom"]
-    later = r.where(F.col("_prev").isNotNull()).select(
-        *columns, (micros("charttime") - micros("_prev")).alias("_us")
-    )
-    first = r.where(F.col("_prev").isNull()).select(
-        *columns, F.when(second == third, second).alias("_us")
+    # Only a first dose without a rhythm asks for the stay's other pushes.
+    r = r.select(
+        *columns, F.col("_prev").isNull().alias("_first"),
+        F.coalesce(micros("charttime") - micros("_prev"), F.when(second == third, second)).alias("_us"),
     )
+    alone = F.col("_first") & F.col("_us").isNull()
     times = pushes.select("stay_id", "charttime").distinct()
-    prior = ordered.previous_time(times, ["stay_id"], "charttime", "_prior", cell)
-    first = (
-        first.join(prior, ["stay_id", "charttime"], "left")
-        .withColumn(
-            "_us",
-            F.coalesce("_us", micros("charttime") - micros("_prior"), F.lit(HOUR)),
-        )
-        .drop("_prior")
+    prior = ordered.previous_time(times, ["stay_id"], "charttime", "_prior", ranges)
+    lone = r.where(alone).join(prior, ["stay_id", "charttime"], "left").withColumn(
+        "_us", F.coalesce(micros("charttime") - micros("_prior"), F.lit(HOUR))
     )
     return (
-        first.unionByName(later)
+        lone.select(*columns, "_us").unionByName(r.where(~alone).select(*columns, "_us"))
         .where(F.col("_us") > 0)
         .select(
             *GROUP, "label",
@@ -233,42 +230,46 @@ def push_intervals(
     )
 
 
-def _push_surroundings(b: DataFrame, kept: DataFrame) -> DataFrame:
-    """What a bucket of pushes has to know of the others.
+def _push_surroundings(counted: DataFrame) -> DataFrame:
+    """What a range of pushes has to know of the others, for groups that span ranges.
 
-    Group sizes, the kept time before it and the two kept times after it.  Buckets
+    Group sizes, the kept time before it and the two kept times after it.  Ranges
     without a kept row only add to the size.
     """
-    sizes = b.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_g_all"))
-    wb = ordered.across_buckets(GROUP)
-    at = lambda n: F.min(F.when(F.col("_no") == n, F.col("charttime")))
+    group, wr = Window.partitionBy(*GROUP), ordered.across_ranges(GROUP)
+    at = lambda n: F.min(F.when(F.col("_is") & (F.col("_no") == n), F.col("charttime")))
     ends = (
-        kept
-        .groupBy(*GROUP, BUCKET)
+        counted.groupBy(*GROUP, RANGE)
         .agg(
+            F.max("_all").alias("_all"),
             F.max("_kept").alias("_kept"),
             at(1).alias("_t1"),
             at(2).alias("_t2"),
-            F.max("charttime").alias("_tn"),
+            F.max(F.when(F.col("_is"), F.col("charttime"))).alias("_tn"),
         )
+        .withColumns({"_g_all": F.sum("_all").over(group), "_g_kept": F.sum("_kept").over(group)})
+        .where((F.col("_kept") > 0) & (F.col("_g_all") > F.col("_all")))
     )
     return ends.select(
         *GROUP,
-        BUCKET,
-        F.sum("_kept").over(Window.partitionBy(*GROUP)).alias("_g_kept"),
-        F.lag("_tn").over(wb).alias("_g_prev"),
-        F.lead("_t1").over(wb).alias("_g_next"),
-        F.coalesce(F.lead("_t2").over(wb), F.lead("_t1", 2).over(wb)).alias("_g_next2"),
-    ).join(sizes, GROUP)
+        RANGE,
+        "_g_all",
+        "_g_kept",
+        F.lag("_tn").over(wr).alias("_g_prev"),
+        F.lead("_t1").over(wr).alias("_g_next"),
+        F.coalesce(F.lead("_t2").over(wr), F.lead("_t1", 2).over(wr)).alias("_g_next2"),
+    )
 
 
-def format_carevue(events: DataFrame, cell: int = CELL) -> DataFrame:
+def format_carevue(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Labelled point chartings to canonical intervals of both kinds.
 
-    The deduplicated rows are read several times, so they are written once.
+    The deduplicated rows are written once, in ranges of the order that both kinds follow.
     """
-    rows = materialize(dedupe_first(ordered.placed(events, GROUP, "charttime")))
-    return drip_intervals(rows, cell).unionByName(push_intervals(rows, cell=cell))
+    rows = ordered.ranged(
+        dedupe_first(ordered.placed(events, GROUP, "charttime")), GROUP, CHARTING_ORDER, ranges
+    )
+    return drip_intervals(rows, ranges).unionByName(push_intervals(rows, ranges=ranges))
 
 
 def match_inputs(inputs: DataFrame, cohort: DataFrame) -> DataFrame:

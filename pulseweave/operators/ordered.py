@@ -1,11 +1,13 @@
-"""Ordered computations per key that stay distributed when one key is huge.
+"""Ordered computations per key that stay distributed when one key, or one moment, is huge.
 
-A window over (key ORDER BY time) puts a key into one task.  Here time is cut into cells
-of fixed calendar width, whatever the number of rows; windows run per (key, cell), and the
-little state that has to cross a cell's border is computed from one summary row per cell
-and joined back.  So a key is spread over as many tasks as it has cells, and no count is
-needed to plan that.
+A window over (key ORDER BY time) puts a key into one task.  Here the rows are cut into
+ranges of the full order, which is key, time and whatever breaks ties: a burst of rows at
+one time is cut like anything else, and no range is much larger than its share of all rows.
+Windows run per (key, range).  What has to cross the border of a range is an associative
+state, computed from one summary row per key and range and joined back where a key does
+span ranges; that are at most as many keys as there are borders.
 
+The ranges are written to the shared folder once, so that every step sees the same ones.
 Rows without a key or a time take no part: they belong to no group, or have no place in it.
 """
 
@@ -15,11 +17,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulseweave.functions.timing import micros
+from pulseweave.session import materialize
 
-BUCKET = "_bucket"
-#: Width of a cell in microseconds: a day.
-CELL = 86_400_000_000
+RANGE = "_range"
 
 
 def placed(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -27,36 +27,47 @@ def placed(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, ts]]))
 
 
-def time_buckets(df: DataFrame, keys: list[str], ts: str, cell: int = CELL) -> DataFrame:
-    """:func:`placed` rows with :data:`BUCKET`, the number of the cell, which grows with time."""
-    return placed(df, keys, ts).withColumn(BUCKET, F.floor(micros(ts) / F.lit(cell)).cast("long"))
+def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """:func:`placed` rows with :data:`RANGE`, the number of their range of (keys, order), written once.
+
+    ``order`` begins with the time and should end in columns that tell rows apart.  There
+    are as many ranges as shuffle partitions unless ``ranges`` says otherwise.  Rows that
+    have their ranges already, by the same keys and order, come back as they are.
+    """
+    if RANGE in df.columns:
+        return df
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    cut = placed(df, keys, order[0]).repartitionByRange(n, *by)
+    return materialize(cut.withColumn(RANGE, F.spark_partition_id()))
 
 
-def per_bucket(keys: list[str], order: list[Column]) -> Window:
-    return Window.partitionBy(*keys, BUCKET).orderBy(*order)
+def per_range(keys: list[str], order: list[Column]) -> Window:
+    return Window.partitionBy(*keys, RANGE).orderBy(*order)
 
 
-def across_buckets(keys: list[str]) -> Window:
+def across_ranges(keys: list[str]) -> Window:
     """Order of the summary rows of a key."""
-    return Window.partitionBy(*keys).orderBy(BUCKET)
+    return Window.partitionBy(*keys).orderBy(RANGE)
 
 
 def attach(df: DataFrame, keys: list[str], state: DataFrame, names: list[str]) -> DataFrame:
-    """Bring per-cell state to the rows.
+    """Bring the state at the border of a range to its rows; keys within one range have none.
 
-    The rows are already partitioned and sorted by (key, cell), so only the summary is
+    The rows are already partitioned and sorted by (key, range), so only the summary is
     shuffled.
     """
-    return df.join(state.select(*keys, BUCKET, *names), [*keys, BUCKET], "left")
+    some = state.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in names]))
+    return df.join(some.select(*keys, RANGE, *names), [*keys, RANGE], "left")
 
 
-def previous_time(df: DataFrame, keys: list[str], ts: str, name: str, cell: int = CELL) -> DataFrame:
+def previous_time(df: DataFrame, keys: list[str], ts: str, name: str, ranges: int | None = None) -> DataFrame:
     """``lag(ts)`` per key over rows with distinct times."""
-    b = time_buckets(df, keys, ts, cell)
-    rows = b.withColumn(name, F.lag(ts).over(per_bucket(keys, [F.col(ts)])))
-    last = b.groupBy(*keys, BUCKET).agg(F.max(ts).alias("_last"))
-    border = last.withColumn("_border", F.lag("_last").over(across_buckets(keys)))
-    return attach(rows, keys, border, ["_border"]).withColumn(name, F.coalesce(name, "_border")).drop("_border", BUCKET)
+    b = ranged(df, keys, [ts], ranges)
+    rows = b.withColumn(name, F.lag(ts).over(per_range(keys, [F.col(ts)])))
+    last = b.groupBy(*keys, RANGE).agg(F.max(ts).alias("_last"))
+    border = last.withColumn("_border", F.lag("_last").over(across_ranges(keys)))
+    return attach(rows, keys, border, ["_border"]).withColumn(name, F.coalesce(name, "_border")).drop("_border", RANGE)
 
 
 def nearest(
@@ -65,7 +76,7 @@ def nearest(
     keys: list[str],
     ts: str,
     payload: str,
-    cell: int = CELL,
+    ranges: int | None = None,
 ) -> DataFrame:
     """For each probe the payloads of the points next before-or-at and next after it.
 
@@ -79,10 +90,10 @@ def nearest(
             *keys, ts, F.lit(None).cast(kind).alias(payload), F.lit(1).alias("_probe")
         )
     )
-    b = time_buckets(both, keys, ts, cell)
+    b = ranged(both, keys, [ts, "_probe"], ranges)
     preceding = (Window.unboundedPreceding, 0)
-    up = per_bucket(keys, [F.col(ts), F.col("_probe")]).rowsBetween(*preceding)
-    down = per_bucket(keys, [F.col(ts).desc(), F.col("_probe").desc()]).rowsBetween(*preceding)
+    up = per_range(keys, [F.col(ts), F.col("_probe")]).rowsBetween(*preceding)
+    down = per_range(keys, [F.col(ts).desc(), F.col("_probe").desc()]).rowsBetween(*preceding)
     rows = b.withColumns(
         {
             "before": F.last(payload, ignorenulls=True).over(up),
@@ -90,9 +101,9 @@ def nearest(
         }
     )
     point = F.when(F.col("_probe") == 0, F.struct(ts, payload))
-    ends = b.groupBy(*keys, BUCKET).agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
-    back = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
-    earlier = across_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy(*keys, RANGE).agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
+    back = Window.partitionBy(*keys).orderBy(F.col(RANGE).desc())
+    earlier = across_ranges(keys).rowsBetween(Window.unboundedPreceding, -1)
     later = back.rowsBetween(Window.unboundedPreceding, -1)
     border = ends.withColumns(
         {

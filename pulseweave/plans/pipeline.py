@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseweave import vocab
 from pulseweave.operators import chunks, codes, cohort as co, dataset, infusions, labs, signals
-from pulseweave.operators.ordered import CELL
 from pulseweave.session import materialize
 
 Tables = dict[str, DataFrame]
 
 
-def build_cohort(tables: Tables, version: int = 4, cell: int = CELL) -> DataFrame:
+def build_cohort(tables: Tables, version: int = 4, ranges: int | None = None) -> DataFrame:
     """Recordings with their stays, demographics and weight.
 
     Written to the shared folder twice, without and with the weight: every later step
@@ -27,10 +26,10 @@ def build_cohort(tables: Tables, version: int = 4, cell: int = CELL) -> DataFram
         co.add_demographics(matched, tables["patients"], tables["admissions"], version)
     )
     if version == 4:
-        weights = co.weights_from_inputs(people, tables["inputevents"], cell)
+        weights = co.weights_from_inputs(people, tables["inputevents"], ranges)
     else:
         weights = co.weights_from_charts(
-            people, tables["weight_events"], tables["d_items"], cell
+            people, tables["weight_events"], tables["d_items"], ranges
         )
     return materialize(co.add_weight(people, weights))
 
@@ -45,7 +44,7 @@ def cohort_labs(tables: Tables, cohort: DataFrame) -> DataFrame:
     return labs.match_labs(listed, cohort)
 
 
-def load_inputs(tables: Tables, version: int = 4, cell: int = CELL) -> DataFrame:
+def load_inputs(tables: Tables, version: int = 4, ranges: int | None = None) -> DataFrame:
     """All infusions as canonical intervals, with the system they come from."""
     metavision = infusions.format_metavision(
         infusions.label_items(tables["inputevents"], tables["d_items"])
@@ -53,17 +52,17 @@ def load_inputs(tables: Tables, version: int = 4, cell: int = CELL) -> DataFrame
     if version == 4:
         return metavision
     points = infusions.label_items(tables["inputevents_cv"], tables["d_items"])
-    carevue = infusions.format_carevue(points, cell).withColumn(
+    carevue = infusions.format_carevue(points, ranges).withColumn(
         "dbsource", F.lit("carevue")
     )
     return carevue.unionByName(metavision)
 
 
 def cohort_inputs(
-    tables: Tables, cohort: DataFrame, version: int = 4, cell: int = CELL
+    tables: Tables, cohort: DataFrame, version: int = 4, ranges: int | None = None
 ) -> DataFrame:
     """Listed infusions around the cohort's recordings."""
-    listed = infusions.filter_inputs(load_inputs(tables, version, cell))
+    listed = infusions.filter_inputs(load_inputs(tables, version, ranges))
     return infusions.match_inputs(listed, cohort)
 
 
@@ -75,13 +74,13 @@ def cohort_codes(tables: Tables, cohort: DataFrame) -> DataFrame:
     return codes.add_titles(codes.drop_external_causes(mapped), tables["d_icd_diagnoses"])
 
 
-def preprocess(tables: Tables, version: int = 4, cell: int = CELL) -> Tables:
+def preprocess(tables: Tables, version: int = 4, ranges: int | None = None) -> Tables:
     """The four derived tables: cohort, labs, inputs, codes."""
-    cohort = build_cohort(tables, version, cell)
+    cohort = build_cohort(tables, version, ranges)
     return {
         "cohort": cohort,
         "labs": cohort_labs(tables, cohort),
-        "inputs": cohort_inputs(tables, cohort, version, cell),
+        "inputs": cohort_inputs(tables, cohort, version, ranges),
         "codes": cohort_codes(tables, cohort),
     }
 

@@ -127,23 +127,23 @@ def without_place(charted):
     return charted + lost
 
 
-CELLS = [10**15, ordered.CELL, 3_600_000_000, 60_000_000]
+RANGES = [1, 3, 40, 300]
 
 
-@pytest.mark.parametrize("cell", CELLS)
+@pytest.mark.parametrize("ranges", RANGES)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_drips_same_in_any_cells(spark, seed, cell):
+def test_drips_same_in_any_ranges(spark, seed, ranges):
     charted = random_charts(seed)
     df = spark.createDataFrame(without_place(charted), SCHEMA)
-    assert interval_tuples(infusions.drip_intervals(df, cell)) == drips_by_hand(charted)
+    assert interval_tuples(infusions.drip_intervals(df, ranges)) == drips_by_hand(charted)
 
 
-@pytest.mark.parametrize("cell", CELLS)
+@pytest.mark.parametrize("ranges", RANGES)
 @pytest.mark.parametrize("seed", [3, 4])
-def test_pushes_same_in_any_cells(spark, seed, cell):
+def test_pushes_same_in_any_ranges(spark, seed, ranges):
     charted = random_charts(seed)
     df = spark.createDataFrame(without_place(charted), SCHEMA)
-    got = [(*r[:4], round(r[4], 9)) for r in interval_tuples(infusions.push_intervals(df, cell=cell))]
+    got = [(*r[:4], round(r[4], 9)) for r in interval_tuples(infusions.push_intervals(df, ranges=ranges))]
     assert got == pushes_by_hand(charted)
 
 
@@ -154,8 +154,20 @@ def test_burst_at_one_time(spark):
         for k in range(1, 400)
     ]
     df = spark.createDataFrame(charted, SCHEMA)
-    for cell in (ordered.CELL, 60_000_000):
-        assert interval_tuples(infusions.drip_intervals(df, cell)) == drips_by_hand(charted)
+    for ranges in (1, 16, 200):
+        assert interval_tuples(infusions.drip_intervals(df, ranges)) == drips_by_hand(charted)
+
+
+def test_ranges_are_bounded_whatever_shares_a_key_or_a_time(spark):
+    """A third of all rows at one time of one drip, another third on it: no range takes more than a few shares."""
+    charted = [chart(k, 10, 1.0) for k in range(2000)] + [chart(5000 + k, k, 1.0) for k in range(2000)]
+    charted += [chart(9000 + k, k % 50, 2.0, None, 100 + k % 300) for k in range(2000)]
+    df = spark.createDataFrame(charted, SCHEMA)
+    for n in (6, 24):
+        sizes = [r["count"] for r in ordered.ranged(df, infusions.GROUP, infusions.CHARTING_ORDER, n).groupBy(ordered.RANGE).count().collect()]
+        assert len(sizes) > n * 0.8 and max(sizes) < 2.5 * 6000 / n
+    groups = ordered.ranged(df, infusions.GROUP, infusions.CHARTING_ORDER, 24).groupBy(*infusions.GROUP, ordered.RANGE).count()
+    assert groups.agg({"count": "max"}).first()[0] < 2.5 * 6000 / 24
 
 
 def push(row_id, minute, amount=2.0, item=1, stay=1, label="Levophed"):
