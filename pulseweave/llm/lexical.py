@@ -127,6 +127,7 @@ class Segment:
         self.posted = self.owner[by_term]
         self.list_starts = np.searchsorted(self.terms[by_term], np.arange(len(model.weight) + 1))
         self.most = np.zeros(len(model.weight), np.int64)  # of a term in any document here
+        self.column = np.full(len(model.weight), -1, np.int64)
         filled = np.flatnonzero(np.diff(self.list_starts))
         if len(filled):
             self.most[filled] = np.maximum.reduceat(self.part[by_term], self.list_starts[filled])
@@ -146,12 +147,13 @@ class Segment:
         begin = np.cumsum(size) - size
         return np.repeat(self.starts[docs] - begin, size) + np.arange(size.sum()), begin
 
-    def blocks(self, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def blocks(self, term: int, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents of a list block by block, where each block begins, and the blocks' summaries.
 
         Documents go to the nearest of as many pivots as the list fills blocks, by their
         sketches; a crowd around one pivot is cut into blocks.  A summary has the largest
-        part that any document of the block has in each term from ``term`` on.
+        part that any document of the block has in each of the terms ``columns``, those
+        that the queries at hand can ask for.
         """
         docs = self.posted[self.list_starts[term]:self.list_starts[term + 1]]
         begins = np.zeros(1, np.int64)
@@ -163,15 +165,16 @@ class Segment:
             first = np.searchsorted(nearest, np.arange(len(pivots)))
             place = np.arange(len(docs)) - first[nearest]
             begins = np.flatnonzero(place % self.block_docs == 0)
-        width = len(self.model.weight) - term
         at, begin = self.entries(docs)
         size = np.diff(np.append(begin, len(at)))
-        block = np.searchsorted(begins, np.arange(len(docs)), side="right") - 1
-        cell = np.repeat(block, size) * width + self.terms[at] - term
-        wanted = self.terms[at] >= term
-        summary = np.zeros(len(begins) * width)
-        np.maximum.at(summary, cell[wanted], self.part[at][wanted])
-        return docs, begins, summary.reshape(-1, width)
+        self.column[columns] = np.arange(len(columns))
+        column = self.column[self.terms[at]]
+        self.column[columns] = -1
+        wanted = np.flatnonzero(column >= 0)
+        block = np.repeat(np.searchsorted(begins, np.arange(len(docs)), side="right") - 1, size)
+        summary = np.zeros(len(begins) * len(columns))
+        np.maximum.at(summary, block[wanted] * len(columns) + column[wanted], self.part[at[wanted]])
+        return docs, begins, summary.reshape(-1, len(columns))
 
     def scores(self, docs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Exact scores of ``docs``, each of which has a term; ``counts`` by term."""
@@ -210,17 +213,19 @@ class Search:
             reach = (left[asking] - passed[asking]) * (1 + 1e-9) + 1
             active = asking[reach >= self.least[asking]]
             if len(active) and model.weight[term] > 0:
-                docs, begins, summary = segment.blocks(term)
+                for q in set(active.tolist()).difference(counts):
+                    own = slice(model.starts[q], model.starts[q + 1])
+                    counts[q] = np.zeros(len(model.weight), np.int64)
+                    counts[q][model.term[own]] = model.count[own]
+                    scored[q] = np.zeros(len(segment.doc_ids), bool)
+                own = {q: model.term[model.starts[q]:model.starts[q + 1]] for q in active.tolist()}
+                own = {q: terms[np.searchsorted(terms, term):] for q, terms in own.items()}
+                columns = np.unique(np.concatenate(list(own.values())))
+                docs, begins, summary = segment.blocks(term, columns)
                 ends = np.append(begins[1:], len(docs))
-                for q in active.tolist():
-                    if q not in counts:
-                        own = slice(model.starts[q], model.starts[q + 1])
-                        counts[q] = np.zeros(len(model.weight), np.int64)
-                        counts[q][model.term[own]] = model.count[own]
-                        scored[q] = np.zeros(len(segment.doc_ids), bool)
-                    own = model.term[model.starts[q]:model.starts[q + 1]]
-                    own = own[own >= term]
-                    bound = summary[:, own - term] @ (counts[q][own] * model.weight[own]).astype(np.float64)
+                for q, terms in own.items():
+                    gains = (counts[q][terms] * model.weight[terms]).astype(np.float64)
+                    bound = summary[:, np.searchsorted(columns, terms)] @ gains
                     take = bound * (1 + 1e-9) + 1 >= self.least[q]
                     self.visited[0] += len(begins)
                     self.visited[1] += int((~take).sum())
