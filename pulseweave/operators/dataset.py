@@ -40,19 +40,19 @@ def _feature_struct(defaults: bool) -> Column:
 
 
 def chunk_dataset(features: DataFrame, signals: DataFrame) -> DataFrame:
-    """record_id, stay_id, chunk_id, chunk_start, signals, ehr.
+    """record_id, stay_id, chunk_id, block, chunk_start, signals, ehr.
 
     ``features`` is the wide feature table over the whole grid, ``signals`` has a map of
     samples per recorded chunk.  A chunk past the
     end of the recorded samples keeps its row with no signals and default features;
     recorded chunks past the grid drop out.  Both inputs come placed by (recording,
-    chunk), so neither moves for the join.
+    block), so neither moves for the join, and the rows leave placed for the writer.
     """
     ehr = F.when(F.col("signals").isNotNull(), _feature_struct(False)).otherwise(
         _feature_struct(True)
     )
-    return features.join(signals, ["record_id", "chunk_id"], "left").select(
-        *CHUNK, "chunk_start", "signals", ehr.alias("ehr")
+    return features.join(signals, ["record_id", "block", "chunk_id"], "left").select(
+        *CHUNK, "block", "chunk_start", "signals", ehr.alias("ehr")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseweave import vocab
 from pulseweave.functions import arrays
+from pulseweave.operators.chunks import block_of, by_block
 from pulseweave.operators.ordered import running_total
 
 
@@ -51,37 +52,43 @@ def _blank():
     return ~F.exists("samples", lambda x: x.isNotNull())
 
 
+#: More than any rank of a channel name.
+_RANKS = 1000
+
+
 def align(segments: DataFrame) -> DataFrame:
     """record_id, seg_idx, signal, fs, samples on the recording's own signal axis.
 
     Every stretch gets a row for every signal of its recording; what it did not
     record is missing samples.  Of several channel names of one signal, the first
-    listed one with a real sample is taken.  The arrays are shuffled once, by stretch.
+    listed one with a real sample is taken.  A channel name is recorded once per stretch.
+
+    The winners are chosen on keys alone, so no aggregate carries an array; the arrays
+    move once, to meet the names that won.
     """
-    ranked = segments.join(
-        F.broadcast(vocab.signal_frame(segments.sparkSession)), "raw_signal", "left"
+    lengths = segments.groupBy("record_id", "seg_idx").agg(
+        F.max(F.size("samples")).alias("_n"), F.max("fs").alias("fs")
     )
-    order = F.struct(_blank().alias("blank"), F.col("variant_rank"))
-    per_stretch = ranked.groupBy("record_id", "seg_idx").agg(
-        F.max(F.size("samples")).alias("_n"),
-        F.max("fs").alias("fs"),
-        *[
-            F.min_by("samples", F.when(F.col("signal") == s, order)).alias(f"_{s}")
-            for s in vocab.SIGNALS
-        ],
-    )
-    found = F.create_map(
-        *[x for s in vocab.SIGNALS for x in (F.lit(s), F.col(f"_{s}"))]
+    # Blankness and rank as one number, which a hash aggregate can hold.
+    order = F.col("blank").cast("int") * _RANKS + F.col("variant_rank")
+    names = F.broadcast(vocab.signal_frame(segments.sparkSession)).withColumnRenamed("variant_rank", "_rank")
+    winners = (
+        name_signals(segments.select("record_id", "seg_idx", "raw_signal", _blank().alias("blank")))
+        .groupBy("record_id", "seg_idx", "signal")
+        .agg((F.min(order) % _RANKS).alias("_rank"))
+        .join(names, ["signal", "_rank"])
+        .select("record_id", "seg_idx", "signal", "raw_signal")
     )
-    entry = lambda s: F.struct(
-        s.alias("signal"),
-        F.coalesce(F.element_at(found, s), arrays.nulls(F.col("_n"))).alias("samples"),
+    axis = lengths.join(signal_map(segments), "record_id").select(
+        "record_id", "seg_idx", "fs", "_n", F.explode("signals").alias("signal")
     )
-    return (
-        per_stretch.join(signal_map(segments), "record_id")
-        .select("record_id", "seg_idx", "fs", F.explode(F.transform("signals", entry)).alias("_e"))
-        .select("record_id", "seg_idx", "_e.signal", "fs", "_e.samples")
+    cells = axis.join(winners, ["record_id", "seg_idx", "signal"], "left")
+    columns = ["record_id", "seg_idx", "signal", "fs", "samples"]
+    found = cells.where(F.col("raw_signal").isNotNull()).join(
+        segments.select("record_id", "seg_idx", "raw_signal", "samples"), ["record_id", "seg_idx", "raw_signal"]
     )
+    missing = cells.where(F.col("raw_signal").isNull()).withColumn("samples", arrays.nulls(F.col("_n")))
+    return found.select(*columns).unionByName(missing.select(*columns))
 
 
 def resample(segments: DataFrame, target_fs: float = vocab.TARGET_FS) -> DataFrame:
@@ -144,15 +151,16 @@ def _pieces(segments: DataFrame, size: int) -> DataFrame:
 
 
 def rechunk(segments: DataFrame, size: int, axis: DataFrame | None = None) -> DataFrame:
-    """record_id, chunk_id, signals — a map of arrays of exactly ``size`` samples.
+    """record_id, block, chunk_id, signals — a map of arrays of exactly ``size`` samples.
 
     ``segments``: record_id, signal, variant_rank, sample_offset, samples, at the
     final sampling rate.  Stretches are cut at chunk borders and only the pieces
-    travel, once, by (record, chunk): a chunk holds at most 13 signals of ``size``
-    samples, so no group grows with its recording, and copies of a piece merge ahead of
-    the shuffle.  What no piece covers, between pieces and at the end, is missing
-    samples; what several cover is taken from the one that starts first.  ``axis`` (record_id, chunk_id, axis) names chunks, and the signals they
-    have, although nothing may cover them.
+    travel, once, by (record, block of chunks), which is also how they are joined and
+    written: ``block`` is kept for that.  They are grouped by chunk, which holds at most 13
+    signals of ``size`` samples, so no group grows with its recording.  What no piece
+    covers, between pieces and at the end, is missing samples; what several cover is taken
+    from the one that starts first.  ``axis`` (record_id, chunk_id, axis) names chunks, and
+    the signals they have, although nothing may cover them.
     """
     parts = _pieces(segments, size)
     if axis is None:
@@ -181,24 +189,26 @@ def rechunk(segments: DataFrame, size: int, axis: DataFrame | None = None) -> Da
         F.transform("_p", lambda p: p["signal"]),
     )
     return (
-        parts.groupBy("record_id", "chunk_id")
+        by_block(parts.withColumn("block", block_of("chunk_id")))
+        .groupBy("record_id", "block", "chunk_id")
         .agg(F.sort_array(F.collect_set("part")).alias("_p"), F.max("axis").alias("axis"))
         .withColumn("_q", F.transform("_p", padded))
         .select(
             "record_id",
+            "block",
             "chunk_id",
             F.map_from_entries(F.transform(names, whole)).alias("signals"),
         )
     )
 
 
-def chunk_signals(
+def placed_signals(
     segments: DataFrame,
     headers: DataFrame,
     target_fs: float = vocab.TARGET_FS,
     seconds: float = vocab.CHUNK_SECONDS,
 ) -> DataFrame:
-    """record_id, chunk_id, signals for every chunk of a recording.
+    """record_id, block, chunk_id, signals for every chunk of a recording, placed by (recording, block).
 
     The map has every signal of the recording.  Segments that carry ``sample_offset``
     (in samples at ``target_fs``) are taken as placed and their arrays are shuffled
@@ -222,6 +232,16 @@ def chunk_signals(
     return rechunk(named, size, axis)
 
 
+def chunk_signals(
+    segments: DataFrame,
+    headers: DataFrame,
+    target_fs: float = vocab.TARGET_FS,
+    seconds: float = vocab.CHUNK_SECONDS,
+) -> DataFrame:
+    """record_id, chunk_id, signals, as :func:`placed_signals`."""
+    return placed_signals(segments, headers, target_fs, seconds).drop("block")
+
+
 def by_signal(chunks: DataFrame) -> DataFrame:
     """record_id, chunk_id, signal, samples — one row per signal of a chunk."""
     return chunks.select("record_id", "chunk_id", F.explode("signals").alias("signal", "samples"))

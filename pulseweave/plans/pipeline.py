@@ -98,8 +98,8 @@ def build_dataset(
     """
     present = signals.signal_map(segments)
     cohort = derived["cohort"].join(present.select("record_id"), "record_id", "left_semi")
-    features = chunks.chunk_features(cohort, derived["inputs"], derived["labs"], seconds)
-    sampled = signals.chunk_signals(segments, headers, target_fs, seconds)
+    features = chunks.placed_features(cohort, derived["inputs"], derived["labs"], seconds)
+    sampled = signals.placed_signals(segments, headers, target_fs, seconds)
     return {
         "chunks": dataset.chunk_dataset(features, sampled),
         "records": dataset.static_records(

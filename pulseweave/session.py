@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: Runtime SQL settings.  UTC keeps TIMESTAMP_NTZ <-> epoch arithmetic an identity;
 #: the adaptive settings let Spark split the skewed side of any shuffle join, also
 #: where that costs one more exchange; dynamic overwrite is what makes the chunk
-#: dataset re-openable record by record.
+#: dataset re-openable record by record; chunks placed by (recording, block) are joined by
+#: chunk where they lie.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -21,6 +21,12 @@ def test_align(spark):
         (1, 3, "ABP"): [None] * 3, (1, 3, "II"): [None] * 3, (2, 1, "II"): [4.0]}
 
 
+def test_align_aggregates_no_arrays(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "ART", 1.0, [1.0, 2.0])], SEG).write.parquet(f"{tmp_path}/s")
+    plan = signals.align(spark.read.parquet(f"{tmp_path}/s"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "min_by" not in plan
+
+
 def resampled(spark, samples, fs, target):
     df = spark.createDataFrame([(1, 1, "II", fs, samples)], SEG)
     return signals.resample(df, target).first()
