@@ -73,11 +73,13 @@ SKETCH_LIMIT = 56
 #: Rows up to which an open bucket is small: chance brings few texts together, so from these
 #: only plausible pairs, at most this many per row, hold a group together.
 SMALL_BUCKET = 32
-#: Documents up to which ids are broadcast (about 100 MB in a task) to pick their texts;
-#: more are joined by a shuffle of all texts.
-BROADCAST_IDS = 4_000_000
-#: Shingles of a tile; a task that compares a group in full holds two tiles.
-TILE_SHINGLES = 300_000
+#: Shingles and rows of a tile; a task that compares a group in full holds two tiles.
+TILE_SHINGLES, TILE_ROWS = 300_000, 4096
+#: Texts that meet their common candidate in one task.
+HUB_TEXTS = 128
+#: Rows of 64 bits of the filter that picks the texts of candidates; it is broadcast, and as
+#: large for any number of documents.
+FILTER_ROWS = 1 << 18
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, k0 long, k1 long, k2 long, k3 long, bands array<long>"
 
@@ -106,26 +108,23 @@ def _signed(words_per_shingle: int, bands: int, rows: int):
     return run
 
 
-def _confirmed(words_per_shingle: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[str | None, np.ndarray | None] = (None, None)
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            hit = np.zeros(len(left), bool)
-            for first, run in runs(right):
-                for k, s in enumerate(shingle_sets(run, words_per_shingle), first):
-                    if left[k] != kept[0]:
-                        kept = left[k], shingle_sets([left[k] or ""], words_per_shingle)[0]
-                    hit[k] = _similar(kept[1], s, percent)
-            rows = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))],
-                                             names=["a", "b"])
+def _hub(words_per_shingle: int, percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """The texts of a chunk that are similar enough to one of their common candidate's."""
+        rows = rows.combine_chunks()
+        hub, ids = rows["a"][0].as_py(), rows["doc_id"].to_numpy()
+        sets = [s for _, run in runs(rows["text"].to_pylist()) for s in shingle_sets(run, words_per_shingle)]
+        own = [s for k, s in zip(ids, sets) if k == hub]
+        found = sorted({k for k, s in zip(ids.tolist(), sets) if k != hub and any(_similar(x, s, percent) for x in own)})
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return run
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5,
-                    percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    percent: int = 80, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET,
+                    tile_shingles: int = TILE_SHINGLES, tile_rows: int = TILE_ROWS, hub_texts: int = HUB_TEXTS,
+                    filter_rows: int = FILTER_ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Words are runs without ASCII white space, A-Z in lower case; a document is the set of
@@ -138,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
        their smallest id.
     2. In each bucket (band, key), every class has the smallest id of the bucket as a
        candidate, and is compared with the smallest of its candidates: one pair per class,
-       however large its buckets are.
+       however large its buckets are.  Classes that are alone in a bucket leave it at once.
     3. Where that leaves a bucket with several components, its rows stay open.  Open rows
        that share large buckets or are plausible pairs of small ones, directly or through
        others, form a group, which is dealt into
@@ -160,34 +159,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     usable = F.expr("n_shingles > 0 and doc_id is not null")
     classes = materialize(signed.where(usable).groupBy(*same_set).agg(F.min("doc_id").alias("doc_id")))
     firsts = signed.join(classes, ["doc_id", *same_set], "left_semi").dropDuplicates(["doc_id", *same_set])
-    members = materialize(firsts.select("doc_id", F.explode("bands").alias("bucket")).distinct())
+    # One shuffle by bucket serves the minimum and the join; most rows are alone and end here.
+    dealt = firsts.select("doc_id", F.explode("bands").alias("bucket")).repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    members = materialize(dealt.join(shared.select("bucket", "a"), "bucket"))
     sketches = firsts.select("doc_id", "n_shingles", *SKETCH)
     texts = narrow.where("doc_id is not null")
 
-    shared = members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    pairs = members.join(shared.select("bucket", "a"), "bucket").where("doc_id > a") \
-        .select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = members.where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    members = members.drop("a")
     x, y = sketches.alias("x"), sketches.alias("y")
     tested = materialize(
         pairs.join(x, F.col("a") == F.col("x.doc_id"))
         .join(y, (F.col("b") == F.col("y.doc_id")) & _plausible("x", "y", percent))
         .groupBy("b").agg(F.min("a").alias("a"))
     )
-    links = materialize(_confirm(tested, texts, words_per_shingle, percent))
+    links = materialize(_confirm(tested, texts, words_per_shingle, percent, hub_texts, filter_rows))
     found = components(links, "a", "b")
     rest = materialize(_apart(members, found).join(sketches, "doc_id"))
     buckets = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("low"))
-    small = rest.join(buckets.where(F.col("rows") <= SMALL_BUCKET).select("bucket"), "bucket", "left_semi")
+    small = rest.join(buckets.where(F.col("rows") <= small_bucket).select("bucket"), "bucket", "left_semi")
     x, y = small.alias("x"), small.alias("y")
     ties = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
                   & _plausible("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    large = buckets.where(F.col("rows") > SMALL_BUCKET)
+    large = buckets.where(F.col("rows") > small_bucket)
     ties = ties.unionByName(rest.join(large, "bucket").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct()
     near = components(ties, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     open_rows = materialize(rest.select("doc_id", "component", "n_shingles", *SKETCH).distinct().join(near, "doc_id"))
-    tiles = open_rows.groupBy("group").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("tiles"))
+    needed = F.greatest(F.sum("n_shingles") / tile_shingles, F.count(F.lit(1)) / tile_rows)
+    tiles = open_rows.groupBy("group").agg(F.ceil(needed).cast("int").alias("tiles"))
     paired = (
-        open_rows.join(_texts_of(texts, open_rows.select("doc_id")), "doc_id").join(tiles, "group")
+        open_rows.join(_candidates(texts, open_rows.select("doc_id"), filter_rows), "doc_id").join(tiles, "group")
         .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "doc_id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("group", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"),
@@ -268,26 +270,33 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(apart, "bucket", "left_semi")
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents: without a shuffle of the others while the ids are few."""
-    ids = materialize(ids.distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _candidates(texts: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """The texts of the documents ``ids`` and, by chance, of some others.
+
+    ``ids`` become a filter of ``rows`` times 64 bits, whatever their number, so texts
+    that no one asks for are passed over where they are read.  A join on the ids follows.
+    """
+    h = F.xxhash64(F.lit("filter"), "doc_id")
+    slot, bit = F.pmod(F.shiftright(h, 6), F.lit(rows)), F.pmod(h, F.lit(64)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = ids.select(slot.alias("__slot"), mask.alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__bits"))
+    passed = texts.withColumns({"__slot": slot, "__place": bit}).join(F.broadcast(materialize(bits)), "__slot")
+    return passed.where(F.getbit("__bits", F.col("__place")) == 1).select(*texts.columns)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) whose sets are similar enough.
+def _confirm(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int, hub_texts: int,
+             filter_rows: int) -> DataFrame:
+    """The candidate pairs (a, b), one per b, whose sets are similar enough.
 
-    Only texts that occur in a candidate are shuffled.  Pairs are sorted by ``a`` within
-    a partition, so the text that a bucket shares is read once for all its partners.
+    Each text of a pair is told its group, which is its candidate ``a`` and a chunk of the
+    texts that have it, and moves there; the candidate's own text is copied to its chunks.
     """
-    some = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    both = (
-        pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-        .join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-        .select("a", "b", "left", "right").sortWithinPartitions("a", "b")
-    )
-    return both.mapInArrow(_confirmed(words_per_shingle, percent), "a long, b long").distinct()
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub_texts).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "b"), F.col("chunks")).cast("int")
+    routes = pairs.join(sizes, "a").select(F.col("b").alias("doc_id"), "a", chunk.alias("chunk")).unionByName(
+        sizes.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
+    met = _candidates(texts, routes.select("doc_id"), filter_rows).join(routes, "doc_id").select("a", "chunk", "doc_id", "text")
+    return met.groupBy("a", "chunk").applyInArrow(_hub(words_per_shingle, percent), "a long, b long").distinct()
 
 
 _ORACLE = r"""

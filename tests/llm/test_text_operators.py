@@ -74,6 +74,26 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert sorted(map(tuple, found.collect())) == brute_components(texts, k)
 
 
+@pytest.mark.parametrize("sizes", [
+    {"small_bucket": 1, "tile_shingles": 400}, {"small_bucket": 3, "tile_rows": 2, "hub_texts": 1}, {"filter_rows": 1, "hub_texts": 5},
+])
+def test_near_duplicates_in_large_buckets_and_many_tiles(spark, sizes):
+    """Groups in which few pairs are similar enough, so that much is left open after the first candidates."""
+    rng, texts = random.Random(3), []
+    for _ in range(4):
+        base = [f"w{rng.randrange(300)}" for _ in range(90)]
+        for _ in range(30):
+            own = list(base)
+            for k in rng.sample(range(90), rng.randrange(0, 7)):
+                own[k] = f"w{rng.randrange(300)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    found = minhash.near_duplicates(docs_of(spark, texts), words_per_shingle=2, **sizes)
+    want = brute_components(texts, 2)
+    assert sorted(map(tuple, found.collect())) == want
+    assert 4 < len({c for _, _, c, _ in want}) < 100
+
+
 def test_near_duplicates_without_ids_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")],
                                "doc_id long, text string")
