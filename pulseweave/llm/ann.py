@@ -27,6 +27,8 @@ TARGET = 0.96
 PROBES = 4096
 #: The same chance in one table.
 SHARE = 1 - (1 - TARGET) ** (1 / TABLES)
+#: Chances up to which queries go on that found too few candidates; the last means all buckets.
+SHARES = (SHARE, 0.9999, 2.0)
 #: Bounds of a task: indexed vectors, and queries, that meet in it.
 CHUNK = 2048
 #: Rows of a batch that hashing returns.
@@ -89,12 +91,12 @@ class Index:
     def index(self, x: np.ndarray) -> np.ndarray:
         return self.buckets(np.floor(self.project(x, False) / self.slot), x.shape[1])
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, x: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
         """(query number, bucket key) of all visits.
 
         A near neighbour's projection is normal around ``closeness`` times the query's, so
         each slot of each function has a chance, and a bucket the product of them.  Buckets
-        are taken in falling order of it until the chances add up to the target, however
+        are taken in falling order of it until the chances add up to ``share``, however
         many that takes: those of all buckets add up to 1.
         """
         tables, functions = self.shifts.shape
@@ -110,9 +112,9 @@ class Index:
                     part = todo[first:first + step]
                     found, picked = self.best(chance[part, t], limit)
                     before = np.cumsum(found, axis=1) - found
-                    done = (before[:, -1] + found[:, -1] >= SHARE) | (limit == every)
+                    done = (before[:, -1] + found[:, -1] >= share) | (limit == every)
                     short.append(part[~done])
-                    owner, place = np.nonzero((before < SHARE) & done[:, None])
+                    owner, place = np.nonzero((before < share) & done[:, None])
                     numbers = np.zeros((len(owner), tables, functions), np.int64)
                     numbers[:, t] = picked[owner, place]
                     owners.append(part[owner])
@@ -178,7 +180,7 @@ def fit(classes: DataFrame, neighbours: int) -> Index | None:
     return index
 
 
-def _keyed(held, queries: bool, keep: int):
+def _keyed(held, queries: bool, keep: int, share: float = SHARE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in batches:
@@ -192,7 +194,7 @@ def _keyed(held, queries: bool, keep: int):
                 for first in range(0, len(rows), 64):
                     part = slice(first, first + 64)
                     if queries:
-                        owner, key = index.probes(x[part])
+                        owner, key = index.probes(x[part], share)
                         floor = index.floors(x[part], keep, owner, key)
                     else:
                         key = index.index(x[part])
@@ -276,7 +278,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
     what reaches the score that so many rows of the sample reach in the buckets visited.
 
     Rows that are not :func:`usable`, or without id, take no part.  Vectors of different
-    lengths are never neighbours.  Rows with one id and different vectors count as several
+    lengths are never neighbours.  A query that finds fewer than ``neighbours`` rows goes on
+    to less likely buckets, in the end to all, until it has so many or there are no more.
+    Rows with one id and different vectors count as several
     candidates; a row repeated exactly counts once.  Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -297,7 +301,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
     schema = f"bucket long, cls long, floor double, vector {kind}"
     keep = neighbours + 1
     indexed = materialize(classes.select("cls", "vector").mapInArrow(_keyed(held, False, keep), schema))
-    probes = materialize(asked.select("cls", "vector").dropDuplicates(["cls"]).mapInArrow(_keyed(held, True, keep), schema))
+    sizes = classes.select("cls", F.size("ids").alias("rows"), F.size("vector").alias("width"))
+    there = sizes.groupBy("width").agg(F.sum("rows").alias("there"))
+    todo, merged = asked.select("cls", "vector").dropDuplicates(["cls"]), None
+    for share in SHARES:
+        probes = materialize(todo.mapInArrow(_keyed(held, True, keep, share), schema))
+        found = materialize(_compared(indexed, probes, keep))
+        rows_found = found.join(sizes, "cls").groupBy("query").agg(F.sum("rows").alias("found"))
+        short = materialize(
+            todo.join(rows_found, F.col("cls") == F.col("query"), "left").withColumn("width", F.size("vector")).join(there, "width")
+            .where(F.coalesce("found", F.lit(0)) < F.least(F.lit(keep), F.col("there"))).select("cls", "vector"))
+        done = found.join(short.select(F.col("cls").alias("query")), "query", "left_anti")
+        merged = done if merged is None else merged.unionByName(done)
+        todo = short
+        if share == SHARES[-1] or todo.isEmpty():
+            break
+    wide = merged.join(classes.select("cls", "ids"), "cls").select("query", F.explode("ids").alias("id"), "score")
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    wide = wide.withColumn("n", F.row_number().over(first)).where(F.col("n") <= neighbours + 1)
+    own = asked.select(F.col("id").alias("query_id"), F.col("cls").alias("query"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return (
+        own.join(wide, "query").where("query_id <> id").withColumn("rank", F.row_number().over(first))
+        .where(F.col("rank") <= neighbours).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    )
+
+
+def _compared(indexed: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
+    """(query, cls, score): the best ``keep`` classes of each query in the buckets that it visits."""
 
     def chunks(df, name):
         return df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
@@ -311,16 +342,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int, id_column:
         probes.join(sizes, "bucket").withColumn("asker", draw("askers")).withColumn("part", every("parts"))
         .select("bucket", "part", "asker", F.lit(True).alias("probe"), "cls", "floor", "vector"))
     best = met.groupBy("bucket", "part", "asker").applyInArrow(_cell(keep), "query long, cls array<long>, score array<double>")
-    merged = best.groupBy("query").applyInArrow(_merged(keep), "query long, cls long, score double")
-    wide = merged.join(classes.select("cls", "ids"), "cls").select("query", F.explode("ids").alias("id"), "score")
-    first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    wide = wide.withColumn("n", F.row_number().over(first)).where(F.col("n") <= neighbours + 1)
-    own = asked.select(F.col("id").alias("query_id"), F.col("cls").alias("query"))
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        own.join(wide, "query").where("query_id <> id").withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= neighbours).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
-    )
+    return best.groupBy("query").applyInArrow(_merged(keep), "query long, cls long, score double")
 
 
 @query("op4_nearest")

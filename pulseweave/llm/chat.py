@@ -36,21 +36,21 @@ def fold(events: DataFrame) -> DataFrame:
 
     A message's text is what follows its last edit or regeneration, in order of ``seq``.
     Its role is that of its first event that names one.  Events equal in ``seq`` are
-    ordered by kind, then text.  A NULL text is empty, a NULL role empty, an unknown or
+    ordered by kind, then text, so a delta comes before an edit of the same ``seq`` and is lost.  A NULL text is empty, a NULL role empty, an unknown or
     NULL kind counts for the message's existence alone.  A message without a start
     counts as started at its first event.
     """
     at = F.struct(F.col("seq"), F.col("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role"))
-    resets = F.filter("log", lambda e: e["kind"].isin(EDIT, REGENERATE, START))
-    last = F.try_element_at(F.col("resets"), F.lit(-1))
+    # The place of the last event that replaces the text; what follows it in the sorted log is appended.
+    reset = F.array_max(F.transform("log", lambda e, k: F.when(e["kind"].isin(EDIT, REGENERATE), k)))
+    last = F.get("log", F.col("reset"))
     base = F.when(last["kind"] == EDIT, last["text"]).otherwise(F.lit(""))
-    since = F.filter("log", lambda e: (e["kind"] == DELTA) & (F.col("reset_seq").isNull() | (e["seq"] >= F.col("reset_seq"))))
+    since = F.filter("log", lambda e, k: (e["kind"] == DELTA) & (k > F.coalesce("reset", F.lit(-1))))
     regenerated = F.array_max(F.transform(F.filter("log", lambda e: e["kind"] == REGENERATE), lambda e: e["seq"]))
     roles = F.filter("log", lambda e: e["role"].isNotNull())
     messages = (
         events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(at)).alias("log"))
-        .withColumn("resets", resets)
-        .withColumn("reset_seq", last["seq"])
+        .withColumn("reset", reset)
         .select(
             "conv_id", "message",
             F.coalesce(F.get(roles, 0)["role"], F.lit("")).alias("role"),

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulseweave.llm.common import query, table, text_fold
 from pulseweave.llm.tokens import Words, letter_words, mix, runs
+from pulseweave.session import materialize
 
 #: Bound of the fit: about so many documents of each language, chosen by a hash of the id.
 DOCS_PER_LANGUAGE = 1500
@@ -18,7 +19,7 @@ DOCS_PER_LANGUAGE = 1500
 FEATURES = 50_000
 #: Bound of the scores, texts times languages, held at once.
 CELLS = 1 << 20
-#: A word is known from so many occurrences on.
+#: A feature is known from so many occurrences on, unless its language has none of that order that often.
 MIN_COUNT = 2
 ORDERS = (4, 3, 2, 1)
 WORD = 0
@@ -68,9 +69,7 @@ class Model:
         self.tables = {}
         number = {x: k for k, x in enumerate(languages)}
         for order in (WORD, *ORDERS):
-            rows = counts[counts["n"] == order]
-            rows = rows.sort_values(["count", "feature"], ascending=[False, True]).groupby("lang").head(FEATURES)
-            rows = rows.sort_values(["feature", "lang"])
+            rows = counts[counts["n"] == order].sort_values(["feature", "lang"])
             lang = rows["lang"].map(number).to_numpy(np.int64)
             count = rows["count"].to_numpy(np.float64)
             features, first = np.unique(rows["feature"].to_numpy(np.int64), return_index=True)
@@ -128,12 +127,15 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id",
-        docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+        docs_per_language: int = DOCS_PER_LANGUAGE, features: int = FEATURES, min_count: int = MIN_COUNT) -> Model:
     """Fit on rows with text and language: a sample of about ``docs_per_language`` of each.
 
     The sample is taken by a hash of the id, so it is the same in every run.  Counting is
-    a Spark aggregation; what reaches the driver is bounded by the sample, and grows with
-    the number of languages, which has no bound.
+    a Spark aggregation.  Per language and order the model has the ``features`` most
+    frequent ones of at least ``min_count`` occurrences; a language that has none so
+    frequent keeps its most frequent ones, so every language whose sample has a letter is
+    learned.  So many rows per language reach the driver, whose memory grows with the
+    number of languages and nothing else.  Rows without id share one draw.
     """
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # Drawn by a broadcast row per language, so that only the sample is ever shuffled.
@@ -143,8 +145,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str
     drawn = docs.join(F.broadcast(limits), (F.col(lang) == F.col("__lang")) & (draw < F.col("__limit")))
     sample = drawn.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = sample.mapInArrow(_counted, "lang string, n int, feature long, count long") \
-        .groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT)
-    counts = counts.toPandas()
+        .groupBy("lang", "n", "feature").agg(F.sum("count").alias("count"))
+    counts = materialize(counts)
+    most = counts.groupBy("lang", "n").agg(F.max("count").alias("most"))
+    counts = counts.join(most, ["lang", "n"]).where(F.col("count") >= F.least(F.lit(min_count), F.col("most"))).drop("most")
+    place = Window.partitionBy("lang", "n").orderBy(F.col("count").desc(), "feature")
+    counts = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= features).drop("place").toPandas()
     return Model(counts, sorted(counts["lang"].unique()))
 
 

@@ -43,7 +43,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["bag", "positive", "words"])
 
 
-def select_words(words: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+def select_words(words: list[np.ndarray], positive: np.ndarray, most: int = FEATURES) -> np.ndarray:
     """Sorted hashes of the words whose share of documents differs most between the two sets."""
     values, at = np.unique(np.concatenate(words), return_inverse=True)
     owner = np.repeat(positive, [len(w) for w in words])
@@ -53,11 +53,11 @@ def select_words(words: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     seen = p * n_p + u * n_u
     pooled = seen / (n_p + n_u)
     z = np.abs(p - u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = np.argsort(-z, kind="stable")[:FEATURES]
+    best = np.argsort(-z, kind="stable")[:most]
     return np.sort(values[best[(z[best] >= _MIN_Z) & (seen[best] >= _MIN_DOCS)]])
 
 
-def train(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+def train(words: list[np.ndarray], positive: np.ndarray, prior: float, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(word hashes, weights, bias) of a logistic classifier under the non-negative risk.
 
     The risk (Kiryo et al., "Positive-Unlabeled Learning with Non-Negative Risk
@@ -65,7 +65,7 @@ def train(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[
     text stands for all text, so the share of positives in it is taken out again.  Where
     that difference turns negative, a step is made against it, as the authors do.
     """
-    chosen = select_words(words, positive)
+    chosen = select_words(words, positive, most)
     rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
     flat = np.concatenate(words)
     at = np.minimum(np.searchsorted(chosen, flat), max(len(chosen) - 1, 0))
@@ -95,23 +95,29 @@ def train(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id",
-        label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Train up to CLASSIFIERS classifiers, each in a task of its own, and average them.
+        label: str = "toxic", classifiers: int = CLASSIFIERS, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+        least_positives: int = LEAST_POSITIVES, words: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Train up to ``classifiers`` classifiers, each in a task of its own, and average them.
 
     Positives are documents whose label is 1; unlabelled text is a draw of all documents,
-    whatever their label.  The prior is the share of 1 among labelled documents.  Both
-    samples are taken by a hash of the id and bounded by the constants above.  Without
-    positives the model knows no word and scores every text the same.
+    whatever their label.  The prior is the share of 1 among labelled documents.  Bounds:
+    a classifier learns from about so many ``positives`` and ``unlabelled`` documents, drawn
+    by a hash of the id, and weighs up to so many ``words`` and stems, those whose share
+    differs most between the two; there is one classifier per ``least_positives`` positives.
+
+    Without documents or without positives the model knows no word and scores every text
+    the same.  Documents without id are not learned from; NULL and empty texts count as
+    documents without words.  Documents that repeat are learned from as often.
     """
     marked = labels.where(F.col(label).isNotNull()).groupBy(id_column).agg(F.max(label).alias("__mark"))
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
     ones = marked.where(F.col("__mark") == 1).select(F.col(id_column).alias("__id"))
     share = marked.agg(F.avg((F.col("__mark") == 1).cast("double"))).first()[0]
     n_p, n_u = ones.count(), rows.count()
-    if not n_p or not share:
+    if not n_p or not n_u or not share:
         return np.empty(0, np.int64), np.empty(0), -4.0
     prior = min(max(share, 1e-3), 0.9)
-    bags = min(CLASSIFIERS, max(1, n_p // LEAST_POSITIVES))
+    bags = min(classifiers, max(1, n_p // least_positives))
 
     def sample(df, positive, size, n):
         draw = F.pmod(F.xxhash64(F.lit(f"draw {positive}"), "__id"), F.lit(1 << 24))
@@ -122,23 +128,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
         return df.select(bag.alias("bag"), F.lit(positive).alias("positive"), "__text")
 
     # Both sides are drawn before they meet, so no more texts than the sample's are shuffled.
-    positives = sample(rows, True, POSITIVES, n_p).join(sample(ones, True, POSITIVES, n_p), "__id", "left_semi")
-    drawn = dealt(positives, True).unionByName(dealt(sample(rows, False, UNLABELLED, n_u), False))
+    toxic = sample(rows, True, positives, n_p).join(sample(ones, True, positives, n_p), "__id", "left_semi")
+    drawn = dealt(toxic, True).unionByName(dealt(sample(rows, False, unlabelled, n_u), False))
     drawn = drawn.mapInArrow(_words, "bag int, positive boolean, words array<long>")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         positive = pdf["positive"].to_numpy(bool)
         if not positive.any() or positive.all():
             return pd.DataFrame({"bias": [], "words": [], "weights": []})
-        words, weights, bias = train([np.asarray(x, np.int64) for x in pdf["words"]], positive, prior)
-        return pd.DataFrame({"bias": [bias], "words": [words], "weights": [weights]})
+        known, weights, bias = train([np.asarray(x, np.int64) for x in pdf["words"]], positive, prior, words)
+        return pd.DataFrame({"bias": [bias], "words": [known], "weights": [weights]})
 
     trained = drawn.groupBy("bag").applyInPandas(one, "bias double, words array<long>, weights array<double>").toPandas()
     if trained.empty:
         return np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior)))
-    words, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in trained["words"]]), return_inverse=True)
-    weights = np.bincount(at, np.concatenate(list(trained["weights"])), len(words)) / len(trained)
-    return words, weights, float(trained["bias"].mean())
+    known, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in trained["words"]]), return_inverse=True)
+    weights = np.bincount(at, np.concatenate(list(trained["weights"])), len(known)) / len(trained)
+    return known, weights, float(trained["bias"].mean())
 
 
 def chances(model: tuple, texts: list[str]) -> np.ndarray:
@@ -178,7 +184,7 @@ def score(docs: DataFrame, model: tuple, text: str = "text", id_column: str = "d
 
 
 def harmless(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, that score below 0.5."""
+    """The rows, with all their columns, that score below 0.5; texts as in :func:`score`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

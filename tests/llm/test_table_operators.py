@@ -202,6 +202,22 @@ def test_nearest_recall_and_awkward_vectors(spark):
     assert ann.nearest(df.where("false"), df.where("false"), 20).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 21, 60])
+def test_queries_find_as_many_as_there_are(spark, n, monkeypatch):
+    """Far more buckets than rows: queries go on until they have all or 20 candidates."""
+    monkeypatch.setattr(ann, "BUCKET", 1)
+    x = sphere(n, 8, 3)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df, 20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {k: len(v) for k, v in got.items()} == {k: min(20, n - 1) for k in range(n) if n > 1}
+    if n == 21:
+        for k, found in got.items():
+            assert sorted(found) == [j for j in range(21) if j != k]
+
+
 def sphere(n, width=32, seed=4):
     x = np.random.default_rng(seed).standard_normal((n, width))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -290,6 +306,15 @@ def test_events_fold_into_final_messages(spark):
     assert chat.fold(df.where("false")).count() == 0
 
 
+def test_events_of_one_seq_are_ordered_by_kind(spark):
+    events = [(1, 0, 1, "start", "user", None), (1, 5, 1, "delta", None, "old"), (1, 5, 1, "edit", None, "NEW"), (1, 5, 1, "delta", None, "also old"),
+              (1, 6, 1, "delta", None, " and on"), (2, 3, 1, "delta", None, "lost"), (2, 3, 1, "regenerate", None, None), (2, 3, 1, "start", "a", None),
+              (2, 4, 1, "delta", None, "kept"), (3, 1, 1, "delta", None, "no "), (3, 2, 1, "delta", None, "start")]
+    df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string")
+    got = {r.conv_id: (r.role, r.text) for r in chat.fold(df).collect()}
+    assert got == {1: ("user", "NEW and on"), 2: ("a", "kept"), 3: ("", "no start")}
+
+
 def test_template_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "<\\s> <\\\\/s> [\\/INST]", "<", "</s", "/s>", "[INST", "", " x ", "é☃\n</s>", "\\", "$1 \\1",
            "<s>" * 500, "a" * 50_000]

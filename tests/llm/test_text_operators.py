@@ -165,6 +165,16 @@ def test_any_number_of_languages(spark):
     assert [got[k] for k in range(2400)] == ["en", "de", "dirty7", "und"] * 600
 
 
+def test_a_language_without_any_feature_twice_is_learned(spark):
+    texts, langs = language_texts()
+    texts.append("qoph zayin")
+    langs[len(texts) - 1] = "rare"
+    model = langid.fit(docs_of(spark, texts, langs))
+    assert "rare" in model.languages
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(spark, ["qoph zayin", "the cat and the dog"]), model).collect()}
+    assert got == {0: "rare", 1: "en"}
+
+
 def test_language_backs_off_to_the_longest_known_ngram(spark):
     texts, langs = language_texts()
     model = langid.fit(docs_of(spark, texts, langs))
@@ -215,6 +225,16 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert {r.predicted for r in toxicity.score(docs, untaught).collect()} == {0}
 
 
+def test_toxicity_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    for model in (toxicity.fit(docs.where("false"), labels), toxicity.fit(docs, labels.where("false")),
+                  toxicity.fit(docs.where("doc_id is null"), labels)):
+        rows = toxicity.score(docs, model).collect()
+        assert len(rows) == 2 and len({r.score for r in rows}) == 1 and {r.predicted for r in rows} == {0}
+        assert toxicity.harmless(docs.where("false"), model).count() == 0
+
+
 def test_risk_takes_the_prior_out():
     # Of 100 unlabelled documents 20 hold the positives' word: the risk must not call it negative.
     words = [np.array([7])] * 50 + [np.array([7])] * 20 + [np.array([9])] * 80
