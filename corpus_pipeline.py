@@ -1,7 +1,10 @@
 """A corpus from raw documents to sampled token sequences, as stages that Parquet tables join.
 
 Each stage works on every row its predecessor kept and, but for the last, returns the
-columns it was given.  Rows that repeat a doc_id share the decision on it.
+columns it was given, whatever their names.  Rows that repeat a doc_id share the decision of
+``unique``; the other stages decide on each row's text.  NULL and empty texts have no letter
+and go with ``language``; a stage that is handed them all the same keeps them.  Empty tables
+stay empty.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pulseweave.llm import langid, minhash, mixing, pieces, toxicity
 from pulseweave.llm.common import prepare
 from pulseweave.session import materialize
 
-#: No SQL: three stages are trained models and samples.  tests/llm holds them against brute force.
+#: No SQL: three stages are trained models and samples.  tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -36,18 +39,23 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
-def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All documents and their ``position``, sorted by it; it depends on ids and sources alone."""
-    placed = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("position"))
-    joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "position").sortWithinPartitions("position")
+def scheduled(docs: DataFrame, name: str) -> DataFrame:
+    """All documents and, in the new column ``name``, their positions in the mixing schedule, sorted by
+    it; it depends on ids and sources alone."""
+    placed = mixing.mix(docs).groupBy("doc_id").agg(F.min("position").alias("position"))
+    found = docs.alias("d").join(placed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(
+        *[F.col(f"d.`{c}`") for c in docs.columns], F.col("p.position").alias(name))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartitionByRange(n, name).sortWithinPartitions(name)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order in which sources mix to the square roots of their sizes."""
     prepare(spark)
-    return scheduled(spark, docs).select(*docs.columns)
+    name = "position"
+    while name in docs.columns:
+        name = f"_{name}"
+    return scheduled(docs, name).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +63,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document's ``position`` in the mixing schedule, sorted by it.
 
     Files don't keep an order when they are read, so the position is found again: it is
-    the same for the same documents.
+    the same for the same documents.  A column ``position`` of the documents is not kept.
     """
     prepare(spark)
-    return pieces.encode(scheduled(spark, docs), carry=("position",)).sortWithinPartitions("position", "sample")
+    placed = scheduled(docs.drop("position"), "position")
+    return pieces.encode(placed, carry=("position",)).sortWithinPartitions("position", "sample")
 
 
 STAGES = [("language", language), ("toxicity", clean), ("minhash", unique), ("mixing", mixed), ("pieces", encoded)]
