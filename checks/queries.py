@@ -8,8 +8,10 @@ instead of arrays.
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from checks.registry import CHECK_SECONDS, register
@@ -952,30 +954,45 @@ def csv_labs(i: Inputs) -> DataFrame:
 register("load_table", csv_labs, ["labevents"], "SELECT * FROM labevents")
 
 
-def header_texts(i: Inputs) -> DataFrame:
-    """Header files of the recordings as path and text: master, layout, segments."""
-    name = F.when(F.col("seg_name") == "~", "~").otherwise(
+def header_texts(i: Inputs, version: int = 4) -> DataFrame:
+    """Header files of the recordings as path and text: master, layout, segments.
+
+    In version 3 a directory holds all recordings of a subject, masters are named after the
+    subject and the time, and each has a numerics recording beside it that is none.
+    """
+    layout = F.format_string("%d_%04d" if version == 4 else "%d_layout", *(
+        ["record_id", "seg_idx"] if version == 4 else ["record_id"]))
+    name = F.when(F.col("seg_name") == "~", "~").when(F.col("seg_idx") == 0, layout).otherwise(
         F.format_string("%d_%04d", "record_id", "seg_idx")
     )
     heads = i["segment_headers"].withColumn("seg_name", name)
-    where = F.concat(
-        F.lit("file:///waves/"), dataset.path_key("subject_id", "record_id"), F.lit("/")
-    )
+    if version == 4:
+        where = F.concat(dataset.path_key("subject_id", "record_id"), F.lit("/"))
+        master_name = F.col("record_id").cast("string")
+    else:
+        padded = F.format_string("p%06d", "subject_id")
+        where = F.concat(F.substring(padded, 1, 3), F.lit("/"), padded, F.lit("/"))
+        master_name = F.concat(padded, F.lit("-2024-01-02-03-"), F.format_string("%02d", F.col("hadm_id") % 60))
     line = F.concat_ws(" ", "seg_name", F.col("seg_len").cast("string"))
     listed = heads.groupBy("record_id").agg(
         F.sort_array(F.collect_list(F.struct("seg_idx", line.alias("line")))).alias("l")
     )
-    master = i["recordings"].join(listed, "record_id").select(
-        F.concat(where, F.col("record_id").cast("string"), F.lit(".hea")).alias("path"),
-        F.concat_ws(
-            "\n",
-            F.format_string("%d/%d 4 %s/999.5 %d %s", "record_id", F.size("l"),
-                            F.col("fs").cast("string"), "record_len",
-                            F.date_format("start_timestamp", "HH:mm:ss.SSS dd/MM/yyyy")),
-            F.col("l.line"),
-            F.format_string("# hadm_id %d", "hadm_id"),
-        ).alias("value"),
+    first = F.concat_ws(
+        " ", F.concat(master_name, F.lit("/"), F.size("l").cast("string")), F.lit("4"),
+        F.concat(F.col("fs").cast("string"), F.lit("/999.5")), F.col("record_len").cast("string"),
+        F.date_format("start_timestamp", "HH:mm:ss.SSS dd/MM/yyyy"),
     )
+    admission = [F.format_string("# hadm_id %d", "hadm_id")] if version == 4 else []
+    joined = i["recordings"].join(listed, "record_id")
+    master = joined.select(
+        F.concat(where, master_name, F.lit(".hea")).alias("path"),
+        F.concat_ws("\n", first, F.col("l.line"), *admission).alias("value"),
+    )
+    if version == 3:
+        master = master.unionByName(joined.select(
+            F.concat(where, master_name, F.lit("n.hea")).alias("path"),
+            F.concat(master_name, F.lit("n/1 1 0.0166 4 03:04:05 02/01/2024\nx 4")).alias("value"),
+        ))
     channel = F.transform("signals", lambda s: F.concat(F.lit("a.dat 516 200(0)/mV 14 0 1 2 0 "), s))
     parts = heads.where(F.col("signals").isNotNull()).join(
         i["recordings"].select("record_id", "subject_id"), "record_id"
@@ -992,13 +1009,53 @@ def header_texts(i: Inputs) -> DataFrame:
 
 
 def coverage_from_text(i: Inputs) -> DataFrame:
-    return recordings.signal_coverage(*headers.parse_catalogue(header_texts(i), 4))
+    texts = header_texts(i).withColumn("path", F.concat(F.lit("file:///waves/"), "path"))
+    return recordings.signal_coverage(*headers.parse_catalogue(texts, 4))
 
 
 register("header_coverage", coverage_from_text,
          ["recordings", "segment_headers", "signal_names"], _coverage_sql())
 
 
+def header_files(i: Inputs, version: int) -> str:
+    """The header files, each under its own name; returns their folder."""
+    root = fresh_path(i)
+    if "://" not in root and not root.startswith("file:"):
+        root = f"file://{root}"
+
+    def run(batches):
+        fs, place = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs.create_dir(posixpath.dirname(f"{place}/{path}"), recursive=True)
+                with fs.open_output_stream(f"{place}/{path}") as out:
+                    out.write(value.encode())
+            yield batch.select(["path"])
+
+    header_texts(i, version).select("path", "value").mapInArrow(run, "path string").write.parquet(f"{root}-list")
+    return root
+
+
+def catalogue_from_files(i: Inputs, version: int) -> DataFrame:
+    """Version 4 by listing the folder, version 3 by the table of paths, with one that is missing."""
+    root = header_files(i, version)
+    if version == 4:
+        records, segments = headers.load_catalogue(i.spark, root, version)
+    else:
+        paths = i.spark.read.parquet(f"{root}-list").select(F.concat(F.lit(f"{root}/"), "path").alias("path"))
+        missing = i.spark.createDataFrame([(f"{root}/p00/p000000/nowhere.hea",), (None,)], "path string")
+        records, segments = headers.parse_catalogue(headers.read_listed(paths.unionByName(missing)), version)
+    return recordings.signal_coverage(records, segments)
+
+
+for _v in (4, 3):
+    register(
+        f"catalogue_v{_v}", lambda i, v=_v: catalogue_from_files(i, v),
+        ["recordings", "segment_headers", "signal_names"],
+        _coverage_sql() if _v == 4 else f"SELECT * EXCLUDE (hadm_id) REPLACE (3 AS source_version) FROM ({_coverage_sql()})",
+    )
+
+
 def crosswalk_file(i: Inputs) -> DataFrame:
     path = fresh_path(i)
     i["gem9"].select(F.concat_ws("   ", "i9", "i10", "flag")).write.text(path)

@@ -3,13 +3,20 @@
 A multi-segment recording has a master header naming its segments and their lengths
 (``~`` for a gap), a layout header, and one header per segment naming its channels.
 Files are read whole — each is a few hundred lines of text — and parsed with column
-expressions; subject and directory come from the path.
+expressions; subject and directory come from the path.  What is parsed is written once and
+serves both tables of the catalogue.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pulseweave.session import materialize
+
 # Patterns of the header format
 _DIRECTORY = r"^(.*)/[^/]*$"
 _FILE = r"([^/]+)\.hea$"
@@ -24,18 +31,43 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_listed(paths: DataFrame, column: str = "path") -> DataFrame:
+    """path, value — the header files that a table names, such as the lists of recordings that
+    archives publish.
+
+    No directory is listed: the paths are spread over all tasks and each opens its own, so
+    millions of small files need no listing on the driver.  A file that can't be read has
+    a NULL value, which is a segment without a header.  Paths are URIs or local paths.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, values = batch.column(0).to_pylist(), []
+            for name in names:
+                try:
+                    fs, place = pafs.FileSystem.from_uri(name) if ":" in name else (pafs.LocalFileSystem(), name)
+                    with fs.open_input_stream(place) as f:
+                        values.append(f.read().decode("utf-8", "replace"))
+                except (OSError, pa.ArrowInvalid):
+                    values.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], names=["path", "value"])
+
+    listed = paths.select(F.col(column).cast("string").alias("path")).where("path is not null").distinct()
+    return listed.mapInArrow(run, "path string, value string")
+
+
 def split_headers(files: DataFrame) -> DataFrame:
-    """directory, name, subject_id, text, lines of each header file."""
+    """directory, name, subject_id, hadm, lines of each header file that could be read."""
     where = F.col("path")
     lines = F.filter(
         F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith("#"),
     )
-    return files.select(
+    return files.where("value is not null").select(
         F.regexp_extract(where, _DIRECTORY, 1).alias("directory"),
         F.regexp_extract(where, _FILE, 1).alias("name"),
         F.regexp_extract(where, _SUBJECT, 1).try_cast("long").alias("subject_id"),
-        F.col("value").alias("text"),
+        F.regexp_extract("value", _HADM, 1).alias("hadm"),
         lines.alias("lines"),
     )
 
@@ -75,7 +107,7 @@ def master_headers(headers: DataFrame, version: int = 4) -> DataFrame:
     )
     out = masters.select(
         "directory", "subject_id",
-        F.regexp_extract("text", _HADM, 1).try_cast("long").alias("hadm_id"),
+        F.col("hadm").try_cast("long").alias("hadm_id"),
         F.split(F.get(first, F.lit(0)), "/")[0].alias("record_name"),
         _number(F.get(first, F.lit(2))).alias("fs"),
         F.get(first, F.lit(3)).try_cast("long").alias("record_len"),
@@ -116,9 +148,12 @@ def load_catalogue(spark: SparkSession, path: str, version: int = 4) -> tuple[Da
 
 
 def parse_catalogue(files: DataFrame, version: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(records, segment headers) from the texts of header files (path, value)."""
-    headers = split_headers(files)
-    masters = master_headers(headers, version)
+    """(records, segment headers) from the texts of header files (path, value).
+
+    The parsed lines are written once to the shared folder, then the masters.
+    """
+    headers = materialize(split_headers(files))
+    masters = materialize(master_headers(headers, version))
     records = masters.select(
         F.lit(version).alias("source_version"),
         "subject_id",
