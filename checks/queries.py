@@ -126,15 +126,20 @@ SELECT stay_id, weight_kg FROM (
 SQL["cohort4"] = "SELECT p.*, w.weight_kg FROM {people4} AS p LEFT JOIN {weights4} AS w ON p.stay_id = w.stay_id"
 SQL["cohort3"] = "SELECT p.*, w.weight_kg FROM {people3} AS p LEFT JOIN {weights3} AS w ON p.stay_id = w.stay_id"
 
-SQL["labs4"] = f"""
+def labs_sql(cohort: str) -> str:
+    return f"""
 SELECT l.labevent_id, l.subject_id, l.hadm_id, l.itemid, d.label, l.charttime, l.valuenum,
        l.valueuom, l.flag, c.record_id, c.start_timestamp, c.end_timestamp
 FROM {{labevents}} AS l JOIN {{d_labitems}} AS d ON d.itemid = l.itemid
-JOIN {{cohort4}} AS c ON c.subject_id = l.subject_id AND c.hadm_id = l.hadm_id
+JOIN {{{cohort}}} AS c ON c.subject_id = l.subject_id AND c.hadm_id = l.hadm_id
 WHERE d.label IN ({quoted(vocab.LAB_LABELS)})
   AND l.charttime + INTERVAL '2' HOUR >= c.start_timestamp AND l.charttime < c.end_timestamp
 """
 
+
+SQL["labs4"] = labs_sql("cohort4")
+SQL["labs3"] = labs_sql("cohort3")
+
 SQL["drug_map"] = f"SELECT * FROM (VALUES {sql_values(vocab.DRUG_ROWS)}) AS t(label, drug, category)"
 SQL["lab_map"] = f"SELECT * FROM (VALUES {sql_values(vocab.LAB_ROWS)}) AS t(label, feature)"
 SQL["signal_names"] = (
@@ -322,6 +327,10 @@ UNION ALL SELECT record_id, stay_id, chunk_id, feature, value FROM {{{lab_values
 
 
 SQL["event_features"] = event_features_sql("chunk_drugs", "chunk_lab_values")
+SQL["grid3"] = grid_sql("cohort3", CHECK_SECONDS)
+SQL["chunk_drugs3"] = chunk_drugs_sql("grid3", "matched3")
+SQL["chunk_lab_values3"] = chunk_labs_sql("grid3", "labs3")
+SQL["event_features3"] = event_features_sql("chunk_drugs3", "chunk_lab_values3")
 
 
 def wide_features_sql(grid: str, events: str) -> str:
@@ -342,19 +351,24 @@ GROUP BY g.record_id, g.stay_id, g.chunk_id, g.chunk_start
 """
 
 
-SQL["code_rows"] = """
-SELECT subject_id, hadm_id, vers_code, icd_version, icd10_code, long_title, count(*) AS n_rows FROM (
+def code_rows_sql(diagnoses: str, cohort: str, titles: str) -> str:
+    version = "AND t.icd_version = 10" if titles == "d_icd_diagnoses" else ""
+    return f"""
+SELECT subject_id, hadm_id, vers_code, x.icd_version, icd10_code, long_title, count(*) AS n_rows FROM (
   SELECT d.subject_id, d.hadm_id, d.icd_code AS vers_code, d.icd_version,
          CASE WHEN d.icd_version = 9 THEN g.i10 ELSE d.icd_code END AS icd10_code
-  FROM {diagnoses_icd} AS d
-  JOIN {cohort4} AS c ON c.subject_id = d.subject_id AND c.hadm_id = d.hadm_id
-  LEFT JOIN {gem9} AS g ON d.icd_version = 9 AND g.i9 = d.icd_code) AS x
-JOIN {d_icd_diagnoses} AS t ON t.icd_code = x.icd10_code AND t.icd_version = 10
+  FROM {{{diagnoses}}} AS d
+  JOIN {{{cohort}}} AS c ON c.subject_id = d.subject_id AND c.hadm_id = d.hadm_id
+  LEFT JOIN {{gem9}} AS g ON d.icd_version = 9 AND g.i9 = d.icd_code) AS x
+JOIN {{{titles}}} AS t ON t.icd_code = x.icd10_code {version}
 WHERE x.icd10_code NOT LIKE 'Y%'
-""".replace("SELECT subject_id, hadm_id, vers_code, icd_version,", "SELECT subject_id, hadm_id, vers_code, x.icd_version,") + """
 GROUP BY subject_id, hadm_id, vers_code, x.icd_version, icd10_code, long_title
 """
 
+
+SQL["code_rows"] = code_rows_sql("diagnoses_icd", "cohort4", "d_icd_diagnoses")
+SQL["code_rows3"] = code_rows_sql("diagnoses_icd_v3", "cohort3", "titles_v3")
+
 # One row per sample after resampling and placing: stretch, position in the recording
 SQL["placed"] = """
 SELECT record_id, seg_idx, n_samples,
@@ -409,6 +423,8 @@ def tables(i: Inputs, version: int = 4) -> dict[str, DataFrame]:
         t["admissions"] = i["admissions_v3"]
         t["weight_events"] = weight_events(i)
         t["inputevents_cv"] = i["inputevents_cv_copies"]
+        t["diagnoses_icd"] = i["diagnoses_icd_v3"]
+        t["d_icd_diagnoses"] = i["titles_v3"]
     return t
 
 
@@ -608,10 +624,10 @@ register(
 # --------------------------------------------------------------------------
 
 
-def feature_inputs(i: Inputs):
-    t = tables(i)
-    c = cohort(i)
-    return c, plans.cohort_inputs(t, c), plans.cohort_labs(t, c)
+def feature_inputs(i: Inputs, version: int = 4):
+    t = tables(i, version)
+    c = cohort(i, version)
+    return c, plans.cohort_inputs(t, c, version), plans.cohort_labs(t, c)
 
 
 def latest_labs(i: Inputs) -> DataFrame:
@@ -650,6 +666,13 @@ register(
     ),
     ["event_features"], f"SELECT {rounded(['value'])} FROM event_features",
 )
+register(
+    "chunk_features_v3",
+    lambda i: chunks.chunk_features_long(*feature_inputs(i, 3), CHECK_SECONDS).withColumn(
+        "value", F.round("value", 6)
+    ),
+    ["event_features3"], f"SELECT {rounded(['value'])} FROM event_features3",
+)
 _DOUBLES = [n for n in vocab.feature_names() if n not in vocab.FLAG_FEATURES]
 register(
     "chunk_features_wide",
@@ -710,6 +733,18 @@ register(
     "SELECT c.file, c.code AS icd9, g.i10 AS icd10, g.flag FROM (SELECT DISTINCT file, code FROM code_list) AS c "
     "LEFT JOIN gem9 AS g ON g.i9 = c.code",
 )
+def batch_of_procedures(i: Inputs) -> DataFrame:
+    """The procedure table, and a kind that is none, which adds no row."""
+    known = {"cm": i["gem9"].where("false"), "pcs": i["gem10"]}
+    convert = lambda kind: crosswalk.convert_batch(i["code_list"], kind, known, by="file")
+    return convert("pcs").withColumn("kind", F.lit("pcs")).unionByName(convert("drg").withColumn("kind", F.lit("drg")))
+
+
+register(
+    "icd_batch_pcs", batch_of_procedures, ["code_list", "gem10"],
+    "SELECT 'pcs' AS kind, c.file, c.code AS icd9, g.i10 AS icd10, g.flag FROM (SELECT DISTINCT file, code FROM code_list) AS c "
+    "LEFT JOIN gem10 AS g ON g.i9 = c.code",
+)
 register(
     "icd_merge_maps",
     lambda i: crosswalk.merge_maps(
@@ -727,6 +762,8 @@ register(
 )
 register("cohort_codes", lambda i: plans.cohort_codes(tables(i), cohort(i)),
          ["code_rows"], "SELECT * FROM code_rows")
+register("cohort_codes_v3", lambda i: plans.cohort_codes(tables(i, 3), cohort(i, 3)),
+         ["code_rows3"], "SELECT * FROM code_rows3")
 register(
     "codes_per_admission",
     lambda i: codes.codes_per_admission(plans.cohort_codes(tables(i), cohort(i))).select(
@@ -877,10 +914,7 @@ def whole_dataset(i: Inputs, seconds: float = DATASET_SECONDS) -> dict[str, Data
     )
 
 
-register(
-    "chunk_dataset", lambda i: long_dataset(whole_dataset(i)["chunks"]),
-    ["grid10", "events10", "signal_chunks10"],
-    """
+DATASET_SQL = """
 SELECT g.record_id, g.stay_id, g.chunk_id, g.chunk_start,
        CAST(coalesce(s.n_signals, 0) AS INT) AS n_signals, CAST(coalesce(s.n_samples, 0) AS INT) AS n_samples,
        round(s.max_sample, 6) AS max_sample,
@@ -895,27 +929,74 @@ LEFT JOIN (SELECT record_id, stay_id, chunk_id,
                   max(CASE WHEN feature = 'sodium' THEN value END) AS sodium
            FROM events10 GROUP BY record_id, stay_id, chunk_id) AS e
   ON e.record_id = g.record_id AND e.stay_id = g.stay_id AND e.chunk_id = g.chunk_id
-""",
-)
+"""
+register("chunk_dataset", lambda i: long_dataset(whole_dataset(i)["chunks"]),
+         ["grid10", "events10", "signal_chunks10"], DATASET_SQL)
+
+
+def dataset_features(i: Inputs) -> DataFrame:
+    """All 214 features of the dataset's struct, where they are not what a chunk without events has."""
+    names = vocab.feature_names()
+    flat = whole_dataset(i)["chunks"].select(
+        "record_id", "stay_id", "chunk_id", *[F.col(f"ehr.{n}").cast("double").alias(n) for n in names])
+    long = flat.unpivot(["record_id", "stay_id", "chunk_id"], names, "feature", "value")
+    plain = (F.col("value") == 0) & F.col("feature").isin("norepi_eq", *vocab.FLAG_FEATURES)
+    return long.where(F.col("value").isNotNull() & ~plain).withColumn("value", F.round("value", 3))
+
+
 register(
-    "static_records",
-    lambda i: whole_dataset(i)["records"]
-    .withColumn("codes", F.concat_ws("|", "codes"))
-    .drop("code_rows"),
-    ["cohort_sampled", "record_signals", "code_rows"],
-    """
+    "dataset_features", dataset_features, ["events10", "signal_chunks10"],
+    "SELECT e.record_id, e.stay_id, e.chunk_id, e.feature, round(CAST(CAST(e.value AS FLOAT) AS DOUBLE), 3) AS value "
+    "FROM events10 AS e JOIN signal_chunks10 AS s ON s.record_id = e.record_id AND s.chunk_id = e.chunk_id",
+)
+
+
+def written_dataset(i: Inputs) -> DataFrame:
+    """The whole dataset from its files, after some recordings were written twice."""
+    path, chunks_ = fresh_path(i), whole_dataset(i)["chunks"]
+    sinks.write_chunks(chunks_.withColumn("signals", F.lit(None).cast(chunks_.schema["signals"].dataType)), path)
+    sinks.write_chunks(chunks_.where("record_id % 2 = 0"), path)
+    sinks.write_chunks(chunks_.where("record_id % 2 = 1"), path)
+    return long_dataset(i.spark.read.parquet(path).withColumn("record_id", F.col("record_id").cast("long")))
+
+
+register("write_dataset", written_dataset, ["grid10", "events10", "signal_chunks10"], DATASET_SQL)
+
+
+def flat_records(df: DataFrame) -> DataFrame:
+    total = F.aggregate("code_rows", F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.withColumns({"codes": F.concat_ws("|", "codes"), "code_rows": total})
+
+
+def records_sql(weight: str) -> str:
+    flags = ", ".join(f"max(CASE WHEN signal = '{s}' THEN 1 ELSE 0 END) AS has_{s}" for s in vocab.SIGNALS)
+    return f"""
 SELECT c.source_version, c.subject_id, c.hadm_id, c.stay_id, c.record_id, c.age, c.age_group,
-       c.ethnicity_group, c.gender, c.weight_kg, c.los, c.dbsource, f.* EXCLUDE (record_id),
-       coalesce(k.codes, '') AS codes
+       c.ethnicity_group, c.gender, {weight} AS weight_kg, c.los, c.dbsource, f.* EXCLUDE (record_id),
+       coalesce(k.codes, '') AS codes, coalesce(k.code_rows, 0) AS code_rows
 FROM cohort_sampled AS c
-JOIN (SELECT record_id, """
-    + ", ".join(f"max(CASE WHEN signal = '{s}' THEN 1 ELSE 0 END) AS has_{s}" for s in vocab.SIGNALS)
-    + """ FROM record_signals GROUP BY record_id) AS f ON f.record_id = c.record_id
-LEFT JOIN (SELECT subject_id, hadm_id, string_agg(DISTINCT icd10_code, '|' ORDER BY icd10_code) AS codes
+JOIN (SELECT record_id, {flags} FROM record_signals GROUP BY record_id) AS f ON f.record_id = c.record_id
+LEFT JOIN (SELECT subject_id, hadm_id, string_agg(DISTINCT icd10_code, '|' ORDER BY icd10_code) AS codes,
+                  CAST(sum(n_rows) AS BIGINT) AS code_rows
            FROM code_rows GROUP BY subject_id, hadm_id) AS k
   ON k.subject_id = c.subject_id AND k.hadm_id = c.hadm_id
-""",
-)
+"""
+
+
+register("static_records", lambda i: flat_records(whole_dataset(i)["records"]),
+         ["cohort_sampled", "record_signals", "code_rows"], records_sql("c.weight_kg"))
+
+
+def written_records(i: Inputs) -> DataFrame:
+    """Static rows from their files, after the even recordings were written again."""
+    path, records = fresh_path(i), whole_dataset(i)["records"]
+    sinks.write_records(records.withColumn("weight_kg", F.lit(-1.0)), path)
+    sinks.write_records(records.where("record_id % 2 = 0"), path)
+    return flat_records(i.spark.read.parquet(path).drop("bucket"))
+
+
+register("write_records", written_records, ["cohort_sampled", "record_signals", "code_rows"],
+         records_sql("CASE WHEN c.record_id % 2 = 0 THEN c.weight_kg ELSE CAST(-1 AS DOUBLE) END"))
 
 
 def summary(i: Inputs) -> DataFrame:
@@ -1017,8 +1098,8 @@ register("header_coverage", coverage_from_text,
          ["recordings", "segment_headers", "signal_names"], _coverage_sql())
 
 
-def header_files(i: Inputs, version: int) -> str:
-    """The header files, each under its own name; returns their folder."""
+def put_files(i: Inputs, files: DataFrame) -> str:
+    """Write each value under its own path; returns the folder, whose name and ``-list`` name the table of paths."""
     root = fresh_path(i)
     if "://" not in root and not root.startswith("file:"):
         root = f"file://{root}"
@@ -1032,13 +1113,13 @@ def header_files(i: Inputs, version: int) -> str:
                     out.write(value.encode())
             yield batch.select(["path"])
 
-    header_texts(i, version).select("path", "value").mapInArrow(run, "path string").write.parquet(f"{root}-list")
+    files.select("path", "value").mapInArrow(run, "path string").write.parquet(f"{root}-list")
     return root
 
 
 def catalogue_from_files(i: Inputs, version: int) -> DataFrame:
     """Version 4 by listing the folder, version 3 by the table of paths, with one that is missing."""
-    root = header_files(i, version)
+    root = put_files(i, header_texts(i, version))
     if version == 4:
         records, segments = headers.load_catalogue(i.spark, root, version)
     else:
@@ -1066,12 +1147,13 @@ register("read_crosswalk", crosswalk_file, ["gem9"], "SELECT * FROM gem9")
 
 
 def code_list_file(i: Inputs) -> DataFrame:
-    path = fresh_path(i)
-    i["code_list"].coalesce(1).select(F.concat(F.lit("  "), "code", F.lit(" \t"))).write.text(path)
-    return code_files.read_code_lists(i.spark, path).select("code")
+    """A file per list, each code on a line of its own with blanks around it, many twice."""
+    line = F.concat(F.lit("  "), "code", F.lit(" \t"))
+    files = i["code_list"].groupBy(F.col("file").alias("path")).agg(F.array_join(F.collect_list(line), "\n").alias("value"))
+    return code_files.read_code_lists(i.spark, put_files(i, files))
 
 
-register("read_code_lists", code_list_file, ["code_list"], "SELECT DISTINCT code FROM code_list")
+register("read_code_lists", code_list_file, ["code_list"], "SELECT DISTINCT file, code FROM code_list")
 
 
 def saved_inputs(i: Inputs) -> DataFrame:

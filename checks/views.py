@@ -225,6 +225,17 @@ SELECT i10 AS icd_code, 9 AS icd_version, concat('Old title ', i10) AS long_titl
 FROM (SELECT DISTINCT i10 FROM {gem9}) AS t WHERE CAST(substring(i10, 2, 3) AS INT) % 10 = 3
 """
 
+# The older generation: all codes of version 9, titles without a version
+VIEWS["diagnoses_icd_v3"] = """
+SELECT o_custkey AS subject_id, 2 * o_custkey + o_orderkey % 2 AS hadm_id,
+       lpad(CAST(o_orderkey % 200 AS STRING), 4, '0') AS icd_code, 9 AS icd_version
+FROM {orders}
+"""
+
+VIEWS["titles_v3"] = """
+SELECT icd_code, long_title FROM {d_icd_diagnoses} WHERE icd_version = 10
+"""
+
 # Codes to convert: every recorded diagnosis code, of either version
 VIEWS["code_list"] = """
 SELECT icd_code AS code, CASE WHEN icd_version = 9 THEN 'old.txt' ELSE 'new.txt' END AS file
