@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseweave import vocab
 from pulseweave.functions.timing import HOUR, plus_micros
+from pulseweave.operators.membership import may_be_in
 from pulseweave.operators.overlap import point_join
 
 LAB_COLUMNS = (
@@ -20,9 +21,10 @@ def label_labs(labs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def scan_labs(labs: DataFrame, items: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Events of cohort admissions only, labelled."""
+    """Events of cohort admissions only, labelled; most others are dropped ahead of the join's shuffle."""
     admissions = cohort.select("hadm_id").distinct()
-    return label_labs(labs.join(admissions, "hadm_id", "left_semi"), items)
+    own = may_be_in(labs, admissions, ["hadm_id"]).join(admissions, "hadm_id", "left_semi")
+    return label_labs(own, items)
 
 
 def filter_labs(labs: DataFrame, labels=vocab.LAB_LABELS) -> DataFrame:

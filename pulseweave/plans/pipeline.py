@@ -9,19 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pulseweave import vocab
-from pulseweave.operators import chunks, codes, cohort as co, dataset, infusions, labs, signals
+from pulseweave.operators import chunks, codes, cohort as co, dataset, infusions, labs, recordings, signals
+from pulseweave.operators.membership import may_be_in
 from pulseweave.session import materialize
 
 Tables = dict[str, DataFrame]
 
 
-def build_cohort(tables: Tables, version: int = 4, ranges: int | None = None) -> DataFrame:
+def build_cohort(
+    tables: Tables, version: int = 4, ranges: int | None = None, least_hours: float | None = None
+) -> DataFrame:
     """Recordings with their stays, demographics and weight.
 
+    With ``least_hours``, only recordings that have each of the final signals for so long.
+
     Written to the shared folder twice, without and with the weight: every later step
     reads the cohort, and with a known size Spark broadcasts it where it is small.
     """
-    matched = co.match_stays(tables["wave_meta"], tables["icustays"], version)
+    meta = tables["wave_meta"]
+    if least_hours is not None:
+        meta = recordings.filter_signal(meta, min_hours=least_hours)
+    matched = co.match_stays(meta, tables["icustays"], version)
     people = materialize(
         co.add_demographics(matched, tables["patients"], tables["admissions"], version)
     )
@@ -37,11 +45,11 @@ def build_cohort(tables: Tables, version: int = 4, ranges: int | None = None) ->
 def cohort_labs(tables: Tables, cohort: DataFrame) -> DataFrame:
     """Labelled, listed lab events inside the cohort's recordings.
 
-    The label filter runs before the join.  A separate membership filter on the
-    admission would only repeat the shuffle that the join needs anyway.
+    Events of other admissions are dropped where they are read, by a filter of fixed
+    size, so that the join shuffles little more than what it returns.
     """
-    listed = labs.filter_labs(labs.label_labs(tables["labevents"], tables["d_labitems"]))
-    return labs.match_labs(listed, cohort)
+    events = may_be_in(tables["labevents"], cohort, ["subject_id", "hadm_id"])
+    return labs.match_labs(labs.filter_labs(labs.label_labs(events, tables["d_labitems"])), cohort)
 
 
 def load_inputs(tables: Tables, version: int = 4, ranges: int | None = None) -> DataFrame:
@@ -61,8 +69,10 @@ def load_inputs(tables: Tables, version: int = 4, ranges: int | None = None) ->
 def cohort_inputs(
     tables: Tables, cohort: DataFrame, version: int = 4, ranges: int | None = None
 ) -> DataFrame:
-    """Listed infusions around the cohort's recordings."""
-    listed = infusions.filter_inputs(load_inputs(tables, version, ranges))
+    """Listed infusions around the cohort's recordings; other stays drop out where they are read."""
+    sources = ("inputevents", "inputevents_cv") if version == 3 else ("inputevents",)
+    own = {name: may_be_in(tables[name], cohort, ["stay_id"]) for name in sources}
+    listed = infusions.filter_inputs(load_inputs(tables | own, version, ranges))
     return infusions.match_inputs(listed, cohort)
 
 
@@ -74,9 +84,11 @@ def cohort_codes(tables: Tables, cohort: DataFrame) -> DataFrame:
     return codes.add_titles(codes.drop_external_causes(mapped), tables["d_icd_diagnoses"])
 
 
-def preprocess(tables: Tables, version: int = 4, ranges: int | None = None) -> Tables:
-    """The four derived tables: cohort, labs, inputs, codes."""
-    cohort = build_cohort(tables, version, ranges)
+def preprocess(
+    tables: Tables, version: int = 4, ranges: int | None = None, least_hours: float | None = None
+) -> Tables:
+    """The four derived tables: cohort, labs, inputs, codes; ``least_hours`` as in :func:`build_cohort`."""
+    cohort = build_cohort(tables, version, ranges, least_hours)
     return {
         "cohort": cohort,
         "labs": cohort_labs(tables, cohort),
