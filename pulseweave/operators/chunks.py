@@ -13,6 +13,7 @@ from pulseweave import vocab
 from pulseweave.functions import clinical
 from pulseweave.functions.timing import ceil_div, floor_div, micros, micros_of, plus_micros
 from pulseweave.operators.overlap import overlap_join, point_join
+from pulseweave.session import materialize
 
 ROW = ["record_id", "stay_id"]
 CHUNK = [*ROW, "chunk_id"]
@@ -173,13 +174,15 @@ def _event_features(infusions: DataFrame, labs: DataFrame) -> DataFrame:
     return _event_entries(infusions, labs).select(*CHUNK, F.inline("entries"))
 
 
-def _wide_struct(value) -> Column:
+def feature_struct(value=None, number: str = "DOUBLE", computed: bool = True) -> Column:
     """The 214 features as one struct, from a per-chunk lookup of the event features.
 
-    ``value`` maps a feature to the SQL text of its nullable double.  Flags default to
-    0 and the dose sum to 0.0; other features stay NULL.  Written as SQL text because
-    hundreds of Column calls take longer to build than the query to run.
+    ``value`` maps a feature to the SQL text of its nullable double; without it there are
+    no events.  Flags default to 0 and the dose sum to 0.0, or to NULL where nothing was
+    ``computed``; other features stay NULL.  Written as SQL text because hundreds of Column
+    calls take longer to build than the query to run.
     """
+    value = value or (lambda name: "CAST(NULL AS DOUBLE)")
     flag = lambda name: f"CAST(coalesce({value(name)}, 0) AS INT)"
     any_of = lambda names: f"greatest({', '.join(['0', *map(flag, names)])})"
     on = {c: [f"{d}_on" for d in vocab.DRUGS if vocab.DRUG_CATEGORY[d] == c] for c in vocab.CATEGORIES}
@@ -188,31 +191,27 @@ def _wide_struct(value) -> Column:
     derived["norepi_eq"] = " + ".join(
         ["0.0D"]
         + [f"coalesce({value(f'{d}_ratenorm')}, 0.0D) * {f}D" for d, f in vocab.NOREPI_FACTORS.items()]
-    )
+    ) if computed else "NULL"
 
-    def text(name):
-        if name in derived:
-            return derived[name]
-        return flag(name) if name in vocab.FLAG_FEATURES else value(name)
+    def field(name):
+        text = derived.get(name) or (flag(name) if name in vocab.FLAG_FEATURES else value(name))
+        return f"'{name}', CAST({text} AS {'INT' if name in vocab.FLAG_FEATURES else number})"
 
-    fields = ", ".join(f"'{name}', {text(name)}" for name in vocab.feature_names())
-    return F.expr(f"named_struct({fields})")
+    return F.expr(f"named_struct({', '.join(map(field, vocab.feature_names()))})")
 
 
-def placed_features(
-    cohort: DataFrame,
-    inputs: DataFrame,
-    labs: DataFrame,
-    seconds: float = vocab.CHUNK_SECONDS,
-) -> DataFrame:
-    """:func:`chunk_features` with ``block``, placed by (recording, block).
+def in_entries(name: str) -> str:
+    """The SQL text of a feature's value in the map ``entries``."""
+    return f"try_element_at(entries, '{name}')"
+
 
-    What is shuffled are the rows that events set and one row per block of each cohort
-    row.  The chunks of a block that no event names are added after the shuffle and take
-    the constant row.  A block has at most :data:`BLOCK` chunks, a chunk at most one entry
-    per feature, which bounds what is collected.
+def _blocks(cohort: DataFrame, inputs: DataFrame, labs: DataFrame, seconds: float) -> DataFrame:
+    """A row per block of each cohort row, with the chunks that have events and their features.
+
+    What is shuffled are the rows that events set and one row per block, by (recording,
+    block).  A block has at most :data:`BLOCK` chunks, a chunk at most one entry per
+    feature, which bounds what is collected.
     """
-    width = micros_of(seconds)
     events = _event_entries(
         chunk_infusions(cohort, inputs, seconds), chunk_labs(cohort, labs, seconds)
     ).withColumn("block", block_of("chunk_id"))
@@ -220,38 +219,52 @@ def placed_features(
     blocks = rows.where(F.col("_n") > 0).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.col("_n") - 1)))
     )
-    group = ["record_id", "block", "stay_id", "start_timestamp", "_n"]
-    held = (
+    return (
         by_block(blocks.unionByName(events, allowMissingColumns=True))
         .groupBy("record_id", "block", "stay_id", "chunk_id")
         .agg(
             F.max("start_timestamp").alias("start_timestamp"),
             F.max("_n").alias("_n"),
-            F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("_f"),
+            F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("entries"),
         )
         .groupBy("record_id", "block", "stay_id")
         .agg(
             F.max("start_timestamp").alias("start_timestamp"),
             F.max("_n").alias("_n"),
-            F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_id", "_f"))).alias("_held"),
+            F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_id", "entries"))).alias("_held"),
         )
     )
+
+
+def _empty_chunks() -> Column:
+    """The chunks of a block that no event names."""
     first = F.col("block") * BLOCK
     chunks = F.sequence(first, F.least(F.col("_n"), first + BLOCK) - 1)
-    empty = F.array_except(chunks, F.transform("_held", lambda h: h["chunk_id"]))
+    return F.array_except(chunks, F.transform("_held", lambda h: h["chunk_id"]))
+
+
+def _chunk_start(width: int) -> Column:
+    return plus_micros("start_timestamp", F.col("chunk_id") * width).alias("chunk_start")
+
+
+def placed_entries(
+    cohort: DataFrame,
+    inputs: DataFrame,
+    labs: DataFrame,
+    seconds: float = vocab.CHUNK_SECONDS,
+) -> DataFrame:
+    """record_id, stay_id, chunk_id, block, chunk_start, entries for every chunk, placed by (recording, block).
+
+    ``entries`` maps the features that events set to their values, NULL where there is no
+    event; :func:`feature_struct` makes the wide row of it.  Chunks without events are
+    added after the shuffle.
+    """
     nothing = F.lit(None).cast("map<string,double>")
-    every = F.concat("_held", F.transform(empty, lambda c: F.struct(c.alias("chunk_id"), nothing.alias("_f"))))
-    # Most chunks hold no event at all; they take the constant row.
-    wide = _wide_struct(lambda name: f"try_element_at(_f, '{name}')")
-    default = _wide_struct(lambda name: "CAST(NULL AS DOUBLE)")
+    empty = F.transform(_empty_chunks(), lambda c: F.struct(c.alias("chunk_id"), nothing.alias("entries")))
     return (
-        held.select(*group, F.inline(every))
-        .select(
-            *CHUNK, "block",
-            plus_micros("start_timestamp", F.col("chunk_id") * width).alias("chunk_start"),
-            F.when(F.col("_f").isNull(), default).otherwise(wide).alias("_w"),
-        )
-        .select(*CHUNK, "block", "chunk_start", "_w.*")
+        _blocks(cohort, inputs, labs, seconds)
+        .select("record_id", "block", "stay_id", "start_timestamp", F.inline(F.concat("_held", empty)))
+        .select(*CHUNK, "block", _chunk_start(micros_of(seconds)), "entries")
     )
 
 
@@ -261,8 +274,18 @@ def chunk_features(
     labs: DataFrame,
     seconds: float = vocab.CHUNK_SECONDS,
 ) -> DataFrame:
-    """The wide feature row of every chunk: 214 features, defaults where nothing happened."""
-    return placed_features(cohort, inputs, labs, seconds).drop("block")
+    """The wide feature row of every chunk: 214 features, defaults where nothing happened.
+
+    The blocks are written once; the chunks with events and the many without are then made
+    of them apart, the latter from constants.
+    """
+    blocks = materialize(_blocks(cohort, inputs, labs, seconds))
+    start = _chunk_start(micros_of(seconds))
+    common = ["record_id", "stay_id", "start_timestamp"]
+    busy = blocks.select(*common, F.inline("_held")).select(*CHUNK, start, feature_struct(in_entries).alias("_w"))
+    idle = blocks.select(*common, F.explode(_empty_chunks()).alias("chunk_id")).select(*CHUNK, start, feature_struct().alias("_w"))
+    columns = [*CHUNK, "chunk_start", "_w.*"]
+    return busy.select(*columns).unionByName(idle.select(*columns))
 
 
 def chunk_features_long(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseweave import vocab
-from pulseweave.operators.chunks import CHUNK
+from pulseweave.operators.chunks import CHUNK, feature_struct, in_entries
 from pulseweave.operators.codes import attach_codes
 from pulseweave.operators.signals import signal_flags
 
@@ -28,30 +28,22 @@ def path_key(subject_id, record_id, base: str = "") -> Column:
     )
 
 
-def _feature_struct(defaults: bool) -> Column:
-    """The 214 features as one struct: as computed, or as never written."""
-
-    def field(name):
-        flag = name in vocab.FLAG_FEATURES
-        value = ("0" if flag else "NULL") if defaults else name
-        return f"'{name}', CAST({value} AS {'INT' if flag else 'FLOAT'})"
-
-    return F.expr(f"named_struct({', '.join(map(field, vocab.feature_names()))})")
-
-
-def chunk_dataset(features: DataFrame, signals: DataFrame) -> DataFrame:
+def chunk_dataset(entries: DataFrame, signals: DataFrame) -> DataFrame:
     """record_id, stay_id, chunk_id, block, chunk_start, signals, ehr.
 
-    ``features`` is the wide feature table over the whole grid, ``signals`` has a map of
-    samples per recorded chunk.  A chunk past the
-    end of the recorded samples keeps its row with no signals and default features;
-    recorded chunks past the grid drop out.  Both inputs come placed by (recording,
-    block), so neither moves for the join, and the rows leave placed for the writer.
+    ``entries`` are the event features over the whole grid (``chunks.placed_entries``),
+    ``signals`` has a map of samples per recorded chunk.  A chunk past the end of the
+    recorded samples keeps its row with no signals and default features; recorded chunks
+    past the grid drop out.  Both inputs come placed by (recording, block), so neither
+    moves for the join, and the rows leave placed for the writer.  The 214 features are
+    made of their entries after the join.
     """
-    ehr = F.when(F.col("signals").isNotNull(), _feature_struct(False)).otherwise(
-        _feature_struct(True)
+    ehr = (
+        F.when(F.col("signals").isNull(), feature_struct(None, "FLOAT", False))
+        .when(F.col("entries").isNull(), feature_struct(None, "FLOAT"))
+        .otherwise(feature_struct(in_entries, "FLOAT"))
     )
-    return features.join(signals, ["record_id", "block", "chunk_id"], "left").select(
+    return entries.join(signals, ["record_id", "block", "chunk_id"], "left").select(
         *CHUNK, "block", "chunk_start", "signals", ehr.alias("ehr")
     )
 

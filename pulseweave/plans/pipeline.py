@@ -110,10 +110,10 @@ def build_dataset(
     """
     present = signals.signal_map(segments)
     cohort = derived["cohort"].join(present.select("record_id"), "record_id", "left_semi")
-    features = chunks.placed_features(cohort, derived["inputs"], derived["labs"], seconds)
+    entries = chunks.placed_entries(cohort, derived["inputs"], derived["labs"], seconds)
     sampled = signals.placed_signals(segments, headers, target_fs, seconds)
     return {
-        "chunks": dataset.chunk_dataset(features, sampled),
+        "chunks": dataset.chunk_dataset(entries, sampled),
         "records": dataset.static_records(
             cohort, present, codes.codes_per_admission(derived["codes"])
         ),
