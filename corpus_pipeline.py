@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseweave.llm import langid, minhash, mixing, pieces, toxicity
 from pulseweave.llm.common import prepare
-from pulseweave.session import materialize
+from pulseweave.session import materialize, scratch
 
 #: No SQL: three stages are trained models and samples.  tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
@@ -76,5 +76,6 @@ STAGES = [("language", language), ("toxicity", clean), ("minhash", unique), ("mi
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark):  # a stage's own tables go when its result is written
+            docs = materialize(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,15 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of the innermost :func:`scratch` block, if any.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 #: Runtime SQL settings.  UTC keeps TIMESTAMP_NTZ <-> epoch arithmetic an identity;
 #: the adaptive settings let Spark split the skewed side of any shuffle join, also
 #: where that costs one more exchange; dynamic overwrite is what makes the chunk
@@ -62,13 +68,32 @@ def shared_directory(spark: SparkSession) -> str:
     return directory
 
 
-def materialize(df: DataFrame) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose intermediate tables are deleted when it ends.
+
+    What is built inside reads them lazily, so results have to be written, or kept by
+    ``materialize(df, keep=True)``, before the block ends.  Blocks nest.
+    """
+    folder = posixpath.join(shared_directory(spark), f"scratch-{uuid.uuid4().hex}")
+    before = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Ends the lineage of what several later steps read, survives lost executors, and
     tells the planner the true size: a join with a small result is then broadcast
-    from the start, and the large side is never shuffled.
+    from the start, and the large side is never shuffled.  Inside a :func:`scratch` block the
+    table goes with the block, unless it is to ``keep``.
     """
-    path = posixpath.join(shared_directory(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    folder = None if keep else _scratch.get()
+    path = posixpath.join(folder or shared_directory(df.sparkSession), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pulseweave import plans, vocab
+from pulseweave import plans, session, vocab
 from pulseweave.operators import recordings
 from pulseweave.sources import codes as code_files
 from pulseweave.sources import headers, sinks, tables
@@ -279,3 +279,16 @@ def test_arrays_move_once_from_segments_to_files(spark, tmp_path):
     moved = [part.split("\n")[1] for part in text.split("\n\n") if re.match(r"\(\d+\) Exchange", part.strip()) and "Input" in part]
     carrying = [m for m in moved if any(f"{name}#" in m for name in ("samples", "part"))]
     assert len(carrying) == 1
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with session.scratch(spark):
+        outer = session.materialize(spark.range(3))
+        with session.scratch(spark):
+            inner = session.materialize(outer.withColumn("x", F.lit(1)))
+            kept = session.materialize(inner.where("id > 0"), keep=True)
+        assert outer.count() == 3
+    assert kept.count() == 2
+    for gone in (inner, outer):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|FAILED_READ_FILE"):
+            gone.collect()
