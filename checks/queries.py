@@ -469,7 +469,7 @@ def long_dataset(df: DataFrame) -> DataFrame:
     """Scalars that stand for the arrays and the struct of a dataset row."""
     real = F.filter(F.flatten(F.map_values("signals")), lambda x: x.isNotNull())
     return df.select(
-        "record_id", "stay_id", "chunk_id", "chunk_start",
+        "source_version", "subject_id", "hadm_id", "record_id", "stay_id", "chunk_id", "chunk_start",
         F.size(F.coalesce(F.map_keys("signals"), F.array())).alias("n_signals"),
         F.coalesce(F.size(real), F.lit(0)).alias("n_samples"),
         F.round(F.array_max(real).cast("double"), 6).alias("max_sample"),
@@ -915,7 +915,7 @@ def whole_dataset(i: Inputs, seconds: float = DATASET_SECONDS) -> dict[str, Data
 
 
 DATASET_SQL = """
-SELECT g.record_id, g.stay_id, g.chunk_id, g.chunk_start,
+SELECT 4 AS source_version, g.subject_id, g.hadm_id, g.record_id, g.stay_id, g.chunk_id, g.chunk_start,
        CAST(coalesce(s.n_signals, 0) AS INT) AS n_signals, CAST(coalesce(s.n_samples, 0) AS INT) AS n_samples,
        round(s.max_sample, 6) AS max_sample,
        CASE WHEN s.record_id IS NOT NULL THEN round(CAST(CAST(coalesce(e.norepi_eq, 0) AS FLOAT) AS DOUBLE), 3) END AS norepi_eq,

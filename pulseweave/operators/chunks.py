@@ -17,6 +17,8 @@ from pulseweave.session import materialize
 
 ROW = ["record_id", "stay_id"]
 CHUNK = [*ROW, "chunk_id"]
+#: Whom a recording belongs to; the dataset's chunk rows carry these as far as the cohort does.
+IDENTITY = ["source_version", "subject_id", "hadm_id"]
 
 
 #: Consecutive chunks of a recording that are placed, and written, together: about 60 MB
@@ -205,6 +207,10 @@ def in_entries(name: str) -> str:
     return f"try_element_at(entries, '{name}')"
 
 
+def identity(df: DataFrame) -> list[str]:
+    return [c for c in IDENTITY if c in df.columns]
+
+
 def _blocks(cohort: DataFrame, inputs: DataFrame, labs: DataFrame, seconds: float) -> DataFrame:
     """A row per block of each cohort row, with the chunks that have events and their features.
 
@@ -215,24 +221,18 @@ def _blocks(cohort: DataFrame, inputs: DataFrame, labs: DataFrame, seconds: floa
     events = _event_entries(
         chunk_infusions(cohort, inputs, seconds), chunk_labs(cohort, labs, seconds)
     ).withColumn("block", block_of("chunk_id"))
-    rows = cohort.select(*ROW, "start_timestamp", chunk_count(seconds).alias("_n")).distinct()
+    own = identity(cohort)
+    rows = cohort.select(*ROW, *own, "start_timestamp", chunk_count(seconds).alias("_n")).distinct()
     blocks = rows.where(F.col("_n") > 0).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.col("_n") - 1)))
     )
+    of_row = [F.max(c).alias(c) for c in (*own, "start_timestamp", "_n")]
     return (
         by_block(blocks.unionByName(events, allowMissingColumns=True))
         .groupBy("record_id", "block", "stay_id", "chunk_id")
-        .agg(
-            F.max("start_timestamp").alias("start_timestamp"),
-            F.max("_n").alias("_n"),
-            F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("entries"),
-        )
+        .agg(*of_row, F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("entries"))
         .groupBy("record_id", "block", "stay_id")
-        .agg(
-            F.max("start_timestamp").alias("start_timestamp"),
-            F.max("_n").alias("_n"),
-            F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_id", "entries"))).alias("_held"),
-        )
+        .agg(*of_row, F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_id", "entries"))).alias("_held"))
     )
 
 
@@ -253,18 +253,19 @@ def placed_entries(
     labs: DataFrame,
     seconds: float = vocab.CHUNK_SECONDS,
 ) -> DataFrame:
-    """record_id, stay_id, chunk_id, block, chunk_start, entries for every chunk, placed by (recording, block).
+    """The cohort's :data:`IDENTITY`, record_id, stay_id, chunk_id, block, chunk_start, entries for every
+    chunk, placed by (recording, block).
 
     ``entries`` maps the features that events set to their values, NULL where there is no
     event; :func:`feature_struct` makes the wide row of it.  Chunks without events are
     added after the shuffle.
     """
-    nothing = F.lit(None).cast("map<string,double>")
+    own, nothing = identity(cohort), F.lit(None).cast("map<string,double>")
     empty = F.transform(_empty_chunks(), lambda c: F.struct(c.alias("chunk_id"), nothing.alias("entries")))
     return (
         _blocks(cohort, inputs, labs, seconds)
-        .select("record_id", "block", "stay_id", "start_timestamp", F.inline(F.concat("_held", empty)))
-        .select(*CHUNK, "block", _chunk_start(micros_of(seconds)), "entries")
+        .select(*own, "record_id", "block", "stay_id", "start_timestamp", F.inline(F.concat("_held", empty)))
+        .select(*own, *CHUNK, "block", _chunk_start(micros_of(seconds)), "entries")
     )
 
 

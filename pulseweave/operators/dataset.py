@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseweave import vocab
-from pulseweave.operators.chunks import CHUNK, feature_struct, in_entries
+from pulseweave.operators.chunks import CHUNK, feature_struct, identity, in_entries
 from pulseweave.operators.codes import attach_codes
 from pulseweave.operators.signals import signal_flags
 
@@ -29,7 +29,7 @@ def path_key(subject_id, record_id, base: str = "") -> Column:
 
 
 def chunk_dataset(entries: DataFrame, signals: DataFrame) -> DataFrame:
-    """record_id, stay_id, chunk_id, block, chunk_start, signals, ehr.
+    """source_version, subject_id, hadm_id, record_id, stay_id, chunk_id, block, chunk_start, signals, ehr.
 
     ``entries`` are the event features over the whole grid (``chunks.placed_entries``),
     ``signals`` has a map of samples per recorded chunk.  A chunk past the end of the
@@ -44,7 +44,7 @@ def chunk_dataset(entries: DataFrame, signals: DataFrame) -> DataFrame:
         .otherwise(feature_struct(in_entries, "FLOAT"))
     )
     return entries.join(signals, ["record_id", "block", "chunk_id"], "left").select(
-        *CHUNK, "block", "chunk_start", "signals", ehr.alias("ehr")
+        *identity(entries), *CHUNK, "block", "chunk_start", "signals", ehr.alias("ehr")
     )
 
 

@@ -36,9 +36,9 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """The chunk dataset, partitioned by recording and zstd-compressed.
+    """The chunk dataset, partitioned by source version, where known, and recording; zstd-compressed.
 
-    Re-running for some recordings replaces just these.  Chunks are spread over tasks
+    Re-running for some recordings replaces just these, of their own version.  Chunks are spread over tasks
     by (recording, block of chunks), so a very long recording is written by many
     tasks, in sorted files.
     """
@@ -47,7 +47,7 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy("record_id")
+        .partitionBy(*[c for c in ("source_version", "record_id") if c in chunks.columns])
         .parquet(path)
     )
 

@@ -126,6 +126,16 @@ def test_chunks_are_replaced_by_record(spark, tmp_path):
     assert got == {(1, "old"): 9000, (2, "new"): 4}
 
 
+def test_chunks_of_two_generations_share_a_path(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    frame = lambda v, x: spark.range(3).select(
+        F.lit(v).alias("source_version"), F.lit(7).alias("record_id"), F.lit(1).alias("stay_id"), F.col("id").alias("chunk_id"), F.lit(x).alias("x"))
+    for version, x in ((4, "old"), (3, "kept"), (4, "new")):
+        sinks.write_chunks(frame(version, x), path)
+    got = spark.read.parquet(path).groupBy("source_version", "x").count().collect()
+    assert {(r.source_version, r.x): r["count"] for r in got} == {(4, "new"): 3, (3, "kept"): 3}
+
+
 def t(h):
     return T0 + timedelta(hours=h)
 
