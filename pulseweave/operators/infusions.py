@@ -80,9 +80,9 @@ def drip_intervals(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     valid = F.coalesce(F.col("rate") > 0, F.lit(False))
     stopped = F.coalesce(F.col("stopped") == "Stopped", F.lit(False))
 
-    b = ordered.ranged(drips, GROUP, CHARTING_ORDER, ranges)
+    rows = ordered.ranged(drips, GROUP, CHARTING_ORDER, ranges)
     b = (
-        b.withColumns({"_valid": valid, "_stop": stopped, "_flip": valid & stopped})
+        rows.withColumns({"_valid": valid, "_stop": stopped, "_flip": valid & stopped})
         .withColumn("_flips", F.sum(F.col("_flip").cast("long")).over(upto))
         .withColumn("_set", F.last(F.when(~F.col("_flip"), F.col("_valid")), True).over(upto))
         .withColumn("_base", F.last(F.when(~F.col("_flip"), F.col("_flips")), True).over(upto))
@@ -92,7 +92,7 @@ def drip_intervals(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     )
 
     earlier = ordered.across_ranges(GROUP).rowsBetween(Window.unboundedPreceding, -1)
-    entry = _entry_state(b, earlier)
+    entry = _entry_state(ordered.crossing(b.where(F.col("_tail")), rows, GROUP), earlier)
     entered = F.coalesce("_open_in", F.lit(False))
     s = ordered.attach(b, GROUP, entry, ["_open_in", "_in_rate", "_more"])
     s = s.withColumn("_after", F.coalesce(F.col("_set"), entered) != F.col("_odd"))
@@ -109,11 +109,8 @@ def drip_intervals(rows: DataFrame, ranges: int | None = None) -> DataFrame:
         ),
     )
     opened = F.last("_opening", True)
-    last_open = (
-        s.withColumn("_latest", opened.over(upto))
-        .where(F.col("_tail"))
-        .withColumn("_in_open", F.last("_latest", True).over(earlier))
-    )
+    ends = s.withColumn("_latest", opened.over(upto)).where(F.col("_tail"))
+    last_open = ordered.crossing(ends, rows, GROUP).withColumn("_in_open", F.last("_latest", True).over(earlier))
     s = ordered.attach(s.withColumn("_run", opened.over(before)), GROUP, last_open, ["_in_open"])
     return (
         s.where(F.col("_closes"))
@@ -131,10 +128,9 @@ def drip_intervals(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     )
 
 
-def _entry_state(b: DataFrame, earlier: Window) -> DataFrame:
+def _entry_state(ends: DataFrame, earlier: Window) -> DataFrame:
     """What a range of a drip inherits, from the last row of each earlier range."""
     wb = ordered.across_ranges(GROUP)
-    ends = b.where(F.col("_tail"))
     alone = F.when(F.col("_set").isNull() & F.col("_odd"), 1).otherwise(0)
     ends = ends.withColumn(
         "_p", F.sum(alone).over(wb.rowsBetween(Window.unboundedPreceding, 0))
@@ -183,7 +179,7 @@ def push_intervals(
             "_next2": F.lead("charttime", 2).over(w),
         }
     )
-    around = _push_surroundings(counted)
+    around = _push_surroundings(ordered.crossing(counted, b, GROUP))
     r = ordered.attach(
         kept, GROUP, around, ["_g_all", "_g_kept", "_g_prev", "_g_next", "_g_next2"]
     ).where(

@@ -4,8 +4,8 @@ A window over (key ORDER BY time) puts a key into one task.  Here the rows are c
 ranges of the full order, which is key, time and whatever breaks ties: a burst of rows at
 one time is cut like anything else, and no range is much larger than its share of all rows.
 Windows run per (key, range).  What has to cross the border of a range is an associative
-state, computed from one summary row per key and range and joined back where a key does
-span ranges; that are at most as many keys as there are borders.
+state, computed from one summary row per range of those keys that do span ranges, which are
+no more than there are borders, and joined back.
 
 The ranges are written to the shared folder once, so that every step sees the same ones.
 Rows without a key or a time take no part: they belong to no group, or have no place in it.
@@ -51,21 +51,31 @@ def across_ranges(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(RANGE)
 
 
+def crossing(df: DataFrame, ranged_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key spans several ranges of ``ranged_rows``.
+
+    Ranges follow the order of the keys, so each border lies within one key at most: the
+    keys looked for are fewer than the ranges, and are broadcast.
+    """
+    spans = ranged_rows.groupBy(*keys).agg(F.min(RANGE).alias("_from"), F.max(RANGE).alias("_to"))
+    return df.join(F.broadcast(spans.where("_from < _to").select(*keys)), keys, "left_semi")
+
+
 def attach(df: DataFrame, keys: list[str], state: DataFrame, names: list[str]) -> DataFrame:
     """Bring the state at the border of a range to its rows; keys within one range have none.
 
-    The rows are already partitioned and sorted by (key, range), so only the summary is
-    shuffled.
+    ``state`` has the rows of :func:`crossing` keys, two per border at most, so it is broadcast
+    and the rows stay where they are.
     """
     some = state.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in names]))
-    return df.join(some.select(*keys, RANGE, *names), [*keys, RANGE], "left")
+    return df.join(F.broadcast(some.select(*keys, RANGE, *names)), [*keys, RANGE], "left")
 
 
 def previous_time(df: DataFrame, keys: list[str], ts: str, name: str, ranges: int | None = None) -> DataFrame:
     """``lag(ts)`` per key over rows with distinct times."""
     b = ranged(df, keys, [ts], ranges)
     rows = b.withColumn(name, F.lag(ts).over(per_range(keys, [F.col(ts)])))
-    last = b.groupBy(*keys, RANGE).agg(F.max(ts).alias("_last"))
+    last = crossing(b, b, keys).groupBy(*keys, RANGE).agg(F.max(ts).alias("_last"))
     border = last.withColumn("_border", F.lag("_last").over(across_ranges(keys)))
     return attach(rows, keys, border, ["_border"]).withColumn(name, F.coalesce(name, "_border")).drop("_border", RANGE)
 
@@ -101,7 +111,7 @@ def nearest(
         }
     )
     point = F.when(F.col("_probe") == 0, F.struct(ts, payload))
-    ends = b.groupBy(*keys, RANGE).agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
+    ends = crossing(b, b, keys).groupBy(*keys, RANGE).agg(F.max(point).alias("_latest"), F.min(point).alias("_earliest"))
     back = Window.partitionBy(*keys).orderBy(F.col(RANGE).desc())
     earlier = across_ranges(keys).rowsBetween(Window.unboundedPreceding, -1)
     later = back.rowsBetween(Window.unboundedPreceding, -1)
