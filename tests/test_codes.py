@@ -108,3 +108,19 @@ def test_repeat_rows_beyond_one_part(spark, monkeypatch):
     df = spark.createDataFrame([("a", 9), ("b", 4), ("c", 1), ("d", 0)], "k string, n_rows long")
     got = {r.k: r["count"] for r in codes.repeat_rows(df).groupBy("k").count().collect()}
     assert got == {"a": 9, "b": 4, "c": 1}
+
+
+def test_targets_are_made_and_counted_where_the_admission_lies(spark):
+    rows = [(s, 10 * s, f"{s % 3:03}", 9 if s % 4 else 10, 2) for s in range(40)]
+    matched = spark.createDataFrame(rows, "subject_id long, hadm_id long, icd_code string, icd_version int, n_rows long")
+    gem9 = spark.createDataFrame([(f"{k % 2:03}", f"A{k % 50}", "x") for k in range(100)], GEM)
+    titles = spark.createDataFrame([(f"A{k}", "t") for k in range(50)] + [("000", "t")], "icd_code string, long_title string")
+    mapped = codes.map_to_icd10(codes.by_admission(matched), gem9)
+    listed = codes.codes_per_admission(codes.add_titles(mapped, titles))
+    got = {r.subject_id: (len(r.codes), sum(r.code_rows)) for r in listed.collect()}
+    want = {s: (25, 100) for s in range(40) if s % 4 and s % 3 < 2} | {s: (1, 2) for s in range(0, 40, 12)}
+    assert got == want
+    # The tables are small, yet no task takes what several admissions' rows are multiplied to.
+    assert listed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = listed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1, plan
