@@ -115,6 +115,9 @@ def test_targets_are_made_and_counted_where_the_admission_lies(spark):
     matched = spark.createDataFrame(rows, "subject_id long, hadm_id long, icd_code string, icd_version int, n_rows long")
     gem9 = spark.createDataFrame([(f"{k % 2:03}", f"A{k % 50}", "x") for k in range(100)], GEM)
     titles = spark.createDataFrame([(f"A{k}", "t") for k in range(50)] + [("000", "t")], "icd_code string, long_title string")
+    merged = matched.groupBy("subject_id", "hadm_id").count().drop("count").hint("merge")
+    placed = codes.by_admission(matched.join(merged, codes.ADMISSION))
+    assert "REPARTITION_BY_NUM" in placed._jdf.queryExecution().executedPlan().toString()
     mapped = codes.map_to_icd10(codes.by_admission(matched), gem9)
     listed = codes.codes_per_admission(codes.add_titles(mapped, titles))
     got = {r.subject_id: (len(r.codes), sum(r.code_rows)) for r in listed.collect()}
@@ -124,3 +127,18 @@ def test_targets_are_made_and_counted_where_the_admission_lies(spark):
     assert listed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = listed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_repeats_of_a_table_are_joined_once(spark, rows):
+    gem9 = spark.createDataFrame([("001", "A1", "x")] * 5_000 + [("001", None, None)] * 2, GEM)
+    c = codes_of(spark, "001", "002")
+    made = crosswalk.forward(c, gem9)
+    assert made.groupBy("code", "target").count().orderBy("code", "target").collect() == [
+        ("001", None, 2), ("001", "A1", 5_000), ("002", None, 1)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.rindex("Aggregate"), plan  # top first
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    merged = crosswalk.merge_maps(made, made)
+    assert rows(merged) == [("001", "A1", "x"), ("002", None, None)]
+    assert "Join" in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in merged._jdf.queryExecution().optimizedPlan().toString()  # read from what was written
