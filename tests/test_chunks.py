@@ -66,6 +66,25 @@ def test_infusion_chunks_equal_direct_join(spark):
     assert {(r.record_id, r.stay_id, r.chunk_id, r.drug): [r.ratenorm, r.bolus, r.on] for r in got} == want
 
 
+def test_long_infusion_becomes_chunks_after_the_shuffle(spark):
+    cohort = cohort_of(spark, (1, 1, 0, 90_000))
+    inputs = spark.createDataFrame([
+        (1, "Levophed", t(60), t(72_000), 1.0, "mcg/kg/min", None, "Continuous Med"),
+        (1, "Levophed", t(30_000), t(30_600), 2.0, "mcg/kg/min", None, "Continuous Med"),
+    ], INPUTS)
+    labs = spark.createDataFrame([], LABS)
+    drugs = chunks.chunk_infusions(cohort, inputs, 60.0)
+    assert {r.chunk_id: r.ratenorm for r in drugs.collect()} == {c: 2.0 if 500 <= c < 510 else 1.0 for c in range(1, 1200)}
+    assert drugs.count() == 1199
+    plan = drugs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(sequence(first") < plan.index("Exchange ")
+    long = chunks.chunk_features_long(cohort, inputs, labs, 60.0)
+    assert {(r.feature, r.value): r["count"] for r in long.groupBy("feature", "value").count().collect()} == {
+        ("norepinephrine_ratenorm", 1.0): 1189, ("norepinephrine_ratenorm", 2.0): 10, ("norepinephrine_on", 1.0): 1199,
+        ("norepi_eq", 1.0): 1189, ("norepi_eq", 2.0): 10, ("vasopressor_on", 1.0): 1199, ("vasoactive_on", 1.0): 1199,
+    }
+
+
 def test_last_lab_wins(spark):
     cohort = cohort_of(spark, (1, 1, 0, 100))
     events = [
