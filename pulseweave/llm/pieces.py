@@ -71,6 +71,11 @@ class Pieces:
         self.crowd = int(np.diff(self.begin).max(initial=0))
         self.hashes = np.append(self.hashes, np.zeros(self.crowd, np.uint64))
         self.begin = self.begin.astype(np.int32)
+        # Single characters by code point: their piece or -1, and -2 where no piece begins.
+        self.single = np.full(_LITERAL + 1, -2, np.int32)
+        for piece, i in prefixes.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_ends = np.cumsum([len(r) for r in raw])
         self.raw_lengths = np.array([len(r) for r in raw])
@@ -162,20 +167,23 @@ class Lattice:
         self.codes[alive] = codes[at[alive]]
         self.choices = np.zeros(rows, np.int64)
         self.bytes_only = self.left > 0
-        found = []
-        for k in range(1, pieces.longest + 1):
-            here = at[alive]
-            h = mix((sums[here + k] - sums[here]) * down[here])
-            place = pieces.find(h)
-            hit = place >= 0
-            alive, place = alive[hit], pieces.ids[place[hit]]
-            is_piece = place >= 0
-            found.append((alive[is_piece], place[is_piece]))
-            if k == 1:
-                self.bytes_only[alive[is_piece]] = False
-            alive = alive[self.left[alive] > k]
+        single = pieces.single[self.codes[alive]]
+        is_piece = single >= 0
+        found = [(alive[is_piece], single[is_piece])]
+        self.bytes_only[alive[is_piece]] = False
+        alive = alive[(single > -2) & (self.left[alive] > 1)]
+        here = at[alive]
+        base, scale = sums[here], down[here]
+        for k in range(2, pieces.longest + 1):
             if not len(alive):
                 break
+            place = pieces.find(mix((sums[here + k] - base) * scale))
+            hit = np.flatnonzero(place >= 0)
+            place = pieces.ids[place[hit]]
+            is_piece = place >= 0
+            found.append((alive[hit[is_piece]], place[is_piece]))
+            hit = hit[self.left[alive[hit]] > k]
+            alive, here, base, scale = alive[hit], here[hit], base[hit], scale[hit]
         while len(found) > 1 and not len(found[-1][0]):
             found.pop()
         longest = self.longest = len(found)
@@ -191,7 +199,7 @@ class Lattice:
         self.choices[self.bytes_only] += 1
         # Backward sums, a level at a time.
         total = self.total = np.zeros(rows)
-        self.below = np.zeros((rows, longest), np.float32)
+        below = self.below = np.empty((longest, rows), np.float32)
         for d in range(1, deepest + 1):
             n, first = held[d], self.level[d]
             reach = min(d, longest)
@@ -205,13 +213,12 @@ class Lattice:
             total[first:first + n] = top + np.log(whole)
             np.cumsum(share, axis=0, out=share)
             share /= whole
-            self.below[first:first + n, :reach] = share.T
-            self.below[first:first + n, reach:] = 2.0
+            below[:reach, first:first + n] = share
         # The last choice of a row takes what rounding leaves of the sum.
-        final = np.zeros(rows, np.int64)
-        for k in range(longest):
-            final[np.isfinite(score[k])] = k
-        self.below[np.arange(longest) >= final[:, None]] = 2.0
+        later = np.zeros(rows, bool)
+        for k in range(longest - 1, -1, -1):
+            np.copyto(below[k], 2.0, where=~later)
+            later |= score[k] > -np.inf
 
     def step_logp(self, row: np.ndarray, column: np.ndarray) -> np.ndarray:
         """Log-probability of a step, given its position."""
@@ -219,23 +226,30 @@ class Lattice:
         return self.score[column, row] + self.total[after] - self.total[row]
 
     def walk(self, unit: np.ndarray, left: np.ndarray, keys: np.ndarray):
-        """Sample a way to the end of each unit of which so much is left: (walk, row, column) of all steps, in order."""
+        """Sample a way to the end of each unit of which so much is left: (walk, row, column, log-probability) of all steps, in order."""
         who = np.flatnonzero(left)
         unit, left, found, step = unit[who], left[who], [], 0
+        row = self.level[left] + unit
         while len(who):
-            row = self.level[left] + unit
             u = uniform(keys[who] + np.uint64(step * 0x2545F491)).astype(np.float32)
-            column = (self.below[row] <= u[:, None]).sum(axis=1)
-            found.append((who, row, column))
+            column, rest, at = np.zeros(len(who), np.int64), np.arange(len(who)), row
+            for k in range(self.longest - 1):
+                higher = np.flatnonzero(self.below[k, at] <= u)
+                if not len(higher):
+                    break
+                rest, at, u = rest[higher], at[higher], u[higher]
+                column[rest] += 1
             left = left - column - 1
+            after = self.level[left] + unit
+            found.append((who, row, column, self.score[column, row] + self.total[after] - self.total[row]))
             more = np.flatnonzero(left)
-            who, unit, left, step = who[more], unit[more], left[more], step + 1
+            who, unit, left, row, step = who[more], unit[more], left[more], after[more], step + 1
         if not found:
             empty = np.empty(0, np.int64)
-            return empty, empty, empty
-        who, row, column = (np.concatenate(x) for x in zip(*found))
+            return empty, empty, empty, np.empty(0)
+        who, row, column, logp = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(who, kind="stable")
-        return who[order], row[order], column[order]
+        return who[order], row[order], column[order], logp[order]
 
     def step_ids(self, row: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of steps, and how many each has: a character out of vocabulary is its bytes."""
@@ -256,27 +270,30 @@ class Lattice:
 class Path:
     """One sampled segmentation of each of some texts, with the branches that leave it."""
 
-    def __init__(self, lattice, doc, occ, row, column, taken, fresh, bound, seeds, number):
-        self.doc, self.occ, self.row, self.column, self.taken = doc, occ, row, column, taken
+    def __init__(self, lattice, doc, occ, row, column, logp, taken, fresh, bound, seeds, number):
+        self.doc, self.occ, self.row, self.column, self.logp, self.taken = doc, occ, row, column, logp, taken
         self.first = np.searchsorted(doc, np.arange(lattice.docs + 1))
-        self.logp = lattice.step_logp(row, column)
-        before = np.cumsum(self.logp) - self.logp
-        before -= before[self.first[doc]] if len(doc) else 0.0
-        used = self.logp.copy()
+        self.branch = np.full(len(doc), -np.inf)
+        # Only steps drawn anew, with choices left, can be branched.
+        steps = np.flatnonzero(fresh & (lattice.choices[row] > 1))
+        doc, row, column, taken = doc[steps], row[steps], column[steps], taken[steps]
+        before = np.cumsum(logp) - logp
+        before = before[steps] - before[self.first[doc]]
+        used = logp[steps]
+        n_taken = np.ones(len(steps), np.int64)
         several = np.flatnonzero(taken & (taken - 1))
         for c in range(lattice.longest):
             extra = several[(taken[several] >> c & 1 == 1) & (column[several] != c)]
             used[extra] = np.logaddexp(used[extra], lattice.step_logp(row[extra], np.full(len(extra), c)))
-        n_taken = np.ones(len(doc), np.int64)
-        n_taken[several] = [bin(t).count("1") for t in taken[several].tolist()]
+            n_taken[extra] += 1
         with np.errstate(divide="ignore", over="ignore"):
-            rest = np.log(-np.expm1(np.minimum(used, 0.0)))
-            mass = np.where(fresh & (lattice.choices[row] > n_taken), before + rest, -np.inf)
+            mass = before + np.log(-np.expm1(np.minimum(used, 0.0)))
+            mass[several] = np.where(lattice.choices[row[several]] > n_taken[several], mass[several], -np.inf)
             # The best perturbed score below a branch is a Gumbel value cut off at that of its parent.
-            nth = np.arange(len(doc)) - self.first[doc]
+            nth = steps - self.first[doc]
             key = seeds[doc] + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
             waste = -np.log(uniform(key ^ np.uint64(0xABCDEF)))
-            self.branch = np.where(np.isfinite(mass), mass - np.log(np.exp(mass - bound[doc]) + waste), -np.inf)
+            self.branch[steps] = np.where(np.isfinite(mass), mass - np.log(np.exp(mass - bound[doc]) + waste), -np.inf)
 
     def best(self, docs: int) -> np.ndarray:
         """The largest perturbed score among each text's branches."""
@@ -305,8 +322,8 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
     keys = lambda occ, number: mix(seeds[lattice.occ_doc[occ]] + np.uint64(number)) + (
         (occ - lattice.occ_first[lattice.occ_doc[occ]]).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     occ = np.arange(len(lattice.occ_doc))
-    who, row, column = lattice.walk(lattice.occ_unit, lattice.occ_size, keys(occ, 1))
-    path = Path(lattice, lattice.occ_doc[who], who, row, column, 1 << column, np.ones(len(who), bool), bound, seeds, 1)
+    who, row, column, logp = lattice.walk(lattice.occ_unit, lattice.occ_size, keys(occ, 1))
+    path = Path(lattice, lattice.occ_doc[who], who, row, column, logp, 1 << column, np.ones(len(who), bool), bound, seeds, 1)
     paths, live = [path], np.arange(docs)
     for number in range(1, k + 1):
         ids, n = lattice.step_ids(path.row, path.column)
@@ -328,8 +345,8 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
             d = parent.doc[hit]
             n = hit - parent.first[d]
             copy = np.repeat(parent.first[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            parts.append((parent.doc[copy], parent.occ[copy], parent.row[copy], parent.column[copy], 1 << parent.column[copy],
-                          np.zeros(len(copy), bool)))
+            parts.append((parent.doc[copy], parent.occ[copy], parent.row[copy], parent.column[copy], parent.logp[copy],
+                          1 << parent.column[copy], np.zeros(len(copy), bool)))
             # Another child at the branch, by probability among those not taken yet.
             r, taken = parent.row[hit], parent.taken[hit]
             every = np.arange(lattice.longest)
@@ -340,7 +357,7 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
             u = uniform(seeds[d] + np.uint64(number * 7919 + 13)) * weight.sum(axis=1)
             c = np.minimum((np.cumsum(weight, axis=1) <= u[:, None]).sum(axis=1),
                            lattice.longest - 1 - np.argmax(open_[:, ::-1], axis=1))
-            parts.append((d, parent.occ[hit], r, c, taken | (1 << c), np.ones(len(hit), bool)))
+            parts.append((d, parent.occ[hit], r, c, logp[np.arange(len(r)), c], taken | (1 << c), np.ones(len(hit), bool)))
             # From there on everything is drawn anew: the rest of the unit, then later units.
             o, after = parent.occ[hit], lattice.left[r] - c - 1
             inside = after > 0
@@ -350,12 +367,13 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
             begin = np.concatenate([after[inside], lattice.occ_size[later]])
             order = np.argsort(todo, kind="stable")
             todo, begin = todo[order], begin[order]
-            who, row, column = lattice.walk(lattice.occ_unit[todo], begin, keys(todo, number + 1))
-            parts.append((lattice.occ_doc[todo[who]], todo[who], row, column, 1 << column, np.ones(len(who), bool)))
-        doc, occ, row, column, taken, fresh = (np.concatenate(x) for x in zip(*parts))
+            who, row, column, logp = lattice.walk(lattice.occ_unit[todo], begin, keys(todo, number + 1))
+            parts.append((lattice.occ_doc[todo[who]], todo[who], row, column, logp, 1 << column, np.ones(len(who), bool)))
+        doc, occ, row, column, logp, taken, fresh = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(doc, kind="stable")
         bound = best
-        path = Path(lattice, doc[order], occ[order], row[order], column[order], taken[order], fresh[order], bound, seeds, number + 1)
+        path = Path(lattice, doc[order], occ[order], row[order], column[order], logp[order], taken[order], fresh[order],
+                    bound, seeds, number + 1)
         paths.append(path)
     yield None, best if docs else np.empty(0), None, None, None
 

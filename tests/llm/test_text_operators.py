@@ -287,6 +287,16 @@ def test_samples_without_replacement_follow_the_lattice(text):
         assert abs(second - sum(q * want[s] / (1 - q) for o, q in want.items() if o != s)) < 0.03
 
 
+def test_steps_bring_their_probability_and_single_characters_need_no_hash(monkeypatch):
+    p, asked, find = pieces.pieces_of(pieces.MODEL), [], pieces.Pieces.find
+    monkeypatch.setattr(pieces.Pieces, "find", lambda self, h: asked.append(len(h)) or find(self, h))
+    lattice = pieces.Lattice(["a b c d"], p)
+    assert asked == [4]  # the blanks that begin the four units, with the letter after them
+    who, row, column, logp = lattice.walk(lattice.occ_unit, lattice.occ_size, np.arange(4, dtype=np.uint64))
+    assert sorted(set(who.tolist())) == [0, 1, 2, 3]
+    assert logp.tolist() == lattice.step_logp(row, column).tolist()
+
+
 def test_exhausted_lattices_and_inclusion(spark):
     df = docs_of(spark, ["ab", None, "", "ab"])
     rows = pieces.encode(df, samples=9).collect()
