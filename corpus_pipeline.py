@@ -59,7 +59,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two different segmentations of each document, with their inclusion scores and the
+    """Different segmentations of each document (``pieces.SAMPLES``), with their inclusion scores and the
     document's ``position`` in the mixing schedule, sorted by it.
 
     Files don't keep an order when they are read, so the position is found again: it is

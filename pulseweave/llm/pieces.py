@@ -17,10 +17,12 @@ from pulseweave.llm.tokens import lists, mix, powers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Power of the pieces' probabilities: the smaller, the more different the samples.
 SMOOTHING = 0.3
-#: Different segmentations of a text.
-SAMPLES = 2
+#: Different segmentations of a text, so that the search goes on from several branches of several samples.
+SAMPLES = 8
 #: Code points that are worked on at a time; a longer text makes a run of its own.
 CHUNK = 1 << 19
+#: Steps of a text whose branches are looked at first, and what a perturbed score can exceed its log-probability by.
+WINDOW, FARTHEST = 64, 37.0
 _BITS = 20
 _SPACE, _LITERAL = 0x2581, 0x110001
 
@@ -76,6 +78,8 @@ class Pieces:
         for piece, i in prefixes.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = i
+        self.id_logp = self.logp[:n].copy()
+        self.id_logp[self.byte_ids] = self.byte_logp
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_ends = np.cumsum([len(r) for r in raw])
         self.raw_lengths = np.array([len(r) for r in raw])
@@ -134,7 +138,7 @@ class Lattice:
         cut[1:] = (blank[1:] & ~blank[:-1]) | ~joins[1:] | ~joins[:-1]
         first = np.cumsum(lengths) - lengths
         cut[first[lengths > 0]] = True
-        starts = np.flatnonzero(cut)
+        starts = self.starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
@@ -227,81 +231,146 @@ class Lattice:
 
     def walk(self, unit: np.ndarray, left: np.ndarray, keys: np.ndarray):
         """Sample a way to the end of each unit of which so much is left: (walk, row, column, log-probability) of all steps, in order."""
+        n, steps = self.draw(unit, left, keys)
+        column, row = np.divmod(steps, len(self.left))
+        return np.repeat(np.arange(len(n)), n), row, column, self.step_logp(row, column)
+
+    def draw(self, unit: np.ndarray, left: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same walks as steps per walk and all steps in order.
+
+        A step is its place in the flat tables, ``column * rows + row``.
+        """
+        n = np.zeros(len(unit), np.int64)
         who = np.flatnonzero(left)
-        unit, left, found, step = unit[who], left[who], [], 0
-        row = self.level[left] + unit
+        unit, left, keys, found = unit[who], left[who], keys[who], []
+        row, rows = self.level[left] + unit, len(self.left)
         while len(who):
-            u = uniform(keys[who] + np.uint64(step * 0x2545F491)).astype(np.float32)
-            column, rest, at = np.zeros(len(who), np.int64), np.arange(len(who)), row
+            u = uniform(keys + np.uint64(len(found) * 0x2545F491)).astype(np.float32)
+            column, rest, at = np.zeros(len(who), np.int64), None, row
             for k in range(self.longest - 1):
-                higher = np.flatnonzero(self.below[k, at] <= u)
+                higher = np.flatnonzero(self.below[k].take(at) <= u)
                 if not len(higher):
                     break
-                rest, at, u = rest[higher], at[higher], u[higher]
-                column[rest] += 1
+                rest, at, u = higher if rest is None else rest[higher], at[higher], u[higher]
+                column[rest] = k + 1
+            found.append((who, column * rows + row))
             left = left - column - 1
-            after = self.level[left] + unit
-            found.append((who, row, column, self.score[column, row] + self.total[after] - self.total[row]))
-            more = np.flatnonzero(left)
-            who, unit, left, row, step = who[more], unit[more], left[more], after[more], step + 1
-        if not found:
-            empty = np.empty(0, np.int64)
-            return empty, empty, empty, np.empty(0)
-        who, row, column, logp = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(who, kind="stable")
-        return who[order], row[order], column[order], logp[order]
-
-    def step_ids(self, row: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of steps, and how many each has: a character out of vocabulary is its bytes."""
-        plain = ~(self.bytes_only[row] & (column == 0))
-        n = np.where(plain, 1, self.width[row])
-        ids = np.empty(n.sum(), np.int32)
+            on = left > 0
+            n[who[~on]] = len(found)
+            more = np.flatnonzero(on)
+            who, unit, left, keys = who[more], unit[more], left[more], keys[more]
+            row = self.level[left] + unit
         first = np.cumsum(n) - n
-        ids[first[plain]] = self.ids[column[plain], row[plain]]
-        odd = np.flatnonzero(~plain)
-        if len(odd):
-            text = self.codes[row[odd]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            at = np.repeat(first[odd], n[odd]) + np.arange(n[odd].sum()) - np.repeat(np.cumsum(n[odd]) - n[odd], n[odd])
-            ids[at] = self.pieces.byte_ids[data]
-        return ids, n
+        steps = np.empty(int(n.sum()), np.int64)
+        for k, (who, step) in enumerate(found):
+            steps[first[who] + k] = step
+        return n, steps
+
+    def step_ids(self, steps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of steps, and where those of each text begin: a character out of vocabulary is its bytes."""
+        found = self.ids.reshape(-1).take(steps)
+        odd = np.flatnonzero(found < 0)
+        if not len(odd):
+            return found, first
+        n = np.ones(len(steps), np.int64)
+        n[odd] = self.width[steps[odd] % len(self.left)]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.repeat(found, n)
+        text = self.codes[steps[odd] % len(self.left)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        n = n[odd]
+        ids[np.repeat(ends[odd] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = self.pieces.byte_ids[data]
+        return ids, ends[first]
+
+
+def ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges that begin at ``first`` and are ``n`` long, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Path:
-    """One sampled segmentation of each of some texts, with the branches that leave it."""
+    """One sampled segmentation of each of some texts, with the branches that leave it.
+
+    Scores of branches fall with the probability of what lies before them, so they are made
+    for the first steps of each text; ``rest`` is what the others can reach at most, and
+    :meth:`extend` looks at more of them.
+    """
 
-    def __init__(self, lattice, doc, occ, row, column, logp, taken, fresh, bound, seeds, number):
-        self.doc, self.occ, self.row, self.column, self.logp, self.taken = doc, occ, row, column, logp, taken
-        self.first = np.searchsorted(doc, np.arange(lattice.docs + 1))
-        self.branch = np.full(len(doc), -np.inf)
+    def __init__(self, lattice, first, steps, start, taken, bound, seeds, number):
+        self.lattice, self.first, self.steps, self.start, self.taken = lattice, first, steps, start, taken
+        self.bound, self.seeds, self.number = bound, seeds, number
+        self.gone: list[np.ndarray] = []
+        self.ends = np.minimum(first[:-1] + start + WINDOW, first[1:])
+        self.rest, self.top = np.full((2, lattice.docs), -np.inf)
+        self.at = self.doc = self.branch = np.empty(0, np.int64)
+        self._look(np.flatnonzero(np.diff(first)))
+
+    def _look(self, docs: np.ndarray) -> None:
+        lattice, first = self.lattice, self.first
+        n = self.ends[docs] - first[docs]
+        at, doc = ragged(first[docs], n), np.repeat(docs, n)
+        column, row = np.divmod(self.steps[at], len(lattice.left))
+        logp = lattice.step_logp(row, column)
+        before = np.concatenate([[0.0], np.cumsum(logp)])
+        begin = np.cumsum(n) - n
+        self.rest[docs] = np.where(self.ends[docs] < first[docs + 1], before[begin + n] - before[begin] + FARTHEST, -np.inf)
         # Only steps drawn anew, with choices left, can be branched.
-        steps = np.flatnonzero(fresh & (lattice.choices[row] > 1))
-        doc, row, column, taken = doc[steps], row[steps], column[steps], taken[steps]
-        before = np.cumsum(logp) - logp
-        before = before[steps] - before[self.first[doc]]
-        used = logp[steps]
+        steps = np.flatnonzero((at >= (first[:-1] + self.start)[doc]) & (lattice.choices[row] > 1))
+        before = before[steps] - np.repeat(before[begin], n)[steps]
+        at, doc, row, column, used = at[steps], doc[steps], row[steps], column[steps], logp[steps]
+        nth = at - first[doc]
         n_taken = np.ones(len(steps), np.int64)
-        several = np.flatnonzero(taken & (taken - 1))
+        several = np.flatnonzero((nth == self.start[doc]) & (self.taken[doc] & (self.taken[doc] - 1) != 0))
         for c in range(lattice.longest):
-            extra = several[(taken[several] >> c & 1 == 1) & (column[several] != c)]
+            extra = several[(self.taken[doc[several]] >> c & 1 == 1) & (column[several] != c)]
+            if not len(extra):
+                continue
             used[extra] = np.logaddexp(used[extra], lattice.step_logp(row[extra], np.full(len(extra), c)))
             n_taken[extra] += 1
         with np.errstate(divide="ignore", over="ignore"):
             mass = before + np.log(-np.expm1(np.minimum(used, 0.0)))
             mass[several] = np.where(lattice.choices[row[several]] > n_taken[several], mass[several], -np.inf)
             # The best perturbed score below a branch is a Gumbel value cut off at that of its parent.
-            nth = steps - self.first[doc]
-            key = seeds[doc] + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-            waste = -np.log(uniform(key ^ np.uint64(0xABCDEF)))
-            self.branch[steps] = np.where(np.isfinite(mass), mass - np.log(np.exp(mass - bound[doc]) + waste), -np.inf)
-
-    def best(self, docs: int) -> np.ndarray:
-        """The largest perturbed score among each text's branches."""
-        out = np.full(docs, -np.inf)
-        held = np.flatnonzero(np.diff(self.first))
-        if len(held):
-            out[held] = np.maximum.reduceat(self.branch, self.first[held])
-        return out
+            key = self.seeds[doc] + np.uint64(self.number * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+            waste = -np.log(np.minimum(uniform(key ^ np.uint64(0xABCDEF)), 1.0 - 2.0 ** -53))
+            branch = np.where(np.isfinite(mass), mass - np.log(np.exp(mass - self.bound[doc]) + waste), -np.inf)
+        branch[np.isin(at, self.gone)] = -np.inf
+        again = np.zeros(lattice.docs, bool)
+        again[docs] = True
+        old = ~again[self.doc]
+        self.at, self.doc, self.branch = (np.concatenate([a[old], b]) for a, b in ((self.at, at), (self.doc, doc), (self.branch, branch)))
+        self.top[docs] = -np.inf
+        np.maximum.at(self.top, doc, branch)
+
+    def extend(self, docs: np.ndarray) -> None:
+        """Look at eight times as many steps of some texts."""
+        begin = self.first[docs] + self.start[docs]
+        self.ends[docs] = np.minimum(begin + 8 * (self.ends[docs] - begin), self.first[docs + 1])
+        self._look(docs)
+
+    def pop(self, docs: np.ndarray) -> np.ndarray:
+        """The steps at which some texts have their best branch, which is gone then."""
+        mine = np.zeros(self.lattice.docs, bool)
+        mine[docs] = True
+        hit = np.flatnonzero(mine[self.doc] & np.isfinite(self.branch) & (self.branch == self.top[self.doc]))
+        hit = hit[np.unique(self.doc[hit], return_index=True)[1]]
+        self.gone.extend(self.at[hit])
+        self.branch[hit] = self.top[docs] = -np.inf
+        np.maximum.at(self.top, self.doc, self.branch)
+        return self.at[hit]
+
+
+def best_branches(paths: list[Path]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest perturbed score among each text's branches, and whose it is."""
+    while True:
+        scores = np.stack([p.top for p in paths])
+        best = scores.max(axis=0)
+        short = [(p, np.flatnonzero(p.rest > best)) for p in paths]
+        if not any(len(docs) for _, docs in short):
+            return best, scores.argmax(axis=0)
+        for p, docs in short:
+            if len(docs):
+                p.extend(docs)
 
 
 def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
@@ -317,64 +386,66 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
     the best perturbed score that is left of each text.
     """
     lattice = Lattice(texts, pieces)
-    docs = lattice.docs
+    docs, rows = lattice.docs, len(lattice.left)
     bound = -np.log(-np.log(uniform(seeds)))
     keys = lambda occ, number: mix(seeds[lattice.occ_doc[occ]] + np.uint64(number)) + (
         (occ - lattice.occ_first[lattice.occ_doc[occ]]).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    occ = np.arange(len(lattice.occ_doc))
-    who, row, column, logp = lattice.walk(lattice.occ_unit, lattice.occ_size, keys(occ, 1))
-    path = Path(lattice, lattice.occ_doc[who], who, row, column, logp, 1 << column, np.ones(len(who), bool), bound, seeds, 1)
-    paths, live = [path], np.arange(docs)
+    # A step's log-probability is its score less what telescopes over the steps of a unit.
+    total = np.concatenate([[0.0], np.cumsum(lattice.total[lattice.level[lattice.occ_size] + lattice.occ_unit])])
+    total = np.diff(total[lattice.occ_first])
+    n, steps = lattice.draw(lattice.occ_unit, lattice.occ_size, keys(np.arange(len(lattice.occ_doc)), 1))
+    first = np.concatenate([[0], np.cumsum(n)])[lattice.occ_first]
+    none = np.zeros(docs, np.int64)
+    paths, live = [Path(lattice, first, steps, none, none, bound, seeds, 1)], np.arange(docs)
     for number in range(1, k + 1):
-        ids, n = lattice.step_ids(path.row, path.column)
-        per_doc = np.bincount(path.doc, n, docs).astype(np.int64)[live]
-        yield live, np.bincount(path.doc, path.logp, docs)[live].astype(np.float64), bound[live], ids, per_doc
-        scores = np.stack([p.best(docs) for p in paths])
-        best = scores.max(axis=0)
+        ids, begin = lattice.step_ids(steps, first)
+        held = np.flatnonzero(np.diff(begin))
+        logp = np.zeros(docs)
+        logp[held] = np.add.reduceat(pieces.id_logp[ids], begin[held]) - total[held] if len(held) else 0.0
+        yield live, np.minimum(logp[live], 0.0), bound[live], ids, np.diff(begin)[live]
+        best, which = best_branches(paths)
         live = np.flatnonzero(np.isfinite(best))
         if number == k or not len(live):
             break
-        which = scores.argmax(axis=0)
-        parts = []
+        cut, step, taken = (np.zeros(docs, np.int64) for _ in range(3))
+        head = {}
         for j, parent in enumerate(paths):
-            hit = np.flatnonzero((which[parent.doc] == j) & np.isfinite(parent.branch) & (parent.branch == best[parent.doc]))
-            hit = hit[np.unique(parent.doc[hit], return_index=True)[1]]
-            if not len(hit):
+            d = live[which[live] == j]
+            if not len(d):
                 continue
-            parent.branch[hit] = -np.inf
-            d = parent.doc[hit]
-            n = hit - parent.first[d]
-            copy = np.repeat(parent.first[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            parts.append((parent.doc[copy], parent.occ[copy], parent.row[copy], parent.column[copy], parent.logp[copy],
-                          1 << parent.column[copy], np.zeros(len(copy), bool)))
-            # Another child at the branch, by probability among those not taken yet.
-            r, taken = parent.row[hit], parent.taken[hit]
-            every = np.arange(lattice.longest)
-            logp = lattice.step_logp(np.repeat(r, len(every)), np.tile(every, len(r))).reshape(len(r), -1)
-            open_ = np.isfinite(logp) & ((taken[:, None] >> every) & 1 == 0)
-            weight = np.where(open_, np.exp(logp), 0.0)
-            weight = np.where(weight.sum(axis=1, keepdims=True) > 0, weight, open_)
-            u = uniform(seeds[d] + np.uint64(number * 7919 + 13)) * weight.sum(axis=1)
-            c = np.minimum((np.cumsum(weight, axis=1) <= u[:, None]).sum(axis=1),
-                           lattice.longest - 1 - np.argmax(open_[:, ::-1], axis=1))
-            parts.append((d, parent.occ[hit], r, c, logp[np.arange(len(r)), c], taken | (1 << c), np.ones(len(hit), bool)))
-            # From there on everything is drawn anew: the rest of the unit, then later units.
-            o, after = parent.occ[hit], lattice.left[r] - c - 1
-            inside = after > 0
-            n = lattice.occ_first[d + 1] - o - 1
-            later = np.repeat(o + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            todo = np.concatenate([o[inside], later])
-            begin = np.concatenate([after[inside], lattice.occ_size[later]])
-            order = np.argsort(todo, kind="stable")
-            todo, begin = todo[order], begin[order]
-            who, row, column, logp = lattice.walk(lattice.occ_unit[todo], begin, keys(todo, number + 1))
-            parts.append((lattice.occ_doc[todo[who]], todo[who], row, column, logp, 1 << column, np.ones(len(who), bool)))
-        doc, occ, row, column, logp, taken, fresh = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(doc, kind="stable")
+            at = parent.pop(d)
+            cut[d], step[d] = at - parent.first[d], parent.steps[at]
+            taken[d] = np.where(cut[d] == parent.start[d], parent.taken[d], 0)
+            head |= {i: parent.steps[a:b] for i, a, b in zip(d.tolist(), parent.first[d].tolist(), at.tolist())}
+        # Another child at the branch, by probability among those not taken yet.
+        column, r = np.divmod(step[live], rows)
+        taken[live] |= 1 << column
+        every = np.arange(lattice.longest)
+        logp = lattice.step_logp(np.repeat(r, len(every)), np.tile(every, len(r))).reshape(len(r), -1)
+        open_ = np.isfinite(logp) & ((taken[live][:, None] >> every) & 1 == 0)
+        weight = np.where(open_, np.exp(logp), 0.0)
+        weight = np.where(weight.sum(axis=1, keepdims=True) > 0, weight, open_)
+        u = uniform(seeds[live] + np.uint64(number * 7919 + 13)) * weight.sum(axis=1)
+        c = np.minimum((np.cumsum(weight, axis=1) <= u[:, None]).sum(axis=1),
+                       lattice.longest - 1 - np.argmax(open_[:, ::-1], axis=1))
+        taken[live] |= 1 << c
+        # From there on everything is drawn anew: the rest of the unit, then later units.
+        covered = np.array([(head[i] // rows).sum() + len(head[i]) for i in live.tolist()])
+        o = np.searchsorted(lattice.starts, lattice.starts[lattice.occ_first[live]] + covered, side="right") - 1
+        n = lattice.occ_first[live + 1] - o
+        todo = ragged(o, n)
+        begin = lattice.occ_size[todo]
+        begin[np.cumsum(n) - n] = lattice.left[r] - c - 1
+        drawn, walked = lattice.draw(lattice.occ_unit[todo], begin, keys(todo, number + 1))
+        ends = np.cumsum(drawn)[np.cumsum(n) - 1]
+        child = c * rows + r
+        steps = np.concatenate([part for j, (i, a, b) in enumerate(zip(live.tolist(), [0, *ends.tolist()], ends.tolist()))
+                                for part in (head[i], child[j:j + 1], walked[a:b])])
+        count = np.zeros(docs, np.int64)
+        count[live] = cut[live] + 1 + np.diff(ends, prepend=0)
+        first = np.concatenate([[0], np.cumsum(count)])
         bound = best
-        path = Path(lattice, doc[order], occ[order], row[order], column[order], logp[order], taken[order], fresh[order],
-                    bound, seeds, number + 1)
-        paths.append(path)
+        paths.append(Path(lattice, first, steps, cut, taken, bound, seeds, number + 1))
     yield None, best if docs else np.empty(0), None, None, None
 
 

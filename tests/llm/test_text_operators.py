@@ -297,6 +297,30 @@ def test_steps_bring_their_probability_and_single_characters_need_no_hash(monkey
     assert logp.tolist() == lattice.step_logp(row, column).tolist()
 
 
+def test_query_searches_on_from_branches_of_several_samples(spark):
+    rows = pieces.op3_pieces(spark, "/root/testdata/sf0.001").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("ids_hash").alias("different"), F.countDistinct("text_crc32").alias("texts"),
+        F.transform(F.sort_array(F.collect_list(F.struct("sample", "perturbed"))), lambda s: s["perturbed"]).alias("scores")).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all(r.n == r.different == len(r.scores) and r.texts == 1 and r.scores == sorted(r.scores, reverse=True) for r in rows)
+    assert all(r.n == 8 for r in rows if len(texts[r.doc_id] or "") > 40)
+
+
+def test_branches_not_looked_at_first_are_found(monkeypatch):
+    p = pieces.pieces_of(pieces.MODEL)
+    texts = ["the in and of", "7" * 500 + " the in", "- " * 900 + "ab", "", "a " * 300, "ab"]
+    draw = lambda: list(pieces.sample(texts, tokens.mix(np.arange(len(texts), dtype=np.uint64)), 9, p))
+    few, whole = [], []
+    for window, out in ((1, few), (1 << 20, whole)):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        out += draw()
+    assert len(few) == len(whole) == 10
+    for a, b in zip(few[:-1], whole[:-1]):
+        assert a[0].tolist() == b[0].tolist() and a[3].tolist() == b[3].tolist() and np.allclose(a[2], b[2])
+    assert np.allclose(few[-1][1], whole[-1][1])
+
+
 def test_exhausted_lattices_and_inclusion(spark):
     df = docs_of(spark, ["ab", None, "", "ab"])
     rows = pieces.encode(df, samples=9).collect()
