@@ -22,7 +22,7 @@ SAMPLES = 8
 #: Code points that are worked on at a time; a longer text makes a run of its own.
 CHUNK = 1 << 19
 #: Steps of a text whose branches are looked at first, and what a perturbed score can exceed its log-probability by.
-WINDOW, FARTHEST = 64, 37.0
+WINDOW, FARTHEST = 32, 37.0
 _BITS = 20
 _SPACE, _LITERAL = 0x2581, 0x110001
 
@@ -80,9 +80,7 @@ class Pieces:
                 self.single[ord(piece)] = i
         self.id_logp = self.logp[:n].copy()
         self.id_logp[self.byte_ids] = self.byte_logp
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_ends = np.cumsum([len(r) for r in raw])
-        self.raw_lengths = np.array([len(r) for r in raw])
+        self.raw = pa.array(raw, pa.large_binary())
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash in the table, or -1."""
@@ -99,11 +97,9 @@ class Pieces:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of consecutive runs of ids.  The blank that encoding puts first goes."""
-        n = self.raw_lengths[ids]
-        ends = np.cumsum(n)
-        at = np.repeat(self.raw_ends[ids] - ends, n) + np.arange(ends[-1] if len(ends) else 0)
-        data = self.raw[at].tobytes()
-        borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        _, ends, data = self.raw.take(pa.array(ids)).buffers()
+        data, ends = (data or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(ends, np.int64)
+        borders = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [data[a + 1:b].decode("utf-8", "replace") if b > a else "" for a, b in zip(borders[:-1], borders[1:])]
 
 
