@@ -384,8 +384,9 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
     lattice = Lattice(texts, pieces)
     docs, rows = lattice.docs, len(lattice.left)
     bound = -np.log(-np.log(uniform(seeds)))
-    keys = lambda occ, number: mix(seeds[lattice.occ_doc[occ]] + np.uint64(number)) + (
-        (occ - lattice.occ_first[lattice.occ_doc[occ]]).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    nth = np.arange(len(lattice.occ_doc)) - lattice.occ_first[lattice.occ_doc]
+    nth = nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    keys = lambda occ, number: mix(seeds + np.uint64(number))[lattice.occ_doc[occ]] + nth[occ]
     # A step's log-probability is its score less what telescopes over the steps of a unit.
     total = np.concatenate([[0.0], np.cumsum(lattice.total[lattice.level[lattice.occ_size] + lattice.occ_unit])])
     total = np.diff(total[lattice.occ_first])
@@ -448,7 +449,7 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces):
 SAMPLED = "doc_id long, sample int, log_prob double, perturbed double, inclusion double, log_inclusion double, ids array<int>"
 
 
-def _sampled(k: int, model: str, seed: int):
+def _sampled(k: int, model: str, seed: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         for batch in batches:
@@ -462,17 +463,19 @@ def _sampled(k: int, model: str, seed: int):
                     # Of long texts the score is too small for a double, but not its logarithm.
                     with np.errstate(divide="ignore"):
                         log_inclusion = np.where(odds < -30, odds, np.log(inclusion))
+                    told = [pa.array(pieces.decode(ids, n), pa.string())] if decoded else []
                     yield pa.RecordBatch.from_arrays([
                         keys.take(pa.array(docs + first)), pa.array(np.full(len(docs), number, np.int32)), pa.array(logp),
                         pa.array(perturbed), pa.array(inclusion), pa.array(log_inclusion), lists(ids, n, pa.int32()),
-                        *(c.take(pa.array(docs + first)) for c in batch.columns[2:]),
-                    ], names=["doc_id", "sample", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids", *batch.schema.names[2:]])
+                        *(c.take(pa.array(docs + first)) for c in batch.columns[2:]), *told,
+                    ], names=["doc_id", "sample", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids", *batch.schema.names[2:],
+                              *["decoded"][:len(told)]])
 
     return run
 
 
 def encode(docs: DataFrame, samples: int = SAMPLES, id_column: str = "doc_id", text: str = "text",
-           model: str = MODEL, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+           model: str = MODEL, seed: int = 0, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """(id, sample, log_prob, perturbed, inclusion, log_inclusion, ids, *carry): ``samples`` different segmentations of each text.
 
     Drawn without replacement by the lattice's probabilities, seeded by ``seed`` and the
@@ -483,11 +486,13 @@ def encode(docs: DataFrame, samples: int = SAMPLES, id_column: str = "doc_id", t
     character outside the vocabulary, and a literal U+2581, becomes its bytes, so that
     decoding is exact.  Rows that repeat an id and text repeat their samples; rows
     without id share one seed.  Columns named in ``carry`` go along, others are ignored.
+    With ``decoded``, a column of that name holds the ids as text, as :func:`decode` gives it,
+    without sending the ids to another worker.
     """
     kinds = dict(docs.dtypes)
-    schema = ", ".join([SAMPLED, *(f"{c} {kinds[c]}" for c in carry)])
+    schema = ", ".join([SAMPLED, *(f"{c} {kinds[c]}" for c in carry), *["decoded string"][:decoded]])
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry) \
-        .mapInArrow(_sampled(samples, model, seed), schema).withColumnRenamed("doc_id", id_column)
+        .mapInArrow(_sampled(samples, model, seed, decoded), schema).withColumnRenamed("doc_id", id_column)
 
 
 def decode(encoded: DataFrame, columns: list[str], ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -508,7 +513,8 @@ def decode(encoded: DataFrame, columns: list[str], ids: str = "ids", model: str
 
 @query("op3_pieces")
 def op3_pieces(spark: SparkSession, directory: str) -> DataFrame:
-    found = encode(table(spark, directory, "documents", "doc_id", "text"))
-    found = found.withColumns({"n_pieces": F.size("ids"), "ids_hash": F.xxhash64("ids")})
-    told = decode(found, ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids_hash"])
-    return told.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
+    found = encode(table(spark, directory, "documents", "doc_id", "text"), decoded=True)
+    return found.select(
+        "doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion", "log_inclusion",
+        F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32"),
+    )

@@ -307,6 +307,16 @@ def test_query_searches_on_from_branches_of_several_samples(spark):
     assert all(r.n == 8 for r in rows if len(texts[r.doc_id] or "") > 40)
 
 
+def test_encode_decodes_in_the_same_pass(spark):
+    df = docs_of(spark, ["the in  and", None, "", "é\u2581☃ \n7", "a " * 300])
+    told = pieces.encode(df.withColumn("own", F.col("text")), samples=4, carry=("own",), decoded=True).collect()
+    apart = pieces.decode(pieces.encode(df, samples=4), ["doc_id", "sample", "ids"]).collect()
+    assert sorted((r.doc_id, r["sample"], r.ids, r.decoded) for r in told) == sorted((r.doc_id, r["sample"], r.ids, r.text) for r in apart)
+    assert all(r.decoded == (r.own or "") for r in told)
+    plan = pieces.op3_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_branches_not_looked_at_first_are_found(monkeypatch):
     p = pieces.pieces_of(pieces.MODEL)
     texts = ["the in and of", "7" * 500 + " the in", "- " * 900 + "ab", "", "a " * 300, "ab"]
